@@ -249,5 +249,10 @@ def top_k(matched: DataFrame, meta: DataFrame, k: int) -> DataFrame:
     return (
         dated.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
-        .select("query_id", "rank", "doc_id", F.when(F.col("has_must"), F.col("total")).alias("score"))
+        .select(
+            "query_id",
+            F.col("rank").cast("bigint").alias("rank"),
+            "doc_id",
+            F.when(F.col("has_must"), F.col("total")).alias("score"),
+        )
     )

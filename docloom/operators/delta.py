@@ -29,8 +29,9 @@ def with_keys(listing: DataFrame, accepted: Column) -> DataFrame:
     """Adds ``norm_path``, ``_id`` and the filter result; one row per key."""
     keyed = listing.withColumn("norm_path", paths.norm_path(F.col("file_path")))
     keyed = keyed.withColumn("_id", paths.document_id(F.col("norm_path")))
+    # A path listed under two roots is accepted when either root accepts it.
     return latest_per_key(
-        keyed.withColumn("accepted", accepted), "_id", "modified_date", "file_path"
+        keyed.withColumn("accepted", accepted), "_id", "accepted", "modified_date", "file_path"
     )
 
 
@@ -45,7 +46,11 @@ def metadata(index: DataFrame) -> DataFrame:
 
 
 def delta(
-    scan: DataFrame, index_metadata: DataFrame, roots: Sequence[str], force: bool = False
+    scan: DataFrame,
+    index_metadata: DataFrame,
+    roots: Sequence[str],
+    force: bool = False,
+    whole_scan: bool = True,
 ) -> DataFrame:
     """Classify every scanned and every indexed key in one join.
 
@@ -58,7 +63,8 @@ def delta(
 
     Ignored files count as seen, so they are joined as well. One full outer join on the key
     yields both answers with a single shuffle of narrow rows; keys are hashes, so its
-    partitions are even.
+    partitions are even. A micro-batch is no whole scan: ``whole_scan=False`` joins left and
+    finds no ghosts.
     """
     old = index_metadata.select(
         F.col("_id"),
@@ -67,7 +73,9 @@ def delta(
         F.col("file_size").alias("old_size"),
         F.lit(True).alias("in_index"),
     )
-    joined = scan.withColumn("in_scan", F.lit(True)).join(old, "_id", "full_outer")
+    joined = scan.withColumn("in_scan", F.lit(True)).join(
+        old, "_id", "full_outer" if whole_scan else "left"
+    )
     same = F.col("modified_date").eqNullSafe(F.col("old_date")) & F.col("file_size").eqNullSafe(
         F.col("old_size")
     )

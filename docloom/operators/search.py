@@ -178,7 +178,8 @@ def page(found: DataFrame, order: str, number: int = 1, size: int = C.PAGE_SIZE)
     if offset + size <= TOP_ROWS_LIMIT:
         rows = found.orderBy(*keys).offset(offset).limit(size)
         # numbered over at most one page of rows
-        return rows.withColumn("rank", F.row_number().over(Window.orderBy(*keys)) + offset)
+        number_in_page = F.row_number().over(Window.orderBy(*keys)).cast("bigint")
+        return rows.withColumn("rank", number_in_page + offset)
     return _deep_page(found, keys, offset, size)
 
 

@@ -60,12 +60,15 @@ def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(i % 3 == 0, F.upper(path))
         .otherwise(path)
     )
-    hour = F.expr("interval 1 hour")
+    hour, second = F.expr("interval 1 hour"), F.expr("interval 1 second")
     date = F.col("modified_date")
     return (
         catalog(spark, sf_dir)
         .withColumn("file_path", old_path)
-        .withColumn("modified_date", F.when(i % 5 == 0, date - hour).otherwise(date))
+        .withColumn(
+            "modified_date",
+            F.when(i % 5 == 0, date - hour).when(i % 9 == 4, date - second).otherwise(date),
+        )
         .withColumn("file_size", F.col("file_size") + F.when(i % 23 == 0, 1).otherwise(0))
         .withColumn("norm_path", paths.norm_path(F.col("file_path")))
         .withColumn("_id", paths.document_id(F.col("norm_path")))
