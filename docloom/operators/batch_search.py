@@ -16,11 +16,19 @@ from docloom.functions.querytext import classify
 from docloom.functions.tokens import term_counts, tokens
 from docloom.operators import postings as P
 from docloom.operators.search import bm25
+from docloom.operators.skew import (
+    HOT_MIN_ROWS,
+    add_salt,
+    hot_keys,
+    hot_threshold,
+    repeat_for_salts,
+    salted_join,
+)
 from docloom.session import new_table_path
-from docloom.sources.text_index import HOT_MIN_ROWS, hot_terms, hot_threshold, with_salt
 
-#: Query terms are broadcast only when their counted size is below this.
+#: A table is broadcast only when its counted size is below this.
 BROADCAST_BYTES = 64 << 20
+_TERM = ("field", "term")
 
 
 def _clause(
@@ -49,7 +57,8 @@ def _single(term: Column) -> Column:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """``(query_id, has_must, n_clauses, entries)`` for ``(query_id, query)``.
+    """``(query_id, has_must, n_clauses, clause, kind, field, term, weight, times)``, one row
+    per term a query looks up, for a table ``(query_id, query)``.
 
     Clause 0 is the type filter, or the whole collection when nothing is required. Equal terms
     of a query are one clause that counts ``times``.
@@ -100,33 +109,61 @@ def query_terms(queries: DataFrame) -> DataFrame:
             F.when(has_types, types).when(only_exclusions, everything).otherwise(no_entry),
             excluded,
         ).alias("entries"),
-    )
+    ).select("query_id", "has_must", "n_clauses", F.inline("entries"))
 
 
-def _small_enough(entries: DataFrame) -> bool:
-    """Is the counted size of the query-term table below the broadcast limit?"""
-    size = entries.agg(F.sum(F.octet_length("term") + F.lit(128))).first()[0] or 0
-    return size <= BROADCAST_BYTES
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result that is used several times, and read it back."""
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _salted_by_query(candidates: DataFrame, terms: DataFrame, min_rows: int) -> DataFrame:
-    """Join on ``query_id`` with the candidates of a hot query spread over salts."""
-    per_query = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("df"))
-    limit = hot_threshold(candidates.count(), min_rows)
-    # at most 1 / HOT_SHARE rows, like the hot terms
-    hot = F.broadcast(
-        per_query.where(F.col("df") > limit).select(
-            "query_id", F.ceil(F.col("df") / limit).cast("int").alias("salts")
-        )
+def _rarest_clauses(required: DataFrame) -> DataFrame:
+    """``(query_id, clause)``: the clause with the fewest postings.
+
+    A clause without any posting makes its query empty; such queries end here.
+    """
+    per_clause = required.groupBy("query_id", "n_clauses", "clause").agg(F.sum("df").alias("rows"))
+    return (
+        per_clause.groupBy("query_id", "n_clauses")
+        .agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("rows", "clause")).alias("rarest"))
+        .where(F.col("found") == F.col("n_clauses"))
+        .select("query_id", F.col("rarest.clause").alias("clause"))
     )
-    salts = F.coalesce("salts", F.lit(1))
-    left = candidates.join(hot, "query_id", "left").withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int")
+
+
+def _matches(checked: DataFrame, fields: DataFrame) -> DataFrame:
+    """Score the looked-up terms and keep the documents that meet every clause.
+
+    One shuffle, by query and document: the sums per clause and field, the best field of each
+    clause and the total are all computed inside that partitioning.
+    """
+    keys = ["query_id", "doc_id"]
+    term_score = F.when(F.col("kind") == "const", F.lit(1.0)).when(
+        F.col("kind") == "must",
+        F.col("weight") * bm25(F.col("tf"), F.col("dl"), F.col("n"), F.col("avgdl"), F.col("df")),
+    ).otherwise(F.lit(0.0))
+    scored = checked.join(fields, "field", "left").select(
+        *keys, "has_must", "n_clauses", "clause", "field", "times", term_score.alias("s")
+    )
+    names = [*C.FIELD_BOOSTS, "file_type", "file_path", P.ALL_FIELD]
+    in_field = [F.sum(F.when(F.col("field") == f, F.col("s"))) for f in names]
+    per_clause = (
+        scored.repartition(*keys)
+        .groupBy(*keys, "has_must", "n_clauses", "clause", "times")
+        .agg(F.greatest(*in_field).alias("s"))
     )
-    right = terms.join(hot, "query_id", "left").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), salts - 1))
+    return (
+        per_clause.groupBy(*keys, "has_must", "n_clauses")
+        .agg(
+            F.count_if(F.col("clause") >= 0).alias("met"),
+            F.count_if(F.col("clause") < 0).alias("hit_exclusion"),
+            F.round(F.sum(F.col("s") * F.col("times")), 6).alias("total"),
+        )
+        .where((F.col("met") == F.col("n_clauses")) & (F.col("hit_exclusion") == 0))
+        .select(*keys, "has_must", "total")
     )
-    return left.drop("salts").join(right.drop("salts"), ["query_id", "salt"]).drop("salt")
 
 
 def search_batch(
@@ -135,103 +172,59 @@ def search_batch(
     meta: DataFrame,
     k: int = 10,
     hot_min_rows: int = HOT_MIN_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Top ``k`` documents of every query: ``(query_id, rank, doc_id, score)``.
 
     ``index`` is a stored index; ``meta`` has ``doc_id`` and ``modified_date``. Queries with a
     required term rank by score, the others by date (newest first); ``doc_id`` breaks ties.
     """
-    spark = queries.sparkSession
-    # The parsed queries are used four times; a table keeps the parse from running four times.
-    path = new_table_path(spark, "queries")
-    query_terms(queries).write.parquet(path)
-    parsed = spark.read.parquet(path)
-    entries = parsed.select("query_id", "has_must", "n_clauses", F.inline("entries"))
-    vocabulary = entries.select("field", "term").distinct()
-    small = _small_enough(entries)
-    hint = F.broadcast if small else (lambda df: df)
-
-    # What the queries ask for, of the stored tables: everything below reads only this.
-    stats = index.all_term_stats().join(hint(vocabulary), ["field", "term"], "left_semi")
-    asked = index.postings().join(hint(vocabulary), ["field", "term"], "left_semi")
+    entries = _stored(query_terms(queries), "terms")
+    size = entries.agg(F.sum(F.octet_length("term") + F.lit(128))).first()[0] or 0
+    small = size <= broadcast_bytes  # the whole table of query terms, counted
 
-    # The rarest clause of each query. A clause without any posting makes the query empty.
-    required = entries.where(F.col("kind") != "not")
-    clause_rows = (
-        required.join(stats, ["field", "term"])
-        .groupBy("query_id", "n_clauses", "clause")
-        .agg(F.sum("df").alias("rows"))
-    )
-    driver = (
-        clause_rows.groupBy("query_id", "n_clauses")
-        .agg(
-            F.count(F.lit(1)).alias("found"),
-            F.min(F.struct("rows", "clause")).alias("rarest"),
+    # The asked-for terms that exist, with their frequency: the index statistics are read once.
+    asked = index.all_term_stats().join(entries.select(*_TERM).distinct(), list(_TERM), "left_semi")
+    asked = _stored(asked, "asked")
+    known = F.broadcast(asked) if small else asked
+    if small:
+        terms = entries.join(known, list(_TERM))
+    else:  # a common word may stand in most queries
+        terms = _stored(
+            salted_join(entries, asked, _TERM, "query_id", min_rows=hot_min_rows), "terms"
         )
-        .where(F.col("found") == F.col("n_clauses"))
-        .select("query_id", F.col("rarest.clause").alias("clause"))
-    )
-    lead = required.join(driver, ["query_id", "clause"]).select("query_id", "field", "term")
 
-    # Candidates. The postings of a hot term are spread over its salts by document, the query
-    # side is repeated per salt; terms that are not hot have one salt.
-    hot = hot_terms(stats, hot_threshold(index.total_postings, hot_min_rows))
-    lead = lead.join(F.broadcast(hot), ["field", "term"], "left").select(
-        "query_id",
-        "field",
-        "term",
-        F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"),
-    )
-    candidates = (
-        with_salt(asked, hot)
-        .select("doc_id", "field", "term", "salt")
-        .join(lead, ["field", "term", "salt"])
+    # Only postings of asked-for terms are read on; joining on the bucket as well lets Spark
+    # skip the folders of all other buckets.
+    on = ["bucket", *_TERM]
+    postings = index.postings().join(index.with_bucket(known.where("df > 0")), on, "left_semi")
+
+    # Candidates: the documents of the rarest clause. The postings of a hot term are spread
+    # over its salts by document.
+    required = terms.where(F.col("kind") != "not")
+    lead = required.join(_rarest_clauses(required), ["query_id", "clause"]).select(
+        "query_id", *_TERM
+    )
+    hot = hot_keys(asked, _TERM, "df", hot_threshold(index.total_postings, hot_min_rows))
+    candidates = _stored(
+        add_salt(postings.select("doc_id", *_TERM), hot, _TERM, "doc_id")
+        .join(repeat_for_salts(lead, hot, _TERM), [*_TERM, "salt"])
         .select("query_id", "doc_id")
-        .distinct()
+        .distinct(),
+        "candidates",
     )
-    if not small:
-        # Stored, so that counting the candidates of a query does not search twice.
-        path = new_table_path(spark, "candidates")
-        candidates.write.parquet(path)
-        candidates = spark.read.parquet(path)
 
     # Check and score: every candidate looks up the terms of its query by document.
-    fields = F.broadcast(index.field_stats())  # one row per text field
-    score = (
-        F.when(F.col("kind") == "const", F.lit(1.0))
-        .when(
-            F.col("kind") == "must",
-            F.col("weight")
-            * bm25(F.col("tf"), F.col("dl"), F.col("n"), F.col("avgdl"), F.col("df")),
-        )
-        .otherwise(F.lit(0.0))
-    )
-    with_stats = entries.join(stats, ["field", "term"]).join(fields, "field", "left")
+    if candidates.count() * 64 <= broadcast_bytes:
+        few = F.broadcast(candidates.select("doc_id").distinct())
+        postings = postings.join(few, "doc_id", "left_semi")
     if small:
-        to_check = candidates.join(F.broadcast(with_stats), "query_id")
+        to_check = candidates.join(F.broadcast(terms), "query_id")
     else:
-        to_check = _salted_by_query(candidates, with_stats, hot_min_rows)
-    found = (
-        to_check.join(asked, ["doc_id", "field", "term"])
-        .select(
-            "query_id", "doc_id", "has_must", "n_clauses", "clause", "field", "times",
-            score.alias("s"),
-        )
-    )
-    per_document = ["query_id", "has_must", "n_clauses", "doc_id"]
-    per_field = found.groupBy(*per_document, "clause", "field", "times").agg(F.sum("s").alias("s"))
-    # a clause counts through its best field
-    per_clause = per_field.groupBy(*per_document, "clause", "times").agg(F.max("s").alias("s"))
-    matched = (
-        per_clause.groupBy(*per_document)
-        .agg(
-            F.count_if(F.col("clause") >= 0).alias("met"),
-            F.count_if(F.col("clause") < 0).alias("hit_exclusion"),
-            F.round(F.sum(F.col("s") * F.col("times")), 6).alias("total"),
-        )
-        .where((F.col("met") == F.col("n_clauses")) & (F.col("hit_exclusion") == 0))
-    )
-    return top_k(matched, meta, k)
+        to_check = salted_join(candidates, terms, ["query_id"], "doc_id", min_rows=hot_min_rows)
+    checked = to_check.join(postings.drop("bucket"), ["doc_id", *_TERM])
+    fields = F.broadcast(index.field_stats())  # one row per text field
+    return top_k(_matches(checked, fields), meta, k)
 
 
 def top_k(matched: DataFrame, meta: DataFrame, k: int) -> DataFrame:

@@ -7,7 +7,8 @@ scan as filters, and the table of query terms is as long as the query string.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,18 +45,24 @@ class Request:
         return sorted({t for term in self.must for t in term})
 
 
+@cache
+def _request_columns() -> tuple[Column, ...]:
+    """Built once: a service compiles many queries with the same expression."""
+    parts = classify(F.col("query"))
+    return (
+        parts["file_types"].alias("file_types"),
+        F.transform(parts["must_terms"], tokens).alias("must"),
+        F.transform(parts["must_not_terms"], tokens).alias("must_not"),
+        parts["must_not_terms"].alias("must_not_terms"),
+    )
+
+
 def compile_query(spark: SparkSession, query: str, sort: str = "relevance") -> Request:
     """Classify one query string with the same expression a table of queries uses.
 
     Evaluated on a one-row relation, so the driver handles only the query string.
     """
-    parts = spark.sql("SELECT 1 AS one").select(classify(F.lit(query)).alias("c")).select("c.*")
-    row = parts.select(
-        "file_types",
-        F.transform("must_terms", tokens).alias("must"),
-        F.transform("must_not_terms", tokens).alias("must_not"),
-        "must_not_terms",
-    ).first()
+    row = spark.sql("SELECT :q AS query", args={"q": query}).select(*_request_columns()).first()
     return Request(
         tuple(row["file_types"]),
         tuple(tuple(t) for t in row["must"]),

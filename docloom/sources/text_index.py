@@ -10,17 +10,14 @@ them, the row groups whose term range fits.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import postings as P
-
-#: A term is hot when it holds more than this share of all postings (and more than
-#: ``HOT_MIN_ROWS``). At most 1 / HOT_SHARE terms can be hot, so their list is always small.
-HOT_SHARE = 1e-4
-HOT_MIN_ROWS = 1_000_000
+from docloom.operators.skew import HOT_MIN_ROWS, add_salt, hot_keys, hot_threshold
 
 #: Default number of buckets: one per so many postings, within limits.
 ROWS_PER_BUCKET, MIN_BUCKETS, MAX_BUCKETS = 20_000_000, 16, 8192
@@ -39,32 +36,8 @@ def _stored_schemas(id_type: str) -> dict[str, str]:
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def hot_terms(term_stats: DataFrame, threshold: int) -> DataFrame:
-    """``(field, term, salts)`` of the terms with more than ``threshold`` postings."""
-    return term_stats.where(F.col("df") > threshold).select(
-        "field", "term", F.ceil(F.col("df") / threshold).cast("int").alias("salts")
-    )
-
-
-def hot_threshold(total_postings: int, min_rows: int = HOT_MIN_ROWS) -> int:
-    return max(int(total_postings * HOT_SHARE), min_rows)
-
-
-def with_salt(postings: DataFrame, hot: DataFrame) -> DataFrame:
-    """Adds ``salt``: the postings of a hot term are spread by document over its salts.
-
-    ``hot`` has at most 1 / HOT_SHARE rows by construction (terms above a share of the total),
-    which bounds the broadcast whatever the size of the index.
-    """
-    salt = F.pmod(F.xxhash64("doc_id"), F.coalesce(F.col("salts"), F.lit(1)))
-    return (
-        postings.join(F.broadcast(hot), ["field", "term"], "left")
-        .withColumn("salt", salt.cast("int"))
-        .drop("salts")
-    )
+    """A checksum both Spark and the driver know, so a lookup needs no job to find it."""
+    return (F.crc32(term.cast("binary")) % buckets).cast("int")
 
 
 class ScannedIndex:
@@ -100,19 +73,20 @@ class StoredIndex:
         wanted = sorted(set(terms))
         if not wanted:
             return self._tables[name].drop("bucket").where(F.lit(False))
-        # the buckets of the terms, from the same expression as on write
-        row = self.spark.sql("SELECT 1 AS one").select(
-            *[bucket_of(F.lit(t), self.buckets).alias(f"b{i}") for i, t in enumerate(wanted)]
-        ).first()
+        buckets = sorted({zlib.crc32(t.encode("utf-8")) % self.buckets for t in wanted})
         return (
             self._tables[name]
-            .where(F.col("bucket").isin(*sorted(set(row))) & F.col("term").isin(*wanted))
+            .where(F.col("bucket").isin(*buckets) & F.col("term").isin(*wanted))
             .where(F.col("field").isin(*P.TEXT_FIELDS))
             .drop("bucket")
         )
 
     def postings(self) -> DataFrame:
-        return self._tables["postings"].drop("bucket")
+        """All postings, with their ``bucket``."""
+        return self._tables["postings"]
+
+    def with_bucket(self, terms: DataFrame) -> DataFrame:
+        return terms.withColumn("bucket", bucket_of(F.col("term"), self.buckets))
 
     def all_term_stats(self) -> DataFrame:
         return self._tables["term_stats"].drop("bucket")
@@ -160,9 +134,9 @@ def write_index(
     )
     stats = spark.read.parquet(f"{path}/term_stats").drop("bucket")
     total = stats.agg(F.sum("df")).first()[0] or 0
-    hot = hot_terms(stats, hot_threshold(total, hot_min_rows))
+    hot = hot_keys(stats, ["field", "term"], "df", hot_threshold(total, hot_min_rows))
     (
-        with_salt(postings, hot)
+        add_salt(postings, hot, ["field", "term"], "doc_id")
         .withColumn("bucket", bucket_of(F.col("term"), buckets))
         .repartition("bucket", "salt")
         .sortWithinPartitions("bucket", "term", "doc_id")
