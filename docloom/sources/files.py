@@ -5,7 +5,8 @@ Two ways to list, with the same columns (``schema.LISTING``):
 * :func:`walk` - folders are listed by tasks, level by level. Excluded folders are never
   entered, and the listing itself lives in a table, so its size is not bound by one machine.
 * :func:`binary_listing` - Spark's ``binaryFile`` source without its ``content`` column. Its
-  file index is held by the driver and it hides names that start with ``_`` or ``.``.
+  file index is held by the driver; it hides names that start with ``_`` or ``.`` and passes
+  over files without bytes.
 """
 
 from __future__ import annotations

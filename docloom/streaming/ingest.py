@@ -1,8 +1,9 @@
 """Micro-batch ingest of new files with Structured Streaming.
 
 The file source delivers a path once: new files arrive here, changed and deleted ones are
-found by the batch ingest, run on a schedule over the same catalog. State is the catalog
-itself, keyed by path; there are no windows and no late data.
+found by the batch ingest, run on a schedule over the same catalog. (It also finds what the
+file source passes over: files without bytes, and names that start with ``_``.) State is the
+catalog itself, keyed by path; there are no windows and no late data.
 """
 
 from __future__ import annotations
