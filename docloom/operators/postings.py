@@ -52,13 +52,12 @@ def text_postings(docs: DataFrame, fields: Sequence[str] = TEXT_FIELDS) -> DataF
     return unpack(field_counts(docs, fields))
 
 
-def text_postings_of_terms(
+def counts_of_terms(
     docs: DataFrame, terms: Sequence[str], fields: Sequence[str] = TEXT_FIELDS
 ) -> DataFrame:
-    """The postings of a few terms, without exploding the other tokens."""
-    tokenised = field_tokens(docs, fields)
+    """:func:`field_counts` with the counts of a few terms only; ``dl`` counts all tokens."""
     wanted = F.filter("tokens", lambda t: t.isin(*terms)) if terms else F.slice("tokens", 1, 0)
-    return unpack(_counted(tokenised, wanted))
+    return _counted(field_tokens(docs, fields), wanted)
 
 
 def keyword_postings(docs: DataFrame) -> DataFrame:

@@ -41,8 +41,8 @@ class Request:
         return "date_desc" if sort == "relevance" and not self.must else sort
 
     @property
-    def must_tokens(self) -> list[str]:
-        return sorted({t for term in self.must for t in term})
+    def all_tokens(self) -> list[str]:
+        return sorted({t for term in self.must + self.must_not for t in term})
 
 
 @cache
@@ -139,6 +139,7 @@ def hits(docs: DataFrame, index, request: Request) -> DataFrame:
     ``modified_date``; the text itself is not needed here. ``score`` is null unless the result
     is sorted by it - other orders read no statistics.
     """
+    index = index.for_terms(request.all_tokens) if request.all_tokens else index
     base = docs
     if request.file_types:
         base = base.where(F.col("file_type").isin(*request.file_types))
@@ -148,12 +149,13 @@ def hits(docs: DataFrame, index, request: Request) -> DataFrame:
     if request.must:
         if any(not term for term in request.must):  # a term without tokens matches nothing
             base = base.where(F.lit(False))
-        terms = [t for t in request.must if t] or [("",)]
-        base = base.join(_clause_hits(index, terms, scored), "doc_id")
+        terms = [t for t in request.must if t]
+        if terms:
+            base = base.join(_clause_hits(index, terms, scored), "doc_id")
     excluded = sorted({t for term in request.must_not for t in term})
     if excluded:
         base = base.join(index.lookup(excluded).select("doc_id"), "doc_id", "left_anti")
-    if not scored:
+    if not scored or "score" not in base.columns:
         return base.withColumn("score", F.lit(None).cast("double"))
     bonus = 1.0 if request.file_types else 0.0  # a type filter is a constant-score clause
     return base.withColumn("score", F.round(F.col("score") + bonus, 6))
@@ -221,5 +223,13 @@ def page_summary(found: DataFrame, number: int = 1, size: int = C.PAGE_SIZE) ->
 
 
 def fetch(top: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
-    """Late materialisation: wide columns of the rows of one page (at most a page of keys)."""
-    return docs.select("doc_id", *columns).join(F.broadcast(top), "doc_id")
+    """Wide columns of the rows of one page.
+
+    The page is evaluated first (its narrow rows, at most one page). Its keys then reach the
+    scan of the wide table as a filter, which skips the row groups without any of them.
+    """
+    rows = top.collect()  # one page
+    keys = [r["doc_id"] for r in rows]
+    page_rows = top.sparkSession.createDataFrame(rows, top.schema)
+    wide = docs.select("doc_id", *columns).where(F.col("doc_id").isin(*keys) if keys else F.lit(False))
+    return wide.join(F.broadcast(page_rows), "doc_id")

@@ -350,7 +350,7 @@ def field_stats(spark, sf_dir):
 SELECT doc_id, round(s * 3.0, 4) AS score FROM scored WHERE field = 'content' AND term = 'thing'"""
 )
 def bm25_single_term(spark, sf_dir):
-    index = ScannedIndex(T.search_docs(spark, sf_dir))
+    index = ScannedIndex(T.search_docs(spark, sf_dir)).for_terms(["thing"])
     found = index.lookup(["thing"]).where(F.col("field") == "content")
     scored = S.score_postings(found, index.term_stats(["thing"]), index.field_stats())
     score = F.round(F.col("bm25") * C.FIELD_BOOSTS["content"], 4)

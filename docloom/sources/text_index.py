@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import postings as P
 from docloom.operators.skew import HOT_MIN_ROWS, add_salt, hot_keys, hot_threshold
+from docloom.session import new_table_path
 
 #: Default number of buckets: one per so many postings, within limits.
 ROWS_PER_BUCKET, MIN_BUCKETS, MAX_BUCKETS = 20_000_000, 16, 8192
@@ -40,20 +41,38 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return (F.crc32(term.cast("binary")) % buckets).cast("int")
 
 
-class ScannedIndex:
-    """Index facts computed from ``docs`` (``doc_id``, text and keyword fields) at query time."""
+class CountedIndex:
+    """Index facts of a few terms, from a table ``(doc_id, field, dl, counts)``."""
 
-    def __init__(self, docs: DataFrame):
-        self.docs = docs
+    def __init__(self, counts: DataFrame):
+        self.counts = counts
+
+    def for_terms(self, terms: Sequence[str]) -> CountedIndex:
+        return self
 
     def lookup(self, terms: Sequence[str]) -> DataFrame:
-        return P.text_postings_of_terms(self.docs, list(terms))
+        wanted = F.col("term").isin(*terms) if terms else F.lit(False)
+        return P.unpack(self.counts).where(wanted)
 
     def term_stats(self, terms: Sequence[str]) -> DataFrame:
         return P.term_stats(self.lookup(terms))
 
     def field_stats(self) -> DataFrame:
-        return P.field_stats(P.field_lengths(self.docs))
+        return P.field_stats(self.counts)
+
+
+class ScannedIndex:
+    """Search without a stored index: ``docs`` (``doc_id`` and the text fields) are scanned once
+    per query. What the query needs of them - field lengths and the counts of its own terms -
+    is kept as a narrow table, which then serves the statistics and the lookups."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs = docs
+
+    def for_terms(self, terms: Sequence[str]) -> CountedIndex:
+        path = new_table_path(self.docs.sparkSession, "counts")
+        P.counts_of_terms(self.docs, list(terms)).write.parquet(path)
+        return CountedIndex(self.docs.sparkSession.read.parquet(path))
 
 
 class StoredIndex:
@@ -81,6 +100,9 @@ class StoredIndex:
             .drop("bucket")
         )
 
+    def for_terms(self, terms: Sequence[str]) -> StoredIndex:
+        return self
+
     def postings(self) -> DataFrame:
         """All postings, with their ``bucket``."""
         return self._tables["postings"]
@@ -135,10 +157,12 @@ def write_index(
     stats = spark.read.parquet(f"{path}/term_stats").drop("bucket")
     total = stats.agg(F.sum("df")).first()[0] or 0
     hot = hot_keys(stats, ["field", "term"], "df", hot_threshold(total, hot_min_rows))
+    # a bucket beyond ROWS_PER_BUCKET is the work of several tasks, by term
+    shares = max(total // (buckets * ROWS_PER_BUCKET), 1)
     (
         add_salt(postings, hot, ["field", "term"], "doc_id")
         .withColumn("bucket", bucket_of(F.col("term"), buckets))
-        .repartition("bucket", "salt")
+        .repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(shares)), "salt")
         .sortWithinPartitions("bucket", "term", "doc_id")
         .drop("salt")
         .write.partitionBy("bucket")
