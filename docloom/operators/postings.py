@@ -60,20 +60,24 @@ def counts_of_terms(
     return _counted(field_tokens(docs, fields), wanted)
 
 
-def keyword_postings(docs: DataFrame) -> DataFrame:
-    """One posting per document and keyword field, plus the ``_all`` posting."""
+def keyword_counts(docs: DataFrame) -> DataFrame:
+    """Keyword fields and the ``_all`` entry, in the shape of :func:`field_counts`."""
     one = F.lit(1).cast("bigint")
-    entries = F.array(
-        *[F.struct(F.lit(f).alias("field"), F.col(f).alias("term")) for f in KEYWORD_FIELDS],
-        F.struct(F.lit(ALL_FIELD).alias("field"), F.lit(ALL_TERM).alias("term")),
-    )
+    values = [F.struct(F.lit(f).alias("field"), F.col(f).alias("term")) for f in KEYWORD_FIELDS]
+    whole = F.struct(F.lit(ALL_FIELD).alias("field"), F.lit(ALL_TERM).alias("term"))
+    entry = F.struct(F.col("term"), one.alias("tf"))
     return (
-        docs.select("doc_id", F.inline(entries))
+        docs.select("doc_id", F.inline(F.array(*values, whole)))
         .where(F.col("term").isNotNull())
-        .select("doc_id", "field", "term", one.alias("tf"), one.alias("dl"))
+        .select("doc_id", "field", one.alias("dl"), F.array(entry).alias("counts"))
     )
 
 
+def index_counts(docs: DataFrame) -> DataFrame:
+    """All that is indexed of every document, packed by field."""
+    return field_counts(docs).unionByName(keyword_counts(docs))
+
+
 def term_stats(postings: DataFrame) -> DataFrame:
     """Document frequency per ``(field, term)``; counts combine before the shuffle."""
     return postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -85,7 +89,7 @@ def field_stats(lengths: DataFrame) -> DataFrame:
     ``lengths`` has ``field`` and ``dl``, one row per document and field.
     """
     return (
-        lengths.where(F.col("dl") > 0)
+        lengths.where(F.col("field").isin(*TEXT_FIELDS) & (F.col("dl") > 0))
         .groupBy("field")
         .agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     )

@@ -274,8 +274,10 @@ def escaped(text: str) -> str:
     return text
 
 
-def snippets(found: str, terms: list[str], escape: bool = False) -> str:
-    """``doc_id, snippet`` of every row of ``found`` (which has ``doc_id`` and ``content``)."""
+def snippets(
+    found: str, terms: list[str], escape: bool = False, source: str = "found", columns: str = ""
+) -> str:
+    """``doc_id, snippet`` of every row of ``source`` (which has ``doc_id`` and ``content``)."""
     n = C.FRAGMENT_CHARS
     plain = f"CASE WHEN length(content) > 0 THEN left(content, 300) || '...' ELSE '{C.NO_PREVIEW}' END"
     return found + rf""",
@@ -283,7 +285,7 @@ sentences AS (
   SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS s_no
   FROM (SELECT doc_id, string_split(
           regexp_replace(content, '([.!?])[ \t\r\n]+|\n', '\1' || chr(57345), 'g'), chr(57345)) AS ss
-        FROM found)),
+        FROM {source})),
 pieces AS (
   SELECT doc_id, s_no, unnest(ps) AS raw_piece, generate_subscripts(ps, 1) AS p_no
   FROM (SELECT doc_id, s_no, regexp_extract_all(sentence,
@@ -298,5 +300,5 @@ best AS (
 marked AS (
   SELECT doc_id, string_agg({_mark('piece', terms, escape)}, ' ... ' ORDER BY s_no, p_no) AS m
   FROM best WHERE r <= 2 GROUP BY doc_id)
-SELECT f.doc_id, coalesce(m, {escaped(plain) if escape else plain}) AS snippet
-FROM found f LEFT JOIN marked USING (doc_id)"""
+SELECT {columns}f.doc_id, coalesce(m, {escaped(plain) if escape else plain}) AS snippet
+FROM {source} f LEFT JOIN marked USING (doc_id)"""

@@ -16,6 +16,7 @@ from docloom.operators import artifacts, batch_search, delta, extract, filters,
 from docloom.operators import postings as P
 from docloom.operators import search as S
 from docloom.plans import oracle as O
+from docloom.plans import results
 from docloom.plans import tables as T
 from docloom.plans.file_trees import with_bytes, write_tree
 from docloom.plans.ingest import run_ingest
@@ -450,6 +451,36 @@ def search_page_content(spark, sf_dir):
     return rows.select("rank", "doc_id", display.snippet(F.col("content")).alias("snippet"))
 
 
+_CARD_COLUMNS = """replace(replace(file_name, '&', '&amp;'), '''', '&#x27;') AS title,
+         file_path AS path, file_type, 'application/pdf' AS mime,
+         strftime(modified_date, '%b %d, %Y, %I:%M %p') AS modified, '' AS created,
+         'openfile://' || replace(url_encode(file_path), '%2F', '/') AS open_file,
+         'openopus://' || replace(url_encode(file_path), '%2F', '/') AS open_folder,
+         'openexplorer://' || replace(url_encode(file_path), '%2F', '/') AS open_explorer,
+         md5(lower(file_path)) AS artifact_key"""
+
+
+@query(
+    O.snippets(
+        _FLAGSHIP_SQL + f""",
+ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM found),
+shown AS (SELECT rank, score, content, doc_id, {_CARD_COLUMNS} FROM ranked WHERE rank <= 100)""",
+        ["report", "thing"],
+        source="shown",
+        columns="f.rank, f.score, f.title, f.path, f.file_type, f.mime, f.modified, f.created, "
+        "f.open_file, f.open_folder, f.open_explorer, f.artifact_key, ",
+    )
+)
+def result_cards(spark, sf_dir):
+    """A whole result page: rank, score, names, dates, links and marked snippets."""
+    request = S.compile_query(spark, FLAGSHIP)
+    docs = T.search_docs(spark, sf_dir)
+    found = S.hits(T.search_meta(spark, sf_dir), ScannedIndex(docs), request)
+    wide = docs.withColumn("created_date", F.lit(None).cast("timestamp_ntz"))
+    page = S.fetch(S.page(found, request.order), wide, "content", "created_date")
+    return results.cards(page, request)
+
+
 # ---- a table of queries -------------------------------------------------------------------------
 
 

@@ -8,12 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = 8, app: str = "docloom") -> SparkSession:
+def local_session(
+    cpus: int | str = 8, app: str = "docloom", shuffle_partitions: int | None = None
+) -> SparkSession:
     """A local session for tests and the bench. On a cluster the job's own session is used."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
-        .config("spark.sql.shuffle.partitions", str(cpus))
+        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")

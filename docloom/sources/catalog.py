@@ -48,6 +48,18 @@ def cluster(rows: DataFrame, parts: int | None = None) -> DataFrame:
     return rows.repartition(parts, key_part(F.col("_id"), parts))
 
 
+def committed_folders(spark: SparkSession, path: str, table: str = "") -> list[str]:
+    """Names of the folders below ``path`` that Spark has committed, in order (a short list)."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    parent = hadoop.Path(path)
+    store = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(parent):
+        return []
+    names = [s.getPath().getName() for s in store.listStatus(parent)]
+    mark = f"{table}/_SUCCESS".lstrip("/")
+    return sorted(n for n in names if store.exists(hadoop.Path(parent, f"{n}/{mark}")))
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -55,15 +67,7 @@ class Catalog:
     # -- what is committed -----------------------------------------------------------------
 
     def _committed(self, kind: str) -> list[str]:
-        """Names of the committed folders of a kind, in order (a short list)."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        parent = hadoop.Path(f"{self.path}/{kind}")
-        store = parent.getFileSystem(conf)
-        if not store.exists(parent):
-            return []
-        names = [s.getPath().getName() for s in store.listStatus(parent)]
-        return sorted(n for n in names if store.exists(hadoop.Path(parent, f"{n}/_SUCCESS")))
+        return committed_folders(self.spark, f"{self.path}/{kind}")
 
     def _state(self) -> tuple[str | None, list[str]]:
         """The current base and the change sets after it."""
@@ -136,6 +140,28 @@ class Catalog:
             old, puts = self._layers(None)
             self._write_base(old.unionByName(cluster(puts)), _number(changes[-1]), "compact")
 
+    @property
+    def version(self) -> int:
+        """Number of the last commit; -1 when there is no catalog."""
+        base, changes = self._state()
+        return _number((changes or [base])[-1]) if base else -1
+
+    def changes_since(self, version: int) -> tuple[DataFrame, DataFrame] | None:
+        """``(current rows of the keys put since, keys deleted since)``, from change sets alone.
+
+        None for a version before the first rows, which are a base and no change set.
+        """
+        if version < 1:
+            return None
+        sets = [c for c in self._committed("changes") if _number(c) > version]
+        if not sets:
+            empty = self.spark.createDataFrame([], DOCUMENT)
+            return empty, empty.select("_id")
+        log, last = self._log(sets)
+        current = log.join(last, ["_id", "seq"], "left_semi")
+        puts = current.where(F.col("op") == PUT).select(*DOCUMENT.names)
+        return puts, current.where(F.col("op") == DEL).select("_id")
+
     @property
     def pending(self) -> int:
         """Change sets since the last base."""
@@ -167,13 +193,16 @@ class Catalog:
         old = old.where(wanted).select(*DOCUMENT.names)
         if not changes:
             return old, None
-        log = self.spark.read.schema(_CHANGE).parquet(
-            *[f"{self.path}/changes/{c}" for c in changes]
-        )
-        seq = F.regexp_extract(F.col("_metadata.file_path"), r"/c=(\d+)-", 1).cast("int")
-        log = log.where(wanted).withColumn("seq", seq)
-        last = log.groupBy("_id").agg(F.max("seq").alias("seq"))
+        log, last = self._log(changes)
+        log = log.where(wanted)
         puts = log.where(F.col("op") == PUT)
         if len(changes) > 1:  # a key may stand in several sets
             puts = puts.join(last, ["_id", "seq"], "left_semi")
         return old.join(last.select("_id"), "_id", "left_anti"), puts.select(*DOCUMENT.names)
+
+    def _log(self, sets: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+        """All rows of these change sets, and for each key the last set that has it."""
+        log = self.spark.read.schema(_CHANGE).parquet(*[f"{self.path}/changes/{c}" for c in sets])
+        seq = F.regexp_extract(F.col("_metadata.file_path"), r"/c=(\d+)-", 1).cast("int")
+        log = log.withColumn("seq", seq)
+        return log, log.groupBy("_id").agg(F.max("seq").alias("seq"))

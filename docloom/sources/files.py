@@ -112,11 +112,14 @@ def is_excluded_folder(
     folder: Column,
     names: Sequence[str] = C.EXCLUDED_FOLDER_NAMES,
     parts: Sequence[str] = C.EXCLUDED_PATH_PARTS,
+    dot_folders: bool = False,
 ) -> Column:
     """Is this one folder to be pruned, with everything below it?"""
     path = F.lower(paths.slashed(folder))
     name = F.substring_index(path, "/", -1)
-    out = name.isin(*names) | name.startswith(".")
+    out = F.lit(False) if dot_folders else name.startswith(".")
+    if names:
+        out = out | name.isin(*names)
     for part in parts:
         out = out | path.contains(part)
     return out
@@ -127,9 +130,12 @@ def walk(
     roots: Sequence[str],
     names: Sequence[str] = C.EXCLUDED_FOLDER_NAMES,
     parts: Sequence[str] = C.EXCLUDED_PATH_PARTS,
+    dot_folders: bool = False,
 ) -> DataFrame:
     """List all files below the roots, one job per folder level.
 
+    ``dot_folders`` enters folders whose name starts with a dot as well (a mirror of all files).
+
     Every level is a table in the working folder: a lost executor repeats its own folders, and
     no listing passes the driver. Overlapping roots list a file once per root; the ingest
     keeps one row per key.
@@ -151,7 +157,8 @@ def walk(
         levels.append(level)
         found = spark.read.schema(_ENTRY).parquet(level)
         frontier = found.where(
-            F.col("is_dir") & ~is_excluded_folder(F.col("file_path"), names, parts)
+            F.col("is_dir")
+            & ~is_excluded_folder(F.col("file_path"), names, parts, dot_folders)
         ).select("root", "file_path")
         if frontier.isEmpty():
             break

@@ -24,7 +24,7 @@ from docloom.session import new_table_path
 ROWS_PER_BUCKET, MIN_BUCKETS, MAX_BUCKETS = 20_000_000, 16, 8192
 
 
-_INFO = "buckets int, total_postings bigint, id_type string"
+_INFO = "buckets int, total_postings bigint, id_type string, version bigint"
 
 
 def _stored_schemas(id_type: str) -> dict[str, str]:
@@ -82,6 +82,7 @@ class StoredIndex:
         self.spark, self.path = spark, path
         info = spark.read.schema(_INFO).parquet(f"{path}/info").first()  # one row
         self.buckets, self.total_postings = info["buckets"], info["total_postings"]
+        self.id_type, self.version = info["id_type"], info["version"]
         # Read once: the file listing and the schema are then known to every search.
         self._tables = {
             name: spark.read.schema(schema).parquet(f"{path}/{name}")
@@ -128,6 +129,7 @@ def write_index(
     path: str,
     buckets: int | None = None,
     hot_min_rows: int = HOT_MIN_ROWS,
+    version: int = 0,
 ) -> StoredIndex:
     """Tokenise ``docs`` once and store postings and statistics under a new ``path``.
 
@@ -136,27 +138,65 @@ def write_index(
     2. Statistics are aggregated from that table.
     3. Postings are shuffled once into their final place, ``(bucket, salt)``: a term that holds
        a third of all rows is spread over many tasks and files.
+
+    ``version`` is kept with the index, to know what it was built from. An index is complete
+    once its ``info`` table is; what a failed build left at ``path`` is replaced.
     """
-    spark = docs.sparkSession
-    P.field_counts(docs).write.parquet(f"{path}/counts")
-    counts = spark.read.parquet(f"{path}/counts")
-    postings = P.unpack(counts).unionByName(P.keyword_postings(docs))
+    P.index_counts(docs).write.mode("overwrite").parquet(f"{path}/counts")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return _build(docs.sparkSession, path, id_type, buckets, hot_min_rows, version)
+
+
+def update_index(
+    index: StoredIndex,
+    changed: DataFrame,
+    gone: DataFrame,
+    path: str,
+    hot_min_rows: int = HOT_MIN_ROWS,
+    version: int = 0,
+) -> StoredIndex:
+    """The index after a change, under a new ``path``: only the ``changed`` texts are read.
 
-    P.field_stats(counts).coalesce(1).write.parquet(f"{path}/field_stats")
+    ``changed`` holds new and changed documents, ``gone`` the ``doc_id`` of deleted ones. The
+    counts of all other documents are taken over without a shuffle while the changed keys are
+    small enough for Spark to broadcast.
+    """
+    if path.rstrip("/") == index.path.rstrip("/"):
+        raise ValueError("an index is updated into a new path")
+    counts = index.spark.read.parquet(f"{index.path}/counts")
+    keys = changed.select("doc_id").unionByName(gone.select("doc_id"))
+    kept = counts.join(keys, "doc_id", "left_anti")
+    kept.unionByName(P.index_counts(changed)).write.mode("overwrite").parquet(f"{path}/counts")
+    return _build(index.spark, path, index.id_type, None, hot_min_rows, version)
+
+
+def _build(
+    spark: SparkSession,
+    path: str,
+    id_type: str,
+    buckets: int | None,
+    hot_min_rows: int,
+    version: int,
+) -> StoredIndex:
+    """Statistics and postings from the stored counts."""
+    counts = spark.read.parquet(f"{path}/counts")
+    postings = P.unpack(counts)
+    P.field_stats(counts).coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
+    total = counts.agg(F.sum(F.size("counts"))).first()[0] or 0
     if buckets is None:
-        terms = counts.agg(F.sum(F.size("counts"))).first()[0] or 0
-        buckets = min(max(terms // ROWS_PER_BUCKET, MIN_BUCKETS), MAX_BUCKETS)
+        buckets = min(max(total // ROWS_PER_BUCKET, MIN_BUCKETS), MAX_BUCKETS)
     (
         P.term_stats(postings)
         .withColumn("bucket", bucket_of(F.col("term"), buckets))
         .repartition("bucket")
         .sortWithinPartitions("bucket", "term")
-        .write.partitionBy("bucket")
+        .write.mode("overwrite").partitionBy("bucket")
         .parquet(f"{path}/term_stats")
     )
-    stats = spark.read.parquet(f"{path}/term_stats").drop("bucket")
-    total = stats.agg(F.sum("df")).first()[0] or 0
-    hot = hot_keys(stats, ["field", "term"], "df", hot_threshold(total, hot_min_rows))
+    stats = spark.read.schema(_stored_schemas(id_type)["term_stats"]).parquet(f"{path}/term_stats")
+    hot = hot_keys(
+        stats.drop("bucket"), ["field", "term"], "df", hot_threshold(total, hot_min_rows)
+    )
     # a bucket beyond ROWS_PER_BUCKET is the work of several tasks, by term
     shares = max(total // (buckets * ROWS_PER_BUCKET), 1)
     (
@@ -165,7 +205,7 @@ def write_index(
         .repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(shares)), "salt")
         .sortWithinPartitions("bucket", "term", "doc_id")
         .drop("salt")
-        .write.partitionBy("bucket")
+        .write.mode("overwrite").partitionBy("bucket")
         .parquet(f"{path}/postings")
     )
     (
@@ -173,8 +213,10 @@ def write_index(
         .select(
             F.lit(buckets).cast("int").alias("buckets"),
             F.lit(total).cast("bigint").alias("total_postings"),
-            F.lit(docs.schema["doc_id"].dataType.simpleString()).alias("id_type"),
+            F.lit(id_type).alias("id_type"),
+            F.lit(version).cast("bigint").alias("version"),
         )
-        .write.parquet(f"{path}/info")
+        .coalesce(1)
+        .write.mode("overwrite").parquet(f"{path}/info")
     )
     return StoredIndex(spark, path)

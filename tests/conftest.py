@@ -15,7 +15,7 @@ SF_DIR = "/root/testdata/sf0.001"
 def spark():
     from docloom.session import local_session
 
-    session = local_session(8, "tests")
+    session = local_session(8, "tests", shuffle_partitions=3)
     yield session
     session.stop()
 
