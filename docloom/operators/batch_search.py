@@ -28,6 +28,7 @@ from docloom.session import new_table_path
 
 #: A table is broadcast only when its counted size is below this.
 BROADCAST_BYTES = 64 << 20
+KEY_BYTES = 128  # a document key in a broadcast: 64 hex characters and its overhead
 _TERM = ("field", "term")
 
 
@@ -215,7 +216,7 @@ def search_batch(
     )
 
     # Check and score: every candidate looks up the terms of its query by document.
-    if candidates.count() * 64 <= broadcast_bytes:
+    if candidates.count() * KEY_BYTES <= broadcast_bytes:
         few = F.broadcast(candidates.select("doc_id").distinct())
         postings = postings.join(few, "doc_id", "left_semi")
     if small:

@@ -73,5 +73,5 @@ def is_fresh(
     running: Column, at: Column, now: Column, stale_after: int = C.STALE_AFTER_SEC
 ) -> Column:
     """A running flag counts only while its record is younger than ``stale_after`` seconds."""
-    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))
-    return running & (age < stale_after * 1_000_000)
+    limit = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(stale_after))
+    return running & ((now - at) < limit)

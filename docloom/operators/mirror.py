@@ -37,10 +37,9 @@ def mirror_plan(
         source, target = source.where(keep), target.where(keep)
     s = source.select("rel_path", F.col("mtime").alias("src_mtime"), F.col("bytes").alias("b"))
     t = target.select("rel_path", F.col("mtime").alias("dst_mtime"), F.col("bytes").alias("tb"))
-    lag = F.unix_micros(F.col("src_mtime").cast("timestamp")) - F.unix_micros(
-        F.col("dst_mtime").cast("timestamp")
-    )
-    newer = lag > (tolerance_sec * 1_000_000 if mirror else 0)
+    lag = F.col("src_mtime") - F.col("dst_mtime")
+    allowed = F.lit(tolerance_sec if mirror else 0)
+    newer = lag > F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), allowed)
     action = (
         F.when(F.col("src_mtime").isNull(), DELETE if mirror else EXTRA)
         .when(F.col("dst_mtime").isNull() | newer, COPY)

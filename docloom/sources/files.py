@@ -1,6 +1,7 @@
 """File listings as DataFrames.
 
-Two ways to list, with the same columns (``schema.LISTING``):
+Two ways to list, with the same columns (``schema.LISTING``). Times are UTC without a zone, in
+milliseconds - the precision both have, so a file found by either looks the same to the delta:
 
 * :func:`walk` - folders are listed by tasks, level by level. Excluded folders are never
   entered, and the listing itself lives in a table, so its size is not bound by one machine.
@@ -87,7 +88,7 @@ def _entries(rows: list[tuple]) -> pd.DataFrame:
     out["file_size"] = out["file_size"].astype("Int64")
     for c in ("modified_date", "created_date"):
         ns = pd.to_numeric(out[c]).astype("Int64")
-        out[c] = pd.to_datetime(ns // 1000, unit="us")
+        out[c] = pd.to_datetime(ns // 1_000_000, unit="ms")
     return out
 
 
@@ -177,12 +178,14 @@ def binary_listing(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
 
 def listing_of_binary(files: DataFrame, root: str, *keep: str) -> DataFrame:
     """Columns of a ``binaryFile`` DataFrame under the names of a listing."""
+    # as UTC wall-clock time, whatever the zone of the session
+    seconds = (F.unix_millis("modificationTime") / 1000).cast("decimal(18,6)")
+    since_epoch = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
     return files.select(
         F.lit(root).alias("root"),
         paths.slashed(F.col("path")).alias("file_path"),
         F.col("length").alias("file_size"),
-        F.to_timestamp_ntz(F.date_format("modificationTime", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-        .alias("modified_date"),
+        (F.lit("1970-01-01").cast("timestamp_ntz") + since_epoch).alias("modified_date"),
         F.lit(None).cast("timestamp_ntz").alias("created_date"),
         *keep,
     )

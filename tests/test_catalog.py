@@ -148,6 +148,10 @@ def test_stream_equals_batch(spark, tmp_path):
     assert progress.totals(records).first().indexed == 49
     assert progress.running(records, F.current_timestamp()).first().is_running is True
 
+    # the batch ingest over the streamed catalog finds nothing to do
+    again = run_ingest(spark, str(tmp_path / "s"), [root])
+    assert counters(again) == zero(scanned=49, skipped=49, ignored=1)
+
     # a new file arrives; a second start delivers only that
     put(root, "late.txt", b"late")
     run_stream()

@@ -65,6 +65,20 @@ def test_token_vector(spark):
     assert values(spark, tokens, [text, None, "", "- ."]) == [expected, [], [], []]
 
 
+_PIECES = list("aZé_9٣'’.:;,·- \n\t") + ["ß", "İ", "e\u0301", "漢", "🙂", "١٢", "x.y", "1,2"]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(_PIECES), max_size=25).map("".join), max_size=40))
+def test_tokens_equal_the_plain_pattern(spark, texts):
+    import regex
+
+    plain = regex.compile(
+        r"(?:[\p{L}\p{M}\p{N}_]|(?<=\p{L})[.'’:·](?=\p{L})|(?<=\p{N})[.,;'](?=\p{N}))+"
+    )
+    assert values(spark, tokens, texts) == [plain.findall(t.lower()) for t in texts]
+
+
 def test_very_long_tokens(spark):
     chain = ",".join(["1"] * 50_000)
     word = "x" * 200_000
