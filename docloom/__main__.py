@@ -19,6 +19,7 @@ from docloom.operators.search import SORTS
 from docloom.plans.indexing import current_index, refresh_index
 from docloom.plans.ingest import run_ingest
 from docloom.plans.results import search_page
+from docloom.session import configure
 from docloom.sources import files, progress
 from docloom.sources.catalog import Catalog
 
@@ -70,7 +71,7 @@ def _mirror_side(spark: SparkSession, root: str):
 
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
-    spark = SparkSession.builder.appName(f"docloom {args.job}").getOrCreate()
+    spark = configure(SparkSession.builder.appName(f"docloom {args.job}").getOrCreate())
     if args.job == "ingest":
         names = (*C.EXCLUDED_FOLDER_NAMES, *(n.lower() for n in args.exclude_folder))
         counters = run_ingest(

@@ -118,17 +118,21 @@ def apply_changes(old: DataFrame, changes: DataFrame, dead: DataFrame | None = N
     return old.join(gone, "_id", "left_anti").unionByName(changes)
 
 
-def run_counters(statuses: DataFrame, status: str = "status") -> DataFrame:
-    """One row of counters; ignored and failed files are not counted as scanned."""
+def counter_columns(status: str = "status") -> list[Column]:
+    """The run counters; ignored and failed files are not counted as scanned."""
     s = F.col(status)
-    return statuses.agg(
+    return [
         F.count_if(s.isin(SKIPPED, INDEXED)).alias("scanned"),
         F.count_if(s == INDEXED).alias("indexed"),
         F.count_if(s == SKIPPED).alias("skipped"),
         F.count_if(s == IGNORED).alias("ignored"),
         F.count_if(s == ERROR).alias("error"),
         F.count_if(s == GHOST).alias("deleted"),
-    )
+    ]
+
+
+def run_counters(statuses: DataFrame, status: str = "status") -> DataFrame:
+    return statuses.agg(*counter_columns(status))
 
 
 def document_count(index: DataFrame) -> DataFrame:

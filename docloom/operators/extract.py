@@ -24,6 +24,7 @@ from docloom import constants as C
 from docloom.functions import paths
 from docloom.functions.display import content_cap
 from docloom.operators import office
+from docloom.session import ship_package
 from docloom.sources import files
 
 # --- fixed values: readers by extension (``.markdown`` has none) ---------------------------
@@ -63,6 +64,7 @@ def _office_udf(extension: pd.Series, data: pd.Series) -> pd.Series:
 
 def extract_binary(rows: DataFrame) -> DataFrame:
     """Replaces the bytes in ``content`` by text; needs ``file_extension``."""
+    ship_package(rows.sparkSession)
     ext, data = F.col("file_extension"), F.col("content")
     is_office = ext.isin(*OFFICE_EXTENSIONS)
     # other rows hand a null to Python, so their bytes stay in the JVM
@@ -113,6 +115,7 @@ def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def extract_listed(rows: DataFrame) -> DataFrame:
     """Adds ``content`` and ``readable`` to listing rows by opening ``file_path`` in the tasks."""
+    ship_package(rows.sparkSession)
     if "file_extension" not in rows.columns:
         rows = rows.withColumn(
             "file_extension", paths.file_extension(paths.file_name(F.col("file_path")))
@@ -137,6 +140,7 @@ def _slides_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def slide_texts(rows: DataFrame) -> DataFrame:
     """``(file_path, slide_no, pos, text)`` of the first two slides of every ``.pptx`` row."""
+    ship_package(rows.sparkSession)
     decks = rows.where(F.col("file_extension") == ".pptx").select("file_path", "content")
     return decks.mapInPandas(
         _slides_of, "file_path string, slide_no int, pos int, text string"

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from docloom.functions import paths
 from docloom.operators import office
 from docloom.plans.tables import ROOT, catalog
-from docloom.session import new_table_path, spread
+from docloom.session import new_table_path, ship_package, spread
 from docloom.sources import files
 
 _NOT_XML = re.compile("[\x00-\x08\x0b-\x1f]")
@@ -78,6 +78,7 @@ def _file_bytes(extension: str, text: str) -> bytes:
 
 def with_bytes(docs: DataFrame) -> DataFrame:
     """``(file_path, file_extension, content)`` with the bytes of a file of that type."""
+    ship_package(docs.sparkSession)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

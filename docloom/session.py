@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Settings of the session the jobs rely on. A list of up to so many keys is checked against
+#: the key range of every row group, which is what makes a page or a micro-batch of keys cheap.
+RUNTIME_SETTINGS = {"spark.sql.parquet.pushdown.inFilterThreshold": "1000"}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    for key, value in RUNTIME_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(
     cpus: int | str = 8, app: str = "docloom", shuffle_partitions: int | None = None
 ) -> SparkSession:
@@ -26,7 +39,7 @@ def local_session(
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return configure(spark)
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -51,6 +64,29 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application.
+
+    Needed where it is neither installed on the executors nor submitted with ``--py-files``.
+    The driver hands the archive to Spark, which distributes it.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="docloom-package-"), "docloom"),
+        "zip",
+        os.path.dirname(package),
+        os.path.basename(package),
+    )
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash a table over all slots when it is read in fewer splits than there are slots.
 

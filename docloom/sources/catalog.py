@@ -13,7 +13,7 @@ writer at a time, as in the scheduled ingest this serves.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +48,16 @@ def cluster(rows: DataFrame, parts: int | None = None) -> DataFrame:
     return rows.repartition(parts, key_part(F.col("_id"), parts))
 
 
-def committed_folders(spark: SparkSession, path: str, table: str = "") -> list[str]:
-    """Names of the folders below ``path`` that Spark has committed, in order (a short list)."""
+def committed_folders(
+    spark: SparkSession,
+    path: str,
+    table: str = "",
+    wanted: Callable[[str], bool] = lambda name: True,
+) -> list[str]:
+    """Names of the wanted folders below ``path`` that Spark has committed, in order.
+
+    One listing, and one look for the commit mark per wanted folder.
+    """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     parent = hadoop.Path(path)
     store = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -57,7 +65,9 @@ def committed_folders(spark: SparkSession, path: str, table: str = "") -> list[s
         return []
     names = [s.getPath().getName() for s in store.listStatus(parent)]
     mark = f"{table}/_SUCCESS".lstrip("/")
-    return sorted(n for n in names if store.exists(hadoop.Path(parent, f"{n}/{mark}")))
+    return sorted(
+        n for n in names if wanted(n) and store.exists(hadoop.Path(parent, f"{n}/{mark}"))
+    )
 
 
 class Catalog:
@@ -66,16 +76,18 @@ class Catalog:
 
     # -- what is committed -----------------------------------------------------------------
 
-    def _committed(self, kind: str) -> list[str]:
-        return committed_folders(self.spark, f"{self.path}/{kind}")
+    def _committed(self, kind: str, wanted=lambda name: True) -> list[str]:
+        return committed_folders(self.spark, f"{self.path}/{kind}", wanted=wanted)
+
+    def _sets_after(self, number: int) -> list[str]:
+        return self._committed("changes", lambda name: _number(name) > number)
 
     def _state(self) -> tuple[str | None, list[str]]:
         """The current base and the change sets after it."""
         bases = self._committed("base")
         if not bases:
             return None, []
-        done = _number(bases[-1])
-        return bases[-1], [c for c in self._committed("changes") if _number(c) > done]
+        return bases[-1], self._sets_after(_number(bases[-1]))
 
     def exists(self) -> bool:
         return bool(self._committed("base"))
@@ -90,8 +102,10 @@ class Catalog:
 
     def applied(self, tag: str) -> bool:
         """Was this tag committed before? Makes the replay of a batch harmless."""
-        done = self._committed("changes") + self._committed("base")
-        return any(name.split("-", 1)[1] == tag for name in done)
+        def same(name: str) -> bool:
+            return name.split("-", 1)[1] == tag
+
+        return bool(self._committed("changes", same) or self._committed("base", same))
 
     def apply(
         self,
@@ -153,7 +167,7 @@ class Catalog:
         """
         if version < 1:
             return None
-        sets = [c for c in self._committed("changes") if _number(c) > version]
+        sets = self._sets_after(version)
         if not sets:
             empty = self.spark.createDataFrame([], DOCUMENT)
             return empty, empty.select("_id")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from docloom import constants as C
 from docloom.functions import paths
 from docloom.schema import LISTING
-from docloom.session import new_table_path
+from docloom.session import new_table_path, ship_package
 
 _ENTRY = (
     "root string, file_path string, is_dir boolean, file_size bigint, "
@@ -144,6 +144,7 @@ def walk(
     roots = [r.rstrip("/") or "/" for r in existing_roots(spark, roots)]
     if not roots:
         return spark.createDataFrame([], LISTING)
+    ship_package(spark)
     base = new_table_path(spark, "walk")
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     frontier = spark.createDataFrame([(r, r) for r in roots], "root string, file_path string")

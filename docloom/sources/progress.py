@@ -15,6 +15,12 @@ RECORD = (
 _COUNTERS = ("scanned", "indexed", "skipped", "ignored", "error", "deleted")
 
 
+def counters_of(spark: SparkSession, observed: dict[str, int]) -> DataFrame:
+    """One row of counters from observed metrics."""
+    row = spark.sql("SELECT 1 AS one")
+    return row.select(*[F.lit(observed[c]).cast("bigint").alias(c) for c in _COUNTERS])
+
+
 def record(counters: DataFrame, is_running: bool) -> DataFrame:
     """A one-row record from run counters."""
     return counters.select(
@@ -29,7 +35,7 @@ def record(counters: DataFrame, is_running: bool) -> DataFrame:
 
 def write(path: str, tag: str, row: DataFrame) -> None:
     """Write one record; the same tag again replaces it."""
-    row.write.mode("overwrite").parquet(f"{path}/tag={tag}")
+    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/tag={tag}")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

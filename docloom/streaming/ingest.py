@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,6 +24,10 @@ from docloom.sources import files, progress
 from docloom.sources.catalog import Catalog
 
 
+#: Batches up to so many files look their keys up by filter.
+MAX_FILTER_KEYS = 1_000
+
+
 def document_glob(extensions: Sequence[str] = C.DOCUMENT_EXTENSIONS) -> str:
     """Glob of the allowlisted extensions in any case, so other files are never opened."""
     any_case = (
@@ -32,6 +36,16 @@ def document_glob(extensions: Sequence[str] = C.DOCUMENT_EXTENSIONS) -> str:
     return "*{" + ",".join(any_case) + "}"
 
 
+def _known(catalog: Catalog, keyed: DataFrame) -> DataFrame:
+    """What the catalog knows of the keys of one micro-batch.
+
+    The keys of a usual batch (a few files) go to the scan as a filter, so the cost does not
+    grow with the catalog. A very large batch is joined with it instead.
+    """
+    keys = [r["_id"] for r in keyed.select("_id").limit(MAX_FILTER_KEYS + 1).collect()]
+    return D.metadata(catalog.read(keys if len(keys) <= MAX_FILTER_KEYS else None))
+
+
 def ingest_batch(
     catalog: Catalog,
     root: str,
@@ -42,7 +56,8 @@ def ingest_batch(
     """The ``foreachBatch`` function: one commit and one progress record per micro-batch.
 
     A batch that was committed before a failure is recognised by its tag and skipped, and a
-    row replaces the row with the same key, so a replay changes nothing.
+    row replaces the row with the same key, so a replay changes nothing. The counters are
+    observed while the commit runs.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -51,20 +66,19 @@ def ingest_batch(
             return
         listing = files.listing_of_binary(batch, root, "content")
         scan = D.with_keys(listing, filters.accepted(F.col("file_path"), F.col("root")))
-        known = D.metadata(catalog.read())
-        statuses = D.delta(scan, known, [root], whole_scan=False).persist()
-        try:
-            ext = paths.file_extension(paths.file_name(F.col("file_path")))
-            todo = statuses.where(F.col("status") == D.INDEXED)
-            texts = extract_binary(todo.withColumn("file_extension", ext))
-            catalog.apply(document_rows(texts, backup_root), tag=tag)
-            progress.write(
-                f"{catalog.path}/progress",
-                tag,
-                progress.record(D.run_counters(statuses), is_running=True),
-            )
-        finally:
-            statuses.unpersist()
+        seen = Observation(tag)
+        statuses = D.delta(scan, _known(catalog, scan), [root], whole_scan=False).observe(
+            seen, *D.counter_columns()
+        )
+        ext = paths.file_extension(paths.file_name(F.col("file_path")))
+        todo = statuses.where(F.col("status") == D.INDEXED)
+        texts = extract_binary(todo.withColumn("file_extension", ext))
+        # a small batch stays in few files: no spreading over key ranges
+        catalog.apply(document_rows(texts, backup_root), tag=tag, clustered=True)
+        counters = progress.counters_of(catalog.spark, seen.get)
+        progress.write(
+            f"{catalog.path}/progress", tag, progress.record(counters, is_running=True)
+        )
         if catalog.pending >= compact_after:
             catalog.compact()
 
