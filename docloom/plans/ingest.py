@@ -43,9 +43,9 @@ def document_rows(
 def read_tasks(todo: DataFrame) -> int:
     """Number of tasks for reading these files: by bytes and by file count."""
     total = todo.agg(F.sum("file_size").alias("bytes"), F.count(F.lit(1)).alias("files")).first()
-    slots = int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max((total["bytes"] or 0) // BYTES_PER_TASK, total["files"] // FILES_PER_TASK)
-    return min(max(wanted, slots), MAX_TASKS)
+    slots = min(todo.sparkSession.sparkContext.defaultParallelism, total["files"])
+    by_size = max((total["bytes"] or 0) // BYTES_PER_TASK, total["files"] // FILES_PER_TASK)
+    return min(max(by_size, slots, 1), MAX_TASKS)
 
 
 def run_ingest(

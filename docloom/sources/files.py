@@ -126,6 +126,11 @@ def is_excluded_folder(
     return out
 
 
+def _listing_tasks(spark: SparkSession, folders: int) -> int:
+    """A few tasks per slot, more when each would get over a thousand folders."""
+    return min(folders, max(4 * spark.sparkContext.defaultParallelism, folders // 1000))
+
+
 def walk(
     spark: SparkSession,
     roots: Sequence[str],
@@ -146,13 +151,13 @@ def walk(
         return spark.createDataFrame([], LISTING)
     ship_package(spark)
     base = new_table_path(spark, "walk")
-    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     frontier = spark.createDataFrame([(r, r) for r in roots], "root string, file_path string")
+    folders = len(roots)
     levels: list[str] = []
     while True:
         level = f"{base}/level={len(levels)}"
         (
-            frontier.repartition(slots, "file_path")
+            frontier.repartition(_listing_tasks(spark, folders), "file_path")
             .mapInPandas(_list_folders, _ENTRY)
             .write.parquet(level)
         )
@@ -162,7 +167,8 @@ def walk(
             F.col("is_dir")
             & ~is_excluded_folder(F.col("file_path"), names, parts, dot_folders)
         ).select("root", "file_path")
-        if frontier.isEmpty():
+        folders = frontier.count()
+        if not folders:
             break
     listed = spark.read.schema(_ENTRY).parquet(*levels)
     return listed.where(~F.col("is_dir")).select(*[f.name for f in LISTING])
