@@ -120,8 +120,8 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _rarest_clauses(required: DataFrame) -> DataFrame:
-    """``(query_id, clause)``: the clause with the fewest postings.
+def _leads(required: DataFrame) -> DataFrame:
+    """``(query_id, clause)``: the clause with the fewest postings, which leads its query.
 
     A clause without any posting makes its query empty; such queries end here.
     """
@@ -134,36 +134,39 @@ def _rarest_clauses(required: DataFrame) -> DataFrame:
     )
 
 
-def _matches(checked: DataFrame, fields: DataFrame) -> DataFrame:
-    """Score the looked-up terms and keep the documents that meet every clause.
+def _term_score() -> Column:
+    """Points of one looked-up term: BM25 for text, 1 for a constant clause, 0 for exclusions."""
+    text = bm25(F.col("tf"), F.col("dl"), F.col("n"), F.col("avgdl"), F.col("df"))
+    return (
+        F.when(F.col("kind") == "const", F.lit(1.0))
+        .when(F.col("kind") == "must", F.col("weight") * text)
+        .otherwise(F.lit(0.0))
+    )
+
+
+def _matches(points: DataFrame) -> DataFrame:
+    """The documents that meet every clause and no exclusion, with their score.
 
     One shuffle, by query and document: the sums per clause and field, the best field of each
     clause and the total are all computed inside that partitioning.
     """
-    keys = ["query_id", "doc_id"]
-    term_score = F.when(F.col("kind") == "const", F.lit(1.0)).when(
-        F.col("kind") == "must",
-        F.col("weight") * bm25(F.col("tf"), F.col("dl"), F.col("n"), F.col("avgdl"), F.col("df")),
-    ).otherwise(F.lit(0.0))
-    scored = checked.join(fields, "field", "left").select(
-        *keys, "has_must", "n_clauses", "clause", "field", "times", term_score.alias("s")
-    )
-    names = [*C.FIELD_BOOSTS, "file_type", "file_path", P.ALL_FIELD]
-    in_field = [F.sum(F.when(F.col("field") == f, F.col("s"))) for f in names]
+    keys = ["query_id", "doc_id", "has_must", "n_clauses"]
+    fields = [*C.FIELD_BOOSTS, "file_type", "file_path", P.ALL_FIELD]
+    in_field = [F.sum(F.when(F.col("field") == f, F.col("points"))) for f in fields]
     per_clause = (
-        scored.repartition(*keys)
-        .groupBy(*keys, "has_must", "n_clauses", "clause", "times")
-        .agg(F.greatest(*in_field).alias("s"))
+        points.repartition("query_id", "doc_id")
+        .groupBy(*keys, "clause", "times")
+        .agg(F.greatest(*in_field).alias("points"))
     )
     return (
-        per_clause.groupBy(*keys, "has_must", "n_clauses")
+        per_clause.groupBy(*keys)
         .agg(
             F.count_if(F.col("clause") >= 0).alias("met"),
             F.count_if(F.col("clause") < 0).alias("hit_exclusion"),
-            F.round(F.sum(F.col("s") * F.col("times")), 6).alias("total"),
+            F.round(F.sum(F.col("points") * F.col("times")), 6).alias("total"),
         )
         .where((F.col("met") == F.col("n_clauses")) & (F.col("hit_exclusion") == 0))
-        .select(*keys, "has_must", "total")
+        .select("query_id", "doc_id", "has_must", "total")
     )
 
 
@@ -185,8 +188,9 @@ def search_batch(
     small = size <= broadcast_bytes  # the whole table of query terms, counted
 
     # The asked-for terms that exist, with their frequency: the index statistics are read once.
+    # Each gets a number, so that no later shuffle carries or compares words.
     asked = index.all_term_stats().join(entries.select(*_TERM).distinct(), list(_TERM), "left_semi")
-    asked = _stored(asked, "asked")
+    asked = _stored(asked.withColumn("term_no", F.monotonically_increasing_id()), "asked")
     known = F.broadcast(asked) if small else asked
     if small:
         terms = entries.join(known, list(_TERM))
@@ -197,35 +201,57 @@ def search_batch(
 
     # Only postings of asked-for terms are read on; joining on the bucket as well lets Spark
     # skip the folders of all other buckets.
-    on = ["bucket", *_TERM]
-    postings = index.postings().join(index.with_bucket(known.where("df > 0")), on, "left_semi")
+    found = index.with_bucket(known.where("df > 0").select(*_TERM, "term_no"))
+    postings = (
+        index.postings()
+        .join(F.broadcast(found) if small else found, ["bucket", *_TERM])
+        .select("doc_id", "term_no", "tf", "dl")
+    )
 
-    # Candidates: the documents of the rarest clause. The postings of a hot term are spread
+    # Candidates: the documents of the clause that leads. The postings of a hot term are spread
     # over its salts by document.
     required = terms.where(F.col("kind") != "not")
-    lead = required.join(_rarest_clauses(required), ["query_id", "clause"]).select(
-        "query_id", *_TERM
+    lead = required.join(_leads(required), ["query_id", "clause"]).select(
+        "query_id", "has_must", "n_clauses", (F.col("kind") == "const").alias("const_lead"), "term_no"
     )
-    hot = hot_keys(asked, _TERM, "df", hot_threshold(index.total_postings, hot_min_rows))
+    term = ["term_no"]
+    hot = hot_keys(asked, term, "df", hot_threshold(index.total_postings, hot_min_rows))
     candidates = _stored(
-        add_salt(postings.select("doc_id", *_TERM), hot, _TERM, "doc_id")
-        .join(repeat_for_salts(lead, hot, _TERM), [*_TERM, "salt"])
-        .select("query_id", "doc_id")
+        add_salt(postings.select("doc_id", "term_no"), hot, term, "doc_id")
+        .join(repeat_for_salts(lead, hot, term), ["term_no", "salt"])
+        .select("query_id", "doc_id", "has_must", "n_clauses", "const_lead")
         .distinct(),
         "candidates",
     )
 
-    # Check and score: every candidate looks up the terms of its query by document.
+    # Check and score: every candidate looks up the other terms of its query by document. A
+    # constant clause that leads is met by every candidate and needs no look-up.
+    of_query = ["query_id", "const_lead"]
+    by_lead = lead.select(*of_query).distinct()
+    checks = terms.drop("has_must", "n_clauses", "term").join(by_lead, "query_id")
+    checks = checks.where(~(F.col("const_lead") & (F.col("kind") == "const")))
     if candidates.count() * KEY_BYTES <= broadcast_bytes:
         few = F.broadcast(candidates.select("doc_id").distinct())
         postings = postings.join(few, "doc_id", "left_semi")
     if small:
-        to_check = candidates.join(F.broadcast(terms), "query_id")
+        to_check = candidates.join(F.broadcast(checks), of_query)
     else:
-        to_check = salted_join(candidates, terms, ["query_id"], "doc_id", min_rows=hot_min_rows)
-    checked = to_check.join(postings.drop("bucket"), ["doc_id", *_TERM])
-    fields = F.broadcast(index.field_stats())  # one row per text field
-    return top_k(_matches(checked, fields), meta, k)
+        to_check = salted_join(candidates, checks, of_query, "doc_id", min_rows=hot_min_rows)
+    columns = ["query_id", "doc_id", "has_must", "n_clauses", "clause", "field", "times", "points"]
+    checked = (
+        to_check.join(postings, ["doc_id", "term_no"])
+        .join(F.broadcast(index.field_stats()), "field", "left")  # one row per text field
+        .withColumn("points", _term_score())
+    )
+    met = (
+        candidates.where("const_lead")
+        .withColumn("clause", F.lit(0))
+        .withColumn("field", F.lit(P.ALL_FIELD))
+        .withColumn("times", F.lit(1).cast("bigint"))
+        .withColumn("points", F.lit(1.0))
+    )
+    points = checked.select(*columns).unionByName(met.select(*columns))
+    return top_k(_matches(points), meta, k)
 
 
 def top_k(matched: DataFrame, meta: DataFrame, k: int) -> DataFrame:

@@ -14,7 +14,7 @@ parts AS (
            WHEN 3 THEN '.txt' WHEN 4 THEN '.md' WHEN 5 THEN '.csv' WHEN 6 THEN '.PDF'
            ELSE '.zip' END AS ext_raw,
          CASE doc_id % 13 WHEN 0 THEN '/Node_Modules' WHEN 1 THEN '/.git/x'
-           WHEN 2 THEN '/Year 2024' ELSE '' END AS sub_dir,
+           WHEN 2 THEN '/Year 2024' WHEN 4 THEN '/x$Recycle.Bin2' ELSE '' END AS sub_dir,
          CASE WHEN doc_id % 17 = 0 THEN '~$' WHEN doc_id % 19 = 0 THEN '.' ELSE '' END
            || lang || ' report ' || CAST(doc_id AS VARCHAR) AS stem
   FROM documents),
@@ -50,7 +50,7 @@ def _list(values) -> str:
 
 ACCEPTED = f"""(file_extension IN {_list(C.DOCUMENT_EXTENSIONS)}
   AND left(file_name, 1) NOT IN ('~', '.')
-  AND sub_dir NOT IN ('/Node_Modules', '/.git/x'))"""
+  AND sub_dir NOT IN ('/Node_Modules', '/.git/x', '/x$Recycle.Bin2'))"""
 
 STATUS = INDEX + f""",
 statuses AS (

@@ -20,6 +20,8 @@ ROOT = "/Corpus"
 OTHER_ROOT = "/Offline"
 BACKUP_ROOT = "/Backups/Documents"
 
+# excluded by name, by its dot, not at all, and by a part of its name
+_SUB_FOLDERS = {0: "/Node_Modules", 1: "/.git/x", 2: "/Year 2024", 4: "/x$Recycle.Bin2"}
 _EXTENSIONS = (".pdf", ".docx", ".xlsx", ".txt", ".md", ".csv", ".PDF", ".zip")
 
 
@@ -37,7 +39,7 @@ def _choose(key: Column, cases: dict[int, str], other: str) -> Column:
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     ext = F.get(F.array(*[F.lit(e) for e in _EXTENSIONS]), (i % 8).cast("int"))
-    sub = _choose(i % 13, {0: "/Node_Modules", 1: "/.git/x", 2: "/Year 2024"}, "")
+    sub = _choose(i % 13, _SUB_FOLDERS, "")
     prefix = F.when(i % 17 == 0, "~$").when(i % 19 == 0, ".").otherwise("")
     name = F.concat(prefix, F.col("lang"), F.lit(" report "), i.cast("string"), ext)
     minutes = F.make_dt_interval(F.lit(0), F.lit(0), (i * 37).cast("int"))

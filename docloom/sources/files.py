@@ -30,6 +30,7 @@ _ENTRY = (
 )
 _ENTRY_COLUMNS = ["root", "file_path", "is_dir", "file_size", "modified_date", "created_date"]
 _ROWS_PER_BATCH = 10_000
+_NOT_LISTABLE = (FileNotFoundError, NotADirectoryError, PermissionError)
 
 
 def existing_roots(spark: SparkSession, roots: Sequence[str]) -> list[str]:
@@ -103,8 +104,8 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if len(rows) >= _ROWS_PER_BATCH:
                         yield _entries(rows)
                         rows = []
-            except OSError:
-                pass  # a folder that cannot be read is left out, like a missing root
+            except _NOT_LISTABLE:
+                pass  # left out, like a missing root; other errors make Spark try again
             if rows:
                 yield _entries(rows)
 

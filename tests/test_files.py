@@ -154,3 +154,21 @@ def test_slides_without_shapes_use_text_nodes():
 
 def test_content_cap_constant():
     assert C.CONTENT_CAP == 1_000_000
+
+
+def test_remote_paths_keep_their_store(tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    put(root, "a.txt", b"x\r\ny\xff")
+    put(root, "sub/b.docx", docx_bytes("doc"))
+    listed = {p: (d, n) for p, d, n, _, _ in files._remote_children(f"file://{root}")}
+    assert listed[f"file://{root}/a.txt"] == (False, 5) and listed[f"file://{root}/sub"][0]
+    monkeypatch.setattr(files, "is_remote", lambda path: True)
+    assert extract._read_text(f"file://{root}/a.txt", ".txt") == "x\ny"
+    assert extract._read_text(f"file://{root}/sub/b.docx", ".docx") == "doc"
+    assert [files.is_remote(p) for p in ("s3a://b/k",)] == [True]
+
+
+def test_remote_detection():
+    paths_ = ["s3a://b/k", "hdfs://n:1/a", "/a/b", "file:/a", "file:///a", "C:/x"]
+    assert [files.is_remote(p) for p in paths_] == [True, True, False, False, False, False]
+    assert [files.local_path(p) for p in ("file:/a", "file:///a", "/a")] == ["/a"] * 3
