@@ -24,7 +24,7 @@ from docloom.operators.skew import (
     repeat_for_salts,
     salted_join,
 )
-from docloom.session import new_table_path
+from docloom.session import new_table_path, spread
 
 #: A table is broadcast only when its counted size is below this.
 BROADCAST_BYTES = 64 << 20
@@ -230,11 +230,12 @@ def search_batch(
     by_lead = lead.select(*of_query).distinct()
     checks = terms.drop("has_must", "n_clauses", "term").join(by_lead, "query_id")
     checks = checks.where(~(F.col("const_lead") & (F.col("kind") == "const")))
+    rows = spread(candidates, "doc_id")  # a short table may lie in one or two files
     if candidates.count() * KEY_BYTES <= broadcast_bytes:
         few = F.broadcast(candidates.select("doc_id").distinct())
         postings = postings.join(few, "doc_id", "left_semi")
     if small:
-        to_check = candidates.join(F.broadcast(checks), of_query)
+        to_check = rows.join(F.broadcast(checks), of_query)
     else:
         to_check = salted_join(candidates, checks, of_query, "doc_id", min_rows=hot_min_rows)
     columns = ["query_id", "doc_id", "has_must", "n_clauses", "clause", "field", "times", "points"]
