@@ -7,13 +7,6 @@ DOCUMENT_EXTENSIONS = (
     ".rtf", ".odt", ".ods", ".odp", ".epub",
 )
 
-SKIP_EXTENSIONS = (
-    ".7z", ".bak", ".bin", ".cab", ".cache", ".class", ".dat", ".dll", ".dylib", ".exe",
-    ".gif", ".gz", ".ico", ".ini", ".iso", ".jpeg", ".jpg", ".lib", ".lnk", ".log", ".mp3",
-    ".mp4", ".msi", ".nupkg", ".o", ".obj", ".pak", ".pb", ".pdb", ".png", ".pyc", ".pyd",
-    ".rar", ".so", ".sys", ".tar", ".tmp", ".tsv", ".zip",
-)
-
 # Folder names of one particular machine are left out; pass them as a job parameter.
 EXCLUDED_FOLDER_NAMES = (
     "$recycle.bin", ".cache", ".dropbox.cache", ".gemini", ".git", ".idea", ".nuget", ".svn",
