@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -42,20 +44,24 @@ def local_session(
     return configure(spark)
 
 
+_own_folders: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
 
-    Only a local session may go without it; then a fresh temporary folder is set for the
-    session, as in the tests.
+    Only a plain local session, whose executor is the driver, may go without it; then the
+    session gets a temporary folder of its own, which goes with the process.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folders.get(context.applicationId)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="docloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder
 
 
