@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import suffix_sort, suffix_tree
+from docloom.llm import exact_dedup, ngram_join, suffix_sort, suffix_tree
 from docloom.llm.common import table
 
 
@@ -15,6 +15,10 @@ def _removed(spans: str = "spans"):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("tag")
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_sort.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select(
@@ -30,8 +34,26 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    sha = F.lower(F.hex("digest")).alias("text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", "kept", sha)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op9_exact_dedup": op9_exact_dedup,
 }
-ORACLE: dict[str, str] = {}
+_OP9 = """
+WITH t AS (
+    SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+    FROM documents
+)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = max(doc_id) OVER g AS kept, text_sha256
+FROM t WINDOW g AS (PARTITION BY text_sha256)
+"""
+
+ORACLE: dict[str, str] = {"op9_exact_dedup": _OP9}
