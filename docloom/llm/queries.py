@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import exact_dedup, ngram_join, suffix_sort, suffix_tree
+from docloom.llm import exact_dedup, ngram_join, packing, suffix_sort, suffix_tree, token_files
 from docloom.llm.common import table
+from docloom.session import new_table_path
 
 
 def _removed(spans: str = "spans"):
@@ -34,6 +35,25 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
+    return packing.ids_crc32(placed, "doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_tokens(
+        table(spark, sf_dir, "documents"), new_table_path(spark, "tokens"), tokenizer_path(),
+        end_id=2, metadata=["lang", "source"],
+    )
+    return token_files.token_digests(spark, files)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
     sha = F.lower(F.hex("digest")).alias("text_sha256")
@@ -44,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_packing": op7_packing,
+    "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
 }
 _OP9 = """
