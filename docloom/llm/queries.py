@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import exact_dedup, ngram_join, packing, suffix_sort, suffix_tree, token_files
+from docloom.llm import decontaminate, exact_dedup, ngram_join, packing, suffix_sort, suffix_tree, token_files
 from docloom.llm.common import table
 from docloom.session import new_table_path
 
@@ -60,6 +60,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", sha)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.leaks(docs, items).drop("tag", "tiles")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 _OP9 = """
 WITH t AS (
