@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, exact_dedup, ngram_join, packing, suffix_sort, suffix_tree, token_files
+from docloom.llm import byte_cnn, decontaminate, exact_dedup, html_text, ngram_join, packing, suffix_sort, suffix_tree, token_files
 from docloom.llm.common import table
 from docloom.session import new_table_path
 
@@ -20,6 +20,25 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("tag")
 
 
+#: A score from here on is taken as label 1.
+QUALITY_CUT = 0.3
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = byte_cnn.score(docs, byte_cnn.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", byte_cnn.held_out().alias("held_out"), "score",
+        (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"),
+    )
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = html_text.extract(pages, html_text.learn(pages))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_sort.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select(
@@ -67,6 +86,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_html_extraction": op3_html_extraction,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_packing": op7_packing,
