@@ -33,7 +33,7 @@ from docloom.llm.common import batch, byte_column, doc_id_of, keyed_texts, map_a
 FILTERS, WIDTH, CHUNK = 8, 6, 256
 BLOCK = CHUNK // 2
 SAMPLE_DOCS, SAMPLE_CHUNKS = 4000, 12
-EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.01, 1e-5
+STEPS, BATCH, RATE, DECAY = 400, 64, 0.01, 1e-5
 FOLDS = 5
 
 
@@ -67,8 +67,8 @@ def sample_chunks(raw: bytes) -> list[bytes]:
     return [raw[s : s + size].ljust(size, b"\0") for s in picked]
 
 
-def fit(chunks: np.ndarray, counts: np.ndarray, labels: np.ndarray, seed: int = 7) -> Network:
-    """Adam on the logistic loss. ``chunks`` (all documents' chunks, one after the other) is
+def fit(chunks: np.ndarray, counts: np.ndarray, labels: np.ndarray, steps: int = STEPS, seed: int = 7) -> Network:
+    """``steps`` of Adam on the logistic loss. ``chunks`` (all documents' chunks, one after the other) is
     ``(n, CHUNK + WIDTH - 1)`` bytes, ``counts`` the chunks of each document."""
     net = Network.fresh(seed)
     if not len(labels):
@@ -82,7 +82,7 @@ def fit(chunks: np.ndarray, counts: np.ndarray, labels: np.ndarray, seed: int =
     m = {k: np.zeros_like(v) for k, v in params.items()}
     v = {k: np.zeros_like(x) for k, x in params.items()}
     step = 0
-    for _ in range(EPOCHS):
+    while step < steps:
         order = rng.permutation(len(labels))
         for at in range(0, len(order), BATCH):
             docs = order[at : at + BATCH]
@@ -120,7 +120,9 @@ def fit(chunks: np.ndarray, counts: np.ndarray, labels: np.ndarray, seed: int =
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE_DOCS) -> Network:
+def train(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE_DOCS, steps: int = STEPS
+) -> Network:
     """Fits the network to ``sample`` labelled rows, or all when there are fewer."""
     own = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"))
     known = own.where("id is not null and label is not null").where(~held_out("id"))
@@ -139,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     rows = map_arrow(found.select("id", "label", "text"), job, "id long, label int, chunks binary, n int").toArrow()
     rows = rows.sort_by([("id", "ascending"), ("chunks", "ascending")])
     flat = np.frombuffer(b"".join(rows.column("chunks").to_pylist()), np.uint8).reshape(-1, CHUNK + WIDTH - 1)
-    return fit(flat, np.asarray(rows.column("n")), np.asarray(rows.column("label")).astype(np.float32))
+    return fit(flat, np.asarray(rows.column("n")), np.asarray(rows.column("label")).astype(np.float32), steps)
 
 
 class Scorer:
@@ -187,6 +189,16 @@ class Scorer:
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
 
+def _scores(scorer: Scorer, text: pa.Array) -> np.ndarray:
+    raw, offsets = byte_column(text)
+    found = [np.zeros(0)]
+    for i, j in slices(offsets):
+        for k in range(i, j, 4096):
+            cut = offsets[k : min(k + 4096, j) + 1]
+            found.append(scorer.score(raw[cut[0] : cut[-1]], cut - cut[0]))
+    return np.concatenate(found)
+
+
 _SCORED = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("score", pa.float64())])
 
 
@@ -194,15 +206,7 @@ def _score(net: Network):
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net)
         for part in batches:
-            raw, offsets = byte_column(part.column("text"))
-            found = [np.zeros(0)]
-            for i, j in slices(offsets):
-                for k in range(i, j, 4096):
-                    cut = offsets[k : min(k + 4096, j) + 1]
-                    found.append(scorer.score(raw[cut[0] : cut[-1]], cut - cut[0]))
-            rest = [part.column(c) for c in part.schema.names if c != "text"]
-            names = [c for c in part.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(np.concatenate(found))], [*names, "score"])
+            yield batch(_SCORED, part.column("doc"), part.column("tag"), _scores(scorer, part.column("text")))
 
     return job
 
@@ -211,3 +215,15 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     """``(doc_id, tag, score)`` of every row: the probability that its label is 1."""
     out = map_arrow(keyed_texts(docs), _score(net), "doc long, tag long, score double")
     return out.select(doc_id_of().alias("doc_id"), "tag", "score")
+
+
+def accepted(docs: DataFrame, net: Network, cut: float) -> DataFrame:
+    """The rows of ``docs``, all columns, that score at least ``cut``; nothing is shuffled."""
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(net)
+        for part in batches:
+            text = part.column(part.schema.get_field_index("text")).fill_null("")
+            yield part.filter(pa.array(_scores(scorer, text) >= cut))
+
+    return map_arrow(docs, job, docs.schema)

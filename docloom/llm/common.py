@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.session import new_table_path, ship_package
@@ -55,7 +55,21 @@ def keyed_texts(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(doc_key().alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"), *more)
 
 
-def map_arrow(df: DataFrame, job: Callable, schema: str) -> DataFrame:
+def kept_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose ``(doc, tag)`` is among ``keys``; of rows that share
+    both, the one whose columns hash least, as such rows are copies of each other."""
+    doc, tag = "_kept_rows_doc", "_kept_rows_tag"
+    keys = stored(keys.select(F.col("doc").alias(doc), F.col("tag").alias(tag)), "kept-keys")
+    once = keys.groupBy(doc, tag).agg(F.count(F.lit(1)).alias("rows"))
+    repeats = once.where("rows > 1").limit(1).count() > 0
+    rows = docs.withColumns({doc: doc_key(), tag: F.xxhash64(text_of())}).join(keys, [doc, tag], "left_semi")
+    if repeats:
+        place = Window.partitionBy(doc, tag).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+        rows = rows.withColumn("_kept_rows_place", F.row_number().over(place)).where("_kept_rows_place = 1")
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def map_arrow(df: DataFrame, job: Callable, schema) -> DataFrame:
     """``mapInArrow`` with this package at hand in the workers."""
     ship_package(df.sparkSession)
     return df.mapInArrow(job, schema)

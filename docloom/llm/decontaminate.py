@@ -189,22 +189,28 @@ def _leaks(block: Block, shortest: int, threshold: float, words: np.ndarray, fir
     return out
 
 
+def _found(block: Block, shortest: int, threshold: float, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
+    """``(first row of the slice, its end, row, item, tiles, covered, item words)`` of each leak."""
+    for i, j in slices(offsets):
+        cut = offsets[i : j + 1]
+        own = raw[cut[0] : cut[-1]]
+        starts, ends, first = word_spans(own, cut - cut[0], NOT_ALNUM)
+        for leak in _leaks(block, shortest, threshold, word_hashes(own, starts, ends), first):
+            yield i, j, *leak
+
+
 def _find(block: Block, shortest: int, threshold: float):
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             raw, offsets = byte_column(pc.utf8_lower(part.column("text")))
             docs, tags = np.asarray(part.column("doc")), np.asarray(part.column("tag"))
-            for i, j in slices(offsets):
-                cut = offsets[i : j + 1]
-                own = raw[cut[0] : cut[-1]]
-                starts, ends, first = word_spans(own, cut - cut[0], NOT_ALNUM)
-                found = _leaks(block, shortest, threshold, word_hashes(own, starts, ends), first)
-                if found:
-                    row, item, tiles, covered, size = zip(*found)
-                    row = np.array(row) + i
-                    as_rows = [[dict(item_start=a, doc_start=b, words=n) for a, b, n in t] for t in tiles]
-                    share = [c / s for c, s in zip(covered, size)]
-                    yield batch(_FOUND, docs[row], tags[row], block.items[list(item)], [len(t) for t in tiles], covered, size, share, as_rows)
+            found = list(_found(block, shortest, threshold, raw, offsets))
+            if found:
+                begin, _, row, item, tiles, covered, size = zip(*found)
+                row = np.array(begin) + np.array(row)
+                as_rows = [[dict(item_start=a, doc_start=b, words=n) for a, b, n in t] for t in tiles]
+                share = [c / s for c, s in zip(covered, size)]
+                yield batch(_FOUND, docs[row], tags[row], block.items[list(item)], [len(t) for t in tiles], covered, size, share, as_rows)
 
     return job
 
@@ -241,3 +247,23 @@ def leaks(
         doc_id_of().alias("doc_id"), "tag", doc_id_of("item").alias("item_id"), "n_tiles", "covered",
         "item_words", "coverage", "tiles",
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST, threshold: float = THRESHOLD, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """The rows of ``docs``, all columns, that leak no item; nothing is shuffled."""
+    for block in _blocks(benchmark, shortest, block_grams):
+        docs = map_arrow(docs, _keep_clean(block, shortest, threshold), docs.schema)
+    return docs
+
+
+def _keep_clean(block: Block, shortest: int, threshold: float):
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            text = part.column(part.schema.get_field_index("text")).fill_null("")
+            raw, offsets = byte_column(pc.utf8_lower(text))
+            keep = np.ones(part.num_rows, bool)
+            for i, _, row, *_ in _found(block, shortest, threshold, raw, offsets):
+                keep[i + row] = False
+            yield part.filter(pa.array(keep))
+
+    return job

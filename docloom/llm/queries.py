@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import byte_cnn, decontaminate, exact_dedup, html_text, ngram_join, packing, suffix_sort, suffix_tree, token_files
+from docloom.llm import byte_cnn, decontaminate, exact_dedup, html_text, ngram_join, packing, suffix_sort, suffix_tree, token_files, warc
 from docloom.llm.common import table
 from docloom.session import new_table_path
 
@@ -39,6 +39,17 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_table_path(spark, "warc")
+    files = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    columns = "record_id string, record_type string, payload_digest string, payload_bytes long, refers_to string"
+    records = warc.read_archives(spark, folder, files, columns).where("record_type in ('response', 'revisit')")
+    return records.select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_of("refers_to").alias("refers_to"),
+    )
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_sort.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select(
@@ -88,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_html_extraction": op3_html_extraction,
+    "op4_warc": op4_warc,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_packing": op7_packing,
@@ -105,4 +117,18 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM t WINDOW g AS (PARTITION BY text_sha256)
 """
 
-ORACLE: dict[str, str] = {"op9_exact_dedup": _OP9}
+_OP4 = """
+WITH t AS (
+    SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+    SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM t
+), w AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS winner FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> winner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> winner THEN winner END AS refers_to
+FROM w
+"""
+
+ORACLE: dict[str, str] = {"op4_warc": _OP4, "op9_exact_dedup": _OP9}
