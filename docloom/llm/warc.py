@@ -308,7 +308,8 @@ class WarcReader(DataSourceReader):
 
     def pushFilters(self, filters):
         for f in filters:
-            name = f.attribute[0] if len(f.attribute) == 1 else None
+            path = getattr(f, "attribute", ())  # a negated or unknown filter stays with Spark
+            name = path[0] if len(path) == 1 else None
             kind = type(f)
             if name in _TOLD and (kind in _TESTS or kind is IsNotNull):
                 self.tests.append((name, kind.__name__, None if kind is IsNotNull else f.value))
