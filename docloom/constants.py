@@ -37,7 +37,6 @@ FIELD_BOOSTS = {"content": 3.0, "file_name": 5.0}
 BM25_K1 = 1.2
 BM25_B = 0.75
 PAGE_SIZE = 100
-KEYWORD_MAX_CHARS = 256
 
 # --- fixed values: texts ------------------------------------------------------------------
 

@@ -86,6 +86,21 @@ def relative_to(path: Column, root: Column | str) -> Column:
     return F.ltrim(F.substr(slashed(path), F.length(root_col) + 1), F.lit("/"))
 
 
+def contains_part(lowered: Column, parts: Iterable[str]) -> Column:
+    """Does a lower-cased, slashed path contain one of the given parts, in either notation?"""
+    out = F.lit(False)
+    for part in parts:
+        out = out | lowered.contains(part.lower().replace("\\", "/"))
+    return out
+
+
+def ancestors(normalised: Column) -> Column:
+    """All folders above a normalised path, nearest last."""
+    parts = F.split(normalised, "/")
+    upto = F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))
+    return F.transform(upto, lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+
 def under_any(normalised: Column, roots: Iterable[str]) -> Column:
     """Is the normalised path inside one of the (normalised) roots?"""
     inside = F.lit(False)

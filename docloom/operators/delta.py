@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import paths
@@ -59,7 +59,8 @@ def delta(
     * scanned rows: ``ignored``, ``error`` (could not be read), ``skipped`` (size and time as
       in the index) or ``indexed`` (new or changed; with ``force`` every accepted row),
     * rows only in the index: ``ghost`` when they lie under a scanned root, else ``kept`` - a
-      root that was not scanned or is unreachable loses nothing. ``force`` cleans up nothing.
+      root that was not scanned or is unreachable loses nothing, and :func:`protect` keeps what
+      lies below unreadable folders. ``force`` cleans up nothing.
 
     Ignored files count as seen, so they are joined as well. One full outer join on the key
     yields both answers with a single shuffle of narrow rows; keys are hashes, so its
@@ -79,8 +80,7 @@ def delta(
     same = F.col("modified_date").eqNullSafe(F.col("old_date")) & F.col("file_size").eqNullSafe(
         F.col("old_size")
     )
-    roots_norm = [norm_root(r) for r in roots]
-    dead = F.lit(False) if force else paths.under_any(F.col("old_path"), roots_norm)
+    dead = F.lit(False) if force else paths.under_any(F.col("old_path"), norm_roots(roots))
     unchanged = F.lit(False) if force else (F.col("in_index").isNotNull() & same)
     status = (
         F.when(F.col("in_scan").isNull(), F.when(dead, GHOST).otherwise(KEPT))
@@ -94,15 +94,30 @@ def delta(
     ).drop("old_path", "old_date", "old_size", "in_index", "in_scan")
 
 
-def norm_root(root: str) -> str:
-    """A root as a prefix of normalised paths."""
-    plain = root.replace("\\", "/").lower().rstrip("/")
-    return "/" + plain[5:].lstrip("/") if plain.startswith("file:") else plain
+def norm_roots(roots: Sequence[str]) -> list[str]:
+    """Roots as prefixes of normalised paths: by the very expression that folds the paths."""
+    if not roots:
+        return []
+    row = SparkSession.active().sql("SELECT 1 AS one")
+    return list(row.select(*[paths.norm_path(F.lit(r)).alias(f"r{i}") for i, r in enumerate(roots)]).first())
+
+
+def protect(statuses: DataFrame, unreadable: DataFrame) -> DataFrame:
+    """Statuses in which no row below an unreadable folder is a ghost.
+
+    ``unreadable`` has ``norm_path`` of folders. Ghosts, narrow rows, look for each of their
+    folders among them by an equi-join.
+    """
+    ghost = statuses.where(F.col("status") == GHOST).select("_id", F.explode(paths.ancestors(F.col("norm_path"))).alias("folder"))
+    safe = ghost.join(unreadable.select(F.col("norm_path").alias("folder")).distinct(), "folder", "left_semi")
+    safe = safe.select("_id").distinct().withColumn("safe", F.lit(True))
+    status = F.when(F.col("safe") & (F.col("status") == GHOST), KEPT).otherwise(F.col("status"))
+    return statuses.join(safe, "_id", "left").withColumn("status", status).drop("safe")
 
 
 def ghosts(scan: DataFrame, index_metadata: DataFrame, roots: Sequence[str]) -> DataFrame:
     """Indexed rows under the scanned roots whose path was not seen: an anti join on keys."""
-    under = paths.under_any(F.col("norm_path"), [norm_root(r) for r in roots])
+    under = paths.under_any(F.col("norm_path"), norm_roots(roots))
     return index_metadata.where(under).join(scan.select("_id"), "_id", "left_anti")
 
 

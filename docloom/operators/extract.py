@@ -5,24 +5,25 @@
 * :func:`extract_binary` - rows that carry their bytes (a ``binaryFile`` stream). Plain text
   is decoded by Spark; only office bytes cross to Python.
 
-Both give the same text. PDF needs a library that is not part of Spark; such rows keep an
-empty text, like every type without a reader. A file that cannot be parsed has empty text and
-stays in the catalog.
+Both give the same, whole text: bytes that are no UTF-8 are dropped, and nothing is cut. PDF needs a library that is not part of Spark; such rows keep an
+empty text, like every type without a reader. A file that cannot be parsed has empty text, stays
+in the catalog and is counted.
 """
 
 from __future__ import annotations
 
 import io
+import zipfile
+import zlib
 from collections.abc import Iterator
+from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom import constants as C
 from docloom.functions import paths
-from docloom.functions.display import content_cap
 from docloom.operators import office
 from docloom.session import ship_package
 from docloom.sources import files
@@ -36,29 +37,42 @@ OFFICE_EXTENSIONS = DOCX_EXTENSIONS + XLSX_EXTENSIONS
 _FLUSH_CHARS = 32 << 20  # texts of about this size leave a task as one batch
 
 
-def office_text(extension: str, data: bytes) -> str:
-    """Text of an office file, ``''`` when it cannot be parsed."""
+#: What damaged files raise. Anything else, such as a lack of memory, fails the task.
+DAMAGE = (
+    zipfile.BadZipFile, ET.ParseError, zlib.error, EOFError, KeyError, ValueError, NotImplementedError,
+)
+
+
+def office_text(extension: str, data: bytes) -> str | None:
+    """Text of an office file, None when it cannot be parsed."""
     read = office.docx_text if extension in DOCX_EXTENSIONS else office.xlsx_text
     try:
-        return read(data)[: C.CONTENT_CAP]
-    except Exception:  # any damage inside a file leaves it without text
-        return ""
+        return read(data)
+    except DAMAGE:
+        return None
+    except RuntimeError as e:  # what zipfile raises for an encrypted part
+        if "encrypted" in str(e):
+            return None
+        raise
 
 
 def decode_text(content: Column) -> Column:
     """UTF-8 bytes to text as a Spark expression: bad bytes dropped, line ends as ``\\n``.
 
-    Invalid bytes first become U+FFFD, which is then removed - a genuine U+FFFD goes with them.
+    Spark can only turn invalid bytes into U+FFFD. A genuine U+FFFD is put into two characters
+    before and taken out of them afterwards, so that only the bad bytes are removed.
     """
-    valid = F.make_valid_utf8(content.cast("string"))
-    clean = F.replace(valid, F.lit("�"), F.lit(""))
-    return content_cap(F.regexp_replace(clean, "\r\n?", "\n"))
+    mark, genuine, escaped = F.lit("\ue000"), F.lit("\ue0001"), F.lit("\ue0000")
+    text = F.replace(F.replace(content.cast("string"), mark, escaped), F.lit("\ufffd"), genuine)
+    clean = F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
+    whole = F.replace(F.replace(clean, genuine, F.lit("\ufffd")), escaped, mark)
+    return F.regexp_replace(whole, "\r\n?", "\n")
 
 
 @F.pandas_udf(T.StringType())
 def _office_udf(extension: pd.Series, data: pd.Series) -> pd.Series:
     return pd.Series(
-        ["" if d is None else office_text(e, d) for e, d in zip(extension, data)], dtype=object
+        ["" if d is None else office_text(e, d) or "" for e, d in zip(extension, data)], dtype=object
     )
 
 
@@ -84,18 +98,18 @@ def _open(path: str):
     return open(files.local_path(path), "rb")
 
 
-def _read_text(path: str, extension: str) -> str:
+def _read_text(path: str, extension: str) -> str | None:
     with _open(path) as raw:
         if extension in OFFICE_EXTENSIONS:
             return office_text(extension, raw.read())
         if hasattr(raw, "readable") and not isinstance(raw, io.BufferedIOBase):
             raw = io.BufferedReader(raw)
-        return io.TextIOWrapper(raw, encoding="utf-8", errors="ignore").read(C.CONTENT_CAP)
+        return io.TextIOWrapper(raw, encoding="utf-8", errors="ignore").read()
 
 
 def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        texts, ok, start, size = [], [], 0, 0
+        texts, ok, parsed, start, size = [], [], [], 0, 0
         for path, ext in zip(batch["file_path"], batch["file_extension"]):
             try:
                 text = _read_text(path, ext) if ext in TEXT_EXTENSIONS + OFFICE_EXTENSIONS else ""
@@ -103,18 +117,20 @@ def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             except OSError:  # gone or unreadable since it was listed
                 text = ""
                 ok.append(False)
-            texts.append(text)
-            size += len(text)
+            parsed.append(text is not None)
+            texts.append(text or "")
+            size += len(texts[-1])
             if size >= _FLUSH_CHARS:
                 stop = start + len(texts)
-                yield batch.iloc[start:stop].assign(content=texts, readable=ok)
-                texts, ok, start, size = [], [], stop, 0
+                yield batch.iloc[start:stop].assign(content=texts, readable=ok, parsed=parsed)
+                texts, ok, parsed, start, size = [], [], [], stop, 0
         if texts:
-            yield batch.iloc[start:].assign(content=texts, readable=ok)
+            yield batch.iloc[start:].assign(content=texts, readable=ok, parsed=parsed)
 
 
 def extract_listed(rows: DataFrame) -> DataFrame:
-    """Adds ``content`` and ``readable`` to listing rows by opening ``file_path`` in the tasks."""
+    """Adds ``content``, ``readable`` and ``parsed`` to listing rows by opening ``file_path`` in the
+    tasks."""
     ship_package(rows.sparkSession)
     if "file_extension" not in rows.columns:
         rows = rows.withColumn(
@@ -122,7 +138,8 @@ def extract_listed(rows: DataFrame) -> DataFrame:
         )
     schema = T.StructType(
         rows.schema.fields
-        + [T.StructField("content", T.StringType()), T.StructField("readable", T.BooleanType())]
+        + [T.StructField("content", T.StringType()), T.StructField("readable", T.BooleanType()),
+           T.StructField("parsed", T.BooleanType())]
     )
     return rows.mapInPandas(_extract_batches, schema)
 
@@ -133,13 +150,13 @@ def _slides_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, data in zip(batch["file_path"], batch["content"]):
             try:
                 out.extend((path, *slide) for slide in office.slide_texts(data))
-            except Exception:  # a damaged deck has no slide texts
+            except DAMAGE:  # a damaged deck has no slide texts
                 continue
         yield pd.DataFrame(out, columns=["file_path", "slide_no", "pos", "text"])
 
 
 def slide_texts(rows: DataFrame) -> DataFrame:
-    """``(file_path, slide_no, pos, text)`` of the first two slides of every ``.pptx`` row."""
+    """``(file_path, slide_no, pos, text)`` of all slides of every ``.pptx`` row."""
     ship_package(rows.sparkSession)
     decks = rows.where(F.col("file_extension") == ".pptx").select("file_path", "content")
     return decks.mapInPandas(
@@ -150,7 +167,7 @@ def slide_texts(rows: DataFrame) -> DataFrame:
 def slide_card(rows: DataFrame) -> DataFrame:
     """Title, subtitle and callout of every deck: the first three texts of its first slide.
 
-    A deck without text takes the start of its file name as title.
+    A deck without text takes its file name as title.
     """
     first = slide_texts(rows).where(F.col("slide_no") == 1)
     picked = first.groupBy("file_path").agg(
@@ -160,7 +177,7 @@ def slide_card(rows: DataFrame) -> DataFrame:
         ]
     )
     decks = rows.where(F.col("file_extension") == ".pptx").select("file_path")
-    name = F.left(paths.file_name(F.col("file_path")), F.lit(40))
+    name = paths.file_name(F.col("file_path"))
     return decks.join(picked, "file_path", "left").select(
         "file_path",
         F.coalesce("title", name).alias("title"),

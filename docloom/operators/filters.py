@@ -30,7 +30,7 @@ def in_excluded_folder(
     """
     below = F.lower(paths.file_directory(F.concat(F.lit("/"), paths.relative_to(path, root))))
     return F.exists(
-        F.split(below, "/"), lambda part: part.isin(*names) | part.startswith(".")
+        F.split(below, "/"), lambda part: part.isin(*[n.lower() for n in names]) | part.startswith(".")
     )
 
 
@@ -39,11 +39,7 @@ def has_excluded_part(path: Column, parts: Sequence[str] = C.EXCLUDED_PATH_PARTS
 
     Both sides use ``/``, so patterns written with either separator match as intended.
     """
-    folder = F.lower(paths.file_directory(path))
-    out = F.lit(False)
-    for part in parts:
-        out = out | folder.contains(part.lower().replace("\\", "/"))
-    return out
+    return paths.contains_part(F.lower(paths.file_directory(path)), parts)
 
 
 def accepted(

@@ -6,6 +6,7 @@ Each takes the bytes of one file and returns text; a file that cannot be read ra
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from xml.etree import ElementTree as ET
 
@@ -17,6 +18,7 @@ _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 DOCUMENT_PART = "word/document.xml"
 STRINGS_PART = "xl/sharedStrings.xml"
 SLIDE_PART = "ppt/slides/slide{}.xml"
+_SLIDE_NAME = re.compile(r"ppt/slides/slide([0-9]+)\.xml")
 
 _RUN_TEXT = {"tab": "\t", "ptab": "\t", "cr": "\n", "noBreakHyphen": "-"}
 
@@ -65,22 +67,27 @@ def _shape_text(shape: ET.Element) -> str:
     return "\n".join(lines).strip()
 
 
-def slide_texts(data: bytes, slides: int = 2) -> list[tuple[int, int, str]]:
-    """``(slide_no, pos, text)`` of the shapes with text on the first slides.
+def _slides(data: bytes) -> list[tuple[int, ET.Element]]:
+    """All slides by their number."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        found = {int(m[1]): name for name in z.namelist() if (m := _SLIDE_NAME.fullmatch(name))}
+        return [(n, ET.fromstring(z.read(found[n]))) for n in sorted(found)]
+
+
+def slide_texts(data: bytes) -> list[tuple[int, int, str]]:
+    """``(slide_no, pos, text)`` of the shapes with text on every slide.
 
     When the first slide has none, every single text node of the slides counts instead.
     """
-    roots = [(n, _part(data, SLIDE_PART.format(n))) for n in range(1, slides + 1)]
+    roots = _slides(data)
     by_shape = {
         n: [_shape_text(s) for s in root.iterfind(f"{_P}cSld/{_P}spTree/{_P}sp")]
         for n, root in roots
-        if root is not None
     }
     if not any(by_shape.get(1, [])):
         by_shape = {
             n: [(t.text or "").strip() for t in root.iter(_A + "t")]
             for n, root in roots
-            if root is not None
         }
     return [
         (n, pos, text)

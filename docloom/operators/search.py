@@ -163,12 +163,11 @@ def hits(docs: DataFrame, index, request: Request) -> DataFrame:
 
 def sort_columns(order: str) -> list[Column]:
     """Sort keys; missing values come last in both directions, ``doc_id`` breaks ties."""
-    name = F.when(F.length("file_name") <= C.KEYWORD_MAX_CHARS, F.col("file_name"))
     keys = {
         "relevance": F.col("score").desc_nulls_last(),
         "date_desc": F.col("modified_date").desc_nulls_last(),
         "date_asc": F.col("modified_date").asc_nulls_last(),
-        "name_asc": name.asc_nulls_last(),
+        "name_asc": F.col("file_name").asc_nulls_last(),
         "size_desc": F.col("file_size").desc_nulls_last(),
     }
     return [keys[order], F.col("doc_id").asc()]
@@ -213,9 +212,8 @@ def _deep_page(found: DataFrame, keys: list[Column], offset: int, size: int) ->
     )
 
 
-def total_hits(found: DataFrame, cap: int | None = None) -> DataFrame:
-    n = F.count(F.lit(1))
-    return found.agg((F.least(n, F.lit(cap)) if cap else n).alias("total"))
+def total_hits(found: DataFrame) -> DataFrame:
+    return found.agg(F.count(F.lit(1)).alias("total"))
 
 
 def page_summary(found: DataFrame, number: int = 1, size: int = C.PAGE_SIZE) -> DataFrame:

@@ -20,7 +20,7 @@ from docloom.sources import files, progress
 from docloom.sources.catalog import Catalog, cluster
 
 
-BYTES_PER_TASK, FILES_PER_TASK, MAX_TASKS = 256 << 20, 5_000, 200_000
+BYTES_PER_TASK, FILES_PER_TASK = 256 << 20, 5_000
 
 
 def document_rows(
@@ -45,7 +45,7 @@ def read_tasks(todo: DataFrame) -> int:
     total = todo.agg(F.sum("file_size").alias("bytes"), F.count(F.lit(1)).alias("files")).first()
     slots = min(todo.sparkSession.sparkContext.defaultParallelism, total["files"])
     by_size = max((total["bytes"] or 0) // BYTES_PER_TASK, total["files"] // FILES_PER_TASK)
-    return min(max(by_size, slots, 1), MAX_TASKS)
+    return max(by_size, slots, 1)
 
 
 def run_ingest(
@@ -71,11 +71,14 @@ def run_ingest(
     ok = filters.accepted(
         F.col("file_path"), F.col("root"), names=folder_names, parts=path_parts
     )
-    scan = D.with_keys(listing, ok)
-    # Narrow rows, used three times below: a table instead of three joins.
+    scan = D.with_keys(listing, ok | F.col("unreadable"))
+    # Narrow rows, used several times below: a table instead of as many joins.
     path = new_table_path(spark, "statuses")
     D.delta(scan, D.metadata(catalog.read()), present, force).write.parquet(path)
     statuses = spark.read.parquet(path)
+    blind = statuses.where("unreadable")
+    if blind.limit(1).count():
+        statuses = D.protect(statuses, blind)
 
     read = Observation(f"read-{tag}")
     todo = statuses.where(F.col("status") == D.INDEXED)

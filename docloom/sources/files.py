@@ -1,13 +1,10 @@
-"""File listings as DataFrames.
+"""File listings as DataFrames (``schema.LISTING``).
 
-Two ways to list, with the same columns (``schema.LISTING``). Times are UTC without a zone, in
-milliseconds - the precision both have, so a file found by either looks the same to the delta:
-
-* :func:`walk` - folders are listed by tasks, level by level. Excluded folders are never
-  entered, and the listing itself lives in a table, so its size is not bound by one machine.
-* :func:`binary_listing` - Spark's ``binaryFile`` source without its ``content`` column. Its
-  file index is held by the driver; it hides names that start with ``_`` or ``.`` and passes
-  over files without bytes.
+Times are UTC without a zone, in milliseconds, so a file found by the walk or by the ``binaryFile``
+stream looks the same to the delta. In :func:`walk` tasks list the folders, level by level.
+Excluded folders are never entered, and the listing itself lives in a table, so its size is not
+bound by one machine. A folder that cannot be listed is a row of its own (``unreadable``), so that
+nobody takes what lies below it for deleted.
 """
 
 from __future__ import annotations
@@ -26,23 +23,30 @@ from docloom.session import new_table_path, ship_package
 
 _ENTRY = (
     "root string, file_path string, is_dir boolean, file_size bigint, "
-    "modified_date timestamp_ntz, created_date timestamp_ntz"
+    "modified_date timestamp_ntz, created_date timestamp_ntz, unreadable boolean"
 )
-_ENTRY_COLUMNS = ["root", "file_path", "is_dir", "file_size", "modified_date", "created_date"]
+_ENTRY_COLUMNS = [
+    "root", "file_path", "is_dir", "file_size", "modified_date", "created_date", "unreadable",
+]
 _ROWS_PER_BATCH = 10_000
-_NOT_LISTABLE = (FileNotFoundError, NotADirectoryError, PermissionError)
 
 
 def existing_roots(spark: SparkSession, roots: Sequence[str]) -> list[str]:
-    """The roots that exist. A missing root is skipped, never an error."""
+    """The roots that exist, as absolute paths. A missing root is skipped, never an error."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     kept = []
-    for root in dict.fromkeys(roots):
+    for root in roots:
         path = jvm.org.apache.hadoop.fs.Path(root)
-        if path.getFileSystem(conf).exists(path):
-            kept.append(root)
-    return kept
+        store = path.getFileSystem(conf)
+        if store.exists(path):
+            kept.append(absolute(root) if store.getScheme() == "file" else store.makeQualified(path).toString())
+    return list(dict.fromkeys(kept))
+
+
+def absolute(root: str) -> str:
+    """A local root from the file system's root on, without ``.``, ``..`` and double slashes."""
+    return os.path.normpath("/" + os.path.abspath(local_path(root)).lstrip("/"))
 
 
 def open_store(path: str):
@@ -63,15 +67,18 @@ def local_path(path: str) -> str:
 def _local_children(folder: str) -> Iterator[tuple]:
     with os.scandir(local_path(folder)) as entries:
         for e in entries:
-            path = os.fsencode(e.path).decode("utf-8", "replace")
+            raw = os.fsencode(e.path)
+            path = raw.decode("utf-8", "replace")
+            named = path.encode() == raw  # else no path in a table can name it
             if e.is_dir(follow_symlinks=False):
-                yield path, True, None, None, None
+                yield path, True, None, None, None, not named
             elif not e.is_dir():  # a link to a folder is not followed
                 try:
                     st = e.stat()
-                    yield path, False, st.st_size, st.st_mtime_ns, st.st_ctime_ns
+                    seen = (st.st_size, st.st_mtime_ns, st.st_ctime_ns) if named else (None,) * 3
+                    yield path, False, *seen, False
                 except OSError:  # seen, but cannot be read: becomes an error row
-                    yield path, False, None, None, None
+                    yield path, False, None, None, None, False
 
 
 def _remote_children(folder: str) -> Iterator[tuple]:
@@ -81,7 +88,7 @@ def _remote_children(folder: str) -> Iterator[tuple]:
     prefix = folder[: len(folder) - len(inner.rstrip("/"))] if inner else folder
     for info in store.get_file_info(fs.FileSelector(inner, recursive=False)):
         is_dir = info.type == fs.FileType.Directory
-        yield prefix + info.path, is_dir, info.size, info.mtime_ns, None
+        yield prefix + info.path, is_dir, info.size, info.mtime_ns, None, False
 
 
 def _entries(rows: list[tuple]) -> pd.DataFrame:
@@ -104,8 +111,10 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if len(rows) >= _ROWS_PER_BATCH:
                         yield _entries(rows)
                         rows = []
-            except _NOT_LISTABLE:
-                pass  # left out, like a missing root; other errors make Spark try again
+            except FileNotFoundError:
+                pass  # gone since its parent was listed; other errors make Spark try again
+            except (NotADirectoryError, PermissionError):
+                rows.append((root, folder, True, None, None, None, True))
             if rows:
                 yield _entries(rows)
 
@@ -121,10 +130,8 @@ def is_excluded_folder(
     name = F.substring_index(path, "/", -1)
     out = F.lit(False) if dot_folders else name.startswith(".")
     if names:
-        out = out | name.isin(*names)
-    for part in parts:
-        out = out | path.contains(part)
-    return out
+        out = out | name.isin(*[n.lower() for n in names])
+    return out | paths.contains_part(path, parts)
 
 
 def _listing_tasks(spark: SparkSession, folders: int) -> int:
@@ -139,7 +146,8 @@ def walk(
     parts: Sequence[str] = C.EXCLUDED_PATH_PARTS,
     dot_folders: bool = False,
 ) -> DataFrame:
-    """List all files below the roots, one job per folder level.
+    """List all files below the roots, one job per folder level. Folders that cannot be listed
+    are rows too: ``unreadable``, without size and time.
 
     ``dot_folders`` enters folders whose name starts with a dot as well (a mirror of all files).
 
@@ -149,7 +157,7 @@ def walk(
     """
     roots = [r.rstrip("/") or "/" for r in existing_roots(spark, roots)]
     if not roots:
-        return spark.createDataFrame([], LISTING)
+        return spark.createDataFrame([], LISTING).withColumn("unreadable", F.lit(False))
     ship_package(spark)
     base = new_table_path(spark, "walk")
     frontier = spark.createDataFrame([(r, r) for r in roots], "root string, file_path string")
@@ -166,22 +174,18 @@ def walk(
         found = spark.read.schema(_ENTRY).parquet(level)
         frontier = found.where(
             F.col("is_dir")
+            & ~F.col("unreadable")
             & ~is_excluded_folder(F.col("file_path"), names, parts, dot_folders)
         ).select("root", "file_path")
         folders = frontier.count()
         if not folders:
             break
     listed = spark.read.schema(_ENTRY).parquet(*levels)
-    return listed.where(~F.col("is_dir")).select(*[f.name for f in LISTING])
-
-
-def binary_listing(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    """Listing through the ``binaryFile`` source; file bytes are not read."""
-    out = spark.createDataFrame([], LISTING)
-    for root in existing_roots(spark, roots):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        out = out.unionByName(listing_of_binary(files, root))
-    return out
+    listed = listed.where(
+        ~F.col("is_dir")
+        | F.col("unreadable") & ~is_excluded_folder(F.col("file_path"), names, parts, dot_folders)
+    )
+    return listed.select(*[f.name for f in LISTING], "unreadable")
 
 
 def listing_of_binary(files: DataFrame, root: str, *keep: str) -> DataFrame:

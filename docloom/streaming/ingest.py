@@ -24,6 +24,9 @@ from docloom.sources import files, progress
 from docloom.sources.catalog import Catalog
 
 
+#: Longer than any file is old.
+MAX_FILE_AGE = "36500d"
+
 #: Batches up to so many files look their keys up by filter.
 MAX_FILTER_KEYS = 1_000
 
@@ -97,12 +100,15 @@ def start_ingest(
 ) -> StreamingQuery:
     """Start the stream. By default it looks for new files every ``REFRESH_INTERVAL``."""
     catalog = Catalog(spark, catalog_path).ensure()
+    root = (files.existing_roots(spark, [root]) or [root])[0]
     source = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", document_glob())
         .option("maxFilesPerTrigger", files_per_batch)
+        # copied and unpacked files keep old dates: no age makes a new file an old one
+        .option("maxFileAge", MAX_FILE_AGE)
         .load(root)
     )
     writer = (

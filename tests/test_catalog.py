@@ -176,3 +176,66 @@ def test_document_glob(name, hit):
 
     alternatives = document_glob()[2:-1].split(",")
     assert any(fnmatch.fnmatchcase(name, "*" + a) for a in alternatives) is hit
+
+
+@pytest.mark.parametrize("form", ["{0}//", "{1}/./docs", "{1}/x/../docs", "file:{0}", "{0}/"])
+def test_roots_in_any_form_lose_deleted_files(spark, tmp_path, form):
+    root, path = str(tmp_path / "docs"), str(tmp_path / "cat")
+    os.makedirs(tmp_path / "x")
+    put(root, "a.txt")
+    gone = put(root, "b.txt")
+    given = form.format(root, tmp_path)
+    assert counters(run_ingest(spark, path, [given])) == zero(scanned=2, indexed=2)
+    os.rename(gone, tmp_path / "b.away")
+    assert counters(run_ingest(spark, path, [given])) == zero(scanned=1, skipped=1, deleted=1)
+
+
+def test_unreadable_folders_keep_their_documents(spark, tmp_path):
+    from docloom.operators import delta as D
+
+    index = docs(spark, [(p, "") for p in ("/r/blind/a.txt", "/r/blind/deep/b.txt", "/r/blinded/c.txt", "/r/d.txt")])
+    listing = spark.createDataFrame(
+        [("/r", "/r/Blind", None, True)], "root string, file_path string, file_size long, unreadable boolean"
+    ).withColumn("modified_date", F.lit(None).cast("timestamp_ntz"))
+    scan = D.with_keys(listing, F.col("unreadable"))
+    statuses = D.delta(scan, D.metadata(index), ["/r"])
+    got = {r.norm_path: r.status for r in D.protect(statuses, statuses.where("unreadable")).collect()}
+    assert got == {
+        "/r/blind": "error", "/r/blind/a.txt": "kept", "/r/blind/deep/b.txt": "kept",
+        "/r/blinded/c.txt": "ghost", "/r/d.txt": "ghost",
+    }
+
+
+def test_a_folder_without_a_name_loses_nothing(spark, tmp_path):
+    root, path = str(tmp_path / "r"), str(tmp_path / "cat")
+    put(root, "a.txt")
+    put(root, "caf\ufffd/b.txt")
+    run_ingest(spark, path, [root])
+    os.rename(root + "/caf\ufffd", os.fsencode(root) + b"/caf\xe9")
+    assert counters(run_ingest(spark, path, [root])) == zero(scanned=1, skipped=1, error=1)
+    assert len(contents(Catalog(spark, path))) == 2
+
+
+def test_stream_takes_files_with_old_dates(spark, tmp_path):
+    root, path, state = (str(tmp_path / x) for x in ("r", "cat", "state"))
+
+    def run():
+        start_ingest(spark, root, path, state, available_now=True).awaitTermination()
+        return sorted(os.path.basename(p) for p in contents(Catalog(spark, path)))
+
+    put(root, "new.txt")
+    assert run() == ["new.txt"]
+    old = put(root, "old.txt")
+    os.utime(old, (1_000_000_000, 1_000_000_000))
+    put(root, "newer.txt")
+    assert run() == ["new.txt", "newer.txt", "old.txt"]
+
+
+def test_whole_texts_in_batch_and_stream(spark, tmp_path):
+    root = str(tmp_path / "r")
+    text = "word " * 210_000 + "last"
+    put(root, "long.txt", text.encode())
+    run_ingest(spark, str(tmp_path / "a"), [root])
+    start_ingest(spark, root, str(tmp_path / "b"), str(tmp_path / "s"), available_now=True).awaitTermination()
+    for name in "ab":
+        assert list(contents(Catalog(spark, str(tmp_path / name))).values()) == [text]

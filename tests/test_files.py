@@ -57,9 +57,10 @@ def test_overlapping_roots_list_twice(spark, tree):
     assert listed.where(F.col("file_path").endswith("deep.txt")).count() == 2
 
 
-def test_binary_listing_has_same_rows(spark, tree):
-    a = files.binary_listing(spark, [tree + "/with space", tree + "/x/y", tree + "/none"])
-    b = files.walk(spark, [tree + "/with space", tree + "/x/y"])
+def test_stream_rows_are_listed_alike(spark, tree):
+    root = tree + "/with space"
+    a = files.listing_of_binary(spark.read.format("binaryFile").load(root), root)
+    b = files.walk(spark, [root])
     cols = ["root", "file_path", "file_size", "modified_date"]
     assert sorted(a.select(cols).collect()) == sorted(b.select(cols).collect())
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
@@ -77,7 +78,8 @@ BYTES = {
     "raw.rtf": (b"{\\rtf1 x}", "{\\rtf1 x}"),
     "no.markdown": (b"text", ""),
     "no.pdf": (b"%PDF", ""),
-    "long.txt": (LONG, "é" * 999_999 + "\n"),
+    "long.txt": (LONG, LONG.decode()),
+    "mark.txt": ("a\ufffdb\ue000\ue0001".encode() + b"\xff\xe2\x82", "a\ufffdb\ue000\ue0001"),
     "p.docx": (docx_bytes("one\n\n two & <three>"), "one\n two & <three>"),
     "q.xlsx": (xlsx_bytes("a\nb c\n\nd"), "a b c d"),
     "broken.docx": (b"PK\x03\x04 not a zip", ""),
@@ -140,7 +142,7 @@ def test_slide_texts_and_card(spark):
     card = {r.file_path: tuple(r)[1:] for r in extract.slide_card(rows).collect()}
     assert card == {
         "/d/a.pptx": ("Title", "Sub", "Call"),
-        "/d/" + "n" * 50 + ".pptx": ("n" * 40, "", ""),
+        "/d/" + "n" * 50 + ".pptx": ("n" * 50 + ".pptx", "", ""),
     }
 
 
@@ -160,7 +162,7 @@ def test_remote_paths_keep_their_store(tmp_path, monkeypatch):
     root = str(tmp_path / "t")
     put(root, "a.txt", b"x\r\ny\xff")
     put(root, "sub/b.docx", docx_bytes("doc"))
-    listed = {p: (d, n) for p, d, n, _, _ in files._remote_children(f"file://{root}")}
+    listed = {p: (d, n) for p, d, n, *_ in files._remote_children(f"file://{root}")}
     assert listed[f"file://{root}/a.txt"] == (False, 5) and listed[f"file://{root}/sub"][0]
     monkeypatch.setattr(files, "is_remote", lambda path: True)
     assert extract._read_text(f"file://{root}/a.txt", ".txt") == "x\ny"
@@ -172,3 +174,30 @@ def test_remote_detection():
     paths_ = ["s3a://b/k", "hdfs://n:1/a", "/a/b", "file:/a", "file:///a", "C:/x"]
     assert [files.is_remote(p) for p in paths_] == [True, True, False, False, False, False]
     assert [files.local_path(p) for p in ("file:/a", "file:///a", "/a")] == ["/a"] * 3
+
+
+def test_folders_that_cannot_be_named_are_rows(spark, tree):
+    os.makedirs(os.fsencode(tree) + b"/caf\xe9/inner")
+    with open(os.fsencode(tree) + b"/caf\xe9.txt", "wb") as f:
+        f.write(b"x")
+    listed = files.walk(spark, [tree])
+    blind = listed.where("unreadable").collect()
+    assert [(r.file_path, r.file_size) for r in blind] == [(tree + "/caf\ufffd", None)]
+    assert listed.where(F.col("file_path").endswith("caf\ufffd.txt")).first().file_size is None
+
+
+def test_a_folder_that_turned_into_a_file_is_unreadable(spark, tmp_path):
+    path = put(str(tmp_path), "f.txt")
+    import pandas as pd
+
+    rows = next(files._list_folders(iter([pd.DataFrame({"root": ["r"], "file_path": [path]})])))
+    assert rows[["file_path", "unreadable"]].values.tolist() == [[path, True]]
+
+
+def test_roots_are_made_absolute(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "docs")
+    put(root, "a.txt")
+    monkeypatch.chdir(tmp_path)
+    given = ["docs", "./docs", root + "//", f"{tmp_path}/x/../docs", f"file://{root}/"]
+    os.makedirs(tmp_path / "x")
+    assert files.existing_roots(spark, given) == [root]

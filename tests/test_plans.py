@@ -5,12 +5,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_points
 from docloom.operators import postings as P
 from docloom.operators import search as S
 from docloom.operators.extract import extract_listed
 from docloom.plans import tables as T
 from docloom.plans.ingest import document_rows
+from docloom.plans.registry import QUERIES
 from docloom.schema import LISTING
 from docloom.session import new_table_path
 from docloom.sources.catalog import cluster
@@ -23,16 +23,16 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_points.queries()) - RUNS_JOBS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - RUNS_JOBS))
 def test_no_cross_join(spark, sf_dir, name):
-    text = plan(entry_points.queries()[name](spark, sf_dir))
+    text = plan(QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
 
 
 @pytest.mark.parametrize("name", ["delta_status", "delta_ghosts", "run_counters", "mirror_plan",
                                   "backup_manifest", "folder_listing", "artifact_backlog"])
 def test_texts_are_not_read(spark, sf_dir, name):
-    text = plan(entry_points.queries()[name](spark, sf_dir))
+    text = plan(QUERIES[name](spark, sf_dir))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", text)
     assert schemas and not any(re.search(r"\btext\b|\bcontent\b", s) for s in schemas)
 
@@ -43,7 +43,7 @@ def test_counts_need_no_shuffle(spark, sf_dir):
 
 
 def test_delta_shuffles_each_side_once(spark, sf_dir):
-    text = plan(entry_points.queries()["delta_status"](spark, sf_dir))
+    text = plan(QUERIES["delta_status"](spark, sf_dir))
     assert len(re.findall(r"Exchange hashpartitioning", text)) == 2
 
 

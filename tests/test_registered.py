@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from docloom.plans.registry import ORACLE as SQL
+from docloom.plans.registry import QUERIES
 from oracle_check import compare
 
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
-
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_result_as_sql(spark, sf_dir, name):
@@ -22,3 +22,4 @@ def test_entry_has_rows(spark):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(SQL) <= set(entry_points.oracle_sql())
