@@ -69,9 +69,14 @@ def kept_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+#: Bytes of rows that a worker is handed at a time.
+BATCH_BYTES = 16 << 20
+
+
 def map_arrow(df: DataFrame, job: Callable, schema) -> DataFrame:
-    """``mapInArrow`` with this package at hand in the workers."""
+    """``mapInArrow`` with this package at hand in the workers, over batches of bounded size."""
     ship_package(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(job, schema)
 
 

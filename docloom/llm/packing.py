@@ -19,7 +19,6 @@ equal ``doc_id`` too; an empty table gives an empty result; columns other than `
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,13 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import (
-    batch, byte_column, doc_id_of, grouped, keyed_texts, list_array, map_arrow, shuffle_partitions,
+    batch, byte_column, column_array, doc_id_of, grouped, keyed_texts, map_arrow, shuffle_partitions,
     slices,
 )
 from docloom.llm.tokenizing import encoder
 
 #: Remainders that are packed together. Sequences close within a group.
-GROUP = 4096
+GROUP = 2048
 #: Tokens of text encoded at a time.
 ENCODE_BYTES = 1 << 22
 
@@ -49,9 +48,17 @@ class Limits:
 
 _PIECES = pa.schema([
     ("doc", pa.int64()), ("tag", pa.int64()), ("doc_tokens", pa.int64()), ("start", pa.int64()),
-    ("length", pa.int64()), ("loss", pa.int64()), ("ids", pa.list_(pa.int32())),
+    ("length", pa.int64()), ("loss", pa.int64()), ("ids", pa.binary()),
 ])
-_PIECES_TYPE = "doc long, tag long, doc_tokens long, start long, length long, loss long, ids array<int>"
+_PIECES_TYPE = "doc long, tag long, doc_tokens long, start long, length long, loss long, ids binary"
+
+
+def id_bytes(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Ids, one list after the other, as binary values of four bytes an id."""
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths * 4, out=offsets[1:])
+    data = pa.py_buffer(np.ascontiguousarray(ids.astype("<u4", copy=False)))
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), data])
 
 
 def _tokenise(path: str, end_id: int, limits: Limits):
@@ -66,14 +73,14 @@ def _tokenise(path: str, end_id: int, limits: Limits):
             for i, j in slices(offsets, ENCODE_BYTES):
                 cut = offsets[i : j + 1]
                 ids, offs = enc.encode(raw[cut[0] : cut[-1]], cut - cut[0])
-                ids = np.insert(ids.astype(np.int32), offs[1:], end_id)
+                ids = np.insert(ids, offs[1:], np.uint32(end_id))
                 sizes = np.diff(offs) + 1
                 pieces = -(-sizes // step)
                 of = np.repeat(np.arange(len(sizes)), pieces)
                 start = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * step
                 length = np.minimum(sizes[of] - start, step)
                 loss = np.where(masked[i:j][of], 0, length)
-                yield batch(_PIECES, docs[i:j][of], tags[i:j][of], sizes[of], start, length, loss, list_array(ids, length, pa.int32()))
+                yield batch(_PIECES, docs[i:j][of], tags[i:j][of], sizes[of], start, length, loss, id_bytes(ids, length))
 
     return job
 
@@ -178,9 +185,9 @@ def split_at_powers(pieces, limits: Limits):
 
 _PLACED = pa.schema([
     ("doc", pa.int64()), ("tag", pa.int64()), ("doc_tokens", pa.int64()), ("start", pa.int64()),
-    ("length", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32())),
+    ("length", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()),
 ])
-_PLACED_TYPE = "doc long, tag long, doc_tokens long, start long, length long, sequence_id long, offset long, ids array<int>"
+_PLACED_TYPE = "doc long, tag long, doc_tokens long, start long, length long, sequence_id long, offset long, ids binary"
 
 
 def _pack_group(limits: Limits, cut: bool):
@@ -193,15 +200,14 @@ def _pack_group(limits: Limits, cut: bool):
             if cut:
                 pieces = split_at_powers(pieces, limits)
             example, at, n, bin_, offset = pieces
-            ids = group.column("ids").combine_chunks()
-            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-            begins = np.asarray(ids.offsets)[example] + at
-            index = np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            flat = np.asarray(ids.values)[index]
+            raw, begins = byte_column(column_array(group, "ids"))
+            ids = np.ascontiguousarray(raw).view("<u4")
+            begins = (begins[:-1] // 4)[example] + at
+            flat = np.concatenate([ids[:0], *(ids[p : p + k] for p, k in zip(begins.tolist(), n.tolist()))])
             sequence = (int(group.column("group")[0].as_py()) << 32) + bin_
             yield batch(
                 _PLACED, doc[example], tag[example], doc_tokens[example], start[example] + at, n,
-                sequence, offset, list_array(flat, n, pa.int32()),
+                sequence, offset, id_bytes(flat, n),
             )
 
     return job
@@ -211,8 +217,8 @@ def pack(
     docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits(), cut: bool = True,
     masked: Column | None = None, group: int = GROUP,
 ) -> DataFrame:
-    """One row per piece: ``(doc_id, start, length, doc_tokens, sequence_id, offset, ids)``.
-    ``tokenizer`` is a path that every worker can open. ``masked`` marks documents whose tokens
+    """One row per piece: ``(doc_id, start, length, doc_tokens, sequence_id, offset, ids)``; ``ids``
+    are its token ids as little-endian unsigned 32-bit integers, in one binary value. ``tokenizer`` is a path that every worker can open. ``masked`` marks documents whose tokens
     bear no loss (context of instruction data). Without ``cut`` a remainder is never split."""
     spark = docs.sparkSession
     flag = F.lit(False) if masked is None else F.coalesce(masked, F.lit(False))
@@ -226,22 +232,3 @@ def pack(
     return placed.select(
         doc_id_of().alias("doc_id"), "start", "length", "doc_tokens", "sequence_id", "offset", "ids"
     )
-
-
-def ids_crc32(placed: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` and ``ids_crc32``: CRC-32 of the ids as little-endian unsigned 32-bit integers."""
-    kinds = dict(placed.dtypes)
-    fields = [(c, pa.int64()) for c in columns]
-    schema = pa.schema([*fields, ("ids_crc32", pa.int64())])
-
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            ids = part.column("ids")
-            offsets = np.asarray(ids.offsets) * 4
-            flat = memoryview(np.ascontiguousarray(np.asarray(ids.values).astype("<u4"))).cast("B")
-            cuts = offsets.tolist()
-            crc = [zlib.crc32(flat[a:b]) for a, b in zip(cuts, cuts[1:])]
-            yield batch(schema, *(part.column(c) for c in columns), crc)
-
-    assert all(kinds[c] == "bigint" for c in columns), kinds
-    return map_arrow(placed.select(*columns, "ids"), job, ", ".join(f"{c} long" for c in columns) + ", ids_crc32 long")

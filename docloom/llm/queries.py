@@ -73,7 +73,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
-    return packing.ids_crc32(placed, "doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")
+    return placed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

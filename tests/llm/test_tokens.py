@@ -106,7 +106,7 @@ def check_packing(placed, rows, tokenizer, limits, end=0):
         assert sorted((r.start, r.length) for r in own) and len(texts) >= 1
         if len(texts) == 1:
             own.sort(key=lambda r: r.start)
-            assert [i for r in own for i in r.ids] == texts[0]
+            assert [i for r in own for i in np.frombuffer(r.ids, "<u4")] == texts[0]
             assert [r.start for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))]
         else:
             assert sum(r.length for r in own) == n * len(texts)
@@ -115,7 +115,7 @@ def check_packing(placed, rows, tokenizer, limits, end=0):
         used = sum(r.length for r in own)
         assert [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))]
         assert used <= limits.tokens and len(own) <= limits.segments
-        assert all(len(r.ids) == r.length for r in own)
+        assert all(len(r.ids) == 4 * r.length for r in own)
         assert used == limits.tokens or used & (used - 1) == 0
 
 
