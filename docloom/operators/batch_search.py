@@ -2,8 +2,11 @@
 
 Conjunctive queries are driven by their rarest clause: only documents of that clause become
 candidates, and the other clauses are checked for the candidates alone. So the work follows
-the rarest word of a query, not its most common one. No query is cut short and no candidate
-is dropped; a hot term is spread over many tasks by document.
+the rarest word of a query, not its most common one. A query that is asked many times is answered
+once. A query without a required word has the newest documents of its types as candidates: when
+its exclusions can hit at most ``m`` documents, the first ``k + m`` of that order hold its answer.
+No query is cut short and no candidate is dropped; a hot term is spread over many tasks by
+document, and by query where many queries lead with it.
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ from docloom.session import new_table_path, spread
 
 #: A table is broadcast only when its counted size is below this.
 BROADCAST_BYTES = 64 << 20
+#: Queries with the same leading term that one task answers, and the longest start of the date
+#: order that is ranked for queries without words; a longer one is the whole clause.
+LEADS_PER_TASK, NEWEST_ROWS = 10_000, 100_000
 KEY_BYTES = 128  # a document key in a broadcast: 64 hex characters and its overhead
 _TERM = ("field", "term")
 
@@ -170,6 +176,28 @@ def _matches(points: DataFrame) -> DataFrame:
     )
 
 
+def _newest(required: DataFrame, terms: DataFrame, meta: DataFrame, k: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """``(queries, candidates)`` of the queries without a required word whose answer lies in the
+    first ``k + m`` documents of the date order, ``k + m <= most``."""
+    hit = F.sum(F.when(F.col("kind") == "not", F.col("df")).otherwise(0))
+    need = terms.where(~F.col("has_must")).groupBy("query_id").agg((hit + k).alias("need"))
+    need = need.where(F.col("need") <= most)
+    longest = need.agg(F.max("need")).first()[0] or 0
+    wanted = required.where(~F.col("has_must")).join(need, "query_id")
+    wanted = wanted.select("query_id", "has_must", "n_clauses", F.col("term").alias("list"), "need").distinct()
+    # every document stands in two lists; a list is cut to its longest start in every task before
+    # its rows meet, as the limit is a literal
+    lists = F.explode(F.array(F.lit(P.ALL_TERM), F.col("file_type")))
+    rows = meta.select("doc_id", "modified_date", lists.alias("list"))
+    rows = rows.join(wanted.select("list").distinct(), "list", "left_semi")
+    order = Window.partitionBy("list").orderBy(F.col("modified_date").desc_nulls_last(), "doc_id")
+    starts = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= longest)
+    found = wanted.join(starts.select("list", "doc_id", "place"), "list").where(F.col("place") <= F.col("need"))
+    return need.select("query_id"), found.select(
+        "query_id", "doc_id", "has_must", "n_clauses", F.lit(True).alias("const_lead")
+    )
+
+
 def search_batch(
     queries: DataFrame,
     index,
@@ -177,12 +205,26 @@ def search_batch(
     k: int = 10,
     hot_min_rows: int = HOT_MIN_ROWS,
     broadcast_bytes: int = BROADCAST_BYTES,
+    leads_per_task: int = LEADS_PER_TASK,
+    newest_rows: int = NEWEST_ROWS,
 ) -> DataFrame:
     """Top ``k`` documents of every query: ``(query_id, rank, doc_id, score)``.
 
-    ``index`` is a stored index; ``meta`` has ``doc_id`` and ``modified_date``. Queries with a
-    required term rank by score, the others by date (newest first); ``doc_id`` breaks ties.
+    ``index`` is a stored index; ``meta`` has ``doc_id``, ``file_type`` and ``modified_date``.
+    Queries with a required term rank by score, the others by date (newest first); ``doc_id``
+    breaks ties.
     """
+    distinct = _stored(queries.groupBy("query").agg(F.min("query_id").alias("first")), "queries")
+    once = distinct.select(F.col("first").alias("query_id"), "query")
+    top = _answers(once, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_task, newest_rows)
+    asked = queries.join(distinct, queries["query"].eqNullSafe(distinct["query"]))
+    asked = asked.select(queries["query_id"].alias("asking"), F.col("first").alias("query_id"))
+    return asked.join(top, "query_id").drop("query_id").withColumnRenamed("asking", "query_id").select(
+        "query_id", "rank", "doc_id", "score"
+    )
+
+
+def _answers(queries, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_task, newest_rows) -> DataFrame:
     entries = _stored(query_terms(queries), "terms")
     size = entries.agg(F.sum(F.octet_length("term") + F.lit(128))).first()[0] or 0
     small = size <= broadcast_bytes  # the whole table of query terms, counted
@@ -211,15 +253,24 @@ def search_batch(
     # Candidates: the documents of the clause that leads. The postings of a hot term are spread
     # over its salts by document.
     required = terms.where(F.col("kind") != "not")
+    ranked, newest = _newest(required, terms, meta, k, newest_rows)
+    required = required.join(ranked, "query_id", "left_anti")
     lead = required.join(_leads(required), ["query_id", "clause"]).select(
         "query_id", "has_must", "n_clauses", (F.col("kind") == "const").alias("const_lead"), "term_no"
     )
     term = ["term_no"]
     hot = hot_keys(asked, term, "df", hot_threshold(index.total_postings, hot_min_rows))
+    led = lead.groupBy("term_no").agg(F.count(F.lit(1)).alias("rows"))
+    crowded = hot_keys(led, term, "rows", leads_per_task)  # a few terms among all queries
+    by_doc = add_salt(postings.select("doc_id", "term_no"), hot, term, "doc_id")
+    by_doc = repeat_for_salts(by_doc.withColumnRenamed("salt", "doc_salt"), crowded, term)
+    by_query = add_salt(lead, crowded, term, "query_id").withColumnRenamed("salt", "query_salt")
+    by_query = repeat_for_salts(by_query, hot, term).withColumnRenamed("salt", "doc_salt")
     candidates = _stored(
-        add_salt(postings.select("doc_id", "term_no"), hot, term, "doc_id")
-        .join(repeat_for_salts(lead, hot, term), ["term_no", "salt"])
+        by_doc.withColumnRenamed("salt", "query_salt")
+        .join(by_query, ["term_no", "doc_salt", "query_salt"])
         .select("query_id", "doc_id", "has_must", "n_clauses", "const_lead")
+        .unionByName(newest)
         .distinct(),
         "candidates",
     )
@@ -227,7 +278,7 @@ def search_batch(
     # Check and score: every candidate looks up the other terms of its query by document. A
     # constant clause that leads is met by every candidate and needs no look-up.
     of_query = ["query_id", "const_lead"]
-    by_lead = lead.select(*of_query).distinct()
+    by_lead = lead.select(*of_query).unionByName(ranked.withColumn("const_lead", F.lit(True))).distinct()
     checks = terms.drop("has_must", "n_clauses", "term").join(by_lead, "query_id")
     checks = checks.where(~(F.col("const_lead") & (F.col("kind") == "const")))
     rows = spread(candidates, "doc_id")  # a short table may lie in one or two files
@@ -262,13 +313,13 @@ def top_k(matched: DataFrame, meta: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(
         by_score, F.col("modified_date").desc_nulls_last(), F.col("doc_id")
     )
-    # dates decide only where no score does
-    dated = matched.join(meta.select("doc_id", "modified_date"), "doc_id")
-    dated = dated.withColumn(
-        "modified_date", F.when(~F.col("has_must"), F.col("modified_date"))
-    )
+    # dates decide only where no score does, so only those matches look them up
+    no_date = F.lit(None).cast("timestamp_ntz").alias("modified_date")
+    columns = ["query_id", "doc_id", "has_must", "total"]
+    scored = matched.where("has_must").select(*columns, no_date)
+    dated = matched.where(~F.col("has_must")).join(meta.select("doc_id", "modified_date"), "doc_id")
     return (
-        dated.withColumn("rank", F.row_number().over(order))
+        scored.unionByName(dated.select(*columns, "modified_date")).withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select(
             "query_id",

@@ -165,16 +165,23 @@ WHERE rank > {(number - 1) * 100} AND rank <= {number * 100}"""
 # ---- query strings ------------------------------------------------------------------------
 
 QUERY_LOG = """
-query_log AS (
+asked_once AS (
   SELECT item_id AS query_id,
          CASE item_id % 8
            WHEN 1 THEN 'pdf ' || text
            WHEN 2 THEN text || ' NOT (qqq)'
            WHEN 3 THEN 'md OR txt OR docx ' || text
-           WHEN 4 THEN 'report the -' || CAST(item_id AS VARCHAR)
-           WHEN 5 THEN 'NOT the -ertion csv xlsx'
-           WHEN 6 THEN 'NOT ' || regexp_extract(text, '[^\\s]+')
+           WHEN 4 THEN 'report the -' || CAST(item_id AS VARCHAR) || ' ' || text
+           WHEN 5 THEN 'csv xlsx ' || regexp_replace(text, '([^\\s]+)', '-\\1', 'g')
+           WHEN 6 THEN regexp_replace(text, '([^\\s]+)', '-\\1', 'g')
            ELSE text END AS query
+  FROM benchmark),
+query_log AS (
+  SELECT * FROM asked_once
+  UNION ALL SELECT query_id + 1000000, query FROM asked_once
+  UNION ALL SELECT item_id + 2000000,
+    CASE WHEN item_id % 3 = 0 THEN '' ELSE 'docx md ' END || 'NOT ' || regexp_extract(text, '[^\\s]+')
+      || 'zz -report' || CAST(item_id AS VARCHAR)
   FROM benchmark)"""
 
 _NEG = r"regexp_matches(u, '^(?i:NOT)[\s\p{Z}]+[^\s\p{Z}]')"

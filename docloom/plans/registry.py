@@ -492,7 +492,7 @@ def search_batch(spark, sf_dir):
 
 
 def _classify_sql() -> str:
-    source = "(SELECT * FROM query_log UNION ALL SELECT conv_id * 1000 + turn + 1000000, text FROM conversations)"
+    source = "(SELECT * FROM query_log UNION ALL SELECT conv_id * 1000 + turn + 10000000, text FROM conversations)"
     return "WITH " + O.QUERY_LOG + "," + O.classified(source, "query_id", "query") + """
 SELECT query_id, array_to_string(types, '|') AS file_types,
        array_to_string(must, '|') AS must_terms, array_to_string(must_not, '|') AS must_not_terms
@@ -503,7 +503,7 @@ FROM parsed"""
 def query_classify(spark, sf_dir):
     """The query log and every conversation turn, classified as query strings."""
     turns = T.table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn") + 1_000_000).alias("query_id"),
+        (F.col("conv_id") * 1000 + F.col("turn") + 10_000_000).alias("query_id"),
         F.col("text").alias("query"),
     )
     log = T.query_log(spark, sf_dir).unionByName(turns)

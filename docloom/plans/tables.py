@@ -95,16 +95,26 @@ def search_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query per ``benchmark`` item: its whole text, in several query forms."""
-    i = F.col("item_id")
-    text = F.col("text")
+    """The whole text of every ``benchmark`` item as a query, in eight forms and each asked twice;
+    and one query per item without a required word."""
+    i, text = F.col("item_id"), F.col("text")
+    every_word_excluded = F.regexp_replace("text", r"([^\s]+)", "-$1")
     query = (
         F.when(i % 8 == 1, F.concat(F.lit("pdf "), text))
         .when(i % 8 == 2, F.concat(text, F.lit(" NOT (qqq)")))
         .when(i % 8 == 3, F.concat(F.lit("md OR txt OR docx "), text))
-        .when(i % 8 == 4, F.concat(F.lit("report the -"), F.col("item_id").cast("string")))
-        .when(i % 8 == 5, F.concat(F.lit("NOT the -ertion "), F.lit("csv xlsx")))
-        .when(i % 8 == 6, F.concat(F.lit("NOT "), F.regexp_extract("text", r"[^\s]+", 0)))
+        .when(i % 8 == 4, F.concat(F.lit("report the -"), i.cast("string"), F.lit(" "), text))
+        .when(i % 8 == 5, F.concat(F.lit("csv xlsx "), every_word_excluded))
+        .when(i % 8 == 6, every_word_excluded)
         .otherwise(text)
     )
-    return table(spark, sf_dir, "benchmark").select(i.alias("query_id"), query.alias("query"))
+    wordless = F.concat(
+        F.when(i % 3 == 0, F.lit("")).otherwise(F.lit("docx md ")),
+        F.lit("NOT "), F.regexp_extract("text", r"[^\s]+", 0), F.lit("zz -report"), i.cast("string"),
+    )
+    items = table(spark, sf_dir, "benchmark")
+    log = items.select(i.alias("query_id"), query.alias("query"))
+    again = log.select((F.col("query_id") + 1_000_000).alias("query_id"), "query")
+    return log.unionByName(again).unionByName(
+        items.select((i + 2_000_000).alias("query_id"), wordless.alias("query"))
+    )

@@ -1,6 +1,8 @@
 """Search against brute force in Python, and its invariants."""
 
+import glob
 import math
+import os
 from collections import Counter
 from itertools import chain
 
@@ -11,7 +13,7 @@ from docloom.functions.tokens import tokens
 from docloom.operators import search as S
 from docloom.operators.batch_search import search_batch
 from docloom.plans import tables as T
-from docloom.session import new_table_path
+from docloom.session import new_table_path, work_folder
 from docloom.sources.text_index import ScannedIndex, write_index
 
 
@@ -158,12 +160,14 @@ def single(spark, meta, stored, text, k):
     return sorted((r["rank"], r.doc_id, r.score) for r in rows)
 
 
-@pytest.mark.parametrize("limits", [{}, {"hot_min_rows": 20}, {"hot_min_rows": 20, "broadcast_bytes": 0}])
+@pytest.mark.parametrize("limits", [{}, {"hot_min_rows": 20}, {"hot_min_rows": 20, "broadcast_bytes": 0},
+                                    {"newest_rows": 0}, {"leads_per_task": 1, "hot_min_rows": 20}])
 def test_batch_equals_single(spark, corpus, limits):
     _, meta, stored, _ = corpus
-    table = spark.createDataFrame(list(enumerate(QUERIES)), "query_id long, query string")
+    asked = QUERIES + QUERIES[::-1]
+    table = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
     got = search_batch(table, stored, meta, 7, **limits).collect()
-    for i, text in enumerate(QUERIES):
+    for i, text in enumerate(asked):
         mine = sorted((r["rank"], r.doc_id, r.score) for r in got if r.query_id == i)
         want = single(spark, meta, stored, text, 7)
         assert [x[:2] for x in mine] == [x[:2] for x in want], text
@@ -181,3 +185,15 @@ def test_batch_excludes_by_whole_path(spark):
     got = sorted((r.query_id, r.doc_id) for r in search_batch(table, index, docs).collect())
     # "/a.txt" also has the tokens "a.txt"; the name "a.txt" is excluded by either form
     assert got == [(0, 2), (1, 2), (2, 1)]
+
+
+def test_queries_without_words_have_few_candidates(spark, corpus):
+    _, meta, stored, rows = corpus
+    asked = ["pdf", "", "docx md", "-zzzzunknown", "pdf NOT 8", "-8 -9"]
+    table = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    search_batch(table, stored, meta, 3).collect()
+    newest = max(glob.glob(f"{work_folder(spark)}/candidates-*"), key=os.path.getmtime)
+    per_query = {r.query_id: r["count"] for r in spark.read.parquet(newest).groupBy("query_id").count().collect()}
+    m = {t: sum(r.df for r in stored.term_stats([t]).collect()) for t in "89"}
+    # k + m of each of its lists
+    assert per_query == {0: 3, 1: 3, 2: 6, 3: 3, 4: 3 + m["8"], 5: 3 + m["8"] + m["9"]}
