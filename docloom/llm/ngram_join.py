@@ -49,8 +49,9 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 #: Hash functions a text may cost; the most rows per band within it are taken.
 MOST_HASHES = 96
-#: Members of a component that are verified against each other at a time.
-BLOCK = 512
+#: Members of a component that are verified against as many others at a time, and the grams that
+#: such a block of members has about.
+BLOCK, BLOCK_GRAMS = 512, 1 << 19
 
 _SIGNED = pa.schema([
     ("doc", pa.int64()), ("tag", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()),
@@ -61,11 +62,14 @@ _SIGNED_TYPE = "doc long, tag long, f1 long, f2 long, size int, bands array<long
 
 def bands_and_rows(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
     """Bands and rows per band: the most rows for which enough bands stay within ``most`` hashes."""
-    best = (math.ceil(math.log(1 - recall) / math.log(1 - threshold)), 1)
-    for rows in range(2, most):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
-        if bands * rows <= most:
-            best = (bands, rows)
+    best = None
+    for rows in range(1, most + 1):
+        shared = threshold**rows
+        bands = 1 if shared >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-shared))
+        if best is None or bands * rows <= most:
+            best = bands, rows
+        else:
+            break
     return best
 
 
@@ -223,7 +227,9 @@ def _meetings(members: DataFrame, threshold: float, block: int) -> DataFrame:
     """``(component, rep, copies, meets)``: the block meetings each member takes part in."""
     level = F.floor(F.log("size") / math.log(1 / threshold) + 1e-9).cast("int")
     members = members.withColumn("level", level)
-    counts = members.groupBy("component", "level").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    counts = members.groupBy("component", "level").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks")
+    )
     around = counts
     for name, step in (("above", -1), ("below", 1)):
         next_ = counts.select("component", (F.col("level") + step).alias("level"), F.col("blocks").alias(name))
@@ -279,7 +285,9 @@ def near_duplicates(
 
     meetings = _meetings(members, threshold, block)
     wanted = packed_texts(texts.dropDuplicates(["doc", "tag"]) if _repeats_rows(signed) else texts)
-    wanted = wanted.join(members.select(F.col("rep").alias("doc"), F.col("rep_tag").alias("tag"), "node"), ["doc", "tag"])
+    # the same plan at every size: the members of a large table fit in no task's memory
+    keys = members.select(F.col("rep").alias("doc"), F.col("rep_tag").alias("tag"), "node")
+    wanted = wanted.join(keys.hint("merge"), ["doc", "tag"])
     sets = map_arrow(wanted.select("node", "packed"), _sets(n), "node long, grams binary")
     meetings = meetings.select("component", "node", "copies", F.explode("meets").alias("m"))
     keys = ["component", "lo", "i", "hi", "j"]
@@ -292,7 +300,10 @@ def near_duplicates(
     named = members.select("node", "rep", "f1", "f2", "size").join(classes, "node").join(degrees, "node")
     least = named.groupBy("component").agg(F.min("rep").alias("class"))
     named = named.join(least, "component").select("f1", "f2", "size", "class", "links")
-    per_set = reps.select("f1", "f2", "size", "rep", "copies").join(named, ["f1", "f2", "size"], "left")
+    # stored, so that Spark can split the join below where one set has very many copies
+    per_set = stored(
+        reps.select("f1", "f2", "size", "rep", "copies").join(named, ["f1", "f2", "size"], "left"), "classes"
+    )
     out = signed.drop("bands").join(per_set, ["f1", "f2", "size"], "left")
     return out.select(
         doc_id_of().alias("doc_id"), "tag",
