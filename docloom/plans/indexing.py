@@ -26,8 +26,9 @@ def current_index(catalog: Catalog, index_root: str) -> StoredIndex | None:
 def refresh_index(catalog: Catalog, index_root: str) -> StoredIndex:
     """Bring the index to the catalog's version.
 
-    The first call tokenises everything; later ones read only texts changed since. An index
-    counts once its last table is committed, so searches keep the old one until then.
+    The first call tokenises everything; later ones tokenise and write what changed since, as a
+    segment, unless it is time to merge. An index counts once its last table is committed, so
+    searches keep the old one until then.
     """
     old, version = current_index(catalog, index_root), catalog.version
     if old is not None and old.version == version:

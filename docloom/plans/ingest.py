@@ -17,7 +17,7 @@ from docloom.operators.mirror import with_backup
 from docloom.schema import DOCUMENT
 from docloom.session import new_table_path
 from docloom.sources import files, progress
-from docloom.sources.catalog import Catalog, cluster
+from docloom.sources.catalog import COMPACT_AFTER, Catalog, cluster
 
 
 BYTES_PER_TASK, FILES_PER_TASK = 256 << 20, 5_000
@@ -58,6 +58,7 @@ def run_ingest(
     folder_names: Sequence[str] = C.EXCLUDED_FOLDER_NAMES,
     path_parts: Sequence[str] = C.EXCLUDED_PATH_PARTS,
     tag: str | None = None,
+    compact_after: int = COMPACT_AFTER,
 ) -> DataFrame:
     """Bring the catalog in step with the files below ``roots``; returns the run counters.
 
@@ -66,6 +67,8 @@ def run_ingest(
     """
     tag = tag or uuid.uuid4().hex
     catalog = Catalog(spark, catalog_path).ensure()
+    records = f"{catalog_path}/progress"  # one record a run, replaced as the run goes on
+    progress.write(records, tag, progress.record(progress.no_counters(spark), True))
     present = files.existing_roots(spark, roots)
     listing = files.walk(spark, present, folder_names, path_parts)
     ok = filters.accepted(
@@ -79,6 +82,11 @@ def run_ingest(
     blind = statuses.where("unreadable")
     if blind.limit(1).count():
         statuses = D.protect(statuses, blind)
+    # what is known before any file is opened: nothing is indexed or deleted yet
+    so_far = D.run_counters(statuses).select(
+        "scanned", F.lit(0).alias("indexed"), "skipped", "ignored", "error", F.lit(0).alias("deleted")
+    )
+    progress.write(records, tag, progress.record(so_far, True))
 
     read = Observation(f"read-{tag}")
     todo = statuses.where(F.col("status") == D.INDEXED)
@@ -86,7 +94,7 @@ def run_ingest(
     # in key ranges now, so that their texts need no shuffle later.
     todo = cluster(todo, read_tasks(todo))
     extracted = extract_listed(todo).observe(
-        read, F.count_if(F.col("readable")).alias("ok"), F.count_if(~F.col("readable")).alias("bad")
+        read, F.count_if(~F.col("readable")).alias("bad"), F.count_if(~F.col("parsed")).alias("unparsed")
     )
     puts = document_rows(extracted.where("readable"), backup_root, backup_excluded)
     catalog.apply(puts, statuses.where(F.col("status") == D.GHOST), tag, clustered=True)
@@ -100,5 +108,7 @@ def run_ingest(
         (F.col("error") + bad).alias("error"),
         "deleted",
     )
-    progress.write(f"{catalog_path}/progress", tag, progress.record(counters, False))
+    progress.write(records, tag, progress.record(counters, False, read.get["unparsed"] or 0))
+    if catalog.pending >= compact_after:
+        catalog.compact()
     return counters

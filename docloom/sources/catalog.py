@@ -22,6 +22,8 @@ from docloom.schema import DOCUMENT
 
 PUT, DEL = "put", "del"
 KEY_PREFIX_CHARS = 2
+#: Change sets after which a writer folds them into the base.
+COMPACT_AFTER = 50
 
 _COLUMNS = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in DOCUMENT)
 _BASE = _COLUMNS + ", prefix string"

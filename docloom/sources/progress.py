@@ -10,22 +10,23 @@ from docloom.operators.filters import is_fresh
 
 RECORD = (
     "is_running boolean, scanned bigint, indexed bigint, skipped bigint, ignored bigint, "
-    "error bigint, deleted bigint, status_message string, at timestamp"
+    "error bigint, deleted bigint, unparsed bigint, status_message string, at timestamp"
 )
 _COUNTERS = ("scanned", "indexed", "skipped", "ignored", "error", "deleted")
 
 
-def counters_of(spark: SparkSession, observed: dict[str, int]) -> DataFrame:
-    """One row of counters from observed metrics."""
+def no_counters(spark: SparkSession) -> DataFrame:
+    """One row of counters that are all zero."""
     row = spark.sql("SELECT 1 AS one")
-    return row.select(*[F.lit(observed[c]).cast("bigint").alias(c) for c in _COUNTERS])
+    return row.select(*[F.lit(0).cast("bigint").alias(c) for c in _COUNTERS])
 
 
-def record(counters: DataFrame, is_running: bool) -> DataFrame:
-    """A one-row record from run counters."""
+def record(counters: DataFrame, is_running: bool, unparsed: int = 0) -> DataFrame:
+    """A one-row record from run counters; ``unparsed`` files are kept with an empty text."""
     return counters.select(
         F.lit(is_running).alias("is_running"),
         *[F.col(c).cast("bigint").alias(c) for c in _COUNTERS],
+        F.lit(unparsed).cast("bigint").alias("unparsed"),
         progress_text(F.col("scanned"), F.col("indexed"), F.col("skipped")).alias(
             "status_message"
         ),

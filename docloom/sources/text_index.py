@@ -3,9 +3,16 @@
 Both kinds answer the same three calls: ``lookup(terms)``, ``term_stats(terms)`` and
 ``field_stats()``.
 
-Stored layout: ``postings`` and ``term_stats`` are partitioned by a hash bucket of the term
-and sorted by term inside the files, so a lookup of a few terms reads a few buckets and, in
-them, the row groups whose term range fits.
+A stored index is a row of immutable segments. The first holds every document; a refresh adds one
+with the postings of the changed documents, the keys that count no longer in earlier segments
+(``gone``), and what all of that adds to or takes from the statistics. Readers put the segments
+together, without the keys gone since, and add up the statistics; so a refresh costs as much as
+its change. When the later segments have grown to a share of the first, or are many, the next
+refresh merges all of them.
+
+Within a segment ``postings`` and ``term_stats`` are partitioned by a hash bucket of the term and
+sorted by term inside the files, so a lookup of a few terms reads a few buckets and, in them, the
+row groups whose term range fits.
 """
 
 from __future__ import annotations
@@ -24,7 +31,12 @@ from docloom.session import new_table_path
 ROWS_PER_BUCKET, MIN_BUCKETS, MAX_BUCKETS = 20_000_000, 16, 8192
 
 
-_INFO = "buckets int, total_postings bigint, id_type string, version bigint"
+#: Later segments that a reader puts together at most, and their share of the first's postings.
+MAX_SEGMENTS, MERGE_SHARE = 8, 0.2
+
+_INFO = (
+    "buckets int, total_postings bigint, id_type string, version bigint, earlier array<string>"
+)
 
 
 def _stored_schemas(id_type: str) -> dict[str, str]:
@@ -32,7 +44,10 @@ def _stored_schemas(id_type: str) -> dict[str, str]:
     return {
         "postings": f"doc_id {id_type}, field string, term string, tf bigint, dl bigint, bucket int",
         "term_stats": "field string, term string, df bigint, bucket int",
-        "field_stats": "field string, n bigint, avgdl double",
+        "field_stats": "field string, n bigint, total_dl bigint",
+        "counts": f"doc_id {id_type}, field string, dl bigint, "
+        "counts array<struct<term: string, tf: bigint>>",
+        "gone": f"doc_id {id_type}",
     }
 
 
@@ -76,52 +91,88 @@ class ScannedIndex:
 
 
 class StoredIndex:
-    """The index written by :func:`write_index`."""
+    """The index written by :func:`write_index` and kept up by :func:`update_index`."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        info = spark.read.schema(_INFO).parquet(f"{path}/info").first()  # one row
+        self.spark, self.path = spark, path.rstrip("/")
+        info = spark.read.schema(_INFO).parquet(f"{self.path}/info").first()  # one row
         self.buckets, self.total_postings = info["buckets"], info["total_postings"]
         self.id_type, self.version = info["id_type"], info["version"]
+        parent = self.path.rsplit("/", 1)[0]
+        self.earlier: list[str] = list(info["earlier"])
+        #: Paths of all segments, the first one first.
+        self.segments = [f"{parent}/{name}" for name in self.earlier] + [self.path]
         # Read once: the file listing and the schema are then known to every search.
+        schemas = _stored_schemas(info["id_type"])
         self._tables = {
-            name: spark.read.schema(schema).parquet(f"{path}/{name}")
-            for name, schema in _stored_schemas(info["id_type"]).items()
+            name: [spark.read.schema(schemas[name]).parquet(f"{s}/{name}") for s in self.segments]
+            for name in ("postings", "term_stats", "field_stats")
         }
-
-    def _of_terms(self, name: str, terms: Sequence[str]) -> DataFrame:
+        self._gone = [spark.read.schema(schemas["gone"]).parquet(f"{s}/gone") for s in self.segments[1:]]
+
+    def _current(self, name: str, wanted: Column | None = None) -> DataFrame:
+        """The rows of a table of documents that still count, over all segments."""
+        if name in self._tables:
+            tables = self._tables[name]
+        else:
+            schema = _stored_schemas(self.id_type)[name]
+            tables = [self.spark.read.schema(schema).parquet(f"{s}/{name}") for s in self.segments]
+        out = None
+        for i, rows in enumerate(tables):
+            rows = rows if wanted is None else rows.where(wanted)
+            later = self._gone[i:]
+            if later:
+                keys = later[0]
+                for more in later[1:]:
+                    keys = keys.unionByName(more)
+                rows = rows.join(keys, "doc_id", "left_anti")
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def _statistics(self, name: str, keys: Sequence[str], wanted: Column | None, *sums: str) -> DataFrame:
+        """A table of statistics; those of several segments are added up."""
+        tables = [t if wanted is None else t.where(wanted) for t in self._tables[name]]
+        out = tables[0]
+        if len(tables) == 1:
+            return out
+        for more in tables[1:]:
+            out = out.unionByName(more)
+        return out.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).where(F.col(sums[0]) > 0)
+
+    def _of_terms(self, terms: Sequence[str]) -> Column | None:
         wanted = sorted(set(terms))
         if not wanted:
-            return self._tables[name].drop("bucket").where(F.lit(False))
+            return F.lit(False)
         buckets = sorted({zlib.crc32(t.encode("utf-8")) % self.buckets for t in wanted})
-        return (
-            self._tables[name]
-            .where(F.col("bucket").isin(*buckets) & F.col("term").isin(*wanted))
-            .where(F.col("field").isin(*P.TEXT_FIELDS))
-            .drop("bucket")
-        )
+        in_bucket = F.col("bucket").isin(*buckets) & F.col("term").isin(*wanted)
+        return in_bucket & F.col("field").isin(*P.TEXT_FIELDS)
 
     def for_terms(self, terms: Sequence[str]) -> StoredIndex:
         return self
 
     def postings(self) -> DataFrame:
         """All postings, with their ``bucket``."""
-        return self._tables["postings"]
+        return self._current("postings")
+
+    def counts(self) -> DataFrame:
+        return self._current("counts")
 
     def with_bucket(self, terms: DataFrame) -> DataFrame:
         return terms.withColumn("bucket", bucket_of(F.col("term"), self.buckets))
 
     def all_term_stats(self) -> DataFrame:
-        return self._tables["term_stats"].drop("bucket")
+        return self._statistics("term_stats", ["field", "term", "bucket"], None, "df").drop("bucket")
 
     def lookup(self, terms: Sequence[str]) -> DataFrame:
-        return self._of_terms("postings", terms)
+        return self._current("postings", self._of_terms(terms)).drop("bucket")
 
     def term_stats(self, terms: Sequence[str]) -> DataFrame:
-        return self._of_terms("term_stats", terms)
+        found = self._statistics("term_stats", ["field", "term", "bucket"], self._of_terms(terms), "df")
+        return found.drop("bucket")
 
     def field_stats(self) -> DataFrame:
-        return self._tables["field_stats"]
+        summed = self._statistics("field_stats", ["field"], None, "n", "total_dl")
+        return summed.select("field", "n", (F.col("total_dl") / F.col("n")).alias("avgdl"))
 
 
 def write_index(
@@ -144,7 +195,13 @@ def write_index(
     """
     P.index_counts(docs).write.mode("overwrite").parquet(f"{path}/counts")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return _build(docs.sparkSession, path, id_type, buckets, hot_min_rows, version)
+    spark = docs.sparkSession
+    counts = _read(spark, path, id_type, "counts")
+    total = _postings_of(counts)
+    if buckets is None:
+        buckets = min(max(total // ROWS_PER_BUCKET, MIN_BUCKETS), MAX_BUCKETS)
+    stats = P.term_stats(P.unpack(counts))
+    return _store(spark, path, id_type, buckets, hot_min_rows, version, total, stats, _lengths(counts), [], None)
 
 
 def update_index(
@@ -154,48 +211,89 @@ def update_index(
     path: str,
     hot_min_rows: int = HOT_MIN_ROWS,
     version: int = 0,
+    max_segments: int = MAX_SEGMENTS,
+    merge_share: float = MERGE_SHARE,
 ) -> StoredIndex:
-    """The index after a change, under a new ``path``: only the ``changed`` texts are read.
+    """The index after a change, as a segment beside ``index``: only ``changed`` is tokenised, and
+    no earlier posting is read or written.
 
-    ``changed`` holds new and changed documents, ``gone`` the ``doc_id`` of deleted ones. The
-    counts of all other documents are taken over without a shuffle while the changed keys are
-    small enough for Spark to broadcast.
+    ``changed`` holds new and changed documents, ``gone`` the ``doc_id`` of deleted ones. Of the
+    earlier segments only the counts of those documents are read, to take them out of the
+    statistics. When the segments have become many or large, all of them are merged instead.
     """
-    if path.rstrip("/") == index.path.rstrip("/"):
-        raise ValueError("an index is updated into a new path")
-    counts = index.spark.read.parquet(f"{index.path}/counts")
-    keys = changed.select("doc_id").unionByName(gone.select("doc_id"))
-    kept = counts.join(keys, "doc_id", "left_anti")
-    kept.unionByName(P.index_counts(changed)).write.mode("overwrite").parquet(f"{path}/counts")
-    return _build(index.spark, path, index.id_type, None, hot_min_rows, version)
+    if path.rstrip("/").rsplit("/", 1)[0] != index.path.rsplit("/", 1)[0] or path.rstrip("/") in index.segments:
+        raise ValueError("a segment is written beside the index, under a new name")
+    spark, id_type = index.spark, index.id_type
+    P.index_counts(changed).write.mode("overwrite").parquet(f"{path}/counts")
+    keys = changed.select("doc_id").unionByName(gone.select("doc_id")).distinct()
+    keys.write.mode("overwrite").parquet(f"{path}/gone")
+    keys = _read(spark, path, id_type, "gone")
+    new = _read(spark, path, id_type, "counts")
+    total = _postings_of(new)
+    if len(index.segments) > max_segments or total > merge_share * index.total_postings:
+        kept = index.counts().join(keys, "doc_id", "left_anti").unionByName(new)
+        merged = f"{path}-merged"
+        kept.write.mode("overwrite").parquet(f"{merged}/counts")
+        counts = _read(spark, merged, id_type, "counts")
+        total = _postings_of(counts)
+        buckets = min(max(total // ROWS_PER_BUCKET, index.buckets), MAX_BUCKETS)
+        stats = P.term_stats(P.unpack(counts))
+        return _store(spark, merged, id_type, buckets, hot_min_rows, version, total, stats, _lengths(counts), [], None)
+    old = index.counts().join(keys, "doc_id", "left_semi")
+
+    def signed(make, *sums: str) -> DataFrame:
+        minus = make(old)
+        both = make(new).unionByName(minus.select(*[(-F.col(c)).alias(c) if c in sums else c for c in minus.columns]))
+        return both.groupBy(*[c for c in both.columns if c not in sums]).agg(*[F.sum(c).alias(c) for c in sums])
+
+    stats = signed(lambda counts: P.term_stats(P.unpack(counts)), "df").where("df <> 0")
+    lengths = signed(_lengths, "n", "total_dl")
+    return _store(
+        spark, path, id_type, index.buckets, hot_min_rows, version, total, stats, lengths,
+        [s.rsplit("/", 1)[1] for s in index.segments], index.total_postings,
+    )
+
 
+def _read(spark: SparkSession, path: str, id_type: str, name: str) -> DataFrame:
+    return spark.read.schema(_stored_schemas(id_type)[name]).parquet(f"{path}/{name}")
 
-def _build(
+
+def _postings_of(counts: DataFrame) -> int:
+    return counts.agg(F.sum(F.size("counts"))).first()[0] or 0
+
+
+def _lengths(counts: DataFrame) -> DataFrame:
+    """Per text field: documents with at least one token, and their tokens."""
+    some = counts.where(F.col("field").isin(*P.TEXT_FIELDS) & (F.col("dl") > 0))
+    return some.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total_dl"))
+
+
+def _store(
     spark: SparkSession,
     path: str,
     id_type: str,
-    buckets: int | None,
+    buckets: int,
     hot_min_rows: int,
     version: int,
+    total: int,
+    stats: DataFrame,
+    lengths: DataFrame,
+    earlier: list[str],
+    earlier_postings: int | None,
 ) -> StoredIndex:
-    """Statistics and postings from the stored counts."""
-    counts = spark.read.parquet(f"{path}/counts")
-    postings = P.unpack(counts)
-    P.field_stats(counts).coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
-    total = counts.agg(F.sum(F.size("counts"))).first()[0] or 0
-    if buckets is None:
-        buckets = min(max(total // ROWS_PER_BUCKET, MIN_BUCKETS), MAX_BUCKETS)
+    """Statistics and postings of one segment, from its stored counts."""
+    postings = P.unpack(_read(spark, path, id_type, "counts"))
+    lengths.coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
     (
-        P.term_stats(postings)
-        .withColumn("bucket", bucket_of(F.col("term"), buckets))
+        stats.withColumn("bucket", bucket_of(F.col("term"), buckets))
         .repartition("bucket")
         .sortWithinPartitions("bucket", "term")
         .write.mode("overwrite").partitionBy("bucket")
         .parquet(f"{path}/term_stats")
     )
-    stats = spark.read.schema(_stored_schemas(id_type)["term_stats"]).parquet(f"{path}/term_stats")
+    found = _read(spark, path, id_type, "term_stats")
     hot = hot_keys(
-        stats.drop("bucket"), ["field", "term"], "df", hot_threshold(total, hot_min_rows)
+        found.drop("bucket"), ["field", "term"], "df", hot_threshold(total, hot_min_rows)
     )
     # a bucket beyond ROWS_PER_BUCKET is the work of several tasks, by term
     shares = max(total // (buckets * ROWS_PER_BUCKET), 1)
@@ -212,9 +310,10 @@ def _build(
         spark.range(1)
         .select(
             F.lit(buckets).cast("int").alias("buckets"),
-            F.lit(total).cast("bigint").alias("total_postings"),
+            F.lit(total + (earlier_postings or 0)).cast("bigint").alias("total_postings"),
             F.lit(id_type).alias("id_type"),
             F.lit(version).cast("bigint").alias("version"),
+            F.array(*[F.lit(e) for e in earlier]).cast("array<string>").alias("earlier"),
         )
         .coalesce(1)
         .write.mode("overwrite").parquet(f"{path}/info")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,9 +19,11 @@ from docloom.functions import paths
 from docloom.operators import delta as D
 from docloom.operators import filters
 from docloom.operators.extract import extract_binary
+from docloom.plans.indexing import refresh_index
 from docloom.plans.ingest import document_rows
+from docloom.session import new_table_path
 from docloom.sources import files, progress
-from docloom.sources.catalog import Catalog
+from docloom.sources.catalog import COMPACT_AFTER, Catalog
 
 
 #: Longer than any file is old.
@@ -54,40 +56,49 @@ def ingest_batch(
     root: str,
     stream: str,
     backup_root: str | None = None,
-    compact_after: int = 50,
+    compact_after: int = COMPACT_AFTER,
+    index_root: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` function: one commit and one progress record per micro-batch.
 
-    A batch that was committed before a failure is recognised by its tag and skipped, and a
-    row replaces the row with the same key, so a replay changes nothing. The counters are
-    observed while the commit runs.
+    Which files count is decided on narrow rows; file bytes are read for those only and go from
+    the source to their text without a shuffle. The record is written first, under the batch's
+    tag: a batch that fails before its commit writes it again, one that fails after it has it.
+    A batch that was committed is recognised by its tag and skipped, and a row replaces the row
+    with the same key, so a replay changes nothing. With ``index_root`` the text index follows
+    every commit.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         tag = f"{stream}-{batch_id}"
-        if catalog.applied(tag):
-            return
-        listing = files.listing_of_binary(batch, root, "content")
-        scan = D.with_keys(listing, filters.accepted(F.col("file_path"), F.col("root")))
-        seen = Observation(tag)
-        statuses = D.delta(scan, _known(catalog, scan), [root], whole_scan=False).observe(
-            seen, *D.counter_columns()
-        )
-        ext = paths.file_extension(paths.file_name(F.col("file_path")))
-        todo = statuses.where(F.col("status") == D.INDEXED)
-        texts = extract_binary(todo.withColumn("file_extension", ext))
-        # a small batch stays in few files: no spreading over key ranges
-        catalog.apply(document_rows(texts, backup_root), tag=tag, clustered=True)
-        counters = progress.counters_of(catalog.spark, seen.get)
-        progress.write(
-            f"{catalog.path}/progress", tag, progress.record(counters, is_running=True)
-        )
-        if catalog.pending >= compact_after:
-            catalog.compact()
+        if not catalog.applied(tag):
+            scan = D.with_keys(
+                files.listing_of_binary(batch, root), filters.accepted(F.col("file_path"), F.col("root"))
+            )
+            path = new_table_path(catalog.spark, "statuses")
+            D.delta(scan, _known(catalog, scan), [root], whole_scan=False).write.parquet(path)
+            statuses = catalog.spark.read.parquet(path)
+            record = progress.record(D.run_counters(statuses), is_running=True)
+            progress.write(f"{catalog.path}/progress", tag, record)
+            # a small batch stays in few files: no spreading over key ranges
+            catalog.apply(document_rows(texts_of(batch, statuses), backup_root), tag=tag, clustered=True)
+            if catalog.pending >= compact_after:
+                catalog.compact()
+        if index_root is not None:
+            refresh_index(catalog, index_root)
 
     return run
 
 
+def texts_of(batch: DataFrame, statuses: DataFrame) -> DataFrame:
+    """The rows to index with their texts. The keys of a micro-batch (its size is the trigger's)
+    are handed to the tasks that read the files, so the bytes stay where they are read."""
+    ext = paths.file_extension(paths.file_name(F.col("file_path")))
+    todo = statuses.where(F.col("status") == D.INDEXED).withColumn("file_extension", ext)
+    bytes_ = batch.select(paths.slashed(F.col("path")).alias("file_path"), "content")
+    return extract_binary(bytes_.join(F.broadcast(todo), "file_path"))
+
+
 def start_ingest(
     spark: SparkSession,
     root: str,
@@ -97,8 +108,11 @@ def start_ingest(
     files_per_batch: int = C.MICRO_BATCH_FILES,
     available_now: bool = False,
     backup_root: str | None = None,
+    index_root: str | None = None,
+    interval: str = C.REFRESH_INTERVAL,
 ) -> StreamingQuery:
-    """Start the stream. By default it looks for new files every ``REFRESH_INTERVAL``."""
+    """Start the stream. By default it looks for new files every ``REFRESH_INTERVAL``; end it with
+    :func:`finish_ingest`."""
     catalog = Catalog(spark, catalog_path).ensure()
     root = (files.existing_roots(spark, [root]) or [root])[0]
     source = (
@@ -114,8 +128,20 @@ def start_ingest(
     writer = (
         source.writeStream.queryName(stream)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(ingest_batch(catalog, root, stream, backup_root))
+        .foreachBatch(ingest_batch(catalog, root, stream, backup_root, index_root=index_root))
     )
     if available_now:
         return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime=C.REFRESH_INTERVAL).start()
+    return writer.trigger(processingTime=interval).start()
+
+
+def finish_ingest(query: StreamingQuery, catalog_path: str, stop: bool = False) -> None:
+    """Waits until the stream ends (as with ``available_now``), or with ``stop`` ends it once it
+    has worked off the files there are. Then writes the closing record: no longer running, and no
+    counters of its own."""
+    if stop:
+        query.processAllAvailable()
+        query.stop()
+    query.awaitTermination()
+    closing = progress.record(progress.no_counters(SparkSession.active()), is_running=False)
+    progress.write(f"{catalog_path.rstrip('/')}/progress", f"{query.name}-end", closing)
