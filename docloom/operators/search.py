@@ -173,7 +173,9 @@ def sort_columns(order: str) -> list[Column]:
     return [keys[order], F.col("doc_id").asc()]
 
 
-def page(found: DataFrame, order: str, number: int = 1, size: int = C.PAGE_SIZE) -> DataFrame:
+def page(
+    found: DataFrame, order: str, number: int = 1, size: int = C.PAGE_SIZE, top_rows: int | None = None
+) -> DataFrame:
     """One page of the sorted hits with their ``rank`` (1 = best). A page is the feature here.
 
     Pages near the top are a take-ordered: every task keeps ``offset + size`` rows. A page
@@ -183,7 +185,7 @@ def page(found: DataFrame, order: str, number: int = 1, size: int = C.PAGE_SIZE)
     number = max(int(number), 1)
     offset = (number - 1) * size
     keys = sort_columns(order)
-    if offset + size <= TOP_ROWS_LIMIT:
+    if offset + size <= (TOP_ROWS_LIMIT if top_rows is None else top_rows):
         rows = found.orderBy(*keys).offset(offset).limit(size)
         # numbered over at most one page of rows
         number_in_page = F.row_number().over(Window.orderBy(*keys)).cast("bigint")

@@ -1,10 +1,11 @@
-"""Real files made from the ``documents`` table by Spark tasks, as input for the ingest jobs."""
+"""Fixture: real files made from the given tables by Spark tasks, as input for the ingest jobs."""
 
 from __future__ import annotations
 
 import io
 import os
 import re
+import time
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
@@ -91,7 +92,7 @@ def with_bytes(docs: DataFrame) -> DataFrame:
 
 def _write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for path, data in zip(b["file_path"], b["content"]):
+        for path, data, age in zip(b["file_path"], b["content"], b["age_days"]):
             if files.is_remote(path):
                 store, inner = files.open_store(path)
                 store.create_dir(os.path.dirname(inner), recursive=True)
@@ -102,20 +103,45 @@ def _write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 os.makedirs(os.path.dirname(path), exist_ok=True)
                 with open(path, "wb") as f:
                     f.write(data)
+                if age:
+                    then = time.time() - age * 86400
+                    os.utime(path, (then, then))
         yield pd.DataFrame({"n": [len(b)]})
 
 
-def write_tree(spark: SparkSession, sf_dir: str) -> str:
-    """Write one file per document below a new folder of the working folder; returns it.
+def write_tree(spark: SparkSession, sf_dir: str, root: str | None = None, part: int | None = None, age_days: int = 0) -> str:
+    """Write one file per document below a new folder of the working folder; returns it. With
+    ``part`` (0 or 1) only every other document; ``age_days`` dates the files back.
 
     A repeated task writes the same bytes to the same path.
     """
-    root = new_table_path(spark, "tree")
+    root = root or new_table_path(spark, "tree")
     docs = catalog(spark, sf_dir)
+    if part is not None:
+        docs = docs.where(F.col("doc_id") % 2 == part)
     rows = docs.select(
         F.concat(F.lit(root), F.substr(F.col("file_path"), F.lit(len(ROOT) + 1))).alias("file_path"),
         paths.file_extension(F.col("file_name")).alias("file_extension"),
         "content",
     )
-    with_bytes(spread(rows, "file_path")).mapInPandas(_write, "n bigint").agg(F.sum("n")).first()
+    _write_rows(with_bytes(spread(rows, "file_path")), age_days)
+    return root
+
+
+def _write_rows(rows: DataFrame, age_days: int = 0) -> None:
+    dated = rows.withColumn("age_days", F.lit(age_days))
+    dated.mapInPandas(_write, "n bigint").agg(F.sum("n")).first()
+
+
+def write_long_texts(spark: SparkSession, sf_dir: str, more_than: int) -> str:
+    """A text file per ``benchmark`` item: its text again and again, over ``more_than`` characters."""
+    root = new_table_path(spark, "long")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").repartition(8, "item_id")
+    times = F.floor(F.lit(more_than) / (F.length("text") + 1)).cast("int") + 1
+    rows = items.select(
+        F.concat(F.lit(root + "/"), F.col("item_id"), F.lit(".txt")).alias("file_path"),
+        F.lit(".txt").alias("file_extension"),
+        F.repeat(F.concat("text", F.lit("\n")), times).alias("content"),
+    )
+    _write_rows(with_bytes(rows))
     return root

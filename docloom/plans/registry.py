@@ -18,12 +18,14 @@ from docloom.operators import search as S
 from docloom.plans import oracle as O
 from docloom.plans import results
 from docloom.plans import tables as T
-from docloom.plans.file_trees import with_bytes, write_tree
+from docloom.plans.file_trees import with_bytes, write_long_texts, write_tree
 from docloom.plans.ingest import run_ingest
 from docloom.session import new_table_path, spread
+from docloom.schema import DOCUMENT
+from docloom.sources import progress
 from docloom.sources.catalog import Catalog
-from docloom.sources.text_index import ScannedIndex, write_index
-from docloom.streaming.ingest import start_ingest
+from docloom.sources.text_index import ScannedIndex, update_index, write_index
+from docloom.streaming.ingest import finish_ingest, ingest_batch, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -491,6 +493,85 @@ def search_batch(spark, sf_dir):
     return batch_search.search_batch(log, index, T.search_meta(spark, sf_dir), 10)
 
 
+def _updated_index(spark, sf_dir):
+    """The index of an older state, brought to the present one: a document in seven is new, one in
+    five had another text, one in eleven is gone."""
+    docs = T.search_docs(spark, sf_dir)
+    i = F.col("doc_id")
+    older = F.when(i % 5 == 0, F.concat(F.lit("older thing report "), "content")).otherwise(F.col("content"))
+    base = new_table_path(spark, "index")
+    index = write_index(docs.where(i % 7 != 0).withColumn("content", older), f"{base}/v=1")
+    now = docs.where(i % 11 != 0)
+    changed = now.where((i % 7 == 0) | (i % 5 == 0))
+    gone = docs.where((i % 11 == 0) & (i % 7 != 0)).select("doc_id")
+    return update_index(index, changed, gone, f"{base}/v=2", merge_share=1.0)
+
+
+def _present(sql: str) -> str:
+    return sql.replace("FROM parts)", "FROM parts WHERE i % 11 <> 0)")
+
+
+@query(_present("WITH " + O.POSTINGS) + "\nSELECT field, term, count(*) AS df FROM post GROUP BY ALL")
+def term_stats_after_update(spark, sf_dir):
+    index = _updated_index(spark, sf_dir)
+    return index.all_term_stats().where(F.col("field").isin(*P.TEXT_FIELDS)).select("field", "term", "df")
+
+
+@query(O.page(_present(_FLAGSHIP_SQL), "relevance", columns="doc_id, score"))
+def search_after_update(spark, sf_dir):
+    request = S.compile_query(spark, FLAGSHIP)
+    meta = T.search_meta(spark, sf_dir).where(F.col("doc_id") % 11 != 0)
+    found = S.hits(meta, _updated_index(spark, sf_dir), request)
+    return S.page(found, request.order).select("rank", "doc_id", "score")
+
+
+def _deep(sql: str) -> str:
+    return sql + """,
+ranked AS (SELECT *, row_number() OVER (ORDER BY file_name, doc_id) AS rank FROM found)
+SELECT rank, doc_id FROM ranked WHERE rank > 300 AND rank <= 310"""
+
+
+@query(_deep(O.hits([["report"]])))
+def search_deep_page(spark, sf_dir):
+    """A page cut out of the distributed sort by position."""
+    found, order = _hits(spark, sf_dir, "report", "name_asc")
+    return S.page(found, order, 31, 10, top_rows=0).select("rank", "doc_id")
+
+
+@query(
+    "WITH " + O.CATALOG + """,
+moved AS (SELECT *, replace(file_path, ' ', '_') AS path FROM catalog)
+SELECT doc_id FROM moved WHERE path <> (SELECT min(path) FROM moved)"""
+)
+def search_exclude_path(spark, sf_dir):
+    """An exclusion that is a whole path, and nothing but that document's path."""
+    docs = T.search_docs(spark, sf_dir).withColumn("file_path", F.translate("file_path", " ", "_"))
+    first = docs.agg(F.min("file_path")).first()[0]
+    meta = docs.drop("content")
+    request = S.compile_query(spark, f"-{first}")
+    # the tokens of the path are no word of any text; the path itself decides
+    return S.hits(meta, ScannedIndex(docs.withColumn("file_name", F.lit("qqq"))), request).select("doc_id")
+
+
+@query(
+    "WITH " + O.CATALOG + """
+SELECT doc_id, lower('/corpus/' || source || '/kept/' || stem || ext_raw) AS norm_path
+FROM catalog JOIN parts ON doc_id = i"""
+)
+def paths_folded(spark, sf_dir):
+    """``.``, ``..``, double slashes, backslashes and letter case in paths."""
+    docs = T.catalog(spark, sf_dir)
+    source = F.regexp_extract("file_path", "^/Corpus/([^/]*)", 1)
+    i = F.col("doc_id") % 4
+    folders = (
+        F.when(i == 0, F.concat(F.lit("/Corpus//"), source, F.lit("/./kept/x/../")))
+        .when(i == 1, F.concat(F.lit("\\Corpus\\"), source, F.lit("\\KEPT\\")))
+        .when(i == 2, F.concat(F.lit("/../Corpus/a/../"), source, F.lit("/kept//")))
+        .otherwise(F.concat(F.lit("file:///corpus/"), F.upper(source), F.lit("/Kept/")))
+    )
+    return docs.select("doc_id", paths.norm_path(F.concat(folders, "file_name")).alias("norm_path"))
+
+
 def _classify_sql() -> str:
     source = "(SELECT * FROM query_log UNION ALL SELECT conv_id * 1000 + turn + 10000000, text FROM conversations)"
     return "WITH " + O.QUERY_LOG + "," + O.classified(source, "query_id", "query") + """
@@ -682,14 +763,97 @@ def extract_text(spark, sf_dir):
 
 @query(_EXTRACTED)
 def stream_ingest(spark, sf_dir):
-    """The same files through the stream; the result is that of the batch ingest."""
+    """The same files through the stream, in two arrivals, the second with dates a month back; the
+    result is that of the batch ingest."""
+    root, path, state = None, new_table_path(spark, "catalog"), new_table_path(spark, "stream")
+    for part, age in ((0, 0), (1, 30)):
+        root = write_tree(spark, sf_dir, root, part, age)
+        stream = start_ingest(spark, root, path, state, files_per_batch=500, available_now=True)
+        finish_ingest(stream, path)
+    return _catalog_texts(Catalog(spark, path), root)
+
+
+def _replayed(spark, sf_dir) -> tuple[Catalog, str]:
+    """A catalog after the same micro-batch came twice, and its files once more as another one."""
+    root = write_tree(spark, sf_dir)
+    catalog = Catalog(spark, new_table_path(spark, "catalog")).ensure()
+    batch = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    run = ingest_batch(catalog, root, "stream")
+    for batch_id in (0, 0, 1):
+        run(batch, batch_id)
+    return catalog, root
+
+
+@query(_EXTRACTED)
+def stream_replay(spark, sf_dir):
+    return _catalog_texts(*_replayed(spark, sf_dir))
+
+
+@query("WITH " + O.CATALOG + f""",
+seen AS (SELECT {O.ACCEPTED} AS ok FROM catalog
+         WHERE left(file_name, 1) <> '.' AND sub_dir <> '/.git/x')
+SELECT 2 * count(*) FILTER (ok) AS scanned, count(*) FILTER (ok) AS indexed,
+       count(*) FILTER (ok) AS skipped, 2 * count(*) FILTER (NOT ok) AS ignored,
+       0::BIGINT AS error, 0::BIGINT AS deleted
+FROM seen""")
+def progress_totals(spark, sf_dir):
+    """The counters of all micro-batches: a replay counts once."""
+    catalog, _ = _replayed(spark, sf_dir)
+    return progress.totals(progress.read(spark, f"{catalog.path}/progress"))
+
+
+@query("WITH " + O.CATALOG + f""",
+n AS (SELECT count(*) FILTER ({O.ACCEPTED}) AS ok, count(*) FILTER (NOT {O.ACCEPTED}) AS bad FROM catalog
+      WHERE sub_dir NOT IN ('/Node_Modules', '/.git/x', '/x$Recycle.Bin2'))
+SELECT false AS is_running, ok AS scanned, ok AS indexed, 0::BIGINT AS skipped, bad AS ignored,
+       0::BIGINT AS error, 0::BIGINT AS deleted, 0::BIGINT AS unparsed,
+       format('Checking documents: {{:,}} scanned ({{:,}} updated, 0 skipped)', ok, ok) AS status_message
+FROM n""")
+def progress_latest(spark, sf_dir):
+    """What the status shows after a run."""
     root = write_tree(spark, sf_dir)
     path = new_table_path(spark, "catalog")
-    stream = start_ingest(
-        spark, root, path, new_table_path(spark, "stream"), files_per_batch=500, available_now=True
+    run_ingest(spark, path, [root])
+    return progress.latest(progress.read(spark, f"{path}/progress")).drop("at", "tag")
+
+
+LONG_TEXT = 1_050_000
+
+
+@query(f"""
+WITH t AS (
+  SELECT item_id, repeat(text || chr(10), floor({LONG_TEXT} / (length(text) + 1))::INT + 1) AS content
+  FROM benchmark)
+SELECT item_id || '.txt' AS rel_path, length(content) AS n_chars, md5(content) AS content_md5 FROM t""")
+def extract_long_text(spark, sf_dir):
+    """Texts of over a million characters are kept whole."""
+    root = write_long_texts(spark, sf_dir, LONG_TEXT)
+    path = new_table_path(spark, "catalog")
+    run_ingest(spark, path, [root])
+    return _catalog_texts(Catalog(spark, path), root).select(
+        "rel_path", F.length("content").cast("bigint").alias("n_chars"), F.md5("content").alias("content_md5")
     )
-    stream.awaitTermination()
-    return _catalog_texts(Catalog(spark, path), root)
+
+
+@query(
+    "WITH " + O.CATALOG + """
+SELECT id, file_path, CASE WHEN doc_id % 5 = 0 THEN 'new ' ELSE '' END || content AS content
+FROM catalog WHERE doc_id % 11 <> 0"""
+)
+def catalog_after_compact(spark, sf_dir):
+    """All rows, then a change of some and a delete of others, folded into one base."""
+    rows = T.catalog(spark, sf_dir)
+    keyed = rows.withColumn("_id", paths.document_id(paths.norm_path(F.col("file_path"))))
+    for field in DOCUMENT.fields:
+        if field.name not in keyed.columns:
+            keyed = keyed.withColumn(field.name, F.lit(None).cast(field.dataType))
+    catalog = Catalog(spark, new_table_path(spark, "catalog"))
+    catalog.apply(keyed.where("doc_id % 7 <> 0"), tag="one")
+    changed = keyed.where("doc_id % 5 = 0").withColumn("content", F.concat(F.lit("new "), "content"))
+    catalog.apply(changed.unionByName(keyed.where("doc_id % 7 = 0 and doc_id % 5 <> 0")), tag="two")
+    catalog.apply(keyed.limit(0), keyed.where("doc_id % 11 = 0"), tag="three")
+    catalog.compact()
+    return catalog.read().select(F.col("_id").alias("id"), "file_path", "content")
 
 
 @query(r"""

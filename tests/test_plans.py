@@ -16,7 +16,8 @@ from docloom.session import new_table_path
 from docloom.sources.catalog import cluster
 from docloom.sources.text_index import write_index
 
-RUNS_JOBS = {"extract_text", "stream_ingest"}  # return a plain read of the catalog
+RUNS_JOBS = {"extract_text", "stream_ingest", "stream_replay", "progress_totals", "progress_latest",
+             "extract_long_text", "catalog_after_compact"}  # return a plain read of the catalog
 
 
 def plan(df) -> str:
