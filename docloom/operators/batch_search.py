@@ -18,7 +18,7 @@ from docloom import constants as C
 from docloom.functions.querytext import classify
 from docloom.functions.tokens import term_counts, tokens
 from docloom.operators import postings as P
-from docloom.operators.search import bm25
+from docloom.operators.search import RANK_DIGITS, SHOWN_DIGITS, bm25
 from docloom.operators.skew import (
     HOT_MIN_ROWS,
     add_salt,
@@ -169,7 +169,7 @@ def _matches(points: DataFrame) -> DataFrame:
         .agg(
             F.count_if(F.col("clause") >= 0).alias("met"),
             F.count_if(F.col("clause") < 0).alias("hit_exclusion"),
-            F.round(F.sum(F.col("points") * F.col("times")), 6).alias("total"),
+            F.round(F.sum(F.col("points") * F.col("times")), RANK_DIGITS).alias("total"),
         )
         .where((F.col("met") == F.col("n_clauses")) & (F.col("hit_exclusion") == 0))
         .select("query_id", "doc_id", "has_must", "total")
@@ -325,6 +325,6 @@ def top_k(matched: DataFrame, meta: DataFrame, k: int) -> DataFrame:
             "query_id",
             F.col("rank").cast("bigint").alias("rank"),
             "doc_id",
-            F.when(F.col("has_must"), F.col("total")).alias("score"),
+            F.when(F.col("has_must"), F.round("total", SHOWN_DIGITS)).alias("score"),
         )
     )

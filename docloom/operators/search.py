@@ -22,6 +22,9 @@ from docloom.session import work_folder
 SORTS = ("relevance", "date_desc", "date_asc", "name_asc", "size_desc")
 #: Pages that end beyond this row are cut out of a distributed sort (see :func:`page`).
 TOP_ROWS_LIMIT = 10_000
+#: Scores are ranked by so many decimals, beyond which the order of additions shows, and shown
+#: with fewer.
+RANK_DIGITS, SHOWN_DIGITS = 9, 6
 
 
 @dataclass(frozen=True)
@@ -158,7 +161,26 @@ def hits(docs: DataFrame, index, request: Request) -> DataFrame:
     if not scored or "score" not in base.columns:
         return base.withColumn("score", F.lit(None).cast("double"))
     bonus = 1.0 if request.file_types else 0.0  # a type filter is a constant-score clause
-    return base.withColumn("score", F.round(F.col("score") + bonus, 6))
+    return base.withColumn("score", F.round(F.col("score") + bonus, RANK_DIGITS))
+
+
+def scored_hits(index, request: Request) -> DataFrame:
+    """``(doc_id, score)`` of all documents that match a query with a required word, from a stored
+    index alone: types and excluded paths are postings as well, so the documents themselves are
+    looked up for the rows of a page only."""
+    terms = [t for t in request.must if t]
+    if len(terms) < len(request.must):  # a term without tokens matches nothing
+        return index.lookup([]).select("doc_id", F.lit(0.0).alias("score"))
+    found = _clause_hits(index, terms, True)
+    if request.file_types:
+        found = found.join(index.with_keyword("file_type", request.file_types), "doc_id", "left_semi")
+    excluded = sorted({t for term in request.must_not for t in term})
+    if excluded:
+        found = found.join(index.lookup(excluded).select("doc_id"), "doc_id", "left_anti")
+    if request.must_not_raw:
+        found = found.join(index.with_keyword("file_path", request.must_not_raw), "doc_id", "left_anti")
+    bonus = 1.0 if request.file_types else 0.0
+    return found.withColumn("score", F.round(F.col("score") + bonus, RANK_DIGITS))
 
 
 def sort_columns(order: str) -> list[Column]:
@@ -222,13 +244,15 @@ def page_summary(found: DataFrame, number: int = 1, size: int = C.PAGE_SIZE) ->
     return total_hits(found).select(*page_columns(F.col("total"), F.lit(max(number, 1)), size))
 
 
-def fetch(top: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
-    """Wide columns of the rows of one page.
+def fetch(top: DataFrame, docs: DataFrame, *columns: str, size: int = C.PAGE_SIZE) -> DataFrame:
+    """Wide columns of the rows of one page of at most ``size`` rows.
 
-    The page is evaluated first (its narrow rows, at most one page). Its keys then reach the
-    scan of the wide table as a filter, which skips the row groups without any of them.
+    The page is evaluated first (its narrow rows). Its keys then reach the scan of the wide table
+    as a filter, which skips the row groups without any of them.
     """
-    rows = top.collect()  # one page
+    rows = top.take(size + 1)
+    if len(rows) > size:
+        raise ValueError(f"more than a page of {size} rows")
     keys = [r["doc_id"] for r in rows]
     page_rows = top.sparkSession.createDataFrame(rows, top.schema)
     wide = docs.select("doc_id", *columns).where(F.col("doc_id").isin(*keys) if keys else F.lit(False))

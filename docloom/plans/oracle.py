@@ -118,7 +118,7 @@ scored AS (
   FROM post JOIN dl USING (doc_id, field) JOIN fs USING (field) JOIN ts USING (field, term))"""
 
 ORDER_BY = {
-    "relevance": "score DESC NULLS LAST",
+    "relevance": "full_score DESC NULLS LAST",
     "date_desc": "modified_date DESC NULLS LAST",
     "date_asc": "modified_date ASC NULLS LAST",
     "name_asc": "file_name ASC NULLS LAST",
@@ -141,7 +141,7 @@ def hits(
     bonus = 1.0 if types else 0.0
     if not clauses:
         return "WITH " + POSTINGS + f""",
-found AS (SELECT *, CAST(NULL AS DOUBLE) AS score FROM catalog WHERE {' AND '.join(where)})"""
+found AS (SELECT *, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS DOUBLE) AS full_score FROM catalog WHERE {' AND '.join(where)})"""
     values = ", ".join(f"({i}, '{t}')" for i, t in clauses)
     return "WITH " + SCORED + f""",
 q(clause, term) AS (VALUES {values}),
@@ -150,7 +150,7 @@ per_field AS (SELECT doc_id, clause, field, sum(s * boost) AS s
 per_clause AS (SELECT doc_id, clause, max(s) AS s FROM per_field GROUP BY ALL),
 per_doc AS (SELECT doc_id, sum(s) AS s FROM per_clause GROUP BY doc_id
             HAVING count(*) = {len(must)}),
-found AS (SELECT c.*, round(p.s + {bonus}, 6) AS score
+found AS (SELECT c.*, round(p.s + {bonus}, 6) AS score, round(p.s + {bonus}, 9) AS full_score
           FROM catalog c JOIN per_doc p USING (doc_id) WHERE {' AND '.join(where)})"""
 
 
@@ -239,14 +239,15 @@ excluded AS (
 kept AS (
   SELECT h.query_id, h.doc_id, h.has_must, c.modified_date,
          CASE WHEN h.has_must
-           THEN round(h.s + CASE WHEN len(p.types) > 0 THEN 1.0 ELSE 0.0 END, 6) END AS score
+           THEN round(h.s + CASE WHEN len(p.types) > 0 THEN 1.0 ELSE 0.0 END, 9) END AS full_score,
+         round(full_score, 6) AS score
   FROM all_hits h JOIN parsed p USING (query_id) JOIN catalog c USING (doc_id)
        LEFT JOIN excluded e ON e.query_id = h.query_id AND e.doc_id = h.doc_id
   WHERE e.doc_id IS NULL AND (len(p.types) = 0 OR list_contains(p.types, c.file_type))),
 ranked AS (
   SELECT query_id, doc_id, score, row_number() OVER (
     PARTITION BY query_id
-    ORDER BY score DESC NULLS LAST, CASE WHEN NOT has_must THEN modified_date END DESC NULLS LAST,
+    ORDER BY full_score DESC NULLS LAST, CASE WHEN NOT has_must THEN modified_date END DESC NULLS LAST,
              doc_id) AS rank
   FROM kept)
 SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""

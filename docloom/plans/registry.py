@@ -372,9 +372,13 @@ def _hits(spark, sf_dir, text, sort="relevance"):
     return S.hits(T.search_meta(spark, sf_dir), ScannedIndex(docs), request), request.order
 
 
+def _shown(found: DataFrame) -> DataFrame:
+    return found.withColumn("score", F.round("score", S.SHOWN_DIGITS))
+
+
 def _page(spark, sf_dir, text, sort="relevance", number=1, columns=("doc_id",)):
     found, order = _hits(spark, sf_dir, text, sort)
-    return S.page(found, order, number).select("rank", *columns)
+    return _shown(S.page(found, order, number)).select("rank", *columns)
 
 
 @query(O.page(_FLAGSHIP_SQL, "relevance", columns="doc_id, score, file_name"))
@@ -385,7 +389,7 @@ def search_relevance(spark, sf_dir):
 @query(_WIDE_SQL + "\nSELECT doc_id, score FROM found")
 def search_all_hits(spark, sf_dir):
     """Every hit with its score, no page; a term of two tokens and several types."""
-    return _hits(spark, sf_dir, WIDE)[0].select("doc_id", "score")
+    return _shown(_hits(spark, sf_dir, WIDE)[0]).select("doc_id", "score")
 
 
 @query(O.page(O.hits([]), "date_desc"))
@@ -465,7 +469,7 @@ _CARD_COLUMNS = """replace(replace(file_name, '&', '&amp;'), '''', '&#x27;') AS
 @query(
     O.snippets(
         _FLAGSHIP_SQL + f""",
-ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM found),
+ranked AS (SELECT *, row_number() OVER (ORDER BY full_score DESC, doc_id) AS rank FROM found),
 shown AS (SELECT rank, score, content, doc_id, {_CARD_COLUMNS} FROM ranked WHERE rank <= 100)""",
         ["report", "thing"],
         source="shown",
@@ -519,10 +523,10 @@ def term_stats_after_update(spark, sf_dir):
 
 @query(O.page(_present(_FLAGSHIP_SQL), "relevance", columns="doc_id, score"))
 def search_after_update(spark, sf_dir):
+    """From the index alone, over two segments."""
     request = S.compile_query(spark, FLAGSHIP)
-    meta = T.search_meta(spark, sf_dir).where(F.col("doc_id") % 11 != 0)
-    found = S.hits(meta, _updated_index(spark, sf_dir), request)
-    return S.page(found, request.order).select("rank", "doc_id", "score")
+    found = S.scored_hits(_updated_index(spark, sf_dir), request)
+    return _shown(S.page(found, request.order)).select("rank", "doc_id", "score")
 
 
 def _deep(sql: str) -> str:

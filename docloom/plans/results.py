@@ -45,7 +45,7 @@ def cards(page: DataFrame, request: S.Request, escape: bool = False) -> DataFram
     return page.select(
         "rank",
         "doc_id",
-        "score",
+        F.round("score", S.SHOWN_DIGITS).alias("score"),
         display.html_escape(F.coalesce("file_name", F.lit(UNNAMED))).alias("title"),
         display.html_escape(path).alias("path"),
         kind.alias("file_type"),
@@ -71,19 +71,19 @@ def search_page(
 ) -> ResultPage:
     """One result page over the catalog. An empty query shows nothing.
 
-    Narrow columns decide the page; texts are read for its rows only.
+    By relevance the index alone decides the page; other orders read the narrow columns of the
+    catalog. All else is read for the rows of the page only.
     """
     number = page_number(page)
-    meta = search_columns(catalog.read())
-    if not query.strip():
-        meta = meta.where(F.lit(False))
-    request = S.compile_query(catalog.spark, query.strip(), sort)
-    found = S.hits(meta, index, request)
-    top = S.page(found, request.order, number, size)
-    rows = top.collect()  # one page of narrow rows
     spark = catalog.spark
-    wide = catalog.read([r["doc_id"] for r in rows]).select(
-        F.col("_id").alias("doc_id"), "created_date", "content"
-    )
+    request = S.compile_query(spark, query.strip(), sort)
+    if query.strip() and request.order == "relevance":
+        found = S.scored_hits(index, request)
+    else:
+        meta = search_columns(catalog.read())
+        found = S.hits(meta if query.strip() else meta.where(F.lit(False)), index, request)
+    top = S.page(found, request.order, number, size).select("doc_id", "rank", "score")
+    rows = top.collect()  # one page of narrow rows
+    wide = search_columns(catalog.read([r["doc_id"] for r in rows]), "created_date", "content")
     full = wide.join(F.broadcast(spark.createDataFrame(rows, top.schema)), "doc_id")
     return ResultPage(cards(full, request, escape), S.page_summary(found, number, size))

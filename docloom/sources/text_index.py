@@ -160,6 +160,12 @@ class StoredIndex:
     def with_bucket(self, terms: DataFrame) -> DataFrame:
         return terms.withColumn("bucket", bucket_of(F.col("term"), self.buckets))
 
+    def with_keyword(self, field: str, values: Sequence[str]) -> DataFrame:
+        """``doc_id`` of the documents with one of the values in a keyword field."""
+        buckets = sorted({zlib.crc32(v.encode("utf-8")) % self.buckets for v in values})
+        wanted = F.col("bucket").isin(*buckets) & F.col("term").isin(*sorted(set(values)))
+        return self._current("postings", wanted & (F.col("field") == field)).select("doc_id")
+
     def all_term_stats(self) -> DataFrame:
         return self._statistics("term_stats", ["field", "term", "bucket"], None, "df").drop("bucket")
 

@@ -64,3 +64,11 @@ def test_search_page_plan(spark, sf_dir):
     by_date = S.compile_query(spark, "pdf report", "date_asc")
     text = plan(S.page(S.hits(meta, index, by_date), by_date.order))
     assert "avgdl" not in text and "term_stats" not in text
+
+
+def test_relevance_reads_no_documents(spark, sf_dir):
+    index = write_index(T.search_docs(spark, sf_dir), new_table_path(spark, "index"))
+    request = S.compile_query(spark, "pdf report NOT thing")
+    text = plan(S.page(S.scored_hits(index, request), request.order))
+    assert "documents.parquet" not in text and "modified_date" not in text
+    assert "TakeOrderedAndProject" in text

@@ -86,6 +86,9 @@ def test_scanned_and_stored_equal_brute_force(spark, corpus, text):
     for index in (ScannedIndex(docs), stored):
         got = {r.doc_id: r.score for r in S.hits(meta, index, request).collect()}
         assert got.keys() == want.keys()
+        if request.order == "relevance" and index is stored:
+            alone = {r.doc_id: r.score for r in S.scored_hits(stored, request).collect()}
+            assert alone == got
         if request.order == "relevance":
             for k, v in want.items():
                 assert got[k] == pytest.approx(v, abs=2e-6)
