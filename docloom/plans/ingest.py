@@ -15,7 +15,7 @@ from docloom.operators import filters
 from docloom.operators.extract import extract_listed
 from docloom.operators.mirror import with_backup
 from docloom.schema import DOCUMENT
-from docloom.session import new_table_path
+from docloom.session import new_table_path, run_folder
 from docloom.sources import files, progress
 from docloom.sources.catalog import COMPACT_AFTER, Catalog, cluster
 
@@ -66,49 +66,51 @@ def run_ingest(
     a root that is missing now are kept.
     """
     tag = tag or uuid.uuid4().hex
-    catalog = Catalog(spark, catalog_path).ensure()
-    records = f"{catalog_path}/progress"  # one record a run, replaced as the run goes on
-    progress.write(records, tag, progress.record(progress.no_counters(spark), True))
-    present = files.existing_roots(spark, roots)
-    listing = files.walk(spark, present, folder_names, path_parts)
-    ok = filters.accepted(
-        F.col("file_path"), F.col("root"), names=folder_names, parts=path_parts
-    )
-    scan = D.with_keys(listing, ok | F.col("unreadable"))
-    # Narrow rows, used several times below: a table instead of as many joins.
-    path = new_table_path(spark, "statuses")
-    D.delta(scan, D.metadata(catalog.read()), present, force).write.parquet(path)
-    statuses = spark.read.parquet(path)
-    blind = statuses.where("unreadable")
-    if blind.limit(1).count():
-        statuses = D.protect(statuses, blind)
-    # what is known before any file is opened: nothing is indexed or deleted yet
-    so_far = D.run_counters(statuses).select(
-        "scanned", F.lit(0).alias("indexed"), "skipped", "ignored", "error", F.lit(0).alias("deleted")
-    )
-    progress.write(records, tag, progress.record(so_far, True))
+    with run_folder(spark):  # what the run keeps in between goes with it
+        catalog = Catalog(spark, catalog_path).ensure()
+        records = f"{catalog_path}/progress"  # one record a run, replaced as the run goes on
+        progress.write(records, tag, progress.record(progress.no_counters(spark), True))
+        present = files.existing_roots(spark, roots)
+        listing = files.walk(spark, present, folder_names, path_parts)
+        ok = filters.accepted(
+            F.col("file_path"), F.col("root"), names=folder_names, parts=path_parts
+        )
+        scan = D.with_keys(listing, ok | F.col("unreadable"))
+        # Narrow rows, used several times below: a table instead of as many joins.
+        path = new_table_path(spark, "statuses")
+        D.delta(scan, D.metadata(catalog.read()), present, force).write.parquet(path)
+        statuses = spark.read.parquet(path)
+        blind = statuses.where("unreadable")
+        if blind.limit(1).count():
+            statuses = D.protect(statuses, blind)
+        # what is known before any file is opened: nothing is indexed or deleted yet
+        so_far = D.run_counters(statuses).select(
+            "scanned", F.lit(0).alias("indexed"), "skipped", "ignored", "error", F.lit(0).alias("deleted")
+        )
+        progress.write(records, tag, progress.record(so_far, True))
 
-    read = Observation(f"read-{tag}")
-    todo = statuses.where(F.col("status") == D.INDEXED)
-    # Tasks follow the bytes and files to read, not the size of these narrow rows; rows meet
-    # in key ranges now, so that their texts need no shuffle later.
-    todo = cluster(todo, read_tasks(todo))
-    extracted = extract_listed(todo).observe(
-        read, F.count_if(~F.col("readable")).alias("bad"), F.count_if(~F.col("parsed")).alias("unparsed")
-    )
-    puts = document_rows(extracted.where("readable"), backup_root, backup_excluded)
-    catalog.apply(puts, statuses.where(F.col("status") == D.GHOST), tag, clustered=True)
+        read = Observation(f"read-{tag}")
+        todo = statuses.where(F.col("status") == D.INDEXED)
+        # Tasks follow the bytes and files to read, not the size of these narrow rows; rows meet
+        # in key ranges now, so that their texts need no shuffle later.
+        todo = cluster(todo, read_tasks(todo))
+        extracted = extract_listed(todo).observe(
+            read, F.count_if(~F.col("readable")).alias("bad"), F.count_if(~F.col("parsed")).alias("unparsed")
+        )
+        puts = document_rows(extracted.where("readable"), backup_root, backup_excluded)
+        catalog.apply(puts, statuses.where(F.col("status") == D.GHOST), tag, clustered=True)
 
-    bad = F.lit(read.get["bad"] or 0)  # files that vanished between listing and reading
-    counters = D.run_counters(statuses).select(
-        (F.col("scanned") - bad).alias("scanned"),
-        (F.col("indexed") - bad).alias("indexed"),
-        "skipped",
-        "ignored",
-        (F.col("error") + bad).alias("error"),
-        "deleted",
-    )
-    progress.write(records, tag, progress.record(counters, False, read.get["unparsed"] or 0))
-    if catalog.pending >= compact_after:
-        catalog.compact()
-    return counters
+        bad = F.lit(read.get["bad"] or 0)  # files that vanished between listing and reading
+        lazy = D.run_counters(statuses).select(
+            (F.col("scanned") - bad).alias("scanned"),
+            (F.col("indexed") - bad).alias("indexed"),
+            "skipped",
+            "ignored",
+            (F.col("error") + bad).alias("error"),
+            "deleted",
+        )
+        counters = spark.createDataFrame([lazy.first()], lazy.schema)  # one row, out of the run's folder
+        progress.write(records, tag, progress.record(counters, False, read.get["unparsed"] or 0))
+        if catalog.pending >= compact_after:
+            catalog.compact()
+        return counters

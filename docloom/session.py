@@ -8,6 +8,9 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,9 +68,28 @@ def work_folder(spark: SparkSession) -> str:
     return folder
 
 
+_run: ContextVar[str | None] = ContextVar("run_folder", default=None)
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
-    """A path under the working folder that no earlier run has used."""
-    return f"{work_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path under the working folder, or the current run's folder in it, that no earlier run has
+    used."""
+    folder = _run.get() or work_folder(spark).rstrip("/")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder for the intermediate tables of one job, which goes when the job's result is
+    written. What the job returns must not read from it."""
+    folder = f"{work_folder(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    before = _run.set(folder)
+    try:
+        yield folder
+    finally:
+        _run.reset(before)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _shipped: set[str] = set()

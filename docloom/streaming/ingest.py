@@ -21,7 +21,7 @@ from docloom.operators import filters
 from docloom.operators.extract import extract_binary
 from docloom.plans.indexing import refresh_index
 from docloom.plans.ingest import document_rows
-from docloom.session import new_table_path
+from docloom.session import new_table_path, run_folder
 from docloom.sources import files, progress
 from docloom.sources.catalog import COMPACT_AFTER, Catalog
 
@@ -70,7 +70,12 @@ def ingest_batch(
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        tag = f"{stream}-{batch_id}"
+        with run_folder(catalog.spark):
+            ingest(batch, f"{stream}-{batch_id}")
+        if index_root is not None:
+            refresh_index(catalog, index_root)
+
+    def ingest(batch: DataFrame, tag: str) -> None:
         if not catalog.applied(tag):
             scan = D.with_keys(
                 files.listing_of_binary(batch, root), filters.accepted(F.col("file_path"), F.col("root"))
@@ -84,8 +89,6 @@ def ingest_batch(
             catalog.apply(document_rows(texts_of(batch, statuses), backup_root), tag=tag, clustered=True)
             if catalog.pending >= compact_after:
                 catalog.compact()
-        if index_root is not None:
-            refresh_index(catalog, index_root)
 
     return run
 

@@ -10,7 +10,7 @@ from docloom.plans.ingest import document_rows, run_ingest
 from docloom.schema import DOCUMENT
 from docloom.sources import progress
 from docloom.sources.catalog import Catalog
-from docloom.streaming.ingest import document_glob, ingest_batch, start_ingest
+from docloom.streaming.ingest import document_glob, finish_ingest, ingest_batch, start_ingest
 from test_files import put
 
 
@@ -231,6 +231,21 @@ def test_stream_takes_files_with_old_dates(spark, tmp_path):
     assert run() == ["new.txt", "newer.txt", "old.txt"]
 
 
+def test_runs_leave_no_tables_behind(spark, tmp_path):
+    from docloom.session import work_folder
+
+    root = str(tmp_path / "r")
+    tree(root)
+    before = set(os.listdir(work_folder(spark)))
+    run_ingest(spark, str(tmp_path / "cat"), [root]).collect()
+    stream = start_ingest(spark, root, str(tmp_path / "s"), str(tmp_path / "chk"), available_now=True)
+    finish_ingest(stream, str(tmp_path / "s"))
+    left = {x for x in set(os.listdir(work_folder(spark))) - before if not x.startswith(("rdd-", "."))}
+    assert not {x for x in left if x.startswith("run-")} and len(left) <= 1  # Spark's own checkpoint folder
+    records = progress.read(spark, str(tmp_path / "s" / "progress"))
+    assert progress.latest(records).first().is_running is False
+
+
 def test_whole_texts_in_batch_and_stream(spark, tmp_path):
     root = str(tmp_path / "r")
     text = "word " * 210_000 + "last"
