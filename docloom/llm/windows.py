@@ -42,9 +42,9 @@ from docloom.llm.hashing import grams, mix, sliding_min, span_hashes
 MOST_IN_RUN = 4096
 #: Records that a task gathers before it combines and sends them.
 FLUSH = 1 << 20
-#: One of so many documents is looked at for frequent keys; a key with so many runs there is
-#: frequent; at most so many keys are kept (their list is broadcast: 0.8 MB).
-SAMPLE, FREQUENT, MOST_FREQUENT = 64, 256, 100_000
+#: One of so many documents is looked at for frequent keys; a key with so many different runs
+#: there is frequent; at most so many keys are kept (their list is broadcast: 0.8 MB).
+SAMPLE, FREQUENT, MOST_FREQUENT = 64, 16, 100_000
 #: Tokens of asked runs that are ordered together.
 REFINE_TOKENS = 4 << 20
 
@@ -235,21 +235,22 @@ def _meet(tokens: Tokens):
 
 
 def _count_keys(tokens: Tokens):
-    schema = pa.schema([("key", pa.int64()), ("rows", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("run", pa.int64())])
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            keys = [r["key"] for r in _records(tokens, part, np.zeros(0, np.uint64))]
-            if keys:
-                key, rows = np.unique(np.concatenate(keys), return_counts=True)
-                yield batch(schema, key.view(np.int64), rows)
+            found = [np.stack([r["key"], r["run"]], 1) for r in _records(tokens, part, np.zeros(0, np.uint64))]
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0).view(np.int64)
+                yield batch(schema, pairs[:, 0], pairs[:, 1])
 
     return job
 
 
 def frequent_keys(texts: DataFrame, tokens: Tokens) -> np.ndarray:
     sample = texts.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0)
-    counts = map_arrow(sample, _count_keys(tokens), "key long, rows long").groupBy("key").agg(F.sum("rows").alias("rows"))
+    pairs = map_arrow(sample, _count_keys(tokens), "key long, run long").distinct()
+    counts = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
     rows = counts.where(F.col("rows") >= FREQUENT).orderBy(F.desc("rows"), "key").limit(MOST_FREQUENT).collect()
     return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
 
