@@ -234,7 +234,8 @@ def _meetings(members: DataFrame, threshold: float, block: int) -> DataFrame:
     for name, step in (("above", -1), ("below", 1)):
         next_ = counts.select("component", (F.col("level") + step).alias("level"), F.col("blocks").alias(name))
         around = around.join(next_, ["component", "level"], "left")
-    m = members.join(around, ["component", "level"])
+    # stored, so that Spark can split the join where one component has very many members
+    m = members.join(stored(around, "levels"), ["component", "level"])
     m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
     def meets(count: str, lo, i, hi, j, second):
