@@ -7,6 +7,7 @@ told apart by ``tag``, a hash of their text; equal rows stay equal rows.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -77,7 +78,27 @@ def map_arrow(df: DataFrame, job: Callable, schema) -> DataFrame:
     """``mapInArrow`` with this package at hand in the workers, over batches of bounded size."""
     ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(job, schema)
+    return df.mapInArrow(_tidy(job), schema)
+
+
+def _tidy(job: Callable) -> Callable:
+    """``job``, after which the worker gives its free memory back: Spark keeps workers for later
+    tasks, and what their allocators hold on to would count against the executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from job(batches)
+        finally:
+            give_back_memory()
+
+    return run
+
+
+def give_back_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

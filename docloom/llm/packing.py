@@ -35,8 +35,8 @@ from docloom.llm.tokenizing import encoder
 
 #: Remainders that are packed together. Sequences close within a group.
 GROUP = 2048
-#: Tokens of text encoded at a time.
-ENCODE_BYTES = 1 << 22
+#: Bytes of text encoded at a time.
+ENCODE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)

@@ -36,7 +36,8 @@ from docloom.llm.tokenizing import encoder
 
 #: Ids in a row group, and bytes in a data page.
 GROUP_TOKENS, PAGE_BYTES = 4 << 20, 64 << 10
-ENCODE_BYTES = 1 << 22
+#: Bytes of text encoded at a time.
+ENCODE_BYTES = 1 << 20
 
 _IDS = "ids.list.element"
 _SHARD = pa.schema([("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])

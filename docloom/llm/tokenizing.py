@@ -22,7 +22,7 @@ import numpy as np
 from docloom.llm.hashing import byte_tokens, span_hashes
 
 #: Distinct pieces that a worker remembers, and the slots of the table that holds them.
-REMEMBERED, SLOTS = 1 << 21, 1 << 22
+REMEMBERED, SLOTS = 1 << 20, 1 << 21
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x0A]] = True
@@ -130,7 +130,7 @@ class Encoder:
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The numbers of remembered pieces, -1 for others: linear probing, all at once."""
         out = np.full(len(hashes), -1, np.int32)
-        left, slot = None, (hashes >> np.uint64(42)).astype(np.int64)
+        left, slot = None, (hashes >> np.uint64(43)).astype(np.int64)
         while True:
             key = self.key[slot]
             hit = key == (hashes if left is None else hashes[left])
@@ -146,7 +146,7 @@ class Encoder:
             slot = (slot[go] + 1) % SLOTS
 
     def _remember(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
-        slot = (hashes >> np.uint64(42)).astype(np.int64)
+        slot = (hashes >> np.uint64(43)).astype(np.int64)
         while len(hashes):
             free = np.flatnonzero(self.key[slot] == 0)
             taken, first = np.unique(slot[free], return_index=True)
