@@ -63,9 +63,12 @@ _MARKUP = re.compile(
     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A name and its value. Quoted values are consumed whole, so no name is found inside one.
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>]++)))?""")
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 _LINKED = frozenset(("a",))
+#: Attributes that may tell of furniture.
+_TELLING = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 #: Names that inside the content tell of its own head.
 _HEADS = frozenset(("header", "masthead", "banner"))
 
@@ -77,7 +80,10 @@ def is_furniture(tag: str, attributes: str, inside: bool) -> bool:
     if "=" not in attributes and "hidden" not in attributes.lower():
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), "".join(values).lower()
+        name = name.lower()
+        if name not in _TELLING:
+            continue
+        value = "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "role" and value in FURNITURE_ROLES:

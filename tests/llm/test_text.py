@@ -90,6 +90,20 @@ def test_article_without_furniture():
     assert text(page) == "A & B\n\nFirst bold line goes on.\n\none\n\ntwo\n\nLast <tag>"
 
 
+@pytest.mark.parametrize("attributes", [
+    'style="overflow:hidden"', "style='overflow-x: hidden'", 'title="The hidden truth"', 'data-id="related"', 'data-hidden',
+    'data-x="class=ad"', "data-class=ad", 'alt=\'id="menu"\'', 'aria-hidden="false"', 'data-role="navigation"',
+])
+def test_attributes_that_only_look_like_furniture(attributes):
+    assert text(f"<body {attributes}><article {attributes}><div {attributes}>One two.</div><p {attributes}>Three.</p></article>") == "One two.\n\nThree."
+    assert text(f"<div {attributes}>One two three.</div><p {attributes}>Four five six.</p>") == "One two three.\n\nFour five six."
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'HIDDEN=""', 'x="1"hidden', "aria-hidden = true", "role=menu", 'title=">" class="x ad"', "style=a:b/hidden id='cookie-notice'"])
+def test_attributes_of_furniture(attributes):
+    assert text(f"<article><p>One two three.</p><div {attributes}>Four</div></article>") == "One two three."
+
+
 def test_page_without_marks(spark):
     page = "<body><div class='menu'><a href=x>a b c d</a></div><div><p>Some running text that goes on.<p>And more of it.</div><div class=footer>foot foot</div>"
     assert text(page) == "Some running text that goes on.\n\nAnd more of it."
