@@ -23,15 +23,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest ``doc_id`` stays."""
     kept = exact_dedup.deduplicate(docs).where("kept")
-    return kept_rows(docs, kept.select(doc_key().alias("doc"), "tag"))
+    # a key that rows share is named twice: kept_rows then takes one of them
+    times = F.explode(F.sequence(F.lit(1), F.least("alike", F.lit(2)).cast("int")))
+    return kept_rows(docs, kept.select(doc_key().alias("doc"), "tag", times))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the row with the smallest ``doc_id`` stays."""
-    classes = ngram_join.near_duplicates(docs).where("doc_id <=> class_id")
-    # rows that share that doc_id too: the text with the smallest hash
-    kept = classes.groupBy(doc_key().alias("doc"), doc_key("class_id").alias("class")).agg(F.min("tag").alias("tag"))
-    return kept_rows(docs, kept)
+    """Of each class of near duplicates the row with the smallest ``doc_id`` stays, of rows that
+    share that ``doc_id`` the one whose text has the smallest hash."""
+    kept = ngram_join.near_duplicates(docs).where("doc_id <=> class_id and tag = class_tag")
+    return kept_rows(docs, kept.select(doc_key().alias("doc"), "tag"))
 
 
 def leaked_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

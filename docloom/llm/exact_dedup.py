@@ -183,26 +183,28 @@ def lookup(digest_rows: DataFrame, history: History) -> DataFrame:
 
 
 def decide(digest_rows: DataFrame, history: History) -> DataFrame:
-    """``(doc, tag, digest, keep, group_size, kept)`` for every row: members follow the winner of
-    history, nonmembers the largest ``doc`` among themselves."""
+    """``(doc, tag, digest, keep, group_size, kept, alike)`` for every row: members follow the winner
+    of history, nonmembers the largest ``doc`` among themselves. ``alike`` rows share ``doc`` and ``tag``."""
     found = stored(lookup(digest_rows, history), "lookups")
     others = found.where("winner is null")
     own = others.groupBy("digest").agg(F.max("doc").alias("own_winner"), F.count(F.lit(1)).alias("own_size"))
     grouped = others.join(own, "digest").select("doc", "tag", "digest", F.col("own_winner").alias("winner"), F.col("own_size").alias("size"))
     rows = found.where("winner is not null").unionByName(grouped)
-    place = F.row_number().over(Window.partitionBy("digest", "doc").orderBy("tag"))
+    by_tag = Window.partitionBy("digest", "doc").orderBy("tag")
+    place = F.row_number().over(by_tag)
+    alike = F.count(F.lit(1)).over(by_tag.rangeBetween(Window.currentRow, Window.currentRow))
     return rows.select(
         "doc", "tag", "digest", F.col("winner").alias("keep"), F.col("size").alias("group_size"),
-        ((F.col("doc") == F.col("winner")) & (place == 1)).alias("kept"),
+        ((F.col("doc") == F.col("winner")) & (place == 1)).alias("kept"), alike.alias("alike"),
     )
 
 
 def deduplicate(docs: DataFrame, history_docs: DataFrame | None = None) -> DataFrame:
-    """One row per row of ``docs``: ``(doc_id, tag, keep_id, group_size, kept, digest)``. Without
+    """One row per row of ``docs``: ``(doc_id, tag, keep_id, group_size, kept, digest, alike)``. Without
     ``history_docs`` the table is its own history, so that every digest is a member."""
     own = digests(docs)
     history = build_history(own if history_docs is None else digests(history_docs))
     out = decide(own, history)
     return out.select(
-        doc_id_of().alias("doc_id"), "tag", doc_id_of("keep").alias("keep_id"), "group_size", "kept", "digest"
+        doc_id_of().alias("doc_id"), "tag", doc_id_of("keep").alias("keep_id"), "group_size", "kept", "digest", "alike"
     )

@@ -258,11 +258,12 @@ def _meetings(members: DataFrame, threshold: float, block: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, block: int = BLOCK
 ) -> DataFrame:
-    """One row per row of ``docs``: ``(doc_id, tag, set_id, class_id, n_links)``.
+    """One row per row of ``docs``: ``(doc_id, tag, set_id, class_id, class_tag, n_links)``.
 
     ``set_id`` is the smallest ``doc_id`` with the same set, ``class_id`` the smallest of the
     class of near duplicates, ``n_links`` the number of other rows at the threshold or above,
-    copies included.
+    copies included. A ``doc_id`` that rows share may be the ``class_id`` of several classes;
+    ``(class_id, class_tag)`` is the key of the class's representative and names one class only.
     """
     spark = docs.sparkSession
     texts = keyed_texts(docs)
@@ -298,18 +299,19 @@ def near_duplicates(
 
     classes = connected_components(linked.select("a", "b"))
     degrees = linked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    named = members.select("node", "rep", "f1", "f2", "size").join(classes, "node").join(degrees, "node")
-    least = named.groupBy("component").agg(F.min("rep").alias("class"))
+    named = members.select("node", "rep", "rep_tag", "f1", "f2", "size").join(classes, "node").join(degrees, "node")
+    least = named.groupBy("component").agg(F.min(F.struct("rep", "rep_tag")).alias("class"))
     named = named.join(least, "component").select("f1", "f2", "size", "class", "links")
     # stored, so that Spark can split the join below where one set has very many copies
     per_set = stored(
-        reps.select("f1", "f2", "size", "rep", "copies").join(named, ["f1", "f2", "size"], "left"), "classes"
+        reps.select("f1", "f2", "size", "rep", "rep_tag", "copies").join(named, ["f1", "f2", "size"], "left"), "classes"
     )
     out = signed.drop("bands").join(per_set, ["f1", "f2", "size"], "left")
     return out.select(
         doc_id_of().alias("doc_id"), "tag",
         F.nullif(F.coalesce("rep", "doc"), F.lit(NULL_ID)).alias("set_id"),
-        F.nullif(F.coalesce("class", "rep", "doc"), F.lit(NULL_ID)).alias("class_id"),
+        F.nullif(F.coalesce("class.rep", "rep", "doc"), F.lit(NULL_ID)).alias("class_id"),
+        F.coalesce("class.rep_tag", "rep_tag", "tag").alias("class_tag"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
     )
 

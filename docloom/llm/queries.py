@@ -17,7 +17,7 @@ def _removed(spans: str = "spans"):
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("tag")
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("tag", "class_tag")
 
 
 #: A score from here on is taken as label 1.
