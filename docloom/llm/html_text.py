@@ -8,8 +8,12 @@ notices, adverts, forms, reader comments) is left out, the rest becomes blocks.
 
 Weights are learned (``learn``) from labelled pages: in a bounded sample, pages that mark their
 content with ``article`` or ``main`` say which words and tags lie inside it. A weight is the
-smoothed log-odds of its class. On pages with such marks the scan also sees on which side of the
-mark a word stands; on others the classes alone decide.
+smoothed log-odds of its class. The mark is one more weighted feature: the log-odds that running
+text of this page stands inside its marks is added to words inside and taken from those outside. It
+fades where much running text stands outside; then the classes alone decide, as on pages without
+marks, and a small mark on such a page (a teaser card) counts against its words. Besides the best
+region of the page, each mark that holds a fair part of the running text, or lies on a page whose
+marks hold most of it, gives the best region within itself, so that several articles are all read.
 
 Defined cases: null html is an empty page with empty text; markup that is cut off, unclosed or
 wrongly nested is read as far as it goes; a page without words has empty text; of equally good
@@ -26,6 +30,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +40,10 @@ from docloom.llm.common import batch, map_arrow
 
 #: Pages that weights are learned from, by the smallest hash of their id.
 SAMPLE_PAGES = 2000
+#: Weight of the log-odds that running text stands inside the marks, and the most it may add.
+MARK_WEIGHT, MOST_MARK = 4.0, 6.0
+#: A mark with this part of a page's running text is no teaser.
+FAIR_PART = 0.1
 
 # --- fixed values: elements of HTML --------------------------------------------------------
 
@@ -103,7 +112,7 @@ class Page:
     counts: list[int] = field(default_factory=list)  # words of a text, 1 for a tag
     texts: list[str | None] = field(default_factory=list)  # a text, or None for a tag
     breaks: list[bool] = field(default_factory=list)  # whether a tag ends a block
-    inside: list[bool] = field(default_factory=list)  # within article or main
+    inside: list[int] = field(default_factory=list)  # number of the outermost article or main, or 0
     furniture: list[bool] = field(default_factory=list)
 
     def add(self, kind, count, text, ends, inside, furniture) -> None:
@@ -118,7 +127,7 @@ class Page:
 def read(page: str) -> Page:
     out = Page()
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, furniture, landmark, skipped
-    furniture = landmarks = skipped = links = 0
+    furniture = landmarks = skipped = links = marks = 0
     block = "body"
     at = 0
 
@@ -135,7 +144,7 @@ def read(page: str) -> Page:
             return
         words = len(raw.split())
         kind = ("furniture" if furniture else block) + (" link" if links else "")
-        out.add("w " + kind, words, entities.unescape(raw), False, landmarks > 0, furniture > 0)
+        out.add("w " + kind, words, entities.unescape(raw), False, marks if landmarks else 0, furniture > 0)
 
     while True:
         m = _MARKUP.search(page, at)
@@ -160,7 +169,7 @@ def read(page: str) -> Page:
             if ends:
                 block = "body"
             if not skipped:
-                out.add("/" + tag, 1, None, ends, landmarks > 0, furniture > 0)
+                out.add("/" + tag, 1, None, ends, marks if landmarks else 0, furniture > 0)
             continue
         if tag in CLOSES_P and any(x[0] == "p" for x in stack):
             # an open paragraph ends here, and with it what is open inside it
@@ -175,13 +184,14 @@ def read(page: str) -> Page:
         if ends:
             block = tag
         if not skipped:
-            out.add(tag, 1, " " if tag == "br" else None, ends, landmarks > 0, furniture > 0)
+            out.add(tag, 1, " " if tag == "br" else None, ends, marks if landmarks else 0, furniture > 0)
         if tag in VOID or attributes.endswith("/"):
             continue
         s = tag in SKIPPED
         f = is_furniture(tag, attributes, landmarks > 0)
         stack.append((tag, f, tag in LANDMARK, s))
         furniture += f
+        marks += tag in LANDMARK and not landmarks
         landmarks += tag in LANDMARK
         skipped += s
         links += tag in _LINKED
@@ -192,20 +202,14 @@ def read(page: str) -> Page:
 
 @dataclass
 class Weights:
-    """Log-odds of each kind, by side: ``in`` and ``out`` of the marked content, ``any`` for pages
-    without marks."""
+    """Log-odds of each kind: inside the marked content against outside of it."""
 
     by_kind: dict[str, float] = field(default_factory=dict)
 
-    def of(self, kind: str, side: str) -> float:
-        word = kind.startswith("w ")
-        if side == "in":  # nothing inside the mark may cut the region in two
-            return (1.0 if "furniture" not in kind else 0.0) if word else 0.0
-        if side == "out":
-            return -1.0 if word else -0.5
+    def of(self, kind: str) -> float:
         if kind in self.by_kind:
             return self.by_kind[kind]
-        if not word:
+        if not kind.startswith("w "):
             return -0.5
         return -1.0 if "furniture" in kind or "link" in kind else 1.0
 
@@ -215,7 +219,7 @@ def count_kinds(page: Page) -> Counter:
     counts: Counter = Counter()
     if any(page.inside):
         for kind, n, inside in zip(page.kinds, page.counts, page.inside):
-            counts[kind, inside] += n
+            counts[kind, inside > 0] += n
     return counts
 
 
@@ -260,21 +264,72 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return begin, end
 
 
-def blocks(page: Page, weights: Weights) -> list[str]:
-    marked = any(page.inside)
-    scores = [
-        weights.of(kind, ("in" if inside else "out") if marked else "any") * n
-        for kind, n, inside in zip(page.kinds, page.counts, page.inside)
-    ]
+def mark_weights(page: Page, weights: Weights) -> tuple[list[float], list[bool]]:
+    """What standing outside (0) or inside the k-th mark adds to a word, and which marks are read
+    for themselves."""
+    mass = [0.0] * (max(page.inside, default=0) + 1)  # of running text
+    for kind, n, inside in zip(page.kinds, page.counts, page.inside):
+        if kind.startswith("w "):
+            mass[inside] += max(0.0, weights.of(kind)) * n
+    if len(mass) == 1:
+        return [0.0], [False]
+    total = sum(mass)
+    odds = MARK_WEIGHT * math.log((total - mass[0] + 1) / (mass[0] + 1))
+    odds = max(-MOST_MARK, min(MOST_MARK, odds))
+    fair = [m > 0 and m >= FAIR_PART * total for m in mass]
+    own = [-max(0.0, odds)] + [max(0.0, odds) if f else odds for f in fair[1:]]
+    return own, [False] + [f or odds > 0 for f in fair[1:]]
+
+
+def unit_scores(page: Page, weights: Weights, marks: list[float]) -> list[float]:
+    scores = []
+    for kind, n, inside in zip(page.kinds, page.counts, page.inside):
+        score = weights.of(kind) + marks[inside]
+        if not kind.startswith("w "):
+            score = max(-1.0, min(0.0, score))
+        elif "furniture" in kind:
+            score = min(0.0, score)
+        scores.append(score * n)
+    return scores
+
+
+def chosen_units(page: Page, scores: list[float], read_alone: list[bool]) -> bytearray:
+    """1 for the units of the best region and of the best regions within marks."""
+    chosen = bytearray(len(scores))
     begin, end = best_region(scores)
-    found, held = [], []
-    for k in range(begin, end):
-        if page.breaks[k]:
+    chosen[begin:end] = b"\1" * (end - begin)
+    k = 0
+    for mark, run in groupby(page.inside):
+        n = sum(1 for _ in run)
+        if read_alone[mark]:
+            begin, end = best_region(scores[k : k + n])
+            chosen[k + begin : k + end] = b"\1" * (end - begin)
+        k += n
+    return chosen
+
+
+def blocks(page: Page, weights: Weights) -> list[str]:
+    marks, read_alone = mark_weights(page, weights)
+    scores = unit_scores(page, weights, marks)
+    chosen = chosen_units(page, scores, read_alone)
+    found, held, total, outside = [], [], 0.0, False
+
+    def end_block() -> None:
+        nonlocal held, total, outside
+        # where the marks tell, a block outside them that scores negative is only passed over
+        if not (outside and total < 0):
             found.append("".join(held))
-            held = []
-        elif page.texts[k] and not page.furniture[k] and not (marked and not page.inside[k]):
+        held, total, outside = [], 0.0, False
+
+    for k, taken in enumerate(chosen):
+        if page.breaks[k] or not taken:
+            end_block()
+        elif page.texts[k] and not page.furniture[k]:
             held.append(page.texts[k])
-    found.append("".join(held))
+            if page.texts[k].strip():
+                total += scores[k]
+                outside = outside or marks[0] < 0 and not page.inside[k]
+    end_block()
     return [b for b in (" ".join(x.split()) for x in found) if b]
 
 

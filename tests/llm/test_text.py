@@ -123,6 +123,44 @@ def test_broken_pages_keep_their_words():
     assert text("a < b") == "a < b"
 
 
+def some(name, n):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    return html_text.learn(table(spark, SF_DIR, "pages"))
+
+
+@pytest.mark.parametrize("gap", ["<p>{}</p>", "<div class='ad'>{}</div>", "<ul><li><a href=x>{}</a></ul>"])
+def test_separated_articles_are_all_read(learned, gap):
+    a, b, out = some("a", 200), some("b", 30), gap.format(some("out", 60))
+    for weights in (PRIOR, learned):
+        assert text(f"<body><article><p>{a}</p></article>{out}<article><p>{b}</p></article></body>", weights) == f"{a}\n\n{b}"
+
+
+def test_teasers_alone_are_articles(learned):
+    main = [some(x, 80) for x in "abc"]
+    card = "<article><h3><a href=x>more to read</a></h3><p>a short teaser</p></article>"
+    for page in ("<div>{main}</div>" + card * 3, card * 3 + "<div>{main}</div>", card + "<div>{main}</div>" + card * 2):
+        for weights in (PRIOR, learned):
+            assert text("<body>" + page.format(main="".join(f"<p>{p}</p>" for p in main)), weights) == "\n\n".join(main)
+
+
+def test_an_article_beside_much_other_text(learned):
+    a, other = some("a", 100), some("c", 400)
+    for weights in (PRIOR, learned):
+        got = text(f"<article><p>{a}</p></article><nav><a href=x>{some('n', 700)}</a></nav><div><p>{other}</p></div>", weights)
+        assert a in got and "n1 " not in got
+
+
+def test_nothing_inside_a_marked_article_is_cut(learned):
+    inner = f"<p>{some('a', 50)}</p><ul>" + "<li><a href=x>link words</a>" * 30 + "</ul>" + "<figure><img></figure>" * 200 + "<p>The end.</p>"
+    for weights in (PRIOR, learned):
+        want = "\n\n".join([some("a", 50), *["link words"] * 30, "The end."])
+        assert text(f"<body><p>Before it.</p><article>{inner}</article><p>After it.</p>", weights) == want
+
+
 def test_best_region_by_brute_force():
     rng = random.Random(1)
     for _ in range(300):
