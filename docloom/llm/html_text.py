@@ -30,7 +30,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,6 +67,28 @@ FURNITURE_NAMES = frozenset(
     "pagination pager skip copyright disclaimer".split()
 )
 
+#: Of these, words that sections of an article are named after too: alone they prove nothing.
+AMBIGUOUS_NAMES = frozenset(
+    "advertising alert banner breadcrumb comment consent copyright discussion disclaimer masthead menu navigation notice "
+    "notices overlay promotion rail recommended related reply replies response share sharing skip social sponsor "
+    "subscription".split()
+)
+#: Words that say nothing beside another: ``comment-list`` is ``comment``.
+SHELL_NAMES = frozenset(
+    "area bar block body bottom box btn button buttons col column container entry form global group icon icons inner "
+    "item items js left link links list main mobile outer page post primary right row secondary section site slot top "
+    "unit wp wrap wrapper".split()
+)
+#: Whole names of ambiguous words that prove furniture.
+FURNITURE_WHOLE = frozenset(
+    "comment-area comment-block comment-body comment-form comment-list comment-section comment-thread comments-thread "
+    "copyright-notice recommended-articles recommended-posts related-articles related-content related-links "
+    "related-posts related-stories reply-form reply-list share-bar share-box share-button share-buttons share-icons "
+    "share-links social-bar social-buttons social-icons social-links social-media-links social-share skip-link skip-links "
+    "skip-to-content".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+
 _MARKUP = re.compile(
     r"<!--(?:.*?--!?>|.*\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|"
     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
@@ -74,20 +96,40 @@ _MARKUP = re.compile(
 )
 #: A name and its value. Quoted values are consumed whole, so no name is found inside one.
 _ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>]++)))?""")
-_NAME = re.compile(r"[a-z]+|[0-9]+")
+_NAME = re.compile(r"[a-z]+")
 _LINKED = frozenset(("a",))
 #: Attributes that may tell of furniture.
 _TELLING = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
+#: Elements whose names say nothing.
+_UNNAMED = HEADINGS | frozenset(("body", "html", "article", "main"))
 #: Names that inside the content tell of its own head.
 _HEADS = frozenset(("header", "masthead", "banner"))
 
 
-def is_furniture(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds page furniture. A ``header`` inside the content is part of it."""
+def named_furniture(name: str, inside: bool) -> bool | None:
+    """Whether a class or an id names furniture; None where the words of the element must tell."""
+    words = _NAME.findall(name)
+    known = FURNITURE_NAMES.intersection(words)
+    if inside:
+        known -= _HEADS
+    if not known:
+        return False
+    if "-".join(words) in FURNITURE_WHOLE:
+        return True
+    if any(w not in FURNITURE_NAMES and w not in SHELL_NAMES for w in words):
+        return False if inside else None  # a name about something else, such as share-prices
+    return True if known - AMBIGUOUS_NAMES else None
+
+
+def is_furniture(tag: str, attributes: str, inside: bool) -> bool | None:
+    """Whether an element holds page furniture; None where its words must tell (``confirm``). A
+    ``header`` inside the content is part of it. Headings aren't judged by names, nor paragraphs by
+    ids: those are often made from their own words."""
     if tag in FURNITURE or tag == "header" and not inside:
         return True
     if "=" not in attributes and "hidden" not in attributes.lower():
         return False
+    found: bool | None = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name not in _TELLING:
@@ -97,11 +139,14 @@ def is_furniture(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "role" and value in FURNITURE_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-            names = FURNITURE_NAMES.intersection(_NAME.findall(value))
-            if names - _HEADS if inside else names:
-                return True
-    return False
+        if name in ("class", "id") and tag not in _UNNAMED and not (name == "id" and tag == "p"):
+            for part in value.split():
+                sure = named_furniture(part, inside)
+                if sure:
+                    return True
+                if sure is None:
+                    found = None
+    return found
 
 
 @dataclass
@@ -114,6 +159,7 @@ class Page:
     breaks: list[bool] = field(default_factory=list)  # whether a tag ends a block
     inside: list[int] = field(default_factory=list)  # number of the outermost article or main, or 0
     furniture: list[bool] = field(default_factory=list)
+    suspects: list[tuple[int, int]] = field(default_factory=list)  # elements that may be furniture
 
     def add(self, kind, count, text, ends, inside, furniture) -> None:
         self.kinds.append(kind)
@@ -126,14 +172,17 @@ class Page:
 
 def read(page: str) -> Page:
     out = Page()
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, furniture, landmark, skipped
+    # tag, furniture, landmark, skipped, first unit of one that may be furniture or -1
+    stack: list[tuple[str, bool, bool, bool, int]] = []
     furniture = landmarks = skipped = links = marks = 0
     block = "body"
     at = 0
 
     def pop() -> None:
         nonlocal furniture, landmarks, skipped, links
-        tag, f, mark, s = stack.pop()
+        tag, f, mark, s, suspect = stack.pop()
+        if suspect >= 0:
+            out.suspects.append((suspect, len(out.kinds)))
         furniture -= f
         landmarks -= mark
         skipped -= s
@@ -150,6 +199,8 @@ def read(page: str) -> Page:
         m = _MARKUP.search(page, at)
         if m is None:
             text(page[at:])
+            while stack:
+                pop()
             return out
         text(page[at : m.start()])
         at = m.end()
@@ -189,8 +240,8 @@ def read(page: str) -> Page:
             continue
         s = tag in SKIPPED
         f = is_furniture(tag, attributes, landmarks > 0)
-        stack.append((tag, f, tag in LANDMARK, s))
-        furniture += f
+        stack.append((tag, f is True, tag in LANDMARK, s, len(out.kinds) if f is None else -1))
+        furniture += f is True
         marks += tag in LANDMARK and not landmarks
         landmarks += tag in LANDMARK
         skipped += s
@@ -214,6 +265,24 @@ class Weights:
         return -1.0 if "furniture" in kind or "link" in kind else 1.0
 
 
+def confirm(page: Page, weights: Weights) -> None:
+    """Marks as furniture what may be such and scores like it: links rather than running text. What
+    holds a mark isn't."""
+    if not page.suspects:
+        return
+    score = [0.0, *accumulate(weights.of(kind) * n for kind, n in zip(page.kinds, page.counts))]
+    held = [0, *accumulate(inside > 0 for inside in page.inside)]
+    for begin, end in sorted(page.suspects, key=lambda s: (s[0], -s[1])):
+        if begin == end or page.furniture[begin] or score[end] - score[begin] > 0:
+            continue
+        if not page.inside[begin] and held[end] > held[begin]:
+            continue
+        for k in range(begin, end):
+            page.furniture[k] = True
+            if page.kinds[k].startswith("w ") and "furniture" not in page.kinds[k]:
+                page.kinds[k] = "w furniture" + (" link" if page.kinds[k].endswith(" link") else "")
+
+
 def count_kinds(page: Page) -> Counter:
     """``(kind, inside)`` counts of a page that marks its content; of others none."""
     counts: Counter = Counter()
@@ -309,6 +378,7 @@ def chosen_units(page: Page, scores: list[float], read_alone: list[bool]) -> byt
 
 
 def blocks(page: Page, weights: Weights) -> list[str]:
+    confirm(page, weights)
     marks, read_alone = mark_weights(page, weights)
     scores = unit_scores(page, weights, marks)
     chosen = chosen_units(page, scores, read_alone)

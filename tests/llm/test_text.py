@@ -123,6 +123,31 @@ def test_broken_pages_keep_their_words():
     assert text("a < b") == "a < b"
 
 
+@pytest.mark.parametrize("tag, attributes", [
+    ("h2", 'id="related-work"'), ("h3", 'id="social-policy"'), ("h2", 'class="comments"'), ("p", 'id="notice-period"'), ("p", 'id="comments"'),
+    ("section", 'id="discussion"'), ("div", 'class="share-prices"'), ("section", 'id="copyright"'), ("div", 'class="entry social-history"'),
+])
+def test_names_made_from_words_of_the_content(tag, attributes):
+    own = some("own", 12)
+    assert text(f"<article><p>First one.</p><{tag} {attributes}>{own}</{tag}><p>Last one.</p></article>") == f"First one.\n\n{own}\n\nLast one."
+
+
+@pytest.mark.parametrize("name", ["comments", "share-buttons", "related-posts", "ad", "ad_slot-3", "comment-list", "newsletter box", "x sidebar"])
+def test_names_of_furniture_inside_the_content(name):
+    for attribute in ("id", "class"):
+        assert text(f'<article><p>First one.</p><div {attribute}="{name}"><p>{some("own", 12)}</p></div><p>Last one.</p></article>') == "First one.\n\nLast one."
+
+
+def test_words_confirm_what_a_name_leaves_open():
+    links = "<ul>" + "<li><a href=x>two words</a>" * 8 + "</ul>"
+    for name in ("related", "navigation", "social"):
+        assert text(f'<article><p>First one.</p><div class="{name}">{links}</div><p>Last one.</p></article>') == "First one.\n\nLast one."
+    own = some("own", 30)
+    for name in ("has-sidebar", "layout-menu-left", "related"):
+        assert text(f'<body><div class="{name}"><article><p>{own}</p></article></div>') == own
+        assert text(f'<body><div class="{name}"><p>{own}</p></div>') == own
+
+
 def some(name, n):
     return " ".join(f"{name}{i}" for i in range(n))
 
