@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import byte_cnn, decontaminate, exact_dedup, html_text, ngram_join, packing, suffix_sort, suffix_tree, token_files, warc
-from docloom.llm.common import table
+from docloom.llm import (
+    byte_cnn, decontaminate, exact_dedup, fill_middle, html_text, kneser_ney, ngram_join, packing, periodic, suffix_sort,
+    suffix_tree, token_files, warc,
+)
+from docloom.llm.common import table, text_of
 from docloom.session import new_table_path
 
 
@@ -95,6 +98,55 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(docs, items).drop("tag", "tiles")
 
 
+def repeated_tail(text: Column, doc_id: Column) -> Column:
+    """For one in ten ids the text with its words repeating from some word on, else the text."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    n = F.size(words).cast("long")
+    a = g % n
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+    place = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+    repeated = F.array_join(F.transform(place, lambda i: F.element_at(words, (i + 1).cast("int"))), " ")
+    return F.when(h % 10 == 0, F.when(n > 0, repeated).otherwise(text)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic.find_runs(docs.select("doc_id", repeated_tail(text_of(), F.col("doc_id")).alias("text")))
+    runs = F.col("runs")
+    none = F.lit(None).cast("struct<start: long, length: long, period: long>")
+
+    def denser(best: Column, run: Column) -> Column:  # runs come by start and period: the first of equals stays
+        return F.when(best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"]), run).otherwise(best)
+
+    line = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    out = found.select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), F.aggregate(runs, none, denser).alias("best"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+    return out.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words",
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.transform(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256"),
+    )
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = kneser_ney.train(docs.where(~kneser_ney.held_out()))
+    return kneser_ney.score(docs, model).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
@@ -106,6 +158,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 _OP9 = """
 WITH t AS (
@@ -131,4 +186,29 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM w
 """
 
-ORACLE: dict[str, str] = {"op4_warc": _OP4, "op9_exact_dedup": _OP9}
+_OP12 = """
+WITH t AS (
+    SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+           sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+    FROM documents
+), d AS (
+    SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS c2,
+           ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+    FROM t
+), f AS (
+    SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90
+                THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM d
+), p AS (
+    SELECT *, substring(text, 1, a) AS pre, substring(text, a + 1, b - a) AS mid, substring(text, b + 1, n - b) AS suf FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+ORACLE: dict[str, str] = {"op4_warc": _OP4, "op9_exact_dedup": _OP9, "op12_fill_in_middle": _OP12}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from docloom.llm.hashing import byte_tokens, mix, span_hashes
 
@@ -45,3 +46,13 @@ def set_hash(values: np.ndarray) -> tuple[int, int]:
         a = int(np.bitwise_xor.reduce(mix(values + place * np.uint64(0x9E3779B97F4A7C15)))) if len(values) else 0
         b = int(np.add.reduce(mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)))) if len(values) else 0
     return a, b ^ len(values)
+
+
+def distinct_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """For each word the number of its bytes among the distinct ones, and those."""
+    lengths = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)
+    kind = pa.large_binary()
+    words = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[at])]).dictionary_encode()
+    return np.asarray(words.indices), words.dictionary.to_pylist()

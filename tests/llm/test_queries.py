@@ -12,6 +12,9 @@ COLUMNS = {
     4: "page_id payload_bytes payload_digest record_type refers_to", 5: "doc_id n_bytes n_removed n_spans kept_sha256",
     6: "doc_id n_words n_removed kept_sha256", 7: "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     8: "doc_id start n_tokens ids_crc32", 9: "doc_id keep_id group_size kept text_sha256", 10: "doc_id item_id coverage",
+    11: "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    12: "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    13: "doc_id held_out n_tokens n_known train_tokens base_score score",
 }
 
 
@@ -28,7 +31,7 @@ def test_columns_and_rows(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):
