@@ -103,12 +103,17 @@ def repeated_tail(text: Column, doc_id: Column) -> Column:
     h = F.crc32(doc_id.cast("string"))
     g = F.floor(h / 10)
     words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    n = F.size(words).cast("long")
-    a = g % n
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-    place = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
-    repeated = F.array_join(F.transform(place, lambda i: F.element_at(words, (i + 1).cast("int"))), " ")
-    return F.when(h % 10 == 0, F.when(n > 0, repeated).otherwise(text)).otherwise(text)
+
+    def repeated(ws: Column) -> Column:
+        n = F.size(ws).cast("long")
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        place = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+        return F.when(n > 0, F.array_join(F.transform(place, lambda i: F.element_at(ws, (i + 1).cast("int"))), " ")).otherwise("")
+
+    # as the argument of a function the words are made once, not for each place
+    tail = F.element_at(F.transform(F.array(words), repeated), 1)
+    return F.when(h % 10 == 0, tail).otherwise(text)
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
