@@ -76,7 +76,7 @@ def main() -> None:
     timed("ingest_unchanged", lambda: run_ingest(spark, catalog, [root]), runs=1, warm=False)
     one_percent = docs.where("doc_id % 100 = 7")
     none = docs.limit(0).select("doc_id")
-    timed("index_refresh", lambda: update_index(index, one_percent, none, new_table_path(spark, "index")), warm=False)
+    timed("index_refresh", lambda: update_index(index, one_percent, none), warm=False)
 
     print(
         json.dumps(

@@ -20,26 +20,27 @@ ALL_FIELD, ALL_TERM = "_all", "*"
 POSTING_COLUMNS = ("doc_id", "field", "term", "tf", "dl")
 
 
-def field_tokens(docs: DataFrame, fields: Sequence[str] = TEXT_FIELDS) -> DataFrame:
-    """``(doc_id, field, tokens)``, one row per document and text field."""
+def field_tokens(docs: DataFrame, fields: Sequence[str] = TEXT_FIELDS, *more: str) -> DataFrame:
+    """``(doc_id, field, tokens, *more)``, one row per document and text field."""
     per_field = F.array(
         *[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("tokens")) for f in fields]
     )
-    return docs.select("doc_id", F.inline(per_field))
+    return docs.select("doc_id", F.inline(per_field), *more)
 
 
-def _counted(tokenised: DataFrame, counted: Column) -> DataFrame:
+def _counted(tokenised: DataFrame, counted: Column, *more: str) -> DataFrame:
     return tokenised.select(
         "doc_id",
         "field",
         F.size("tokens").cast("bigint").alias("dl"),
         term_counts(counted).alias("counts"),
+        *more,
     )
 
 
-def field_counts(docs: DataFrame, fields: Sequence[str] = TEXT_FIELDS) -> DataFrame:
-    """``(doc_id, field, dl, counts)`` - the terms of a field still packed in one row."""
-    return _counted(field_tokens(docs, fields), F.col("tokens"))
+def field_counts(docs: DataFrame, fields: Sequence[str] = TEXT_FIELDS, *more: str) -> DataFrame:
+    """``(doc_id, field, dl, counts, *more)`` - the terms of a field still packed in one row."""
+    return _counted(field_tokens(docs, fields, *more), F.col("tokens"), *more)
 
 
 def unpack(counts: DataFrame) -> DataFrame:
@@ -60,22 +61,22 @@ def counts_of_terms(
     return _counted(field_tokens(docs, fields), wanted)
 
 
-def keyword_counts(docs: DataFrame) -> DataFrame:
+def keyword_counts(docs: DataFrame, *more: str) -> DataFrame:
     """Keyword fields and the ``_all`` entry, in the shape of :func:`field_counts`."""
     one = F.lit(1).cast("bigint")
     values = [F.struct(F.lit(f).alias("field"), F.col(f).alias("term")) for f in KEYWORD_FIELDS]
     whole = F.struct(F.lit(ALL_FIELD).alias("field"), F.lit(ALL_TERM).alias("term"))
     entry = F.struct(F.col("term"), one.alias("tf"))
     return (
-        docs.select("doc_id", F.inline(F.array(*values, whole)))
+        docs.select("doc_id", F.inline(F.array(*values, whole)), *more)
         .where(F.col("term").isNotNull())
-        .select("doc_id", "field", one.alias("dl"), F.array(entry).alias("counts"))
+        .select("doc_id", "field", one.alias("dl"), F.array(entry).alias("counts"), *more)
     )
 
 
-def index_counts(docs: DataFrame) -> DataFrame:
-    """All that is indexed of every document, packed by field."""
-    return field_counts(docs).unionByName(keyword_counts(docs))
+def index_counts(docs: DataFrame, *more: str) -> DataFrame:
+    """All that is indexed of every document, packed by field, with further columns of it."""
+    return field_counts(docs, TEXT_FIELDS, *more).unionByName(keyword_counts(docs, *more))
 
 
 def term_stats(postings: DataFrame) -> DataFrame:

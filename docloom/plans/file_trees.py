@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import paths
@@ -109,9 +109,18 @@ def _write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"n": [len(b)]})
 
 
-def write_tree(spark: SparkSession, sf_dir: str, root: str | None = None, part: int | None = None, age_days: int = 0) -> str:
+def write_tree(
+    spark: SparkSession,
+    sf_dir: str,
+    root: str | None = None,
+    part: int | None = None,
+    age_days: int = 0,
+    where: Column | None = None,
+    content: Column | None = None,
+) -> str:
     """Write one file per document below a new folder of the working folder; returns it. With
-    ``part`` (0 or 1) only every other document; ``age_days`` dates the files back.
+    ``part`` (0 or 1) only every other document, with ``where`` only some; ``content`` is what to
+    write in place of their texts; ``age_days`` dates the files back.
 
     A repeated task writes the same bytes to the same path.
     """
@@ -119,6 +128,10 @@ def write_tree(spark: SparkSession, sf_dir: str, root: str | None = None, part:
     docs = catalog(spark, sf_dir)
     if part is not None:
         docs = docs.where(F.col("doc_id") % 2 == part)
+    if where is not None:
+        docs = docs.where(where)
+    if content is not None:
+        docs = docs.withColumn("content", content)
     rows = docs.select(
         F.concat(F.lit(root), F.substr(F.col("file_path"), F.lit(len(ROOT) + 1))).alias("file_path"),
         paths.file_extension(F.col("file_name")).alias("file_extension"),

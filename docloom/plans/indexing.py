@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.sources.catalog import Catalog, committed_folders
-from docloom.sources.text_index import StoredIndex, update_index, write_index
+from docloom.session import new_table_path, run_folder
+from docloom.sources.catalog import MAX_FILTER_KEYS, Catalog
+from docloom.sources.text_index import StoredIndex, stamp_of, update_index, write_index
 
 
 def search_columns(rows: DataFrame, *more: str) -> DataFrame:
@@ -18,26 +19,35 @@ def search_columns(rows: DataFrame, *more: str) -> DataFrame:
 
 
 def current_index(catalog: Catalog, index_root: str) -> StoredIndex | None:
-    """The newest finished index below ``index_root``."""
-    done = committed_folders(catalog.spark, index_root, "info")
-    return StoredIndex(catalog.spark, f"{index_root}/{done[-1]}") if done else None
+    """The index at ``index_root``, if it was built to its end."""
+    store, done = catalog.rows._store(f"{index_root}/info/_SUCCESS")
+    return StoredIndex(catalog.spark, index_root) if store.exists(done) else None
 
 
 def refresh_index(catalog: Catalog, index_root: str) -> StoredIndex:
-    """Bring the index to the catalog's version.
+    """Bring the index in step with the catalog.
 
-    The first call tokenises everything; later ones tokenise and write what changed since, as a
-    segment, unless it is time to merge. An index counts once its last table is committed, so
-    searches keep the old one until then.
+    The first call tokenises everything. Later ones compare what the index knows of each document
+    with the narrow columns of the catalog, by key, and tokenise only what is new or changed.
     """
-    old, version = current_index(catalog, index_root), catalog.version
-    if old is not None and old.version == version:
-        return old
-    path = f"{index_root}/v={version:06d}"
-    changes = None if old is None else catalog.changes_since(old.version)
-    if changes is None:
-        docs = search_columns(catalog.read(), "content")
-        return write_index(docs, path, version=version)
-    puts, dead = changes
-    gone = dead.select(F.col("_id").alias("doc_id"))
-    return update_index(old, search_columns(puts, "content"), gone, path, version=version)
+    old = current_index(catalog, index_root)
+    if old is None:
+        return write_index(search_columns(catalog.read(), "content"), index_root)
+    now = search_columns(catalog.read())
+    now = now.select("doc_id", stamp_of(now).alias("stamp"))
+    before = old.stamps().withColumnRenamed("stamp", "known")
+    differ = now.join(before, "doc_id", "full_outer").where(~F.col("stamp").eqNullSafe(F.col("known")))
+    with run_folder(catalog.spark):
+        path = new_table_path(catalog.spark, "changed")
+        differ.write.parquet(path)
+        differ = catalog.spark.read.parquet(path)
+        dead = differ.where(F.col("stamp").isNull()).select("doc_id")
+        fresh = differ.where(F.col("stamp").isNotNull()).select("doc_id")
+        few = [r["doc_id"] for r in fresh.limit(MAX_FILTER_KEYS + 1).collect()]
+        if not few and not dead.limit(1).count():
+            return old
+        if len(few) <= MAX_FILTER_KEYS:
+            changed = search_columns(catalog.read(few), "content")
+        else:
+            changed = search_columns(catalog.read(), "content").join(fresh, "doc_id", "left_semi")
+        return update_index(old, changed, dead)

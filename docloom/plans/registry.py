@@ -22,10 +22,10 @@ from docloom.plans.file_trees import with_bytes, write_long_texts, write_tree
 from docloom.plans.ingest import run_ingest
 from docloom.session import new_table_path, spread
 from docloom.schema import DOCUMENT
-from docloom.sources import progress
+from docloom.sources import files, progress
 from docloom.sources.catalog import Catalog
 from docloom.sources.text_index import ScannedIndex, update_index, write_index
-from docloom.streaming.ingest import finish_ingest, ingest_batch, start_ingest
+from docloom.streaming.ingest import TriggerLog, finish_ingest, ingest_batch, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -503,12 +503,11 @@ def _updated_index(spark, sf_dir):
     docs = T.search_docs(spark, sf_dir)
     i = F.col("doc_id")
     older = F.when(i % 5 == 0, F.concat(F.lit("older thing report "), "content")).otherwise(F.col("content"))
-    base = new_table_path(spark, "index")
-    index = write_index(docs.where(i % 7 != 0).withColumn("content", older), f"{base}/v=1")
+    index = write_index(docs.where(i % 7 != 0).withColumn("content", older), new_table_path(spark, "index"))
     now = docs.where(i % 11 != 0)
     changed = now.where((i % 7 == 0) | (i % 5 == 0))
     gone = docs.where((i % 11 == 0) & (i % 7 != 0)).select("doc_id")
-    return update_index(index, changed, gone, f"{base}/v=2", merge_share=1.0)
+    return update_index(index, changed, gone)
 
 
 def _present(sql: str) -> str:
@@ -523,7 +522,7 @@ def term_stats_after_update(spark, sf_dir):
 
 @query(O.page(_present(_FLAGSHIP_SQL), "relevance", columns="doc_id, score"))
 def search_after_update(spark, sf_dir):
-    """From the index alone, over two segments."""
+    """From the updated index alone."""
     request = S.compile_query(spark, FLAGSHIP)
     found = S.scored_hits(_updated_index(spark, sf_dir), request)
     return _shown(S.page(found, request.order)).select("rank", "doc_id", "score")
@@ -772,16 +771,52 @@ def stream_ingest(spark, sf_dir):
     root, path, state = None, new_table_path(spark, "catalog"), new_table_path(spark, "stream")
     for part, age in ((0, 0), (1, 30)):
         root = write_tree(spark, sf_dir, root, part, age)
-        stream = start_ingest(spark, root, path, state, files_per_batch=500, available_now=True)
+        stream = start_ingest(spark, root, path, state, available_now=True)
         finish_ingest(stream, path)
     return _catalog_texts(Catalog(spark, path), root)
 
 
+@query(_EXTRACTED)
+def stream_changed_files(spark, sf_dir):
+    """Files that arrive with an older text, change and so arrive again; the catalog has the new
+    texts. One in three does not change."""
+    path, state = new_table_path(spark, "catalog"), new_table_path(spark, "stream")
+    older = F.when(F.col("doc_id") % 3 == 0, F.col("content")).otherwise(F.concat(F.lit("older "), "content"))
+    root = write_tree(spark, sf_dir, content=older)
+    for _ in range(2):
+        finish_ingest(start_ingest(spark, root, path, state, available_now=True), path)
+        write_tree(spark, sf_dir, root, where=F.col("doc_id") % 3 != 0)
+    finish_ingest(start_ingest(spark, root, path, state, available_now=True), path)
+    return _catalog_texts(Catalog(spark, path), root)
+
+
+@query(_EXTRACTED)
+def stream_triggers(spark, sf_dir):
+    """The files through a running stream that looks every second, in two arrivals, each of them
+    seen by a trigger of its own."""
+    path, state = new_table_path(spark, "catalog"), new_table_path(spark, "stream")
+    log = TriggerLog("stream-triggers")
+    spark.streams.addListener(log)
+    try:
+        root = write_tree(spark, sf_dir, part=0)
+        stream = start_ingest(spark, root, path, state, "stream-triggers", interval="1 second")
+        for part in (0, 1):
+            if not log.wait_for_rows(1 + part, timeout=600):
+                raise TimeoutError("no trigger saw the files")
+            if part == 0:
+                write_tree(spark, sf_dir, root, part=1)
+        finish_ingest(stream, path, stop=True)
+    finally:
+        spark.streams.removeListener(log)
+    return _catalog_texts(Catalog(spark, path), root)
+
+
 def _replayed(spark, sf_dir) -> tuple[Catalog, str]:
     """A catalog after the same micro-batch came twice, and its files once more as another one."""
     root = write_tree(spark, sf_dir)
     catalog = Catalog(spark, new_table_path(spark, "catalog")).ensure()
-    batch = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    batch = files.listing_of_binary(found, root)
     run = ingest_batch(catalog, root, "stream")
     for batch_id in (0, 0, 1):
         run(batch, batch_id)
@@ -845,7 +880,7 @@ SELECT id, file_path, CASE WHEN doc_id % 5 = 0 THEN 'new ' ELSE '' END || conten
 FROM catalog WHERE doc_id % 11 <> 0"""
 )
 def catalog_after_compact(spark, sf_dir):
-    """All rows, then a change of some and a delete of others, folded into one base."""
+    """All rows, then a change of some and a delete of others, each partition put together."""
     rows = T.catalog(spark, sf_dir)
     keyed = rows.withColumn("_id", paths.document_id(paths.norm_path(F.col("file_path"))))
     for field in DOCUMENT.fields:

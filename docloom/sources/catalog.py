@@ -2,37 +2,35 @@
 
 Layout below ``path``::
 
-    base/v=000012-<tag>/      all rows as of change set 12, by the first hex digits of the key
-    changes/c=000013-<tag>/   one change set: rows with ``op`` = put or del
-
-A folder counts once Spark has committed it (``_SUCCESS``), so a failed or repeated write is
-never seen. A write costs as much as the change, not as the catalog; readers lay the change
-sets since the last base over it. :meth:`Catalog.compact` folds them into a new base. One
-writer at a time, as in the scheduled ingest this serves.
+    rows/prefix=3f/...       the rows whose key starts with 3f
+    commits/tag=<tag>/...    one row for each change that was applied
+
+A change whose keys are new is appended. Partitions that hold a changed or deleted key are replaced,
+without the old rows of those keys and with their new ones; all other files stay as they are. The
+longer the prefix, the less a change of few rows rewrites: choose it for partitions of about a
+gigabyte. A change that failed half way is applied again: a row replaces the row with its key.
+One writer at a time, as in the scheduled ingest this serves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.schema import DOCUMENT
+from docloom.session import new_table_path, run_folder
+from docloom.sources.partitioned import PartitionedTable
 
-PUT, DEL = "put", "del"
+#: Hex digits of the key that name a partition.
 KEY_PREFIX_CHARS = 2
-#: Change sets after which a writer folds them into the base.
-COMPACT_AFTER = 50
+#: Changes of up to so many keys look them up by filter.
+MAX_FILTER_KEYS = 1_000
+#: Changed keys that are broadcast at a time: 48 MB, at 64 characters and their overhead each.
+KEYS_AT_ONCE = 400_000
 
 _COLUMNS = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in DOCUMENT)
-_BASE = _COLUMNS + ", prefix string"
-_CHANGE = _COLUMNS + ", op string"
-
-
-def _number(folder: str) -> int:
-    """The sequence number in ``v=000012-tag`` or ``c=000013-tag``."""
-    return int(folder.split("=", 1)[1].split("-", 1)[0])
 
 
 def key_part(key: Column, parts: int) -> Column:
@@ -50,64 +48,45 @@ def cluster(rows: DataFrame, parts: int | None = None) -> DataFrame:
     return rows.repartition(parts, key_part(F.col("_id"), parts))
 
 
-def committed_folders(
-    spark: SparkSession,
-    path: str,
-    table: str = "",
-    wanted: Callable[[str], bool] = lambda name: True,
-) -> list[str]:
-    """Names of the wanted folders below ``path`` that Spark has committed, in order.
-
-    One listing, and one look for the commit mark per wanted folder.
-    """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    parent = hadoop.Path(path)
-    store = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not store.exists(parent):
-        return []
-    names = [s.getPath().getName() for s in store.listStatus(parent)]
-    mark = f"{table}/_SUCCESS".lstrip("/")
-    return sorted(
-        n for n in names if wanted(n) and store.exists(hadoop.Path(parent, f"{n}/{mark}"))
-    )
+def in_rounds(keys_by_part: dict[str, int], most: int) -> Iterator[list[str]]:
+    """The partitions in groups of at most ``most`` keys; one with more is a group of its own."""
+    group, held = [], 0
+    for part, keys in sorted(keys_by_part.items()):
+        if group and held + keys > most:
+            yield group
+            group, held = [], 0
+        group.append(part)
+        held += keys
+    if group:
+        yield group
 
 
 class Catalog:
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, prefix_chars: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
+        self.rows = PartitionedTable(spark, f"{self.path}/rows", f"{_COLUMNS}, prefix string")
+        self._prefix_chars = prefix_chars
 
-    # -- what is committed -----------------------------------------------------------------
-
-    def _committed(self, kind: str, wanted=lambda name: True) -> list[str]:
-        return committed_folders(self.spark, f"{self.path}/{kind}", wanted=wanted)
-
-    def _sets_after(self, number: int) -> list[str]:
-        return self._committed("changes", lambda name: _number(name) > number)
-
-    def _state(self) -> tuple[str | None, list[str]]:
-        """The current base and the change sets after it."""
-        bases = self._committed("base")
-        if not bases:
-            return None, []
-        return bases[-1], self._sets_after(_number(bases[-1]))
+    @property
+    def prefix_chars(self) -> int:
+        """As the catalog was begun; only an empty one takes the length that is asked for."""
+        there = self.rows.parts()
+        return len(there[0]) if there else self._prefix_chars or KEY_PREFIX_CHARS
 
     def exists(self) -> bool:
-        return bool(self._committed("base"))
+        return self.rows.exists()
 
     def ensure(self) -> Catalog:
         """Create the empty catalog when there is none; an existing one is left alone."""
-        if not self.exists():
-            self._write_base(self.spark.createDataFrame([], DOCUMENT), 0, "new")
+        self.rows.create()
         return self
 
     # -- write -----------------------------------------------------------------------------
 
     def applied(self, tag: str) -> bool:
         """Was this tag committed before? Makes the replay of a batch harmless."""
-        def same(name: str) -> bool:
-            return name.split("-", 1)[1] == tag
-
-        return bool(self._committed("changes", same) or self._committed("base", same))
+        store, path = self.rows._store(f"{self.path}/commits/tag={tag}/_SUCCESS")
+        return store.exists(path)
 
     def apply(
         self,
@@ -115,110 +94,69 @@ class Catalog:
         dead: DataFrame | None = None,
         tag: str = "run",
         clustered: bool = False,
+        keys_at_once: int = KEYS_AT_ONCE,
     ) -> None:
-        """Upsert ``puts`` (one row per key) and delete the keys of ``dead``, in one commit.
+        """Upsert ``puts`` (one row per key) and delete the keys of ``dead``.
 
-        ``clustered`` says that the rows already passed :func:`cluster`.
+        ``clustered`` says that the rows already passed :func:`cluster`. Texts are written where
+        they are made and are not shuffled: old rows are parted from changed keys by a broadcast of
+        at most ``keys_at_once`` counted keys, partition group by partition group.
         """
-        base, changes = self.ensure()._state()
-        puts = puts.select(*DOCUMENT.names)
-        if not clustered:
-            puts = cluster(puts)
-        if _number(base) == 0 and not changes:  # the first rows become the base themselves
-            self._write_base(puts, 1, tag)
-            return
-        rows = puts.withColumn("op", F.lit(PUT))
+        self.ensure()
+        prefix = F.substring("_id", 1, self.prefix_chars).alias("prefix")
+        puts = (puts if clustered else cluster(puts)).select(*DOCUMENT.names, prefix)
+        if not self.rows.parts():
+            self.rows.append(puts, ["_id"])
+        else:
+            with run_folder(self.spark):
+                self._change(puts, dead, prefix, keys_at_once)
+        done = self.spark.sql("SELECT current_timestamp() AS at")
+        done.write.mode("overwrite").parquet(f"{self.path}/commits/tag={tag}")
+
+    def _kept(self, rows: DataFrame, name: str) -> DataFrame:
+        path = new_table_path(self.spark, name)
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _change(self, puts: DataFrame, dead: DataFrame | None, prefix: Column, keys_at_once: int) -> None:
+        puts = self._kept(puts, "puts")  # their texts are made once
+        keys = puts.select("_id", "prefix")
         if dead is not None:
-            gone = dead.select("_id", F.lit(DEL).alias("op"))
-            rows = rows.unionByName(gone, allowMissingColumns=True)
-        number = _number((changes or [base])[-1]) + 1
-        # "overwrite" meets at most the leftover of a write that was never committed
-        rows.write.mode("overwrite").parquet(f"{self.path}/changes/c={number:06d}-{tag}")
-
-    def _write_base(self, rows: DataFrame, number: int, tag: str) -> None:
-        """Each task sorts and writes what it holds; nothing is shuffled here."""
-        (
-            rows.withColumn("prefix", F.substring("_id", 1, KEY_PREFIX_CHARS))
-            .sortWithinPartitions("prefix", "_id")
-            .write.mode("overwrite")
-            .partitionBy("prefix")
-            .parquet(f"{self.path}/base/v={number:06d}-{tag}")
-        )
+            keys = keys.unionByName(dead.select("_id", prefix))
+        known = self._kept(self._among(keys), "known")  # narrow rows
+        touched = {r["prefix"]: r["count"] for r in known.groupBy("prefix").count().collect()}
+        for group in in_rounds(touched, keys_at_once):
+            here = F.col("prefix").isin(*group)
+            gone = known.where(here).select("_id")
+            if sum(touched[p] for p in group) <= keys_at_once:
+                gone = F.broadcast(gone)
+            kept = self.rows.read_for_rewrite(group).join(gone, "_id", "left_anti")
+            self.rows.replace(group, kept.unionByName(puts.where(here)), ["_id"])
+        fresh = puts.where(~F.col("prefix").isin(*touched)) if touched else puts
+        if fresh.limit(1).count():
+            self.rows.append(fresh, ["_id"])
+
+    def _among(self, keys: DataFrame) -> DataFrame:
+        """Those of the keys that the catalog holds."""
+        some = [r["_id"] for r in keys.select("_id").limit(MAX_FILTER_KEYS + 1).collect()]
+        there = self.read(some) if len(some) <= MAX_FILTER_KEYS else self.read()
+        return keys.distinct().join(there.select("_id"), "_id", "left_semi")
 
     def compact(self) -> None:
-        """Fold the change sets into a new base.
-
-        The rows of the old base lie in key order already and stay in their tasks; only the
-        changed rows are shuffled into it.
-        """
-        _, changes = self._state()
-        if changes:
-            old, puts = self._layers(None)
-            self._write_base(old.unionByName(cluster(puts)), _number(changes[-1]), "compact")
-
-    @property
-    def version(self) -> int:
-        """Number of the last commit; -1 when there is no catalog."""
-        base, changes = self._state()
-        return _number((changes or [base])[-1]) if base else -1
-
-    def changes_since(self, version: int) -> tuple[DataFrame, DataFrame] | None:
-        """``(current rows of the keys put since, keys deleted since)``, from change sets alone.
-
-        None for a version before the first rows, which are a base and no change set.
-        """
-        if version < 1:
-            return None
-        sets = self._sets_after(version)
-        if not sets:
-            empty = self.spark.createDataFrame([], DOCUMENT)
-            return empty, empty.select("_id")
-        log, last = self._log(sets)
-        current = log.join(last, ["_id", "seq"], "left_semi")
-        puts = current.where(F.col("op") == PUT).select(*DOCUMENT.names)
-        return puts, current.where(F.col("op") == DEL).select("_id")
-
-    @property
-    def pending(self) -> int:
-        """Change sets since the last base."""
-        return len(self._state()[1])
+        """Write each partition anew as one sorted file, where many small changes left many."""
+        parts = self.rows.parts()
+        if parts:
+            self.rows.replace(parts, self.rows.read(parts).repartition("prefix"), ["_id"])
 
     # -- read ------------------------------------------------------------------------------
 
     def read(self, ids: Sequence[str] | None = None) -> DataFrame:
-        """The current rows; with ``ids`` (the keys of one page) only those.
-
-        Which rows are current depends on keys alone, so only ``_id`` of the change sets is
-        joined with the base; Spark broadcasts those keys while they are below its threshold,
-        and then no base row moves. ``ids`` reach the base as key prefix and key filters, so
-        only their folders and row groups are read.
-        """
+        """The current rows; with ``ids`` (the keys of one page) only those: they reach the scan as
+        prefix and key filters, so only their folders and row groups are read."""
         if not self.exists():
             return self.spark.createDataFrame([], DOCUMENT)
-        old, puts = self._layers(ids)
-        return old if puts is None else old.unionByName(puts)
-
-    def _layers(self, ids: Sequence[str] | None) -> tuple[DataFrame, DataFrame | None]:
-        """The rows of the base that still hold, and the current rows of the change sets."""
-        base, changes = self._state()
-        old = self.spark.read.schema(_BASE).parquet(f"{self.path}/base/{base}")
-        wanted = F.lit(True) if ids is None else F.col("_id").isin(*ids)
-        if ids is not None:
-            prefixes = sorted({i[:KEY_PREFIX_CHARS] for i in ids})
-            old = old.where(F.col("prefix").isin(*prefixes))
-        old = old.where(wanted).select(*DOCUMENT.names)
-        if not changes:
-            return old, None
-        log, last = self._log(changes)
-        log = log.where(wanted)
-        puts = log.where(F.col("op") == PUT)
-        if len(changes) > 1:  # a key may stand in several sets
-            puts = puts.join(last, ["_id", "seq"], "left_semi")
-        return old.join(last.select("_id"), "_id", "left_anti"), puts.select(*DOCUMENT.names)
-
-    def _log(self, sets: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-        """All rows of these change sets, and for each key the last set that has it."""
-        log = self.spark.read.schema(_CHANGE).parquet(*[f"{self.path}/changes/{c}" for c in sets])
-        seq = F.regexp_extract(F.col("_metadata.file_path"), r"/c=(\d+)-", 1).cast("int")
-        log = log.withColumn("seq", seq)
-        return log, log.groupBy("_id").agg(F.max("seq").alias("seq"))
+        if ids is None:
+            return self.rows.read().select(*DOCUMENT.names)
+        n = self.prefix_chars
+        found = self.rows.read(sorted({i[:n] for i in ids}))
+        return (found.where(F.col("_id").isin(*ids)) if ids else found).select(*DOCUMENT.names)

@@ -3,16 +3,13 @@
 Both kinds answer the same three calls: ``lookup(terms)``, ``term_stats(terms)`` and
 ``field_stats()``.
 
-A stored index is a row of immutable segments. The first holds every document; a refresh adds one
-with the postings of the changed documents, the keys that count no longer in earlier segments
-(``gone``), and what all of that adds to or takes from the statistics. Readers put the segments
-together, without the keys gone since, and add up the statistics; so a refresh costs as much as
-its change. When the later segments have grown to a share of the first, or are many, the next
-refresh merges all of them.
-
-Within a segment ``postings`` and ``term_stats`` are partitioned by a hash bucket of the term and
-sorted by term inside the files, so a lookup of a few terms reads a few buckets and, in them, the
-row groups whose term range fits.
+A stored index is four plain Parquet tables. ``docs`` holds the term counts of each document, by a
+hash of its key; ``postings`` and ``term_stats`` are partitioned by a hash bucket of the term and
+sorted by term inside the files, so a lookup of a few terms reads a few buckets and, in them, the row
+groups whose term range fits; ``field_stats`` has a row per field. A change replaces the partitions
+that it touches: the buckets with a term of a changed document, old or new, without its old postings
+and with its new ones; statistics are counted again from those. ``docs`` is written last, so a
+change that failed half way is found and applied again.
 """
 
 from __future__ import annotations
@@ -25,29 +22,27 @@ from pyspark.sql import functions as F
 
 from docloom.operators import postings as P
 from docloom.operators.skew import HOT_MIN_ROWS, add_salt, hot_keys, hot_threshold
-from docloom.session import new_table_path
+from docloom.session import new_table_path, run_folder
+from docloom.sources.partitioned import PartitionedTable
 
 #: Default number of buckets: one per so many postings, within limits.
 ROWS_PER_BUCKET, MIN_BUCKETS, MAX_BUCKETS = 20_000_000, 16, 8192
 
 
-#: Later segments that a reader puts together at most, and their share of the first's postings.
-MAX_SEGMENTS, MERGE_SHARE = 8, 0.2
+#: Parts of the table of documents for each bucket of terms.
+DOC_PARTS_PER_BUCKET = 1
 
-_INFO = (
-    "buckets int, total_postings bigint, id_type string, version bigint, earlier array<string>"
-)
+_INFO = "buckets int, total_postings bigint, id_type string"
 
 
-def _stored_schemas(id_type: str) -> dict[str, str]:
+def _schemas(id_type: str) -> dict[str, str]:
     """Schemas by table, so that opening an index reads no file footers."""
     return {
         "postings": f"doc_id {id_type}, field string, term string, tf bigint, dl bigint, bucket int",
         "term_stats": "field string, term string, df bigint, bucket int",
+        "docs": f"doc_id {id_type}, field string, dl bigint, counts array<struct<term: string, tf: bigint>>, "
+        "stamp bigint, part int",
         "field_stats": "field string, n bigint, total_dl bigint",
-        "counts": f"doc_id {id_type}, field string, dl bigint, "
-        "counts array<struct<term: string, tf: bigint>>",
-        "gone": f"doc_id {id_type}",
     }
 
 
@@ -96,50 +91,16 @@ class StoredIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         info = spark.read.schema(_INFO).parquet(f"{self.path}/info").first()  # one row
-        self.buckets, self.total_postings = info["buckets"], info["total_postings"]
-        self.id_type, self.version = info["id_type"], info["version"]
-        parent = self.path.rsplit("/", 1)[0]
-        self.earlier: list[str] = list(info["earlier"])
-        #: Paths of all segments, the first one first.
-        self.segments = [f"{parent}/{name}" for name in self.earlier] + [self.path]
-        # Read once: the file listing and the schema are then known to every search.
-        schemas = _stored_schemas(info["id_type"])
-        self._tables = {
-            name: [spark.read.schema(schemas[name]).parquet(f"{s}/{name}") for s in self.segments]
-            for name in ("postings", "term_stats", "field_stats")
-        }
-        self._gone = [spark.read.schema(schemas["gone"]).parquet(f"{s}/gone") for s in self.segments[1:]]
-
-    def _current(self, name: str, wanted: Column | None = None) -> DataFrame:
-        """The rows of a table of documents that still count, over all segments."""
-        if name in self._tables:
-            tables = self._tables[name]
-        else:
-            schema = _stored_schemas(self.id_type)[name]
-            tables = [self.spark.read.schema(schema).parquet(f"{s}/{name}") for s in self.segments]
-        out = None
-        for i, rows in enumerate(tables):
-            rows = rows if wanted is None else rows.where(wanted)
-            later = self._gone[i:]
-            if later:
-                keys = later[0]
-                for more in later[1:]:
-                    keys = keys.unionByName(more)
-                rows = rows.join(keys, "doc_id", "left_anti")
-            out = rows if out is None else out.unionByName(rows)
-        return out
-
-    def _statistics(self, name: str, keys: Sequence[str], wanted: Column | None, *sums: str) -> DataFrame:
-        """A table of statistics; those of several segments are added up."""
-        tables = [t if wanted is None else t.where(wanted) for t in self._tables[name]]
-        out = tables[0]
-        if len(tables) == 1:
-            return out
-        for more in tables[1:]:
-            out = out.unionByName(more)
-        return out.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).where(F.col(sums[0]) > 0)
-
-    def _of_terms(self, terms: Sequence[str]) -> Column | None:
+        self.buckets, self.total_postings, self.id_type = info["buckets"], info["total_postings"], info["id_type"]
+        # Listed once: files and schemas are then known to every search.
+        self._rows = {name: t.read() for name, t in self.tables().items()}
+        self._fields = spark.read.schema(_schemas(self.id_type)["field_stats"]).parquet(f"{self.path}/field_stats")
+
+    def tables(self) -> dict[str, PartitionedTable]:
+        schemas = _schemas(self.id_type)
+        return {n: PartitionedTable(self.spark, f"{self.path}/{n}", schemas[n]) for n in ("postings", "term_stats", "docs")}
+
+    def _of_terms(self, terms: Sequence[str]) -> Column:
         wanted = sorted(set(terms))
         if not wanted:
             return F.lit(False)
@@ -152,10 +113,14 @@ class StoredIndex:
 
     def postings(self) -> DataFrame:
         """All postings, with their ``bucket``."""
-        return self._current("postings")
+        return self._rows["postings"]
 
     def counts(self) -> DataFrame:
-        return self._current("counts")
+        return self._rows["docs"].drop("stamp", "part")
+
+    def stamps(self) -> DataFrame:
+        """``(doc_id, stamp)`` of the documents as they were indexed."""
+        return self._rows["docs"].where(F.col("field") == P.ALL_FIELD).select("doc_id", "stamp")
 
     def with_bucket(self, terms: DataFrame) -> DataFrame:
         return terms.withColumn("bucket", bucket_of(F.col("term"), self.buckets))
@@ -164,21 +129,34 @@ class StoredIndex:
         """``doc_id`` of the documents with one of the values in a keyword field."""
         buckets = sorted({zlib.crc32(v.encode("utf-8")) % self.buckets for v in values})
         wanted = F.col("bucket").isin(*buckets) & F.col("term").isin(*sorted(set(values)))
-        return self._current("postings", wanted & (F.col("field") == field)).select("doc_id")
+        return self.postings().where(wanted & (F.col("field") == field)).select("doc_id")
 
     def all_term_stats(self) -> DataFrame:
-        return self._statistics("term_stats", ["field", "term", "bucket"], None, "df").drop("bucket")
+        return self._rows["term_stats"].drop("bucket")
 
     def lookup(self, terms: Sequence[str]) -> DataFrame:
-        return self._current("postings", self._of_terms(terms)).drop("bucket")
+        return self.postings().where(self._of_terms(terms)).drop("bucket")
 
     def term_stats(self, terms: Sequence[str]) -> DataFrame:
-        found = self._statistics("term_stats", ["field", "term", "bucket"], self._of_terms(terms), "df")
-        return found.drop("bucket")
+        return self._rows["term_stats"].where(self._of_terms(terms)).drop("bucket")
 
     def field_stats(self) -> DataFrame:
-        summed = self._statistics("field_stats", ["field"], None, "n", "total_dl")
-        return summed.select("field", "n", (F.col("total_dl") / F.col("n")).alias("avgdl"))
+        return self._fields.select("field", "n", (F.col("total_dl") / F.col("n")).alias("avgdl"))
+
+
+def stamp_of(docs: DataFrame) -> Column:
+    """What tells one state of a document from another: all of its columns but the text."""
+    return F.xxhash64(*sorted(c for c in docs.columns if c not in ("doc_id", "content")))
+
+
+def _doc_rows(docs: DataFrame, buckets: int) -> DataFrame:
+    """Counts and stamp of each document, as they fall out of the scan."""
+    counts = P.index_counts(docs, "stamp") if "stamp" in docs.columns else P.index_counts(docs.withColumn("stamp", stamp_of(docs)), "stamp")
+    return counts.withColumn("part", _doc_part(buckets))
+
+
+def _doc_part(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets * DOC_PARTS_PER_BUCKET)).cast("int")
 
 
 def write_index(
@@ -186,142 +164,118 @@ def write_index(
     path: str,
     buckets: int | None = None,
     hot_min_rows: int = HOT_MIN_ROWS,
-    version: int = 0,
 ) -> StoredIndex:
-    """Tokenise ``docs`` once and store postings and statistics under a new ``path``.
+    """Tokenise ``docs`` once and store postings and statistics under ``path``.
 
-    1. The counts of every document are written as they fall out of the scan, one row per
+    1. The counts of every document are kept as they fall out of the scan, one row per
        document and field: no shuffle, and the texts are read only here.
     2. Statistics are aggregated from that table.
     3. Postings are shuffled once into their final place, ``(bucket, salt)``: a term that holds
        a third of all rows is spread over many tasks and files.
 
-    ``version`` is kept with the index, to know what it was built from. An index is complete
-    once its ``info`` table is; what a failed build left at ``path`` is replaced.
+    An index is complete once its ``info`` table is; what a failed build left at ``path`` is
+    replaced.
     """
-    P.index_counts(docs).write.mode("overwrite").parquet(f"{path}/counts")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    spark = docs.sparkSession
-    counts = _read(spark, path, id_type, "counts")
-    total = _postings_of(counts)
-    if buckets is None:
-        buckets = min(max(total // ROWS_PER_BUCKET, MIN_BUCKETS), MAX_BUCKETS)
-    stats = P.term_stats(P.unpack(counts))
-    return _store(spark, path, id_type, buckets, hot_min_rows, version, total, stats, _lengths(counts), [], None)
-
-
-def update_index(
-    index: StoredIndex,
-    changed: DataFrame,
-    gone: DataFrame,
-    path: str,
-    hot_min_rows: int = HOT_MIN_ROWS,
-    version: int = 0,
-    max_segments: int = MAX_SEGMENTS,
-    merge_share: float = MERGE_SHARE,
-) -> StoredIndex:
-    """The index after a change, as a segment beside ``index``: only ``changed`` is tokenised, and
-    no earlier posting is read or written.
-
-    ``changed`` holds new and changed documents, ``gone`` the ``doc_id`` of deleted ones. Of the
-    earlier segments only the counts of those documents are read, to take them out of the
-    statistics. When the segments have become many or large, all of them are merged instead.
-    """
-    if path.rstrip("/").rsplit("/", 1)[0] != index.path.rsplit("/", 1)[0] or path.rstrip("/") in index.segments:
-        raise ValueError("a segment is written beside the index, under a new name")
-    spark, id_type = index.spark, index.id_type
-    P.index_counts(changed).write.mode("overwrite").parquet(f"{path}/counts")
-    keys = changed.select("doc_id").unionByName(gone.select("doc_id")).distinct()
-    keys.write.mode("overwrite").parquet(f"{path}/gone")
-    keys = _read(spark, path, id_type, "gone")
-    new = _read(spark, path, id_type, "counts")
-    total = _postings_of(new)
-    if len(index.segments) > max_segments or total > merge_share * index.total_postings:
-        kept = index.counts().join(keys, "doc_id", "left_anti").unionByName(new)
-        merged = f"{path}-merged"
-        kept.write.mode("overwrite").parquet(f"{merged}/counts")
-        counts = _read(spark, merged, id_type, "counts")
-        total = _postings_of(counts)
-        buckets = min(max(total // ROWS_PER_BUCKET, index.buckets), MAX_BUCKETS)
-        stats = P.term_stats(P.unpack(counts))
-        return _store(spark, merged, id_type, buckets, hot_min_rows, version, total, stats, _lengths(counts), [], None)
-    old = index.counts().join(keys, "doc_id", "left_semi")
-
-    def signed(make, *sums: str) -> DataFrame:
-        minus = make(old)
-        both = make(new).unionByName(minus.select(*[(-F.col(c)).alias(c) if c in sums else c for c in minus.columns]))
-        return both.groupBy(*[c for c in both.columns if c not in sums]).agg(*[F.sum(c).alias(c) for c in sums])
-
-    stats = signed(lambda counts: P.term_stats(P.unpack(counts)), "df").where("df <> 0")
-    lengths = signed(_lengths, "n", "total_dl")
-    return _store(
-        spark, path, id_type, index.buckets, hot_min_rows, version, total, stats, lengths,
-        [s.rsplit("/", 1)[1] for s in index.segments], index.total_postings,
-    )
-
-
-def _read(spark: SparkSession, path: str, id_type: str, name: str) -> DataFrame:
-    return spark.read.schema(_stored_schemas(id_type)[name]).parquet(f"{path}/{name}")
-
-
-def _postings_of(counts: DataFrame) -> int:
-    return counts.agg(F.sum(F.size("counts"))).first()[0] or 0
-
-
-def _lengths(counts: DataFrame) -> DataFrame:
-    """Per text field: documents with at least one token, and their tokens."""
-    some = counts.where(F.col("field").isin(*P.TEXT_FIELDS) & (F.col("dl") > 0))
-    return some.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total_dl"))
-
-
-def _store(
-    spark: SparkSession,
-    path: str,
-    id_type: str,
-    buckets: int,
-    hot_min_rows: int,
-    version: int,
-    total: int,
-    stats: DataFrame,
-    lengths: DataFrame,
-    earlier: list[str],
-    earlier_postings: int | None,
-) -> StoredIndex:
-    """Statistics and postings of one segment, from its stored counts."""
-    postings = P.unpack(_read(spark, path, id_type, "counts"))
-    lengths.coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
-    (
-        stats.withColumn("bucket", bucket_of(F.col("term"), buckets))
-        .repartition("bucket")
-        .sortWithinPartitions("bucket", "term")
-        .write.mode("overwrite").partitionBy("bucket")
-        .parquet(f"{path}/term_stats")
-    )
-    found = _read(spark, path, id_type, "term_stats")
-    hot = hot_keys(
-        found.drop("bucket"), ["field", "term"], "df", hot_threshold(total, hot_min_rows)
-    )
+    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    schemas = _schemas(id_type)
+    with run_folder(spark):
+        counted = f"{new_table_path(spark, 'counts')}"
+        _doc_rows(docs, 1).drop("part").write.parquet(counted)
+        counts = spark.read.schema(schemas["docs"].removesuffix(", part int")).parquet(counted)
+        total = counts.agg(F.sum(F.size("counts"))).first()[0] or 0
+        if buckets is None:
+            buckets = min(max(total // ROWS_PER_BUCKET, MIN_BUCKETS), MAX_BUCKETS)
+        docs_path = f"{path}/docs"
+        parted = counts.withColumn("part", _doc_part(buckets)).sortWithinPartitions("part", "doc_id")
+        parted.coalesce(_tasks_of(spark, buckets)).write.mode("overwrite").partitionBy("part").parquet(docs_path)
+        stats = P.term_stats(P.unpack(counts)).withColumn("bucket", bucket_of(F.col("term"), buckets))
+        _write_stats(stats, f"{path}/term_stats")
+        _ordered(P.unpack(counts), spark, path, id_type, buckets, total, hot_min_rows).write.mode(
+            "overwrite"
+        ).partitionBy("bucket").parquet(f"{path}/postings")
+    return _finish(spark, path, id_type, buckets)
+
+
+def _tasks_of(spark: SparkSession, buckets: int) -> int:
+    return max(buckets, spark.sparkContext.defaultParallelism)
+
+
+def _write_stats(stats: DataFrame, path: str) -> None:
+    ordered = stats.repartition("bucket").sortWithinPartitions("bucket", "term")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def _ordered(postings, spark, path, id_type, buckets, total, hot_min_rows) -> DataFrame:
+    """Postings in their final place, hot terms of the stored statistics spread by document."""
+    stats = spark.read.schema(_schemas(id_type)["term_stats"]).parquet(f"{path}/term_stats")
+    hot = hot_keys(stats.drop("bucket"), ["field", "term"], "df", hot_threshold(total, hot_min_rows))
     # a bucket beyond ROWS_PER_BUCKET is the work of several tasks, by term
     shares = max(total // (buckets * ROWS_PER_BUCKET), 1)
-    (
+    return (
         add_salt(postings, hot, ["field", "term"], "doc_id")
         .withColumn("bucket", bucket_of(F.col("term"), buckets))
         .repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(shares)), "salt")
         .sortWithinPartitions("bucket", "term", "doc_id")
         .drop("salt")
-        .write.mode("overwrite").partitionBy("bucket")
-        .parquet(f"{path}/postings")
-    )
-    (
-        spark.range(1)
-        .select(
-            F.lit(buckets).cast("int").alias("buckets"),
-            F.lit(total + (earlier_postings or 0)).cast("bigint").alias("total_postings"),
-            F.lit(id_type).alias("id_type"),
-            F.lit(version).cast("bigint").alias("version"),
-            F.array(*[F.lit(e) for e in earlier]).cast("array<string>").alias("earlier"),
-        )
-        .coalesce(1)
-        .write.mode("overwrite").parquet(f"{path}/info")
     )
+
+
+def _finish(spark: SparkSession, path: str, id_type: str, buckets: int) -> StoredIndex:
+    """The statistics of the fields and the closing row, from the stored documents."""
+    docs = spark.read.schema(_schemas(id_type)["docs"]).parquet(f"{path}/docs")
+    text = F.col("field").isin(*P.TEXT_FIELDS) & (F.col("dl") > 0)
+    sums = docs.groupBy("field").agg(
+        F.count_if(text).alias("n"), F.sum(F.when(text, F.col("dl")).otherwise(0)).alias("total_dl"), F.sum(F.size("counts")).alias("rows")
+    ).collect()  # a row per field
+    lengths = [(r["field"], r["n"], r["total_dl"]) for r in sums if r["n"]]
+    spark.createDataFrame(lengths, "field string, n bigint, total_dl bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
+    info = [(buckets, sum(r["rows"] for r in sums), id_type)]
+    spark.createDataFrame(info, _INFO).coalesce(1).write.mode("overwrite").parquet(f"{path}/info")
     return StoredIndex(spark, path)
+
+
+def update_index(index: StoredIndex, changed: DataFrame, gone: DataFrame, hot_min_rows: int = HOT_MIN_ROWS) -> StoredIndex:
+    """The index after a change, in place: only ``changed`` is tokenised, and only the partitions
+    that hold a term of a changed document are read and written.
+
+    ``changed`` holds new and changed documents, ``gone`` the ``doc_id`` of deleted ones.
+    """
+    spark, tables, buckets = index.spark, index.tables(), index.buckets
+    with run_folder(spark):
+
+        def kept(rows: DataFrame, name: str) -> DataFrame:
+            path = new_table_path(spark, name)
+            rows.write.parquet(path)
+            return spark.read.schema(rows.schema).parquet(path)
+
+        new = kept(_doc_rows(changed, buckets), "counts")
+        keys = kept(changed.select("doc_id").unionByName(gone.select("doc_id")).distinct(), "keys")
+        old = kept(tables["docs"].read().join(keys, "doc_id", "left_semi"), "old")  # by narrow keys
+        in_bucket = bucket_of(F.col("term"), buckets).alias("bucket")
+
+        def buckets_of(counts: DataFrame) -> set[int]:
+            return {r["bucket"] for r in P.unpack(counts).select(in_bucket).distinct().collect()}
+
+        before, after = buckets_of(old), buckets_of(new)
+        fresh = P.unpack(new).withColumn("bucket", in_bucket)
+        if before:
+            touched = sorted(before)
+            rest = tables["postings"].read(touched).join(old.select("doc_id").distinct(), "doc_id", "left_anti")
+            both = rest.unionByName(fresh.where(F.col("bucket").isin(*touched))).drop("bucket")
+            ordered = _ordered(both, spark, index.path, index.id_type, buckets, index.total_postings, hot_min_rows)
+            tables["postings"].replace(touched, ordered, ["term", "doc_id"])
+        added = sorted(after - before)
+        if added:
+            tables["postings"].append(fresh.where(F.col("bucket").isin(*added)), ["term", "doc_id"])
+        every = sorted(before | after)
+        if every:
+            counted = tables["postings"].read(every).groupBy("field", "term", "bucket").agg(F.count(F.lit(1)).alias("df"))
+            counted = counted.select("field", "term", "df", "bucket")
+            tables["term_stats"].replace(every, counted.repartition("bucket"), ["term"])
+        parts = sorted(r["part"] for r in old.select("part").distinct().collect())
+        if parts:
+            rest = tables["docs"].read_for_rewrite(parts).join(keys, "doc_id", "left_anti")
+            tables["docs"].replace(parts, rest.unionByName(new.where(F.col("part").isin(*parts))), ["doc_id"])
+        more = new.where(~F.col("part").isin(*parts)) if parts else new
+        tables["docs"].append(more, ["doc_id"])
+    return _finish(spark, index.path, index.id_type, buckets)

@@ -1,44 +1,33 @@
-"""Micro-batch ingest of new files with Structured Streaming.
+"""Micro-batch ingest of new and changed files with Structured Streaming.
 
-The file source delivers a path once: new files arrive here, changed and deleted ones are
-found by the batch ingest, run on a schedule over the same catalog. (It also finds what the
-file source passes over: files without bytes, and names that start with ``_``.) State is the
+The source delivers the listing rows of files that arrived or changed since the last micro-batch,
+as often as they change; the delta against the catalog passes over those that it knows. Deleted
+files are found by the batch ingest, run on a schedule over the same catalog. State is the
 catalog itself, keyed by path; there are no windows and no late data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+import threading
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from docloom import constants as C
-from docloom.functions import paths
 from docloom.operators import delta as D
 from docloom.operators import filters
-from docloom.operators.extract import extract_binary
+from docloom.operators.extract import extract_listed
 from docloom.plans.indexing import refresh_index
-from docloom.plans.ingest import document_rows
+from docloom.plans.ingest import document_rows, read_tasks
 from docloom.session import new_table_path, run_folder
 from docloom.sources import files, progress
-from docloom.sources.catalog import COMPACT_AFTER, Catalog
-
-
-#: Longer than any file is old.
-MAX_FILE_AGE = "36500d"
-
-#: Batches up to so many files look their keys up by filter.
-MAX_FILTER_KEYS = 1_000
-
-
-def document_glob(extensions: Sequence[str] = C.DOCUMENT_EXTENSIONS) -> str:
-    """Glob of the allowlisted extensions in any case, so other files are never opened."""
-    any_case = (
-        "".join(f"[{ch}{ch.upper()}]" if ch.isalpha() else ch for ch in ext) for ext in extensions
-    )
-    return "*{" + ",".join(any_case) + "}"
+from docloom.sources.arrivals import arrivals
+from docloom.sources.catalog import MAX_FILTER_KEYS, Catalog, cluster
 
 
 def _known(catalog: Catalog, keyed: DataFrame) -> DataFrame:
@@ -56,94 +45,132 @@ def ingest_batch(
     root: str,
     stream: str,
     backup_root: str | None = None,
-    compact_after: int = COMPACT_AFTER,
     index_root: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """The ``foreachBatch`` function: one commit and one progress record per micro-batch.
-
-    Which files count is decided on narrow rows; file bytes are read for those only and go from
-    the source to their text without a shuffle. The record is written first, under the batch's
-    tag: a batch that fails before its commit writes it again, one that fails after it has it.
-    A batch that was committed is recognised by its tag and skipped, and a row replaces the row
-    with the same key, so a replay changes nothing. With ``index_root`` the text index follows
-    every commit.
+    """The ``foreachBatch`` function: one commit and one progress record per micro-batch of listing
+    rows. A batch without files leaves no trace.
+
+    Which files count is decided on narrow rows, listed once; only new and changed files are opened,
+    in as many tasks as their bytes need, and their texts are written where they are read. The
+    record is written first, under the batch's tag: a batch that fails before its commit writes it
+    again, one that fails after it has it. A batch that was committed is recognised by its tag and
+    skipped, and a row replaces the row with the same key, so a replay changes nothing. With
+    ``index_root`` the text index follows every commit.
     """
+    spark = catalog.spark
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        path = new_table_path(spark, name)
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        with run_folder(catalog.spark):
-            ingest(batch, f"{stream}-{batch_id}")
-        if index_root is not None:
+        with run_folder(spark):
+            changed = ingest(batch, f"{stream}-{batch_id}")
+        if changed and index_root is not None:
             refresh_index(catalog, index_root)
 
-    def ingest(batch: DataFrame, tag: str) -> None:
-        if not catalog.applied(tag):
-            scan = D.with_keys(
-                files.listing_of_binary(batch, root), filters.accepted(F.col("file_path"), F.col("root"))
-            )
-            path = new_table_path(catalog.spark, "statuses")
-            D.delta(scan, _known(catalog, scan), [root], whole_scan=False).write.parquet(path)
-            statuses = catalog.spark.read.parquet(path)
-            record = progress.record(D.run_counters(statuses), is_running=True)
-            progress.write(f"{catalog.path}/progress", tag, record)
-            # a small batch stays in few files: no spreading over key ranges
-            catalog.apply(document_rows(texts_of(batch, statuses), backup_root), tag=tag, clustered=True)
-            if catalog.pending >= compact_after:
-                catalog.compact()
+    def ingest(batch: DataFrame, tag: str) -> bool:
+        if catalog.applied(tag):
+            return False
+        accepted = filters.accepted(F.col("file_path"), F.col("root"))
+        scan = kept(D.with_keys(batch, accepted), "scan")
+        statuses = kept(D.delta(scan, _known(catalog, scan), [root], whole_scan=False), "statuses")
+        counters = D.run_counters(statuses)
+        seen = counters.first()
+        if not any(seen):
+            return False
+        progress.write(f"{catalog.path}/progress", tag, progress.record(counters, is_running=True))
+        if not seen["indexed"]:
+            return False
+        todo = statuses.where(F.col("status") == D.INDEXED)
+        texts = extract_listed(cluster(todo, read_tasks(todo))).where("readable")
+        catalog.apply(document_rows(texts, backup_root), tag=tag, clustered=True)
+        return True
 
     return run
 
 
-def texts_of(batch: DataFrame, statuses: DataFrame) -> DataFrame:
-    """The rows to index with their texts. The keys of a micro-batch (its size is the trigger's)
-    are handed to the tasks that read the files, so the bytes stay where they are read."""
-    ext = paths.file_extension(paths.file_name(F.col("file_path")))
-    todo = statuses.where(F.col("status") == D.INDEXED).withColumn("file_extension", ext)
-    bytes_ = batch.select(paths.slashed(F.col("path")).alias("file_path"), "content")
-    return extract_binary(bytes_.join(F.broadcast(todo), "file_path"))
-
-
 def start_ingest(
     spark: SparkSession,
     root: str,
     catalog_path: str,
     checkpoint: str,
     stream: str = "stream",
-    files_per_batch: int = C.MICRO_BATCH_FILES,
     available_now: bool = False,
     backup_root: str | None = None,
     index_root: str | None = None,
     interval: str = C.REFRESH_INTERVAL,
 ) -> StreamingQuery:
-    """Start the stream. By default it looks for new files every ``REFRESH_INTERVAL``; end it with
+    """Start the stream. By default it looks for files every ``REFRESH_INTERVAL``; end it with
     :func:`finish_ingest`."""
     catalog = Catalog(spark, catalog_path).ensure()
     root = (files.existing_roots(spark, [root]) or [root])[0]
-    source = (
-        spark.readStream.format("binaryFile")
-        .schema("path string, modificationTime timestamp, length bigint, content binary")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", document_glob())
-        .option("maxFilesPerTrigger", files_per_batch)
-        # copied and unpacked files keep old dates: no age makes a new file an old one
-        .option("maxFileAge", MAX_FILE_AGE)
-        .load(root)
-    )
     writer = (
-        source.writeStream.queryName(stream)
+        arrivals(spark, root).writeStream.queryName(stream)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(ingest_batch(catalog, root, stream, backup_root, index_root=index_root))
+        .foreachBatch(ingest_batch(catalog, root, stream, backup_root, index_root))
     )
     if available_now:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=interval).start()
 
 
-def finish_ingest(query: StreamingQuery, catalog_path: str, stop: bool = False) -> None:
+@dataclass(frozen=True)
+class Trigger:
+    """One micro-batch as the listener saw it."""
+
+    batch_id: int
+    started: str
+    seconds: float
+    rows: int
+
+
+class TriggerLog(StreamingQueryListener):
+    """Keeps what each trigger of a stream did. Add it with ``spark.streams.addListener``."""
+
+    def __init__(self, stream: str):
+        self.stream, self.triggers = stream, list[Trigger]()
+        self._news = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        """Nothing is known yet."""
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if p.name == self.stream:
+            with self._news:
+                self.triggers.append(Trigger(p.batchId, p.timestamp, p.batchDuration / 1000, p.numInputRows))
+                self._news.notify_all()
+
+    def onQueryTerminated(self, event) -> None:
+        """The closing record says so."""
+
+    def wait_for_rows(self, batches: int, timeout: float) -> bool:
+        """Waits until so many micro-batches had files."""
+
+        def enough() -> bool:
+            return len({t.batch_id for t in self.triggers if t.rows}) >= batches
+
+        with self._news:
+            return self._news.wait_for(enough, timeout)
+
+
+def _reached(query: StreamingQuery) -> int:
+    """The time up to which the stream has worked, in milliseconds."""
+    done = query.lastProgress
+    offset = done.sources[0].endOffset if done and done.sources else None
+    return int(re.search(r"\d+", str(offset))[0]) if offset else 0
+
+
+def finish_ingest(query: StreamingQuery, catalog_path: str, stop: bool = False, poll: float = 0.2) -> None:
     """Waits until the stream ends (as with ``available_now``), or with ``stop`` ends it once it
-    has worked off the files there are. Then writes the closing record: no longer running, and no
-    counters of its own."""
+    has worked off the files there are now. Then writes the closing record: no longer running, and
+    no counters of its own."""
     if stop:
-        query.processAllAvailable()
+        now = time.time() * 1000
+        while query.isActive and _reached(query) < now:
+            time.sleep(poll)
         query.stop()
     query.awaitTermination()
     closing = progress.record(progress.no_counters(SparkSession.active()), is_running=False)

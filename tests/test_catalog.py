@@ -1,6 +1,8 @@
 """The catalog table, the batch ingest and the stream over it."""
 
+import glob
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,8 +11,10 @@ from docloom.functions import paths
 from docloom.plans.ingest import document_rows, run_ingest
 from docloom.schema import DOCUMENT
 from docloom.sources import progress
-from docloom.sources.catalog import Catalog
-from docloom.streaming.ingest import document_glob, finish_ingest, ingest_batch, start_ingest
+from docloom.sources.arrivals import ArrivalReader
+from docloom.sources.catalog import Catalog, in_rounds
+from docloom.sources.files import listing_of_binary
+from docloom.streaming.ingest import TriggerLog, finish_ingest, ingest_batch, start_ingest
 from test_files import put
 
 
@@ -30,11 +34,15 @@ def contents(catalog):
     return {r.file_path: r.content for r in catalog.read().collect()}
 
 
+def files_of(path, prefix=None):
+    return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/rows/prefix={prefix or '*'}/*.parquet")}
+
+
 def test_upsert_delete_replay_compact(spark, tmp_path):
     catalog = Catalog(spark, str(tmp_path / "cat"))
     assert not catalog.exists() and catalog.read().count() == 0
     catalog.ensure().ensure()
-    assert catalog.exists() and catalog.read().schema == DOCUMENT
+    assert catalog.exists() and catalog.read().schema == DOCUMENT and catalog.read().count() == 0
 
     catalog.apply(docs(spark, [("/a.txt", "1"), ("/b.txt", "1"), ("/c.txt", "1")]), tag="one")
     catalog.apply(docs(spark, [("/A.txt", "2"), ("/d.txt", "2")]), tag="two")
@@ -48,17 +56,67 @@ def test_upsert_delete_replay_compact(spark, tmp_path):
     assert {r.file_path for r in catalog.read(ids).collect()} == {"/a.txt", "/c.txt"}
     assert catalog.read([]).count() == 0
 
-    # an uncommitted leftover is invisible, and the next write takes its place
-    left = tmp_path / "cat" / "changes" / "c=000004-torn"
-    docs(spark, [("/torn.txt", "")]).withColumn("op", F.lit("put")).write.parquet(str(left))
-    os.rename(left / "_SUCCESS", left / "_was")
+    # a change that is applied again changes nothing
+    catalog.apply(docs(spark, [("/a.txt", "3")]), dead, tag="three")
     assert contents(catalog) == want
-
-    assert catalog.pending == 2
     catalog.compact()
-    assert catalog.pending == 0 and contents(catalog) == want
+    assert contents(catalog) == want and len(files_of(catalog.path)) == len(catalog.rows.parts())
     catalog.apply(docs(spark, [("/b.txt", "back")]), tag="four")
     assert contents(catalog) == want | {"/b.txt": "back"}
+    gone = docs(spark, [(p, "") for p in ("/a.txt", "/b.txt", "/c.txt", "/d.txt")])
+    catalog.apply(docs(spark, []), gone, tag="five")
+    assert contents(catalog) == {} and catalog.rows.parts() == []
+
+
+def test_a_change_rewrites_its_partitions_only(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "cat"), prefix_chars=1)
+    catalog.apply(docs(spark, [(f"/f{i}.txt", str(i)) for i in range(200)]), tag="one")
+    assert catalog.prefix_chars == 1 and Catalog(spark, catalog.path).prefix_chars == 1
+    before = files_of(catalog.path)
+    one = docs(spark, [("/f7.txt", "new")])
+    touched = one.first()._id[0]
+    catalog.apply(one, tag="two")
+    after = files_of(catalog.path)
+    changed = {f for f in before.keys() ^ after.keys()} | {f for f in before.keys() & after.keys() if before[f] != after[f]}
+    assert changed and all(f"prefix={touched}/" in f for f in changed)
+    # new keys are added beside the files there are
+    catalog.apply(docs(spark, [("/more.txt", "more")]), tag="three")
+    assert after.items() <= files_of(catalog.path).items()
+    want = {f"/f{i}.txt": str(i) for i in range(200)} | {"/f7.txt": "new", "/more.txt": "more"}
+    assert contents(catalog) == want
+
+
+def test_changed_keys_in_rounds(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "cat"), prefix_chars=1)
+    catalog.apply(docs(spark, [(f"/f{i}.txt", str(i)) for i in range(60)]), tag="one")
+    changed = docs(spark, [(f"/f{i}.txt", "new") for i in range(0, 60, 2)])
+    dead = docs(spark, [(f"/f{i}.txt", "") for i in range(1, 60, 4)])
+    catalog.apply(changed, dead, tag="two", keys_at_once=5)  # some groups hold more: joined by shuffle
+    assert contents(catalog) == {
+        f"/f{i}.txt": "new" if i % 2 == 0 else str(i) for i in range(60) if i % 4 != 1
+    }
+    assert list(in_rounds({"a": 3, "b": 3, "c": 9, "d": 1}, 5)) == [["a"], ["b"], ["c"], ["d"]]
+    assert list(in_rounds({"a": 3, "b": 2, "c": 1}, 5)) == [["a", "b"], ["c"]]
+
+
+def test_old_texts_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """With Spark's own broadcasts off, no exchange of a change carries an old text."""
+    catalog = Catalog(spark, str(tmp_path / "cat"), prefix_chars=1)
+    catalog.apply(docs(spark, [(f"/f{i}.txt", str(i)) for i in range(40)]), tag="one")
+    plans = []
+    replace = type(catalog.rows).replace
+
+    def seen(table, parts, rows, sort=()):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return replace(table, parts, rows, sort)
+
+    monkeypatch.setattr(type(catalog.rows), "replace", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        catalog.apply(docs(spark, [("/f3.txt", "new")]), docs(spark, [("/f4.txt", "")]), tag="two")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans and all("Exchange hashpartitioning" not in p and "BroadcastExchange" in p for p in plans)
 
 
 def tree(root):
@@ -116,7 +174,6 @@ def test_ingest_runs(spark, tmp_path):
     os.rename(f"{root}/new.txt", f"{root}/new.gone")
     assert counters(run_ingest(spark, path, roots, force=True)) == zero(scanned=2, indexed=2, ignored=3)
     assert f"{root}/new.txt" in contents(catalog)
-    catalog.compact()
     assert len(contents(catalog)) == 4
 
     records = progress.read(spark, f"{path}/progress")
@@ -144,7 +201,7 @@ def test_stream_equals_batch(spark, tmp_path):
     streamed, batch = Catalog(spark, str(tmp_path / "s")), Catalog(spark, str(tmp_path / "b"))
     assert contents(streamed) == contents(batch) and len(contents(batch)) == 49
     records = progress.read(spark, str(tmp_path / "s" / "progress"))
-    assert records.count() >= 3  # micro-batches of 20 files
+    assert records.count() == 1  # all that was there
     assert progress.totals(records).first().indexed == 49
     assert progress.running(records, F.current_timestamp()).first().is_running is True
 
@@ -158,24 +215,84 @@ def test_stream_equals_batch(spark, tmp_path):
     assert contents(streamed)[f"{root}/late.txt"] == "late"
 
     # replay of a committed batch, and of known files under a new tag: nothing changes
-    before, sets = contents(streamed), streamed.pending
-    files = spark.read.format("binaryFile").load(f"{root}/many")
+    before, there = contents(streamed), files_of(streamed.path)
+    listing = listing_of_binary(spark.read.format("binaryFile").load(f"{root}/many"), root)
     replay = ingest_batch(streamed, root, "stream")
-    replay(files, 0)
-    assert streamed.pending == sets
-    replay(files, 1000)
-    assert contents(streamed) == before
-    # compaction inside the stream keeps the rows
-    ingest_batch(streamed, root, "stream", compact_after=1)(files, 1001)
-    assert streamed.pending == 0 and contents(streamed) == before
+    replay(listing, 0)
+    replay(listing, 1000)
+    assert contents(streamed) == before and files_of(streamed.path) == there
 
 
-@pytest.mark.parametrize("name, hit", [("a.PDF", True), ("a.Md", True), ("a.mdx", False), ("pdf", False)])
-def test_document_glob(name, hit):
-    import fnmatch
+def test_stream_takes_files_that_change(spark, tmp_path):
+    root, path, state = (str(tmp_path / x) for x in ("r", "cat", "state"))
 
-    alternatives = document_glob()[2:-1].split(",")
-    assert any(fnmatch.fnmatchcase(name, "*" + a) for a in alternatives) is hit
+    def run():
+        finish_ingest(start_ingest(spark, root, path, state, available_now=True), path)
+        return {os.path.relpath(p, root): t for p, t in contents(Catalog(spark, path)).items()}
+
+    put(root, "sub/a.txt", b"first")
+    put(root, "b.txt", b"stays")
+    assert run() == {"sub/a.txt": "first", "b.txt": "stays"}
+    put(root, "sub/a.txt", b"second, longer")
+    assert run() == {"sub/a.txt": "second, longer", "b.txt": "stays"}
+    # a folder moved in with its old files, and a hidden one
+    put(str(tmp_path), "away/deep/c.txt", b"moved")
+    for f in ("away/deep/c.txt", "away/deep", "away"):
+        os.utime(tmp_path / f, (1_000_000_000, 1_000_000_000))
+    put(root, ".hid/d.txt", b"hidden")
+    assert run() == {"sub/a.txt": "second, longer", "b.txt": "stays"}
+    os.rename(tmp_path / "away", f"{root}/sub/in")
+    assert run() == {"sub/a.txt": "second, longer", "b.txt": "stays", "sub/in/deep/c.txt": "moved"}
+    before = progress.read(spark, f"{path}/progress").count()
+    assert len(run()) == 3 and progress.read(spark, f"{path}/progress").count() == before
+
+
+def test_a_running_stream_looks_at_each_interval(spark, tmp_path):
+    root, path, state = (str(tmp_path / x) for x in ("r", "cat", "state"))
+    put(root, "a.txt", b"one")
+    log = TriggerLog("looks")
+    spark.streams.addListener(log)
+    try:
+        query = start_ingest(spark, root, path, state, "looks", interval="500 milliseconds")
+        assert log.wait_for_rows(1, timeout=120)
+        put(root, "b.txt", b"two")
+        assert log.wait_for_rows(2, timeout=120)
+        put(root, "c.txt", b"three")
+        finish_ingest(query, path, stop=True)
+    finally:
+        spark.streams.removeListener(log)
+    assert not query.isActive
+    assert sorted(contents(Catalog(spark, path)).values()) == ["one", "three", "two"]
+    triggers = [t for t in log.triggers if t.rows]
+    assert len(triggers) >= 2 and triggers == sorted(triggers, key=lambda t: t.batch_id)
+    assert progress.latest(progress.read(spark, f"{path}/progress")).first().is_running is False
+
+
+def test_arrivals_are_listed_once_in_each_window(tmp_path, monkeypatch):
+    root = str(tmp_path / "r")
+    for i in range(12):
+        for j in range(3):
+            put(root, f"d{i}/e{j}/f.txt")
+    put(root, "top.txt")
+    put(root, ".git/x.txt")
+    reader = ArrivalReader(root)
+    time.sleep(0.02)  # offsets are whole milliseconds
+    end = reader.latestOffset()
+
+    def found(start, end):
+        return sorted(os.path.relpath(r[1], root) for p in reader.partitions(start, end) for r in reader.read(p))
+
+    want = sorted(["top.txt", *(f"d{i}/e{j}/f.txt" for i in range(12) for j in range(3))])
+    assert found(reader.initialOffset(), end) == want and found(end, end) == []
+    assert len(reader.partitions(reader.initialOffset(), end)) > 12
+    for limits in ({"MIN_FOLDERS": 1}, {"MAX_ENTRIES": 5}, {"MAX_PARTITIONS": 2}, {"MIN_FOLDERS": 1000}):
+        with monkeypatch.context() as m:
+            for k, v in limits.items():
+                m.setattr(f"docloom.sources.arrivals.{k}", v)
+            assert found(reader.initialOffset(), end) == want
+    time.sleep(0.02)
+    put(root, "d3/e1/f.txt", b"again")
+    assert found(end, reader.latestOffset()) == ["d3/e1/f.txt"]
 
 
 @pytest.mark.parametrize("form", ["{0}//", "{1}/./docs", "{1}/x/../docs", "file:{0}", "{0}/"])

@@ -17,7 +17,7 @@ from docloom.sources.catalog import cluster
 from docloom.sources.text_index import write_index
 
 RUNS_JOBS = {"extract_text", "stream_ingest", "stream_replay", "progress_totals", "progress_latest",
-             "extract_long_text", "catalog_after_compact"}  # return a plain read of the catalog
+             "extract_long_text", "catalog_after_compact", "stream_changed_files", "stream_triggers"}  # return a plain read of the catalog
 
 
 def plan(df) -> str:
