@@ -31,9 +31,10 @@ from docloom.session import new_table_path, spread
 
 #: A table is broadcast only when its counted size is below this.
 BROADCAST_BYTES = 64 << 20
-#: Queries with the same leading term that one task answers, and the longest start of the date
-#: order that is ranked for queries without words; a longer one is the whole clause.
-LEADS_PER_TASK, NEWEST_ROWS = 10_000, 100_000
+#: Queries with the same leading term that one task answers.
+LEADS_PER_TASK = 10_000
+#: Parts of a list of documents that are cut before the list is.
+SUB_BUCKETS = 64
 KEY_BYTES = 128  # a document key in a broadcast: 64 hex characters and its overhead
 _TERM = ("field", "term")
 
@@ -176,26 +177,30 @@ def _matches(points: DataFrame) -> DataFrame:
     )
 
 
-def _newest(required: DataFrame, terms: DataFrame, meta: DataFrame, k: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """``(queries, candidates)`` of the queries without a required word whose answer lies in the
-    first ``k + m`` documents of the date order, ``k + m <= most``."""
+def _newest(required: DataFrame, terms: DataFrame, meta: DataFrame, k: int, sub_buckets: int) -> DataFrame:
+    """Candidates of the queries without a required word: the first ``k + m`` documents of the date
+    order of their lists, ``m`` being the most that their exclusions can hit.
+
+    Lists are cut in two steps, so that no task reads the starts of all tasks: by list and
+    sub-bucket of documents, where each task before has cut its rows already, then by list.
+    """
     hit = F.sum(F.when(F.col("kind") == "not", F.col("df")).otherwise(0))
     need = terms.where(~F.col("has_must")).groupBy("query_id").agg((hit + k).alias("need"))
-    need = need.where(F.col("need") <= most)
-    longest = need.agg(F.max("need")).first()[0] or 0
     wanted = required.where(~F.col("has_must")).join(need, "query_id")
     wanted = wanted.select("query_id", "has_must", "n_clauses", F.col("term").alias("list"), "need").distinct()
-    # every document stands in two lists; a list is cut to its longest start in every task before
-    # its rows meet, as the limit is a literal
-    lists = F.explode(F.array(F.lit(P.ALL_TERM), F.col("file_type")))
-    rows = meta.select("doc_id", "modified_date", lists.alias("list"))
-    rows = rows.join(wanted.select("list").distinct(), "list", "left_semi")
-    order = Window.partitionBy("list").orderBy(F.col("modified_date").desc_nulls_last(), "doc_id")
-    starts = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= longest)
-    found = wanted.join(starts.select("list", "doc_id", "place"), "list").where(F.col("place") <= F.col("need"))
-    return need.select("query_id"), found.select(
-        "query_id", "doc_id", "has_must", "n_clauses", F.lit(True).alias("const_lead")
-    )
+    lists = _stored(wanted.groupBy("list").agg(F.max("need").alias("most")), "lists")  # a row per file type
+    longest = min(lists.agg(F.max("most")).first()[0] or 0, 2**31 - 1)
+    # every document stands in two lists
+    both = F.explode(F.array(F.lit(P.ALL_TERM), F.col("file_type")))
+    rows = meta.select("doc_id", "modified_date", both.alias("list"), F.pmod(F.xxhash64("doc_id"), F.lit(sub_buckets)).alias("sub"))
+    rows = rows.join(F.broadcast(lists), "list")
+    newest_first = [F.col("modified_date").desc_nulls_last(), F.col("doc_id")]
+    for part in (["list", "sub"], ["list"]):
+        place = F.row_number().over(Window.partitionBy(*part).orderBy(*newest_first))
+        # as a literal the limit cuts the rows of every task before they meet
+        rows = rows.withColumn("place", place).where((F.col("place") <= longest) & (F.col("place") <= F.col("most")))
+    found = wanted.join(rows.select("list", "doc_id", "place"), "list").where(F.col("place") <= F.col("need"))
+    return found.select("query_id", "doc_id", "has_must", "n_clauses", F.lit(True).alias("const_lead"))
 
 
 def search_batch(
@@ -206,7 +211,7 @@ def search_batch(
     hot_min_rows: int = HOT_MIN_ROWS,
     broadcast_bytes: int = BROADCAST_BYTES,
     leads_per_task: int = LEADS_PER_TASK,
-    newest_rows: int = NEWEST_ROWS,
+    sub_buckets: int = SUB_BUCKETS,
 ) -> DataFrame:
     """Top ``k`` documents of every query: ``(query_id, rank, doc_id, score)``.
 
@@ -216,7 +221,7 @@ def search_batch(
     """
     distinct = _stored(queries.groupBy("query").agg(F.min("query_id").alias("first")), "queries")
     once = distinct.select(F.col("first").alias("query_id"), "query")
-    top = _answers(once, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_task, newest_rows)
+    top = _answers(once, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_task, sub_buckets)
     asked = queries.join(distinct, queries["query"].eqNullSafe(distinct["query"]))
     asked = asked.select(queries["query_id"].alias("asking"), F.col("first").alias("query_id"))
     return asked.join(top, "query_id").drop("query_id").withColumnRenamed("asking", "query_id").select(
@@ -224,7 +229,7 @@ def search_batch(
     )
 
 
-def _answers(queries, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_task, newest_rows) -> DataFrame:
+def _answers(queries, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_task, sub_buckets) -> DataFrame:
     entries = _stored(query_terms(queries), "terms")
     size = entries.agg(F.sum(F.octet_length("term") + F.lit(128))).first()[0] or 0
     small = size <= broadcast_bytes  # the whole table of query terms, counted
@@ -253,8 +258,9 @@ def _answers(queries, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_t
     # Candidates: the documents of the clause that leads. The postings of a hot term are spread
     # over its salts by document.
     required = terms.where(F.col("kind") != "not")
-    ranked, newest = _newest(required, terms, meta, k, newest_rows)
-    required = required.join(ranked, "query_id", "left_anti")
+    newest = _newest(required, terms, meta, k, sub_buckets)
+    ranked = required.where(~F.col("has_must")).select("query_id").distinct()
+    required = required.where("has_must")
     lead = required.join(_leads(required), ["query_id", "clause"]).select(
         "query_id", "has_must", "n_clauses", (F.col("kind") == "const").alias("const_lead"), "term_no"
     )

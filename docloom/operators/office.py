@@ -6,6 +6,7 @@ Each takes the bytes of one file and returns text; a file that cannot be read ra
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from xml.etree import ElementTree as ET
@@ -19,6 +20,9 @@ DOCUMENT_PART = "word/document.xml"
 STRINGS_PART = "xl/sharedStrings.xml"
 SLIDE_PART = "ppt/slides/slide{}.xml"
 _SLIDE_NAME = re.compile(r"ppt/slides/slide([0-9]+)\.xml")
+DECK_PART, DECK_LINKS = "ppt/presentation.xml", "ppt/_rels/presentation.xml.rels"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_L = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 
 _RUN_TEXT = {"tab": "\t", "ptab": "\t", "cr": "\n", "noBreakHyphen": "-"}
 
@@ -67,11 +71,24 @@ def _shape_text(shape: ET.Element) -> str:
     return "\n".join(lines).strip()
 
 
+def _deck_order(z: zipfile.ZipFile, names: set[str]) -> list[str]:
+    """Parts of the slides in the order of the deck's own list; by their numbers where a deck has
+    none. A slide that the list leaves out is not shown, and none here."""
+    if DECK_PART in names and DECK_LINKS in names:
+        links = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(z.read(DECK_LINKS)).iter(_L + "Relationship")}
+        listed = [links.get(s.get(_R + "id"), "") for s in ET.fromstring(z.read(DECK_PART)).iter(_P + "sldId")]
+        # a target is named from the deck's folder, or with a slash from the top
+        parts = [posixpath.normpath(posixpath.join("/ppt", t)).lstrip("/") for t in listed]
+        return [p for p in parts if p in names]
+    numbered = {int(m[1]): name for name in names if (m := _SLIDE_NAME.fullmatch(name))}
+    return [numbered[n] for n in sorted(numbered)]
+
+
 def _slides(data: bytes) -> list[tuple[int, ET.Element]]:
-    """All slides by their number."""
+    """All slides, numbered from 1 in the order in which the deck shows them."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        found = {int(m[1]): name for name in z.namelist() if (m := _SLIDE_NAME.fullmatch(name))}
-        return [(n, ET.fromstring(z.read(found[n]))) for n in sorted(found)]
+        order = _deck_order(z, set(z.namelist()))
+        return [(n, ET.fromstring(z.read(name))) for n, name in enumerate(order, 1)]
 
 
 def slide_texts(data: bytes) -> list[tuple[int, int, str]]:

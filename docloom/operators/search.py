@@ -241,7 +241,12 @@ def total_hits(found: DataFrame) -> DataFrame:
 
 
 def page_summary(found: DataFrame, number: int = 1, size: int = C.PAGE_SIZE) -> DataFrame:
-    return total_hits(found).select(*page_columns(F.col("total"), F.lit(max(number, 1)), size))
+    return summary_of(total_hits(found), number, size)
+
+
+def summary_of(total: DataFrame, number: int = 1, size: int = C.PAGE_SIZE) -> DataFrame:
+    """The summary of a page from the one row ``(total)``."""
+    return total.select(*page_columns(F.col("total"), F.lit(max(number, 1)), size))
 
 
 def fetch(top: DataFrame, docs: DataFrame, *columns: str, size: int = C.PAGE_SIZE) -> DataFrame:

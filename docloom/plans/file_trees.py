@@ -52,7 +52,8 @@ def xlsx_bytes(text: str) -> bytes:
 
 
 def pptx_bytes(text: str) -> bytes:
-    """The lines of the text as shapes: all on slide 1, the last one again on slide 2."""
+    """The lines of the text as shapes: all on the first slide of the deck, the last one again on the
+    second. The parts are named the other way round, as in a deck whose slides were moved."""
     p, a = office._P.strip("{}"), office._A.strip("{}")
 
     def slide(lines: list[str]) -> str:
@@ -66,7 +67,13 @@ def pptx_bytes(text: str) -> bytes:
         )
 
     lines = _lines(text)
-    return _zip({office.SLIDE_PART.format(1): slide(lines), office.SLIDE_PART.format(2): slide(lines[-1:])})
+    r, rels = office._R.strip("{}"), office._L.strip("{}")
+    deck = f'<p:presentation xmlns:p="{p}" xmlns:r="{r}"><p:sldIdLst><p:sldId r:id="rId7"/><p:sldId r:id="rId3"/></p:sldIdLst></p:presentation>'
+    links = "".join(f'<Relationship Id="{i}" Target="{t}"/>' for i, t in (("rId3", "slides/slide1.xml"), ("rId7", "/ppt/slides/slide2.xml")))
+    return _zip({
+        office.DECK_PART: deck, office.DECK_LINKS: f'<Relationships xmlns="{rels}">{links}</Relationships>',
+        office.SLIDE_PART.format(1): slide(lines[-1:]), office.SLIDE_PART.format(2): slide(lines),
+    })
 
 
 _BUILDERS = {".docx": docx_bytes, ".xlsx": xlsx_bytes, ".pptx": pptx_bytes}
@@ -146,15 +153,17 @@ def _write_rows(rows: DataFrame, age_days: int = 0) -> None:
     dated.mapInPandas(_write, "n bigint").agg(F.sum("n")).first()
 
 
-def write_long_texts(spark: SparkSession, sf_dir: str, more_than: int) -> str:
-    """A text file per ``benchmark`` item: its text again and again, over ``more_than`` characters."""
+def write_long_texts(spark: SparkSession, sf_dir: str, docs_per_file: int) -> str:
+    """A text file for each so many ids: the texts of their documents, one after the other."""
     root = new_table_path(spark, "long")
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").repartition(8, "item_id")
-    times = F.floor(F.lit(more_than) / (F.length("text") + 1)).cast("int") + 1
-    rows = items.select(
-        F.concat(F.lit(root + "/"), F.col("item_id"), F.lit(".txt")).alias("file_path"),
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    file_no = F.floor(F.col("doc_id") / docs_per_file).alias("file_no")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    together = docs.groupBy(file_no).agg(F.sort_array(F.collect_list(F.struct("doc_id", text))).alias("docs"))
+    rows = together.select(
+        F.concat(F.lit(root + "/"), F.col("file_no"), F.lit(".txt")).alias("file_path"),
         F.lit(".txt").alias("file_extension"),
-        F.repeat(F.concat("text", F.lit("\n")), times).alias("content"),
+        F.array_join(F.transform("docs", lambda d: d["text"]), "\n").alias("content"),
     )
     _write_rows(with_bytes(rows))
     return root

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.session import new_table_path, run_folder
 from docloom.sources.catalog import MAX_FILTER_KEYS, Catalog
+from docloom.sources.rank_tables import RankTables, write_ranks
 from docloom.sources.text_index import StoredIndex, stamp_of, update_index, write_index
 
 
@@ -51,3 +54,9 @@ def refresh_index(catalog: Catalog, index_root: str) -> StoredIndex:
         else:
             changed = search_columns(catalog.read(), "content").join(fresh, "doc_id", "left_semi")
         return update_index(old, changed, dead)
+
+
+def refresh_ranks(catalog: Catalog, index_root: str) -> RankTables:
+    """The stored orders of the catalog as it is: one sort of narrow rows for each order. They are
+    written beside the old ones, which readers keep until the new ones are complete."""
+    return write_ranks(search_columns(catalog.read()), f"{index_root}/ranks/{uuid.uuid4().hex}")

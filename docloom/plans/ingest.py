@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from docloom import constants as C
@@ -21,6 +21,7 @@ from docloom.sources.catalog import Catalog, cluster
 
 
 BYTES_PER_TASK, FILES_PER_TASK = 256 << 20, 5_000
+COUNTERS = ("scanned", "indexed", "skipped", "ignored", "error", "deleted")
 
 
 def document_rows(
@@ -40,12 +41,20 @@ def document_rows(
     return with_backup(rows, backup_root, backup_excluded).select(*DOCUMENT.names)
 
 
-def read_tasks(todo: DataFrame) -> int:
-    """Number of tasks for reading these files: by bytes and by file count."""
-    total = todo.agg(F.sum("file_size").alias("bytes"), F.count(F.lit(1)).alias("files")).first()
-    slots = min(todo.sparkSession.sparkContext.defaultParallelism, total["files"])
-    by_size = max((total["bytes"] or 0) // BYTES_PER_TASK, total["files"] // FILES_PER_TASK)
-    return max(by_size, slots, 1)
+def read_tasks(spark: SparkSession, files: int, size: int) -> int:
+    """Number of tasks for reading so many files of so many bytes."""
+    by_size = max(size // BYTES_PER_TASK, files // FILES_PER_TASK)
+    return max(by_size, min(spark.sparkContext.defaultParallelism, files), 1)
+
+
+def summary(statuses: DataFrame) -> Row:
+    """The run counters, and the bytes of what is to be read: one pass over narrow rows."""
+    size = F.sum(F.when(F.col("status") == D.INDEXED, F.col("file_size")))
+    return statuses.agg(*D.counter_columns(), F.coalesce(size, F.lit(0)).alias("bytes")).first()
+
+
+def one_row(spark: SparkSession, counters: dict[str, int]) -> DataFrame:
+    return spark.createDataFrame([tuple(counters[c] for c in COUNTERS)], ", ".join(f"{c} bigint" for c in COUNTERS))
 
 
 def run_ingest(
@@ -76,38 +85,35 @@ def run_ingest(
         )
         scan = D.with_keys(listing, ok | F.col("unreadable"))
         # Narrow rows, used several times below: a table instead of as many joins.
-        path = new_table_path(spark, "statuses")
-        D.delta(scan, D.metadata(catalog.read()), present, force).write.parquet(path)
-        statuses = spark.read.parquet(path)
+        statuses = _kept(spark, D.delta(scan, D.metadata(catalog.read()), present, force), "statuses")
         blind = statuses.where("unreadable")
         if blind.limit(1).count():
-            statuses = D.protect(statuses, blind)
+            statuses = _kept(spark, D.protect(statuses, blind), "protected")
+        seen = summary(statuses).asDict()
         # what is known before any file is opened: nothing is indexed or deleted yet
-        so_far = D.run_counters(statuses).select(
-            "scanned", F.lit(0).alias("indexed"), "skipped", "ignored", "error", F.lit(0).alias("deleted")
-        )
-        progress.write(records, tag, progress.record(so_far, True))
-
-        read = Observation(f"read-{tag}")
-        todo = statuses.where(F.col("status") == D.INDEXED)
-        # Tasks follow the bytes and files to read, not the size of these narrow rows; rows meet
-        # in key ranges now, so that their texts need no shuffle later.
-        todo = cluster(todo, read_tasks(todo))
-        extracted = extract_listed(todo).observe(
-            read, F.count_if(~F.col("readable")).alias("bad"), F.count_if(~F.col("parsed")).alias("unparsed")
-        )
-        puts = document_rows(extracted.where("readable"), backup_root, backup_excluded)
-        catalog.apply(puts, statuses.where(F.col("status") == D.GHOST), tag, clustered=True)
-
-        bad = F.lit(read.get["bad"] or 0)  # files that vanished between listing and reading
-        lazy = D.run_counters(statuses).select(
-            (F.col("scanned") - bad).alias("scanned"),
-            (F.col("indexed") - bad).alias("indexed"),
-            "skipped",
-            "ignored",
-            (F.col("error") + bad).alias("error"),
-            "deleted",
-        )
-        counters = spark.createDataFrame([lazy.first()], lazy.schema)  # one row, out of the run's folder
-        progress.write(records, tag, progress.record(counters, False, read.get["unparsed"] or 0))
+        progress.write(records, tag, progress.record(one_row(spark, seen | {"indexed": 0, "deleted": 0}), True))
+
+        bad = unparsed = 0
+        if seen["indexed"] or seen["deleted"]:
+            read = Observation(f"read-{tag}")
+            todo = statuses.where(F.col("status") == D.INDEXED)
+            # Tasks follow the bytes and files to read, not the size of these narrow rows; rows meet
+            # in key ranges now, so that their texts need no shuffle later.
+            todo = cluster(todo, read_tasks(spark, seen["indexed"], seen["bytes"]))
+            extracted = extract_listed(todo).observe(
+                read, F.count_if(~F.col("readable")).alias("bad"), F.count_if(~F.col("parsed")).alias("unparsed")
+            )
+            puts = document_rows(extracted.where("readable"), backup_root, backup_excluded)
+            catalog.apply(puts, statuses.where(F.col("status") == D.GHOST), tag, clustered=True)
+            if seen["indexed"]:  # files that vanished between listing and reading
+                bad, unparsed = read.get["bad"] or 0, read.get["unparsed"] or 0
+        seen |= {k: seen[k] + by * bad for k, by in (("scanned", -1), ("indexed", -1), ("error", 1))}
+        counters = one_row(spark, seen)
+        progress.write(records, tag, progress.record(counters, False, unparsed))
         return counters
+
+
+def _kept(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    path = new_table_path(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

@@ -282,6 +282,36 @@ def escaped(text: str) -> str:
     return text
 
 
+def passage_score(terms: list[str]) -> str:
+    """The score of ``piece``, which has ``start``, by its tokens and those of ``content``."""
+
+    def times(text: str, term: str) -> str:
+        return f"len(list_filter({text}, lambda x: x = '{term}'))::DOUBLE"
+
+    damp = "1.2 * (0.25 + 0.75 * length(piece) / 87.0)"
+    points = [
+        f"2.2 * ln(1 + (length(content) / 87.0 + 1.5) / ({times('all_tokens', t)} + 0.5))"
+        f" * {times('piece_tokens', t)} / ({times('piece_tokens', t)} + {damp})"
+        for t in terms
+    ]
+    return f"round(({' + '.join(points)}) * (1 + 1 / ln(start + 87.0)), 9)"
+
+
+def passage_snippets(found: str, terms: list[str]) -> str:
+    """Like :func:`snippets`, the pieces ranked by :func:`passage_score`."""
+    sql = snippets(found, terms)
+    a, b = sql.index("ranked_pieces AS ("), sql.index("best AS (")
+    return sql[:a] + f"""cut_pieces AS (
+  SELECT *, rtrim(raw_piece, chr(32) || chr(9) || chr(13) || chr(10)) AS piece FROM pieces),
+ranked_pieces AS (
+  SELECT *, {passage_score(terms)} AS n_terms
+  FROM (SELECT *, {tokens('piece')} AS piece_tokens, coalesce(sum(length(piece)) OVER (
+          PARTITION BY doc_id ORDER BY s_no, p_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+        FROM cut_pieces)
+  JOIN (SELECT doc_id, content, {tokens('content')} AS all_tokens FROM found) USING (doc_id)),
+""" + sql[b:]
+
+
 def snippets(
     found: str, terms: list[str], escape: bool = False, source: str = "found", columns: str = ""
 ) -> str:

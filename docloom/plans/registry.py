@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom import constants as C
 from docloom.functions import display, paths
-from docloom.functions.highlight import result_snippet
+from docloom.functions.highlight import passages, result_snippet
 from docloom.functions.querytext import classify
 from docloom.functions.tokens import term_counts, tokens
 from docloom.operators import artifacts, batch_search, delta, extract, filters, folders, mirror
@@ -24,6 +24,7 @@ from docloom.session import new_table_path, spread
 from docloom.schema import DOCUMENT
 from docloom.sources import files, progress
 from docloom.sources.catalog import Catalog
+from docloom.sources.rank_tables import write_ranks
 from docloom.sources.text_index import ScannedIndex, update_index, write_index
 from docloom.streaming.ingest import TriggerLog, finish_ingest, ingest_batch, start_ingest
 
@@ -541,6 +542,29 @@ def search_deep_page(spark, sf_dir):
     return S.page(found, order, 31, 10, top_rows=0).select("rank", "doc_id")
 
 
+def _ranks(spark, sf_dir):
+    meta = T.search_meta(spark, sf_dir)
+    # small parts, as many as a large collection has
+    return write_ranks(meta, new_table_path(spark, "ranks"), rows_per_part=max(meta.count() // 12, 1))
+
+
+@query(O.page(O.hits([], ["pdf", "docx"]), "date_desc", 2))
+def search_type_only_stored(spark, sf_dir):
+    """The second page of two types, from the stored order by date."""
+    return _ranks(spark, sf_dir).page("date_desc", ["pdf", "docx"], 2)
+
+
+@query(O.page(O.hits([]), "name_asc"))
+def search_names_stored(spark, sf_dir):
+    """All documents by name, from the stored order."""
+    return _ranks(spark, sf_dir).page("name_asc")
+
+
+@query(O.page(O.hits([], ["md"]), "size_desc"))
+def search_sizes_stored(spark, sf_dir):
+    return _ranks(spark, sf_dir).page("size_desc", ["md"])
+
+
 @query(
     "WITH " + O.CATALOG + """,
 moved AS (SELECT *, replace(file_path, ' ', '_') AS path FROM catalog)
@@ -625,6 +649,13 @@ def highlight_escaped(spark, sf_dir):
     return _snippets(spark, sf_dir, True)
 
 
+@query(O.passage_snippets(_ALL_DOCS, _TERMS))
+def highlight_passages(spark, sf_dir):
+    """Fragments of every document, ranked by passage score."""
+    docs = spread(T.catalog(spark, sf_dir).select("doc_id", "content"), "doc_id")
+    return docs.select("doc_id", result_snippet(F.col("content"), _TERMS, pick=passages).alias("snippet"))
+
+
 @query("SELECT doc_id, left(text, 300) || '...' AS snippet FROM documents")
 def snippet(spark, sf_dir):
     return T.catalog(spark, sf_dir).select(
@@ -856,17 +887,17 @@ def progress_latest(spark, sf_dir):
     return progress.latest(progress.read(spark, f"{path}/progress")).drop("at", "tag")
 
 
-LONG_TEXT = 1_050_000
+DOCS_PER_FILE = 1000
 
 
 @query(f"""
 WITH t AS (
-  SELECT item_id, repeat(text || chr(10), floor({LONG_TEXT} / (length(text) + 1))::INT + 1) AS content
-  FROM benchmark)
-SELECT item_id || '.txt' AS rel_path, length(content) AS n_chars, md5(content) AS content_md5 FROM t""")
+  SELECT doc_id // {DOCS_PER_FILE} AS file_no, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS content
+  FROM documents GROUP BY ALL)
+SELECT file_no || '.txt' AS rel_path, length(content) AS n_chars, md5(content) AS content_md5 FROM t""")
 def extract_long_text(spark, sf_dir):
-    """Texts of over a million characters are kept whole."""
-    root = write_long_texts(spark, sf_dir, LONG_TEXT)
+    """A thousand documents in each file, millions of characters: texts are kept whole."""
+    root = write_long_texts(spark, sf_dir, DOCS_PER_FILE)
     path = new_table_path(spark, "catalog")
     run_ingest(spark, path, [root])
     return _catalog_texts(Catalog(spark, path), root).select(

@@ -12,7 +12,9 @@ from docloom.functions import display, paths
 from docloom.functions.highlight import result_snippet
 from docloom.operators import search as S
 from docloom.plans.indexing import search_columns
+from docloom.session import new_table_path
 from docloom.sources.catalog import Catalog
+from docloom.sources.rank_tables import RankTables
 
 # --- fixed values: shown when a row has none ------------------------------------------------
 UNNAMED, UNKNOWN_TYPE = "Unnamed File", "doc"
@@ -68,22 +70,38 @@ def search_page(
     page: str | int | None = 1,
     size: int = C.PAGE_SIZE,
     escape: bool = False,
+    ranks: RankTables | None = None,
 ) -> ResultPage:
     """One result page over the catalog. An empty query shows nothing.
 
-    By relevance the index alone decides the page; other orders read the narrow columns of the
-    catalog. All else is read for the rows of the page only.
+    By relevance the index alone decides the page. Other orders of a query without words are read
+    from the stored orders ``ranks``, if there are any; else they read the narrow columns of the
+    catalog. The search runs once: the narrow hits are kept for the page and its summary. All else
+    is read for the rows of the page only.
     """
     number = page_number(page)
     spark = catalog.spark
     request = S.compile_query(spark, query.strip(), sort)
-    if query.strip() and request.order == "relevance":
-        found = S.scored_hits(index, request)
+    if ranks is not None and query.strip() and not (request.must or request.must_not or request.must_not_raw):
+        top = ranks.page(request.order, request.file_types, number, size).withColumn("score", F.lit(None).cast("double"))
+        total = spark.sql("SELECT 1 AS one").select(F.lit(ranks.total(request.file_types)).cast("bigint").alias("total"))
     else:
-        meta = search_columns(catalog.read())
-        found = S.hits(meta if query.strip() else meta.where(F.lit(False)), index, request)
-    top = S.page(found, request.order, number, size).select("doc_id", "rank", "score")
+        found = _hits(catalog, index, query.strip(), request)
+        path = new_table_path(spark, "hits")
+        found.write.parquet(path)
+        found = spark.read.schema(found.schema).parquet(path)
+        top = S.page(found, request.order, number, size).select("doc_id", "rank", "score")
+        total = S.total_hits(found)
     rows = top.collect()  # one page of narrow rows
     wide = search_columns(catalog.read([r["doc_id"] for r in rows]), "created_date", "content")
     full = wide.join(F.broadcast(spark.createDataFrame(rows, top.schema)), "doc_id")
-    return ResultPage(cards(full, request, escape), S.page_summary(found, number, size))
+    return ResultPage(cards(full, request, escape), S.summary_of(total, number, size))
+
+
+def _hits(catalog: Catalog, index, query: str, request: S.Request) -> DataFrame:
+    """Key, score and the column that the order needs."""
+    if query and request.order == "relevance":
+        return S.scored_hits(index, request)
+    meta = search_columns(catalog.read())
+    found = S.hits(meta if query else meta.where(F.lit(False)), index, request)
+    return found.select("doc_id", "score", "modified_date", "file_name", "file_size")

@@ -64,7 +64,7 @@ def in_rounds(keys_by_part: dict[str, int], most: int) -> Iterator[list[str]]:
 class Catalog:
     def __init__(self, spark: SparkSession, path: str, prefix_chars: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
-        self.rows = PartitionedTable(spark, f"{self.path}/rows", f"{_COLUMNS}, prefix string")
+        self.rows = PartitionedTable(spark, f"{self.path}/rows", f"{_COLUMNS}, prefix string", key="_id")
         self._prefix_chars = prefix_chars
 
     @property

@@ -18,10 +18,15 @@ BYTES_PER_TASK = 64 << 20
 
 
 class PartitionedTable:
-    """Rows of ``schema``, a list of columns as in SQL, the last of which is the partition."""
+    """Rows of ``schema``, a list of columns as in SQL, the last of which is the partition. With
+    ``key``, files carry a Bloom filter of that column, so a look-up of a few keys reads the row
+    groups that have them."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str | None = None):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.options = {"partitionOverwriteMode": "dynamic"}
+        if key:
+            self.options[f"parquet.bloom.filter.enabled#{key}"] = "true"
         self.part = schema.rsplit(",", 1)[1].split()[0]
 
     # -- folders ---------------------------------------------------------------------------
@@ -69,7 +74,7 @@ class PartitionedTable:
 
     def _write(self, rows: DataFrame, mode: str, sort: Sequence[str]) -> None:
         ordered = rows.sortWithinPartitions(self.part, *sort)
-        writer = ordered.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        writer = ordered.write.mode(mode).options(**self.options)
         writer.partitionBy(self.part).parquet(self.path)
 
     def append(self, rows: DataFrame, sort: Sequence[str] = ()) -> None:

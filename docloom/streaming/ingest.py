@@ -23,7 +23,7 @@ from docloom.operators import delta as D
 from docloom.operators import filters
 from docloom.operators.extract import extract_listed
 from docloom.plans.indexing import refresh_index
-from docloom.plans.ingest import document_rows, read_tasks
+from docloom.plans.ingest import document_rows, one_row, read_tasks, summary
 from docloom.session import new_table_path, run_folder
 from docloom.sources import files, progress
 from docloom.sources.arrivals import arrivals
@@ -76,15 +76,15 @@ def ingest_batch(
         accepted = filters.accepted(F.col("file_path"), F.col("root"))
         scan = kept(D.with_keys(batch, accepted), "scan")
         statuses = kept(D.delta(scan, _known(catalog, scan), [root], whole_scan=False), "statuses")
-        counters = D.run_counters(statuses)
-        seen = counters.first()
-        if not any(seen):
+        seen = summary(statuses).asDict()
+        if not any(seen.values()):
             return False
-        progress.write(f"{catalog.path}/progress", tag, progress.record(counters, is_running=True))
+        progress.write(f"{catalog.path}/progress", tag, progress.record(one_row(spark, seen), is_running=True))
         if not seen["indexed"]:
             return False
         todo = statuses.where(F.col("status") == D.INDEXED)
-        texts = extract_listed(cluster(todo, read_tasks(todo))).where("readable")
+        tasks = read_tasks(spark, seen["indexed"], seen["bytes"])
+        texts = extract_listed(cluster(todo, tasks)).where("readable")
         catalog.apply(document_rows(texts, backup_root), tag=tag, clustered=True)
         return True
 

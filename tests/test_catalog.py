@@ -1,7 +1,9 @@
 """The catalog table, the batch ingest and the stream over it."""
 
 import glob
+import hashlib
 import os
+import re
 import time
 
 import pytest
@@ -14,6 +16,7 @@ from docloom.sources import progress
 from docloom.sources.arrivals import ArrivalReader
 from docloom.sources.catalog import Catalog, in_rounds
 from docloom.sources.files import listing_of_binary
+from docloom.sources.partitioned import PartitionedTable
 from docloom.streaming.ingest import TriggerLog, finish_ingest, ingest_batch, start_ingest
 from test_files import put
 
@@ -34,6 +37,10 @@ def contents(catalog):
     return {r.file_path: r.content for r in catalog.read().collect()}
 
 
+def sha(n):
+    return hashlib.sha256(str(n).encode()).hexdigest()
+
+
 def files_of(path, prefix=None):
     return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/rows/prefix={prefix or '*'}/*.parquet")}
 
@@ -119,6 +126,25 @@ def test_old_texts_are_not_shuffled(spark, tmp_path, monkeypatch):
     assert plans and all("Exchange hashpartitioning" not in p and "BroadcastExchange" in p for p in plans)
 
 
+def test_a_few_keys_read_their_row_groups(spark, tmp_path):
+    table = PartitionedTable(spark, str(tmp_path / "t"), "_id string, n bigint, prefix string", key="_id").create()
+    table.options |= {"parquet.block.size": "20000", "parquet.block.size.row.check.min": "100", "parquet.page.size": "2000"}
+    # keys in no order: the least and greatest key of every row group say nothing
+    table.append(spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("_id"), F.col("id").alias("n"), F.lit("x").alias("prefix")).coalesce(1), ["n"])
+    wanted = table.read(["x"]).where(F.col("_id") == sha(77))
+
+    def scanned(df):
+        df.collect()
+        found = re.search(r"Location: .*", df._jdf.queryExecution().executedPlan().treeString())
+        assert found
+        leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return leaf.metrics().get("numOutputRows").get().value()
+
+    assert scanned(table.read(["x"])) == 5000
+    assert 0 < scanned(wanted) < 2500
+    assert [r.n for r in wanted.collect()] == [77]
+
+
 def tree(root):
     put(root, "a.txt", b"alpha")
     put(root, "sub dir/B.md", b"beta")

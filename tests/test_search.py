@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 from collections import Counter
 from itertools import chain
 
@@ -14,6 +15,8 @@ from docloom.operators import search as S
 from docloom.operators.batch_search import search_batch
 from docloom.plans import tables as T
 from docloom.session import new_table_path, work_folder
+from docloom.sources import rank_tables
+from docloom.sources.rank_tables import write_ranks
 from docloom.sources.text_index import ScannedIndex, write_index
 
 
@@ -127,6 +130,27 @@ def test_pages_concatenated_are_the_full_sort(spark, corpus, order, monkeypatch)
     ]
 
 
+@pytest.mark.parametrize("order", rank_tables.ORDERS)
+def test_stored_orders_are_the_sorts(spark, corpus, order):
+    _, meta, _, _ = corpus
+    ranks = write_ranks(meta, new_table_path(spark, "ranks"), rows_per_part=30)
+    for types in ((), ("md", "docx"), ("none",)):
+        wanted = meta.where(F.col("file_type").isin(*types)) if types else meta
+        full = [r.doc_id for r in wanted.orderBy(*S.sort_columns(order)).collect()]
+        assert ranks.total(types) == len(full)
+        for number in (1, 5):
+            got = sorted((r["rank"], r.doc_id) for r in ranks.page(order, types, number, 17).collect())
+            assert got == [(i + 1, d) for i, d in enumerate(full)][(number - 1) * 17 : number * 17]
+
+
+def test_a_page_of_types_reads_its_part_only(spark, corpus):
+    _, meta, _, _ = corpus
+    ranks = write_ranks(meta, new_table_path(spark, "ranks"), rows_per_part=30)
+    text = ranks.page("date_desc", ("pdf",), 1, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in text and "PartitionFilters: [isnotnull(sort" in text
+    assert re.search(r"PartitionFilters: \[[^]]*part#\d+ (=|IN) \(?\d+\)", text)
+
+
 def test_missing_sort_keys_come_last(spark):
     df = spark.createDataFrame(
         [(1, "b", None, None), (2, None, "2024-01-01", 5), (3, "x" * 257, "2024-01-02", 1), (4, "B", None, 9)],
@@ -164,7 +188,7 @@ def single(spark, meta, stored, text, k):
 
 
 @pytest.mark.parametrize("limits", [{}, {"hot_min_rows": 20}, {"hot_min_rows": 20, "broadcast_bytes": 0},
-                                    {"newest_rows": 0}, {"leads_per_task": 1, "hot_min_rows": 20}])
+                                    {"sub_buckets": 3}, {"leads_per_task": 1, "hot_min_rows": 20}])
 def test_batch_equals_single(spark, corpus, limits):
     _, meta, stored, _ = corpus
     asked = QUERIES + QUERIES[::-1]
