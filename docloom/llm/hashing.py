@@ -43,6 +43,48 @@ def span_hashes(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix(h ^ (ends - starts).astype(np.uint64))
 
 
+#: A Mersenne prime, and a number whose powers stand for places.
+_PRIME = np.uint64(2**61 - 1)
+_BASE = 0x1B873593CC9E2D51 % (2**61 - 1)
+_prime_powers: dict[int, np.ndarray] = {}
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.minimum(x, x - _PRIME)  # below the prime the difference wraps around
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, from halves of 31 bits."""
+    half, low = np.uint64(31), np.uint64(2**31 - 1)
+    ah, al, bh, bl = a >> half, a & low, b >> half, b & low
+    middle = ah * bl + al * bh
+    high, rest = middle >> np.uint64(30), middle & np.uint64(2**30 - 1)
+    return _reduced(np.uint64(2) * ah * bh + high + (rest << half) + al * bl)
+
+
+def _prime_powers_of(base: int, n: int) -> np.ndarray:
+    have = _prime_powers.get(base, np.ones(1, np.uint64))
+    while len(have) < n:
+        step = np.uint64(pow(base, len(have), 2**61 - 1))
+        have = np.concatenate([have, _times(have, step)])
+    _prime_powers[base] = have
+    return have[:n]
+
+
+def prime_hashes(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Like ``span_hashes``, modulo a prime: no family of texts cancels out, however regular."""
+    half, low = np.uint64(31), np.uint64(2**31 - 1)
+    values = _times(_reduced(tokens), _prime_powers_of(_BASE, len(tokens)))
+    highs, lows = np.zeros(len(tokens) + 1, np.uint64), np.zeros(len(tokens) + 1, np.uint64)
+    np.cumsum(values >> half, out=highs[1:])
+    np.cumsum(values & low, out=lows[1:])
+    high, rest = highs[ends] - highs[starts], lows[ends] - lows[starts]
+    sums = _reduced((high >> np.uint64(30)) + ((high & np.uint64(2**30 - 1)) << half) + _reduced(rest))
+    back = _prime_powers_of(pow(_BASE, -1, 2**61 - 1), len(tokens) + 1)[starts]
+    return mix(_times(sums, back) ^ mix((ends - starts).astype(np.uint64)))
+
+
 def grams(tokens: np.ndarray, n: int) -> np.ndarray:
     """A hash of every ``n`` consecutive tokens; empty below ``n`` tokens."""
     if len(tokens) < n:

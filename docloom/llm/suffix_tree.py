@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import batch, doc_id_of, keyed_texts, list_array, map_arrow
 from docloom.llm.windows import Asked, Tokens, covered, packed_texts, repeated_windows, unpacked
-from docloom.llm.words import BLANK, word_hashes, word_spans
+from docloom.llm.words import BLANK, word_ids, word_spans
 
 THRESHOLD = 50
 #: Suffixes of which subtrees are built at a time.
@@ -142,7 +142,7 @@ def _repeats(threshold: int, most: int):
 
 def _as_words(raw: np.ndarray, offsets: np.ndarray):
     starts, ends, first = word_spans(raw, offsets, BLANK)
-    hashes = word_hashes(raw, starts, ends)
+    hashes = word_ids(raw, starts, ends)
     return hashes, hashes, first
 
 

@@ -15,10 +15,13 @@ travel in *runs*:
 3. The asked runs' tokens are cut from the texts and meet by key again; there the operator orders
    their suffixes by its own method and says which windows have an earlier copy.
 
-A key that a large part of all rows shares (a common phrase among differing texts) is found in a
-sample beforehand; its windows travel alone, by the hash of the whole window, so that they spread
-over all tasks. The sample decides this layout only, never the result. Equal runs are combined
-inside each task before they are sent, so a text with thousands of copies sends few records.
+A key with many different runs (a common phrase among differing texts) is found in a sample
+beforehand. Its windows are dealt again, by the least hash of longer pieces: fewer of those lie
+inside the phrase as a whole, and windows that do stay in runs that are equal in all texts. What is
+still frequent with the longest pieces, a few windows on either side of the phrase, travels alone,
+by the hash of the whole window, so that it spreads over all tasks. The sample decides this layout
+only, never the result. Equal runs are combined inside each task before they are sent, so a text
+with thousands of copies sends few records; of equal rows one is looked at.
 """
 
 from __future__ import annotations
@@ -36,14 +39,16 @@ from pyspark.sql import functions as F
 from docloom.llm.common import (
     batch, byte_column, column_array, combined, keyed_texts, map_arrow, shuffle_partitions, slices, stored,
 )
-from docloom.llm.hashing import grams, mix, sliding_min, span_hashes
+from docloom.llm.hashing import grams, mix, prime_hashes, sliding_min
 
+#: Bytes of text looked at together, so that arrays stay in the cache.
+SLICE = 1 << 17
 #: Windows that one run may hold; a longer one (a periodic text) is cut into several.
 MOST_IN_RUN = 4096
 #: Records that a task gathers before it combines and sends them.
 FLUSH = 1 << 20
 #: One of so many documents is looked at for frequent keys; a key with so many different runs
-#: there is frequent; at most so many keys are kept (their list is broadcast: 0.8 MB).
+#: there is frequent; at most so many keys of a length of pieces are kept (a list of 0.8 MB).
 SAMPLE, FREQUENT, MOST_FREQUENT = 64, 16, 100_000
 #: Tokens of asked runs that are ordered together.
 REFINE_TOKENS = 4 << 20
@@ -68,23 +73,66 @@ class Tokens:
     #: Whether a window's copy earlier in the same document counts.
     within: bool
 
+    @property
+    def pieces(self) -> list[int]:
+        """Lengths of the pieces whose least hash is a key, each for the frequent keys before."""
+        rest = self.window - self.gram
+        return sorted({self.gram, self.window - rest // 2, self.window - rest // 6} - {self.window})
 
-def runs(tokens: Tokens, hashes: np.ndarray, offsets: np.ndarray, frequent: np.ndarray):
-    """``(row, start, n, key, run, loops)`` arrays: the runs of a batch, starts relative to rows."""
-    window, gram = tokens.window, tokens.gram
-    empty = np.zeros(0, np.int64)
+
+def _keys(tokens: Tokens, hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window the least hash of its pieces, and whether that piece stands at its start."""
+    gram = tokens.pieces[level]
     pieces = grams(hashes, gram)
-    keys = sliding_min(pieces, window - gram + 1)
+    if level:
+        pieces = mix(pieces + np.uint64(level))
+    keys = sliding_min(pieces, tokens.window - gram + 1)
+    return keys, pieces[: len(keys)] == keys
+
+
+def _around(at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of the windows at ``at``, and the place of each window among them."""
+    opens = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
+    n = np.diff(np.append(opens, len(at)))
+    first = at[opens]
+    sizes = n + window - 1
+    begin = np.cumsum(sizes) - sizes
+    near = np.arange(sizes.sum()) + np.repeat(first - begin, sizes)
+    return near, at + np.repeat(begin - first, n)
+
+
+def runs(tokens: Tokens, hashes: np.ndarray, offsets: np.ndarray, frequent: list[np.ndarray]):
+    """``(row, start, n, key, run, loops)`` arrays: the runs of a batch, starts relative to rows.
+    ``frequent`` has the frequent keys of each length of pieces."""
+    window = tokens.window
+    empty = np.zeros(0, np.int64)
+    nothing = (empty,) * 3 + (empty.astype(np.uint64),) * 2 + (empty.astype(bool),)
+    keys, at_start = _keys(tokens, hashes, 0)
     if not len(keys):
-        return (empty,) * 3 + (empty.astype(np.uint64),) * 2 + (empty.astype(bool),)
+        return nothing
     lengths = np.diff(offsets)
     row_of = np.repeat(np.arange(len(lengths)), lengths)[: len(keys)]
     valid = np.arange(len(keys)) + window <= offsets[1:][row_of]
-    opens = valid.copy()
-    opens[1:] &= ~valid[:-1] | (keys[1:] != keys[:-1])
+    single = np.zeros(len(keys), bool)
+    for level, of_level in enumerate(frequent):
+        hot = valid & np.isin(keys, of_level)
+        if not hot.any():
+            break
+        at = np.flatnonzero(hot)
+        near, place = _around(at, window)
+        if level + 1 < len(tokens.pieces):
+            longer, starting = _keys(tokens, hashes[near], level + 1)
+            keys[at] = mix(mix(keys[at]) ^ longer[place])
+            at_start[at] = starting[place]
+        else:
+            keys[at] = mix(grams(hashes[near], window)[place] + np.uint64(1))
+            single = hot
+    opens = valid & single
+    opens[0] |= valid[0]
+    opens[1:] |= valid[1:] & (~valid[:-1] | single[:-1] | (keys[1:] != keys[:-1]))
     starts = np.flatnonzero(opens)
     if not len(starts):
-        return (empty,) * 3 + (empty.astype(np.uint64),) * 2 + (empty.astype(bool),)
+        return nothing
     run_of = np.cumsum(opens)[valid] - 1
     n = np.bincount(run_of, minlength=len(starts))
     if n.max() > MOST_IN_RUN:
@@ -94,28 +142,17 @@ def runs(tokens: Tokens, hashes: np.ndarray, offsets: np.ndarray, frequent: np.n
         n = np.minimum(np.repeat(n, parts) - place, MOST_IN_RUN)
         starts = np.repeat(starts, parts) + place
     # the least piece stands at a window's start, and the run goes on past it: it has it twice
-    at_start = np.concatenate([[0], np.cumsum(pieces[: len(keys)] == keys)])
-    loops = at_start[starts + n - 1] - at_start[starts] > 0
-    key = keys[starts]
-    if len(frequent):
-        hot = np.isin(key, frequent)
-        if hot.any():
-            alone = np.repeat(starts[hot], n[hot])
-            first = np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
-            alone = alone + np.arange(len(alone)) - first
-            hot_key = span_hashes(hashes, alone, alone + window)
-            starts, n = np.concatenate([starts[~hot], alone]), np.concatenate([n[~hot], np.ones(len(alone), n.dtype)])
-            loops = np.concatenate([loops[~hot], np.zeros(len(alone), bool)])
-            key = np.concatenate([key[~hot], mix(hot_key + np.uint64(1))])
-    run = span_hashes(hashes, starts, starts + n + window - 1)
+    before = np.concatenate([[0], np.cumsum(at_start)])
+    loops = before[starts + n - 1] - before[starts] > 0
+    run = prime_hashes(hashes, starts, starts + n + window - 1)
     row = row_of[starts]
-    return row, starts - offsets[row], n, key, run, loops
+    return row, starts - offsets[row], n, keys[starts], run, loops
 
 
-def _records(tokens: Tokens, part: pa.RecordBatch, frequent: np.ndarray) -> Iterator[np.ndarray]:
+def _records(tokens: Tokens, part: pa.RecordBatch, frequent: list[np.ndarray]) -> Iterator[np.ndarray]:
     raw, offsets = byte_column(part.column("text"))
     docs, tags = np.asarray(part.column("doc")), np.asarray(part.column("tag"))
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, SLICE):
         cut = offsets[i : j + 1]
         _, hashes, offs = tokens.split(raw[cut[0] : cut[-1]], cut - cut[0])
         row, start, n, key, run, loops = runs(tokens, hashes, offs, frequent)
@@ -126,10 +163,16 @@ def _records(tokens: Tokens, part: pa.RecordBatch, frequent: np.ndarray) -> Iter
 
 
 def classes(tokens: Tokens, records: np.ndarray):
-    """Sorts records and says which of them repeat an earlier equal run: ``(sorted, repeats)``."""
-    # key and run are hashes: their mixture orders equal runs together at a third of the cost
+    """Sorts records, takes one of equal rows, and says which repeat an earlier equal run:
+    ``(sorted, repeats)``."""
     order = np.lexsort((records["start"], records["tag"], records["doc"], records["run"], records["key"]))
     r = records[order]
+    again = np.ones(len(r), bool)
+    again[:1] = False
+    for name in ("start", "doc", "tag", "run", "key"):
+        again[1:] &= r[name][1:] == r[name][:-1]
+    if again.any():
+        r = r[~again]
     new = np.ones(len(r), bool)
     new[1:] = (r["key"][1:] != r["key"][:-1]) | (r["run"][1:] != r["run"][:-1])
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -170,7 +213,7 @@ def _unpack(block: bytes) -> np.ndarray:
     return out
 
 
-def _send(tokens: Tokens, buckets: int, frequent: np.ndarray):
+def _send(tokens: Tokens, buckets: int, frequent: list[np.ndarray]):
     sent = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -234,12 +277,12 @@ def _meet(tokens: Tokens):
     return job
 
 
-def _count_keys(tokens: Tokens):
+def _count_keys(tokens: Tokens, frequent: list[np.ndarray]):
     schema = pa.schema([("key", pa.int64()), ("run", pa.int64())])
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            found = [np.stack([r["key"], r["run"]], 1) for r in _records(tokens, part, np.zeros(0, np.uint64))]
+            found = [np.stack([r["key"], r["run"]], 1) for r in _records(tokens, part, frequent)]
             if found:
                 pairs = np.unique(np.concatenate(found), axis=0).view(np.int64)
                 yield batch(schema, pairs[:, 0], pairs[:, 1])
@@ -247,12 +290,18 @@ def _count_keys(tokens: Tokens):
     return job
 
 
-def frequent_keys(texts: DataFrame, tokens: Tokens) -> np.ndarray:
+def frequent_keys(texts: DataFrame, tokens: Tokens) -> list[np.ndarray]:
+    """The frequent keys of each length of pieces, as far as there are any."""
     sample = texts.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0)
-    pairs = map_arrow(sample, _count_keys(tokens), "key long, run long").distinct()
-    counts = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-    rows = counts.where(F.col("rows") >= FREQUENT).orderBy(F.desc("rows"), "key").limit(MOST_FREQUENT).collect()
-    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
+    frequent: list[np.ndarray] = []
+    for _ in tokens.pieces:
+        pairs = map_arrow(sample, _count_keys(tokens, frequent), "key long, run long").distinct()
+        counts = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+        rows = counts.where(F.col("rows") >= FREQUENT).orderBy(F.desc("rows"), "key").limit(MOST_FREQUENT).collect()
+        if not rows:
+            break
+        frequent.append(np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64)))
+    return frequent
 
 
 def packed_texts(texts: DataFrame) -> DataFrame:
@@ -275,9 +324,13 @@ def unpacked(packed: bytes) -> bytes:
 
 def _cut(tokens: Tokens):
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for part in batches:
             docs, tags = part.column("doc").to_pylist(), part.column("tag").to_pylist()
             for i, packed in enumerate(part.column("packed").to_pylist()):
+                if last == (docs[i], tags[i]):
+                    continue  # equal rows come one after the other, and one of them will do
+                last = (docs[i], tags[i])
                 raw = np.frombuffer(unpacked(packed), np.uint8)
                 exact, _, _ = tokens.split(raw, np.array([0, len(raw)]))
                 asked = part.column("asked")[i].values
@@ -372,11 +425,12 @@ def repeated_windows(docs: DataFrame, tokens: Tokens, order: Callable[[Asked], n
     found = stored(map_arrow(met, _meet(tokens), _FOUND), "windows")
 
     asked = found.where("asked").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n", "key")).alias("asked"))
-    runs_ = map_arrow(packed_texts(texts).join(asked, ["doc", "tag"]), _cut(tokens), "doc long, tag long, start int, n int, key long, tokens binary")
+    asked_texts = packed_texts(texts).join(asked.hint("merge"), ["doc", "tag"])
+    runs_ = map_arrow(asked_texts, _cut(tokens), "doc long, tag long, start int, n int, key long, tokens binary")
     by_key = runs_.repartition(parts, "key").sortWithinPartitions("key")
     refined = map_arrow(by_key, _refine(tokens, order), "doc long, tag long, start int, n int")
     spans = found.where("not asked").select("doc", "tag", "start", "n").unionByName(refined)
-    return spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
 def covered(starts: np.ndarray, n: np.ndarray, window: int, length: int) -> np.ndarray:

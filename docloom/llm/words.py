@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from docloom.llm.hashing import byte_tokens, mix, span_hashes
+from docloom.llm.hashing import byte_tokens, mix, prime_hashes, span_hashes
 
 #: Bytes between the words of op6: the blank and tab to carriage return.
 BLANK = np.zeros(256, bool)
@@ -39,6 +39,11 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return span_hashes(byte_tokens(raw), starts, ends)
 
 
+def word_ids(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words by which they are taken as equal."""
+    return prime_hashes(byte_tokens(raw), starts, ends)
+
+
 def set_hash(values: np.ndarray) -> tuple[int, int]:
     """128 bits of a set given as sorted distinct hashes."""
     place = np.arange(1, len(values) + 1, dtype=np.uint64)

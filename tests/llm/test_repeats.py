@@ -76,6 +76,97 @@ def test_given_documents(docs, doc_rows):
     assert found(suffix_tree.remove_repeats(docs), "n_words") == repeated_words(doc_rows, 50)
 
 
+def thue_morse(n, swap=False):
+    return "".join("ab"[bin(i).count("1") % 2 ^ swap] for i in range(n))
+
+
+def test_regular_texts_are_told_apart(spark):
+    """Sums modulo a power of two give this word and its complement one hash."""
+    from docloom.llm.hashing import byte_tokens, prime_hashes, span_hashes
+
+    one, other = thue_morse(2048), thue_morse(2048, True)
+    tokens = byte_tokens(np.frombuffer((one + other).encode(), np.uint8))
+    at = np.array([0, 2048])
+    assert len(set(span_hashes(tokens, at, at + 2048).tolist())) == 1
+    assert len(set(prime_hashes(tokens, at, at + 2048).tolist())) == 2
+    rows = [(1, one), (2, other), (3, " ".join(f"w{i}" for i in range(60)) + " " + one), (4, " ".join(f"w{i}" for i in range(60)) + " " + other)]
+    df = frame(spark, rows)
+    assert found(suffix_sort.remove_repeats(df, 100), "n_bytes") == repeated_bytes(rows, 100)
+    assert found(suffix_tree.remove_repeats(df, 50), "n_words") == repeated_words(rows, 50)
+
+
+def test_prime_hashes_are_sums_modulo_the_prime():
+    from docloom.llm import hashing
+
+    p, rng = 2**61 - 1, np.random.default_rng(3)
+    a, b = (rng.integers(0, p, 500).astype(np.uint64) for _ in range(2))
+    a[:2], b[:2] = p - 1, [p - 1, 0]
+    assert hashing._times(a, b).tolist() == [x * y % p for x, y in zip(a.tolist(), b.tolist())]
+    tokens = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    starts, ends = rng.integers(0, 150, 50), rng.integers(150, 301, 50)
+    whole = hashing.prime_hashes(np.concatenate([tokens, tokens]), np.concatenate([starts, starts + 300]), np.concatenate([ends, ends + 300]))
+    assert (whole[:50] == whole[50:]).all()
+    alone = [int(hashing.prime_hashes(tokens[s:e], np.array([0]), np.array([e - s]))[0]) for s, e in zip(starts, ends)]
+    assert alone == whole[:50].tolist()
+
+
+def settled_rows(spark, rows, monkeypatch, module, *args):
+    """Records that meet, and asked runs that are cut."""
+    counts = {}
+    kept, cut = windows.stored, windows._cut
+
+    def stored(df, name):
+        out = kept(df, name)
+        counts["met"] = out.count()
+        return out
+
+    monkeypatch.setattr(windows, "stored", stored)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(tokens):
+        job = cut(tokens)
+
+        def run(batches):
+            for part in job(batches):
+                made.add(part.num_rows)
+                yield part
+
+        return run
+
+    monkeypatch.setattr(windows, "_cut", counted)
+    module.remove_repeats(frame(spark, rows), *args).count()
+    monkeypatch.undo()
+    return counts["met"], made.value
+
+
+@pytest.mark.parametrize("module, args", [(suffix_sort, (100,)), (suffix_tree, (50,))])
+def test_equal_rows_are_looked_at_once(spark, monkeypatch, module, args):
+    text = " ".join(f"w{i % 97}x{i % 89}" for i in range(400))
+
+    def rows(n):
+        return [(None, text)] * n + [(3, "some more " + text + " and an end")]
+
+    few, many = (settled_rows(spark, rows(n), monkeypatch, module, *args)[1] for n in (20, 80))
+    assert few == many > 0
+
+
+def test_a_common_passage_sends_few_windows_of_each_text(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"common{i}" for i in range(60))
+
+    def rows(n):
+        words = [f"u{x}" for x in rng.integers(0, 10**6, 40)]
+        return [(i, " ".join(rng.permutation(words)) + f" {i} " + passage + f" {i * 7} " + " ".join(rng.permutation(words))) for i in range(n)]
+
+    texts = rows(300)
+    with monkeypatch.context() as m:
+        m.setattr(windows, "SAMPLE", 1)
+        assert found(suffix_sort.remove_repeats(frame(spark, texts)), "n_bytes") == repeated_bytes(texts, 100)
+    monkeypatch.setattr(windows, "SAMPLE", 1)
+    met, _ = settled_rows(spark, texts, monkeypatch, suffix_sort, 100)
+    assert met < 100 * len(texts)  # each text has some 400 windows of the passage
+
+
 def test_frequent_keys_change_the_layout_only(docs, doc_rows, monkeypatch):
     monkeypatch.setattr(windows, "SAMPLE", 1)
     monkeypatch.setattr(windows, "FREQUENT", 2)
