@@ -10,9 +10,9 @@ between them. Coverage is the share of the item's words in tiles; ``threshold``
    one after the other). Documents are never shuffled, so no source, item or passage is hot.
 2. A document's grams are looked up among the seeds. Every tile lies within seed matches, so an
    item whose seeds touch too few of its words for the threshold cannot reach it and goes.
-3. What is left is tiled by running Karp-Rabin: for a search length that falls from the longest
-   match to ``shortest``, rolling hashes of the unmarked windows of both sides are joined, matches
-   are lengthened as far as they go and checked word by word, and marked longest first.
+3. What is left is tiled by running Karp-Rabin: rolling hashes of the unmarked windows of both
+   sides say how long the longest match is; matches of that length are checked word by word and
+   marked, and the search goes on below it, down to ``shortest``.
 
 Defined cases: a null text is empty; a document or item without words matches nothing; an item of
 fewer than ``shortest`` words counts when all of it stands in the document in one piece; rows with
@@ -81,11 +81,9 @@ class Block:
         return cls(np.array(items, np.int64), words, first, seeds)
 
 
-def _joined(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of equal values; ``left`` is sorted."""
-    lo, hi = np.searchsorted(left, right, "left"), np.searchsorted(left, right, "right")
-    n = hi - lo
-    of = np.repeat(np.arange(len(right)), n)
+def _ranges(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``lo, lo + 1, ...`` of each of some ranges, and the number of its range."""
+    of = np.repeat(np.arange(len(n)), n)
     return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(of)), of
 
 
@@ -98,95 +96,120 @@ def _open_windows(words: np.ndarray, free: np.ndarray, length: int) -> tuple[np.
     return h[at], at
 
 
-def _matches(item, doc, free_item, free_doc, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(item place, doc place)`` of equal unmarked windows of ``length`` words: the rolling
-    hashes of both sides are joined; they only propose, the words themselves decide."""
-    hi, ai = _open_windows(item, free_item, length)
-    hd, ad = _open_windows(doc, free_doc, length)
-    order = np.argsort(hi, kind="stable")
-    i, d = _joined(hi[order], hd)
-    i, d = ai[order][i], ad[d]
-    same = np.ones(len(i), bool)
-    for k in range(length):
-        same &= item[i + k] == doc[d + k]
-    return i[same], d[same]
+def _longest(item, doc, free_item, free_doc, shortest: int, most: int) -> int:
+    """The longest unmarked match, of at most ``most`` words; 0 below ``shortest``. Part of a match
+    is a match, so its length is found by halving: at each length the rolling hashes of the
+    windows of both sides are compared as sets."""
+
+    def shared(length: int) -> bool:
+        hi, _ = _open_windows(item, free_item, length)
+        hd, _ = _open_windows(doc, free_doc, length)
+        return len(hi) > 0 and len(hd) > 0 and bool(np.isin(hi, hd).any())
+
+    most = min(most, len(item), len(doc))
+    if most < shortest or not shared(shortest):
+        return 0
+    low, high, step = shortest, most, shortest
+    while low < high:  # first by doubling: most matches are short
+        probe = min(high, max(low + step, low + 1))
+        if shared(probe):
+            low, step = probe, 2 * step
+        else:
+            high = probe - 1
+            break
+    while low < high:
+        probe = (low + high + 1) // 2
+        low, high = (probe, high) if shared(probe) else (low, probe - 1)
+    return low
 
 
 def tile(item: np.ndarray, doc: np.ndarray, shortest: int, free_doc: np.ndarray | None = None) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of two word arrays: ``(item place, doc place, words)`` of each tile."""
+    """Greedy string tiling of two word arrays: ``(item place, doc place, words)`` of each tile.
+
+    Memory is that of the words, however often they repeat: pairs of places are never listed. Of the
+    longest matches the first place in the item takes the first free place in the document that
+    has its words; hashes only propose, the words themselves decide."""
     free_item = np.ones(len(item), bool)
     free_doc = np.ones(len(doc), bool) if free_doc is None else free_doc.copy()
     tiles: list[tuple[int, int, int]] = []
-    length = max(shortest, len(item))
-    while True:
-        i, d = _matches(item, doc, free_item, free_doc, length)
-        if not len(i):
-            if length == shortest:
-                return tiles
-            length = max(shortest, length // 2)
-            continue
-        # windows that follow each other on a diagonal are one maximal match
-        order = np.lexsort((i, d - i))
-        i, d = i[order], d[order]
-        opens = np.ones(len(i), bool)
-        opens[1:] = (d[1:] - i[1:] != d[:-1] - i[:-1]) | (i[1:] != i[:-1] + 1)
-        first = np.flatnonzero(opens)
-        n = np.diff(np.append(first, len(i))) + length - 1
-        best = first[n == n.max()]
-        longest = int(n.max())
-        for a, b in sorted(zip(i[best].tolist(), d[best].tolist())):
-            if free_item[a : a + longest].all() and free_doc[b : b + longest].all():
-                free_item[a : a + longest] = False
-                free_doc[b : b + longest] = False
-                tiles.append((a, b, longest))
+    length = max(len(item), shortest)
+    while length := _longest(item, doc, free_item, free_doc, shortest, length):
+        hi, ai = _open_windows(item, free_item, length)
+        hd, ad = _open_windows(doc, free_doc, length)
+        order = np.argsort(hd, kind="stable")
+        hd, ad = hd[order], ad[order]
+        lo, hi_end = np.searchsorted(hd, hi, "left"), np.searchsorted(hd, hi, "right")
+        next_free: dict[int, int] = {}  # of each group of equal windows; a marked place stays marked
+        for k in np.flatnonzero(lo < hi_end).tolist():
+            a, group, end = int(ai[k]), int(lo[k]), int(hi_end[k])
+            if not free_item[a : a + length].all():
+                continue
+            at = next_free.get(group, group)
+            while at < end:
+                b = int(ad[at])
+                if not free_doc[b : b + length].all():
+                    at += 1
+                    continue
+                if (item[a : a + length] == doc[b : b + length]).all():
+                    free_item[a : a + length] = False
+                    free_doc[b : b + length] = False
+                    tiles.append((a, b, length))
+                break
+            next_free[group] = at
+        length -= 1
+    return tiles
 
 
 def _leaks(block: Block, shortest: int, threshold: float, words: np.ndarray, first: np.ndarray) -> list[tuple]:
-    """``(row, item, tiles, covered, item words)`` of a batch of documents given as word hashes."""
+    """``(row, item, tiles, covered, item words)`` of a batch of documents given as word hashes.
+
+    A seed that repeats counts once: first the distinct seeds of a document say which items it may
+    reach, and how many of their words; places are looked up for those items alone."""
     row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    keys, places, spots, lengths = [], [], [], []
+    out = []
     for n, (hashes, owner, place) in block.seeds.items():
         g = grams(words, n)
         at = np.flatnonzero(np.isin(g, hashes)) if len(g) else np.zeros(0, np.int64)
         at = at[at + n <= first[1:][row_of[at]]]
-        s, of = _joined(hashes, g[at])
-        keys.append(row_of[at[of]] * len(block.items) + owner[s])
-        places.append(place[s])
-        spots.append(at[of])
-        lengths.append(np.full(len(s), n))
-    if not keys:
-        return []
-    key, place, spot, length = (np.concatenate(x) for x in (keys, places, spots, lengths))
-    order = np.lexsort((spot, key))
-    key, place, spot, length = key[order], place[order], spot[order], length[order]
-    cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-    out = []
-    for a, b in zip(cuts, cuts[1:]):
-        if a == b:
-            continue
-        row, item = divmod(int(key[a]), len(block.items))
-        own = block.words[block.offsets[item] : block.offsets[item + 1]]
-        n, need = int(length[a]), threshold * len(own) - 1e-9
-        if (b - a) * n < need:
-            continue
-        steps = np.zeros(len(own) + 1, np.int64)
-        distinct = np.unique(place[a:b])
-        steps[distinct] += 1
-        steps[distinct + n] -= 1
-        if np.count_nonzero(np.cumsum(steps)[:-1]) < need:
+        if not len(at):
             continue
-        # of the document only the words in seed matches can be in tiles; a marked word stands
-        # for what lies between them
-        inside = np.unique((spot[a:b, None] + np.arange(n)).ravel())
-        gaps = np.flatnonzero(np.diff(inside) > 1) + 1
-        doc = np.insert(words[inside], gaps, 0)
-        at = np.insert(inside, gaps, -1)
-        tiles = tile(own, doc, n, at >= 0)
-        covered = sum(t[2] for t in tiles)
-        if covered >= need:
-            tiles = sorted((i, int(at[d] - first[row]), m) for i, d, m in tiles)
-            out.append((row, item, tiles, covered, len(own)))
-    return out
+        distinct = np.unique(np.stack([row_of[at].astype(np.uint64), g[at]], 1), axis=0)
+        rows, seeds = distinct[:, 0].astype(np.int64), distinct[:, 1]
+        lo = np.searchsorted(hashes, seeds, "left")
+        s, of = _ranges(lo, np.searchsorted(hashes, seeds, "right") - lo)
+        key = rows[of] * len(block.items) + owner[s]
+        order = np.argsort(key, kind="stable")
+        key, s = key[order], s[order]
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        bounds = np.searchsorted(at, first)
+        for a, b in zip(cuts, cuts[1:]):
+            row, item = divmod(int(key[a]), len(block.items))
+            own = block.words[block.offsets[item] : block.offsets[item + 1]]
+            need = threshold * len(own) - 1e-9
+            if (b - a) * n < need:
+                continue
+            steps = np.zeros(len(own) + 1, np.int64)
+            steps[place[s[a:b]]] += 1
+            np.subtract.at(steps, place[s[a:b]] + n, 1)
+            if np.count_nonzero(np.cumsum(steps)[:-1]) < need:
+                continue
+            # of the document only the words in seed matches can be in tiles; a marked word stands
+            # for what lies between them
+            spots = at[bounds[row] : bounds[row + 1]]
+            spots = spots[np.isin(g[spots], hashes[s[a:b]])]
+            edge = np.zeros(first[row + 1] - first[row] + 1, np.int64)
+            np.add.at(edge, spots - first[row], 1)
+            np.subtract.at(edge, spots - first[row] + n, 1)
+            inside = np.flatnonzero(np.cumsum(edge[:-1])) + first[row]
+            gaps = np.flatnonzero(np.diff(inside) > 1) + 1
+            doc = np.insert(words[inside], gaps, 0)
+            where = np.insert(inside, gaps, -1)
+            tiles = tile(own, doc, n, where >= 0)
+            covered = sum(t[2] for t in tiles)
+            if covered >= need:
+                tiles = sorted((i, int(where[d] - first[row]), m) for i, d, m in tiles)
+                out.append((row, item, tiles, covered, len(own)))
+    return sorted(out, key=lambda x: x[:2])
 
 
 def _found(block: Block, shortest: int, threshold: float, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
