@@ -87,6 +87,14 @@ FURNITURE_WHOLE = frozenset(
     "share-links social-bar social-buttons social-icons social-links social-media-links social-share skip-link skip-links "
     "skip-to-content".split()
 )
+#: Elements whose whole class name proves furniture, and words that do so at the end of a name.
+PROVING = frozenset("div section ul ol li aside p".split())
+PROVING_ENDS = frozenset(
+    "ad ads advert adverts advertisement comment comments disqus newsletter notice notices replies reply sponsor "
+    "sponsored".split()
+)
+#: At its start they say that the thing isn't there, or is elsewhere.
+DENYING = frozenset("has hide no not show with without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 _MARKUP = re.compile(
@@ -121,15 +129,31 @@ def named_furniture(name: str, inside: bool) -> bool | None:
     return True if known - AMBIGUOUS_NAMES else None
 
 
-def is_furniture(tag: str, attributes: str, inside: bool) -> bool | None:
-    """Whether an element holds page furniture; None where its words must tell (``confirm``). A
+def proven_furniture(name: str, inside: bool) -> bool:
+    """Whether a class of a plain element is a name of furniture as a whole, such as ``notice`` or
+    ``user-comments``."""
+    words = _NAME.findall(name)
+    if not words or inside and words[-1] in _HEADS:
+        return False
+    if len(words) == 1:
+        return words[0] in FURNITURE_NAMES
+    return words[-1] in PROVING_ENDS and words[0] not in DENYING
+
+
+#: What holds neither a mark nor most of a page's running text is furniture.
+NAMED = "named"
+
+
+def is_furniture(tag: str, attributes: str, inside: bool) -> bool | str | None:
+    """Whether an element holds page furniture: ``NAMED`` if only the content itself could say
+    otherwise, None where its words must tell (``confirm``). A
     ``header`` inside the content is part of it. Headings aren't judged by names, nor paragraphs by
     ids: those are often made from their own words."""
     if tag in FURNITURE or tag == "header" and not inside:
         return True
     if "=" not in attributes and "hidden" not in attributes.lower():
         return False
-    found: bool | None = False
+    found: bool | str | None = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name not in _TELLING:
@@ -144,7 +168,9 @@ def is_furniture(tag: str, attributes: str, inside: bool) -> bool | None:
                 sure = named_furniture(part, inside)
                 if sure:
                     return True
-                if sure is None:
+                if name == "class" and tag in PROVING and proven_furniture(part, inside):
+                    found = NAMED
+                elif sure is None and not found:
                     found = None
     return found
 
@@ -159,7 +185,7 @@ class Page:
     breaks: list[bool] = field(default_factory=list)  # whether a tag ends a block
     inside: list[int] = field(default_factory=list)  # number of the outermost article or main, or 0
     furniture: list[bool] = field(default_factory=list)
-    suspects: list[tuple[int, int]] = field(default_factory=list)  # elements that may be furniture
+    suspects: list[tuple[int, int, bool]] = field(default_factory=list)  # may be furniture; named so
 
     def add(self, kind, count, text, ends, inside, furniture) -> None:
         self.kinds.append(kind)
@@ -172,17 +198,17 @@ class Page:
 
 def read(page: str) -> Page:
     out = Page()
-    # tag, furniture, landmark, skipped, first unit of one that may be furniture or -1
-    stack: list[tuple[str, bool, bool, bool, int]] = []
+    # tag, furniture, landmark, skipped, first unit of one that may be furniture or -1, named so
+    stack: list[tuple[str, bool, bool, bool, int, bool]] = []
     furniture = landmarks = skipped = links = marks = 0
     block = "body"
     at = 0
 
     def pop() -> None:
         nonlocal furniture, landmarks, skipped, links
-        tag, f, mark, s, suspect = stack.pop()
+        tag, f, mark, s, suspect, named = stack.pop()
         if suspect >= 0:
-            out.suspects.append((suspect, len(out.kinds)))
+            out.suspects.append((suspect, len(out.kinds), named))
         furniture -= f
         landmarks -= mark
         skipped -= s
@@ -240,7 +266,8 @@ def read(page: str) -> Page:
             continue
         s = tag in SKIPPED
         f = is_furniture(tag, attributes, landmarks > 0)
-        stack.append((tag, f is True, tag in LANDMARK, s, len(out.kinds) if f is None else -1))
+        open_ = f is None or f == NAMED
+        stack.append((tag, f is True, tag in LANDMARK, s, len(out.kinds) if open_ else -1, f == NAMED))
         furniture += f is True
         marks += tag in LANDMARK and not landmarks
         landmarks += tag in LANDMARK
@@ -266,14 +293,20 @@ class Weights:
 
 
 def confirm(page: Page, weights: Weights) -> None:
-    """Marks as furniture what may be such and scores like it: links rather than running text. What
-    holds a mark isn't."""
+    """Marks as furniture what is named so, and what may be such and scores like it: links rather than
+    running text. What holds a mark isn't, nor what holds most of the running text of a page
+    without marks."""
     if not page.suspects:
         return
     score = [0.0, *accumulate(weights.of(kind) * n for kind, n in zip(page.kinds, page.counts))]
     held = [0, *accumulate(inside > 0 for inside in page.inside)]
-    for begin, end in sorted(page.suspects, key=lambda s: (s[0], -s[1])):
-        if begin == end or page.furniture[begin] or score[end] - score[begin] > 0:
+    plain = ("w " + kind for kind in BLOCK | {"body"})
+    running = frozenset(plain) - {"w furniture"}
+    text = [0, *accumulate(n if kind in running else 0 for kind, n in zip(page.kinds, page.counts))]
+    for begin, end, named in sorted(page.suspects, key=lambda s: (s[0], -s[1])):
+        if begin == end or page.furniture[begin] or not named and score[end] - score[begin] > 0:
+            continue
+        if named and not held[-1] and 2 * (text[end] - text[begin]) > text[-1]:
             continue
         if not page.inside[begin] and held[end] > held[begin]:
             continue
@@ -374,6 +407,9 @@ def chosen_units(page: Page, scores: list[float], read_alone: list[bool]) -> byt
             begin, end = best_region(scores[k : k + n])
             chosen[k + begin : k + end] = b"\1" * (end - begin)
         k += n
+    if not any(chosen):  # nothing but links: what is marked as content is that
+        for k, inside in enumerate(page.inside):
+            chosen[k] = inside > 0 and not page.furniture[k]
     return chosen
 
 

@@ -1,6 +1,7 @@
 """Quality network, main text, archives and decontamination."""
 
 import hashlib
+import html.parser
 import random
 import zlib
 
@@ -138,6 +139,73 @@ def test_names_of_furniture_inside_the_content(name):
         assert text(f'<article><p>First one.</p><div {attribute}="{name}"><p>{some("own", 12)}</p></div><p>Last one.</p></article>') == "First one.\n\nLast one."
 
 
+NOT_CONTENT = [
+    "comment", "user-comments", "reader-comments", "notice", "notices", "site-notice", "related", "discussion", "reply",
+    "replies", "share", "copyright", "sponsor", "alert", "user_comment", "x notice",
+]
+
+
+@pytest.mark.parametrize("name", NOT_CONTENT)
+def test_running_text_of_furniture_goes(name):
+    own = some("own", 40)
+    for tag in ("div", "p", "section"):
+        thing = f'<{tag} class="{name}">{own}</{tag}>'
+        assert text(f"<article><p>First one.</p>{thing}<p>Last one.</p></article>") == "First one.\n\nLast one."
+        main = some("main", 60)
+        assert text(f"<body><div><p>{main}</p></div>{thing}<div><p>{main}</p></div></body>") == f"{main}\n\n{main}"
+
+
+@pytest.mark.parametrize("attributes", ['class="no-comments"', 'class="has-notices"', 'class="related-work"', 'class="notice-period"', 'id="user-comments-1"'])
+def test_running_text_of_other_names_stays(attributes):
+    own = some("own", 40)
+    assert own in text(f"<article><p>First one.</p><div {attributes}><p>{own}</p></div><p>Last one.</p></article>")
+
+
+def test_articles_of_links_alone():
+    assert text("<body><nav><a href=x>a b</a></nav><article><p><a href=y>The one link</a></p></article></body>") == "The one link"
+
+
+class Plain(html.parser.HTMLParser):
+    """The blocks of ``article``, read by another parser, without ``nav``, ``footer`` and ``.ad``."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks = [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.handle_data(" ")
+            return
+        if tag in ("p", "h1", "div", "article", "ul", "li") :
+            self.blocks.append("")
+        if tag not in ("meta",):
+            self.open.append((tag, ("class", "ad") in attrs or tag in ("nav", "footer", "script", "style", "title")))
+
+    def handle_endtag(self, tag):
+        names = [t for t, _ in self.open]
+        if tag in names:
+            del self.open[len(names) - 1 - names[::-1].index(tag) :]
+        if tag in ("p", "h1", "div", "article", "ul", "li"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.open) and not any(bad for _, bad in self.open):
+            self.blocks[-1] += data
+
+    @classmethod
+    def text(cls, page):
+        p = cls()
+        p.feed(page)
+        p.close()
+        return "\n\n".join(b for b in (" ".join(x.split()) for x in p.blocks) if b)
+
+
+def test_given_pages_by_another_parser(spark, learned):
+    pages = table(spark, SF_DIR, "pages")
+    got = {r.page_id: r.text for r in html_text.extract(pages, learned).collect()}
+    assert got == {r.page_id: Plain.text(r.html or "") for r in pages.collect()}
+
+
 def test_words_confirm_what_a_name_leaves_open():
     links = "<ul>" + "<li><a href=x>two words</a>" * 8 + "</ul>"
     for name in ("related", "navigation", "social"):
@@ -306,6 +374,37 @@ def test_tiles_by_brute_force():
         assert sorted(tile(np.array(item, np.uint64), np.array(doc, np.uint64), m)) == plain_tiles(item, doc, m)
 
 
+def test_repeated_words_need_little_memory():
+    import tracemalloc
+
+    for item, doc in ((["a"] * 5000, ["a"] * 100_000), (["a", "b"] * 600, (["a"] + ["b", "a"] * 150 + ["c"]) * 60),
+                      (["a"] * 1200, (["a"] * 700 + ["z"]) * 40)):
+        number = {w: np.uint64(i + 1) for i, w in enumerate(dict.fromkeys(item + doc))}
+        a, b = (np.array([number[w] for w in x], np.uint64) for x in (item, doc))
+        tracemalloc.start()
+        tiles = tile(a, b, 5)
+        block = decontaminate.Block.of([1], [" ".join(item)], 5)
+        docs = decontaminate.Block.of([1], [" ".join(doc)], 5)
+        found = decontaminate._leaks(block, 5, 0.5, docs.words, docs.offsets)
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+        tracemalloc.stop()
+        assert sum(t[2] for t in tiles) >= len(item) - 5 and len(found) == 1
+        for i, d, n in tiles:
+            assert (a[i : i + n] == b[d : d + n]).all()
+        places = [{k for t in tiles for k in range(t[side], t[side] + t[2])} for side in (0, 1)]
+        assert len(places[0]) == len(places[1]) == sum(t[2] for t in tiles)
+
+
+def test_longer_tiles_by_brute_force():
+    rng = random.Random(2)
+    for _ in range(25):
+        k = rng.choice([1, 2, 4])
+        piece = [rng.randrange(k) for _ in range(12)]
+        item = [rng.randrange(k + 1) for _ in range(5)] + piece * rng.randrange(1, 4)
+        doc = [x for _ in range(4) for x in (*piece[rng.randrange(6) :], rng.randrange(k + 2))] * 2
+        assert sorted(tile(np.array(item, np.uint64), np.array(doc, np.uint64), 3)) == plain_tiles(item, doc, 3)
+
+
 ITEM = [f"w{i}" for i in range(40)]
 
 
