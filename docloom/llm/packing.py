@@ -8,8 +8,8 @@ needs, so that no limit runs out while others stay unused. When none fits whole
 be cut, one is cut so that it fills the sequence to the last token.
 
 ``pack`` does this for a table of documents. Documents are tokenised, cut into full sequences
-while they last, and their remainders are dealt by a hash of the document to groups of bounded
-size, each packed in one task. The last sequence of a group is cut where its length is a power of
+while they last, and the pieces are dealt by a hash to groups of bounded documents and bytes,
+each packed in one task: a few huge documents fill many groups. The last sequence of a group is cut where its length is a power of
 two, which needs no padding.
 
 Defined cases: a null text is empty and yields its end token only; every row is packed, rows with
@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import (
     batch, byte_column, column_array, doc_id_of, grouped, keyed_texts, map_arrow, shuffle_partitions,
-    slices,
+    slices, text_of,
 )
 from docloom.llm.tokenizing import encoder
 
-#: Remainders that are packed together. Sequences close within a group.
-GROUP = 2048
+#: Documents, and bytes of their texts, that are packed together. Sequences close within a group.
+GROUP, GROUP_BYTES = 2048, 8 << 20
 #: Bytes of text encoded at a time.
 ENCODE_BYTES = 1 << 20
 
@@ -224,7 +224,9 @@ def pack(
     flag = F.lit(False) if masked is None else F.coalesce(masked, F.lit(False))
     texts = keyed_texts(docs, flag.alias("masked"))
     pieces = map_arrow(texts, _tokenise(tokenizer, end_id, limits), _PIECES_TYPE)
-    groups = max(1, -(-docs.count() // group))
+    size = F.coalesce(F.sum(F.octet_length(text_of())), F.lit(0))
+    rows, bytes_ = docs.agg(F.count(F.lit(1)), size).first()
+    groups = max(1, -(-rows // group), -(-bytes_ // GROUP_BYTES))  # a token has a byte at least
     # by piece, so that a very long document is spread as well
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc", "tag", "start"), F.lit(groups)).cast("long"))
     dealt = dealt.repartition(max(1, min(groups, 4 * shuffle_partitions(spark))), "group").sortWithinPartitions("group", "doc", "tag", "start")

@@ -19,7 +19,7 @@ from itertools import chain
 
 import numpy as np
 
-from docloom.llm.hashing import byte_tokens, span_hashes
+from docloom.llm.hashing import byte_tokens, prime_hashes
 
 #: Distinct pieces that a worker remembers, and the slots of the table that holds them.
 REMEMBERED, SLOTS = 1 << 20, 1 << 21
@@ -120,7 +120,7 @@ class Encoder:
         if plain:
             keep = left[row]
             starts, ends, row = starts[keep], ends[keep], row[keep]
-        hashes = span_hashes(byte_tokens(raw), starts, ends) | np.uint64(1)
+        hashes = prime_hashes(byte_tokens(raw), starts, ends) | np.uint64(1)
         piece = self._pieces(hashes, starts, ends, whole)
         at, size = self.place[piece], self.count[piece]
         total = np.cumsum(size)

@@ -124,6 +124,14 @@ def test_packing(odd_docs, docs, doc_rows, tokenizer):
     check_packing(packing.pack(docs, tokenizer_path(), 0, group=50), doc_rows, tokenizer, Limits())
 
 
+def test_a_few_long_documents_are_many_groups(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 50_000)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(20_000))) for i in range(3)]
+    placed = packing.pack(frame(spark, rows), tokenizer_path(), 0)
+    check_packing(placed, rows, tokenizer, Limits())
+    assert len({r.sequence_id >> 32 for r in placed.collect()}) >= 8
+
+
 def test_packing_without_cuts_and_with_context(docs):
     from pyspark.sql import functions as F
 
@@ -142,6 +150,14 @@ def test_packing_no_rows(no_docs):
     assert packing.pack(no_docs, tokenizer_path(), 0).count() == 0
 
 
+def test_regular_words_keep_their_own_ids(tokenizer):
+    """A Thue-Morse word and its complement, alone and in one batch."""
+    words = ["".join("ab"[bin(i).count("1") % 2 ^ swap] for i in range(n)) for n in (1024, 2048) for swap in (0, 1)]
+    encoder = Encoder(tokenizer_path())
+    ids, offsets = encoder.encode(*byte_column(pa.array(words)))
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [ids_of(tokenizer, w) for w in words]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_bins_hold_every_limit(seed):
     rng = np.random.default_rng(seed)
