@@ -11,7 +11,7 @@ from docloom.llm import (
     byte_cnn, decontaminate, exact_dedup, fill_middle, html_text, kneser_ney, ngram_join, packing, periodic, suffix_sort,
     suffix_tree, token_files, warc,
 )
-from docloom.llm.common import table, text_of
+from docloom.llm.common import stored, table, text_of
 from docloom.session import new_table_path
 
 
@@ -45,9 +45,17 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_table_path(spark, "warc")
     files = warc.write_archives(table(spark, sf_dir, "pages"), folder)
-    columns = "record_id string, record_type string, payload_digest string, payload_bytes long, refers_to string"
-    records = warc.read_archives(spark, folder, files, columns).where("record_type in ('response', 'revisit')")
-    return records.select(
+    records = warc.read_archives(spark, folder, files, "record_id string, record_type string, payload binary, refers_to string")
+    records = records.where("record_type in ('response', 'revisit')").select(
+        "record_id", "record_type", "refers_to",
+        # of the payloads as they are read back; a revisit has none of its own
+        F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        F.when(F.col("record_type") == "response", F.sha1("payload")).alias("payload_digest"),
+    )
+    records = stored(records, "warc-records")
+    first = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    revisits = records.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(first, "refers_to", "left")
+    return records.where("record_type = 'response'").unionByName(revisits).select(
         warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         warc.page_of("refers_to").alias("refers_to"),
     )
