@@ -47,6 +47,8 @@ def span_hashes(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 _PRIME = np.uint64(2**61 - 1)
 _BASE = 0x1B873593CC9E2D51 % (2**61 - 1)
 _prime_powers: dict[int, np.ndarray] = {}
+#: Tokens whose products are made at a time.
+_CHUNK = 1 << 14
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
@@ -75,10 +77,14 @@ def _prime_powers_of(base: int, n: int) -> np.ndarray:
 def prime_hashes(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Like ``span_hashes``, modulo a prime: no family of texts cancels out, however regular."""
     half, low = np.uint64(31), np.uint64(2**31 - 1)
-    values = _times(_reduced(tokens), _prime_powers_of(_BASE, len(tokens)))
+    powers = _prime_powers_of(_BASE, len(tokens))
     highs, lows = np.zeros(len(tokens) + 1, np.uint64), np.zeros(len(tokens) + 1, np.uint64)
-    np.cumsum(values >> half, out=highs[1:])
-    np.cumsum(values & low, out=lows[1:])
+    for a in range(0, len(tokens), _CHUNK):  # products of a few tokens stay in the cache
+        values = _times(_reduced(tokens[a : a + _CHUNK]), powers[a : a + _CHUNK])
+        highs[a + 1 : a + 1 + _CHUNK] = values >> half
+        lows[a + 1 : a + 1 + _CHUNK] = values & low
+    np.cumsum(highs, out=highs)
+    np.cumsum(lows, out=lows)
     high, rest = highs[ends] - highs[starts], lows[ends] - lows[starts]
     sums = _reduced((high >> np.uint64(30)) + ((high & np.uint64(2**30 - 1)) << half) + _reduced(rest))
     back = _prime_powers_of(pow(_BASE, -1, 2**61 - 1), len(tokens) + 1)[starts]

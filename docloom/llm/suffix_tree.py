@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import batch, doc_id_of, keyed_texts, list_array, map_arrow
+from docloom.llm.common import batch, byte_column, doc_id_of, keyed_texts, list_array, map_arrow, slices
 from docloom.llm.windows import Asked, Tokens, covered, packed_texts, repeated_windows, unpacked
 from docloom.llm.words import BLANK, word_ids, word_spans
 
 THRESHOLD = 50
 #: Suffixes of which subtrees are built at a time.
 MEMORY_SUFFIXES = 1 << 19
+#: Bytes of packed texts whose words are cut at a time.
+CUT_BYTES = 1 << 20
 
 _KEPT = pa.schema([
     ("doc", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())),
@@ -147,8 +149,14 @@ def _as_words(raw: np.ndarray, offsets: np.ndarray):
 
 
 def _remove(threshold: int):
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
+            _, offsets = byte_column(part.column("packed"))
+            for i, j in slices(offsets, CUT_BYTES):
+                yield part.slice(i, j - i)
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in few(batches):
             sizes, counts, cut_starts, cut_ends, kept = [], [], [], [], []
             spans = part.column("spans")
             for i, packed in enumerate(part.column("packed").to_pylist()):
