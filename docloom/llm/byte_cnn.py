@@ -5,17 +5,18 @@ whole document. ``FILTERS`` learned filters of ``WIDTH`` bytes slide over it; a
 largest response of each (max-pooling, then a rectifier). The mean and the maximum over all chunks
 go through a logistic layer to one probability that the label is 1.
 
-Training (``train``) takes a bounded sample of labelled rows: the ``SAMPLE_DOCS`` labelled
-documents with the smallest hash of their id, and of each at most ``SAMPLE_CHUNKS`` chunks spread
-over the whole text. Rows whose ``crc32(doc_id as text) mod 5`` is 0 are held out and never seen.
-Labels, language, source and id are not inputs. Scoring reads every byte of every text, one task
-per input split, without a shuffle.
+Training (``train``) takes a bounded sample of labelled rows, and of each the whole text: the
+``SAMPLE_DOCS`` labelled documents with the smallest hash of their id, less those of more than
+``SAMPLE_BYTES`` UTF-8 bytes. Rows whose ``crc32(doc_id as text) mod 5`` is 0 are held out and never
+seen. Labels, language, source and id are not inputs. Scoring reads every byte of every text, one
+task per input split, without a shuffle.
 
 Defined cases: a null text is empty; an empty text is one chunk of padding and gets the score that
-follows; rows with equal ``doc_id`` are scored each; a null ``doc_id`` is not held out (it has no
-remainder) and has no label; without any label in the sample every score is 0.5, and with one kind
-of label the network learns that one; an empty table gives an empty result; columns other than
-``doc_id``, ``text`` and the label are ignored.
+follows; rows with equal ``doc_id`` are scored each, and the least of their texts is the one that
+may be learned from; a null ``doc_id`` is not held out (it has no remainder) and has no label;
+without any label in the sample every score is 0.5, and with one kind of label the network learns
+that one; an empty table gives an empty result; columns other than ``doc_id``, ``text`` and the
+label are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from docloom.llm.common import batch, byte_column, doc_id_of, keyed_texts, map_a
 
 FILTERS, WIDTH, CHUNK = 8, 6, 256
 BLOCK = CHUNK // 2
-SAMPLE_DOCS, SAMPLE_CHUNKS = 4000, 12
+#: Labelled rows to learn from, and the longest text among them: together they bound the sample.
+SAMPLE_DOCS, SAMPLE_BYTES = 4000, 1 << 16
 STEPS, BATCH, RATE, DECAY = 400, 64, 0.01, 1e-5
 FOLDS = 5
 
@@ -57,14 +59,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(remainder == 0, F.lit(False))
 
 
-def sample_chunks(raw: bytes) -> list[bytes]:
-    """At most ``SAMPLE_CHUNKS`` chunks of a text, evenly spread, with the filters' overhang."""
-    starts = range(0, max(1, len(raw) - BLOCK), BLOCK)
-    picked = starts if len(starts) <= SAMPLE_CHUNKS else [
-        starts[round(i * (len(starts) - 1) / (SAMPLE_CHUNKS - 1))] for i in range(SAMPLE_CHUNKS)
-    ]
+def all_chunks(raw: bytes) -> list[bytes]:
+    """The chunks of a whole text, with the filters' overhang."""
     size = CHUNK + WIDTH - 1
-    return [raw[s : s + size].ljust(size, b"\0") for s in picked]
+    return [raw[s : s + size].ljust(size, b"\0") for s in range(0, max(1, len(raw) - BLOCK), BLOCK)]
 
 
 def fit(chunks: np.ndarray, counts: np.ndarray, labels: np.ndarray, steps: int = STEPS, seed: int = 7) -> Network:
@@ -123,19 +121,21 @@ def fit(chunks: np.ndarray, counts: np.ndarray, labels: np.ndarray, steps: int =
 def train(
     docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE_DOCS, steps: int = STEPS
 ) -> Network:
-    """Fits the network to ``sample`` labelled rows, or all when there are fewer."""
+    """Fits the network to the whole texts of ``sample`` labelled rows, or of all when there are fewer."""
     own = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"))
     known = own.where("id is not null and label is not null").where(~held_out("id"))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     # a bounded list: it may be broadcast
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     found = docs.select(F.col("doc_id").alias("id"), text_of().alias("text")).join(F.broadcast(chosen), "id")
+    found = found.where(F.octet_length("text") <= SAMPLE_BYTES)
+    found = found.groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
 
     schema = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("chunks", pa.binary()), ("n", pa.int32())])
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            picked = [sample_chunks(t.encode()) for t in part.column("text").to_pylist()]
+            picked = [all_chunks(t.encode()) for t in part.column("text").to_pylist()]
             yield batch(schema, part.column("id").cast(pa.int64()), part.column("label"), [b"".join(p) for p in picked], [len(p) for p in picked])
 
     rows = map_arrow(found.select("id", "label", "text"), job, "id long, label int, chunks binary, n int").toArrow()

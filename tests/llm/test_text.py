@@ -71,6 +71,23 @@ def test_training_without_labels(spark, docs, odd_docs):
     byte_cnn.train(odd_docs, odd, steps=2)
 
 
+def test_training_reads_whole_texts_and_each_id_once(spark, monkeypatch):
+    size = byte_cnn.CHUNK + byte_cnn.WIDTH - 1
+    for n in (0, 1, 127, 128, 129, 255, 256, 257, 5000):
+        raw = bytes(np.random.default_rng(n).integers(1, 256, n, dtype=np.uint8))
+        chunks = byte_cnn.all_chunks(raw)
+        assert all(len(c) == size for c in chunks)
+        assert b"".join(c[: byte_cnn.BLOCK] for c in chunks[:-1]) + chunks[-1].rstrip(b"\0") == raw
+
+    seen = []
+    monkeypatch.setattr(byte_cnn, "fit", lambda chunks, counts, labels, steps: seen.append((len(chunks), counts.tolist(), labels.tolist())))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:3]
+    texts = [(ids[0], "a" * 1000), (ids[0], "a" * 1000), (ids[0], "b"), (ids[1], "c" * 300), (ids[2], "d" * (byte_cnn.SAMPLE_BYTES + 1))]
+    labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
+    byte_cnn.train(frame(spark, texts), labels)
+    assert sorted(seen[0][1]) == [2, 7] and seen[0][0] == 9 and seen[0][2] == [1, 1]
+
+
 # --- main text ----------------------------------------------------------------------------
 
 PRIOR = Weights()
