@@ -11,11 +11,14 @@ Jaccard similarity of their sets is at least ``threshold``.
    probability that a pair *at* the threshold shares a band (more similar pairs miss less).
 2. Representatives meet on band hashes. A bucket only links its members to its least member (a
    star, never pairs); connected components of these links hold every pair that shares a band.
-3. Members meet inside their component in blocks of bounded size and are verified on their full
-   sets, block against block. Sets whose sizes differ by more than the threshold allows lie in
-   size levels that never meet. Every pair of a component is verified, so pairs that no band
-   found are caught as well when their component did. Blocks give counts and spanning links, not
-   pairs.
+3. Members meet in places and are verified on their full sets there, in blocks of bounded size,
+   block against block. Where most members of a component share bands (groups of near copies) the
+   place is the component. A component with more than ``SPARSE`` times the pairs that a band joins in
+   it on average (chains, in which most pairs have little in common) is met bucket by bucket:
+   equal buckets once, and each pair in the first band that it shares. Sets whose sizes differ by more
+   than the threshold allows lie in size levels that never meet. Every pair that shares a band is
+   verified, so the work follows those pairs, not the square of a chain; in a component met as a
+   whole the other pairs are verified as well. Blocks give counts and spanning links, not pairs.
 4. The components of the verified links are the classes of near duplicates.
 
 Defined cases: a null text is empty; a text without words has no grams, links to nothing and is a
@@ -49,7 +52,9 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 #: Hash functions a text may cost; the most rows per band within it are taken.
 MOST_HASHES = 96
-#: Members of a component that are verified against as many others at a time, and the grams that
+#: Pairs of a component for each pair that a band joins in it, from which on it is met by buckets.
+SPARSE = 8
+#: Members of a place that are verified against as many others at a time, and the grams that
 #: such a block of members has about.
 BLOCK, BLOCK_GRAMS = 512, 1 << 19
 
@@ -194,22 +199,49 @@ def _spanning(reps: np.ndarray, adjacent: np.ndarray) -> np.ndarray:
         label = least
 
 
+def _due(group: pa.Table, first: np.ndarray, other: np.ndarray) -> np.ndarray | None:
+    """Which pairs of a bucket share no earlier band; all pairs (None) where a component meets."""
+    band = group.column("band")[0].as_py()
+    if band == WHOLE:
+        return None
+    bands = np.array(group.column("bands").to_pylist(), np.int64)[:, :band]
+    return ~(bands[first, None] == bands[None, other]).any(2)
+
+
+def _due_links(a: list[np.ndarray], b: list[np.ndarray] | None, due: np.ndarray | None, threshold: float) -> np.ndarray:
+    """``jaccard_links`` of the pairs that are due; sets without any are not compared."""
+    if due is None:
+        return jaccard_links(a, b, threshold)
+    if b is None:
+        np.fill_diagonal(due, False)
+    rows, columns = np.flatnonzero(due.any(1)), np.flatnonzero(due.any(0))
+    linked = np.zeros_like(due)
+    if len(rows):
+        some = jaccard_links([a[k] for k in rows], None if b is None else [b[k] for k in columns], threshold)
+        linked[np.ix_(rows, columns)] = some
+    return linked & due
+
+
+#: The key of a meeting: a bucket of a band, or a component as a whole, two size levels, a block of each.
+PLACE = ["place", "band", "lo", "i", "hi", "j"]
+WHOLE = -1
 _LINKED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
 
 def _verify(threshold: float):
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, ["component", "lo", "i", "hi", "j"]):
+        for group in grouped(batches, PLACE):
             rep, copies, second = (np.asarray(group.column(c)) for c in ("rep", "copies", "second"))
             sets = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
             own = group.column("lo")[0] == group.column("hi")[0] and group.column("i")[0] == group.column("j")[0]
             first, other = np.flatnonzero(~second), np.flatnonzero(second)
             if len(rep) < 2 or not own and not (len(first) and len(other)):
                 continue
+            due = _due(group, first, first if own else other)
             if own:
-                order, whole = np.arange(len(rep)), jaccard_links(sets, None, threshold)
+                order, whole = np.arange(len(rep)), _due_links(sets, None, due, threshold)
             else:
-                linked = jaccard_links([sets[k] for k in first], [sets[k] for k in other], threshold)
+                linked = _due_links([sets[k] for k in first], [sets[k] for k in other], due, threshold)
                 order = np.concatenate([first, other])
                 whole = np.zeros((len(order),) * 2, bool)
                 whole[: len(first), len(first) :] = linked
@@ -224,18 +256,18 @@ def _verify(threshold: float):
 
 
 def _meetings(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """``(component, rep, copies, meets)``: the block meetings each member takes part in."""
+    """``(place, band, bands, node, copies, meets)``: the block meetings each member takes part in."""
     level = F.floor(F.log("size") / math.log(1 / threshold) + 1e-9).cast("int")
     members = members.withColumn("level", level)
-    counts = members.groupBy("component", "level").agg(
+    counts = members.groupBy("place", "band", "level").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks")
     )
     around = counts
     for name, step in (("above", -1), ("below", 1)):
-        next_ = counts.select("component", (F.col("level") + step).alias("level"), F.col("blocks").alias(name))
-        around = around.join(next_, ["component", "level"], "left")
-    # stored, so that Spark can split the join where one component has very many members
-    m = members.join(stored(around, "levels"), ["component", "level"])
+        next_ = counts.select("place", "band", (F.col("level") + step).alias("level"), F.col("blocks").alias(name))
+        around = around.join(next_, ["place", "band", "level"], "left")
+    # stored, so that Spark can split the join where one place has very many members
+    m = members.join(stored(around, "levels"), ["place", "band", "level"])
     m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
     def meets(count: str, lo, i, hi, j, second):
@@ -246,7 +278,7 @@ def _meetings(members: DataFrame, threshold: float, block: int) -> DataFrame:
 
     lev, own = F.col("level"), F.col("block")
     return m.select(
-        "component", "node", "copies",
+        "place", "band", "bands", "node", "copies",
         F.concat(
             meets("blocks", lev, lambda k: F.least(own, k), lev, lambda k: F.greatest(own, k), lambda k: k < own),
             meets("above", lev, lambda k: own, lev + 1, lambda k: k, lambda k: F.lit(False)),
@@ -255,6 +287,27 @@ def _meetings(members: DataFrame, threshold: float, block: int) -> DataFrame:
     )
 
 
+def _places(members: DataFrame, shared: DataFrame) -> DataFrame:
+    """``(place, band, bands, node, copies, size)``: where each member meets others, ``bands`` only in
+    buckets. ``members`` has ``(component, node, copies, size, bands)``, ``shared`` the buckets of
+    two members and more with two fingerprints of their members."""
+    # ``hub`` is a member itself
+    owned = shared.join(members.select(F.col("node").alias("hub"), "component"), "hub")
+    joined = owned.groupBy("component").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("joined"))
+    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("bands")).alias("bands"))
+    sparse = size.join(joined, "component").where(F.col("n") * (F.col("n") - 1) * F.col("bands") > SPARSE * F.col("joined"))
+    # stored, so that Spark can split the join where one component has very many members
+    sparse = stored(sparse.select("component", F.lit(True).alias("sparse")), "sparse")
+    marked = stored(members.join(sparse, "component", "left"), "marked")
+    whole = marked.where("sparse is null").select(
+        F.col("component").alias("place"), F.lit(WHOLE).alias("band"), F.lit(None).cast("array<long>").alias("bands"), "node", "copies", "size"
+    )
+    once = owned.join(sparse, "component").groupBy("hub", "n", "print", "other_print").agg(F.min(F.struct("band", "hash")).alias("first"))
+    once = stored(once.select("first.band", F.col("first.hash").alias("place")), "buckets-once")
+    rows = marked.where("sparse").select("*", F.posexplode("bands").alias("band", "place"))
+    return whole.unionByName(rows.select(*whole.columns).join(once, ["band", "place"]))
+
+
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, block: int = BLOCK
 ) -> DataFrame:
@@ -277,24 +330,26 @@ def near_duplicates(
         "representatives",
     )
     # a representative is named by its key, which may repeat when rows share a doc_id
-    buckets = reps.select(F.xxhash64("rep", "rep_tag").alias("node"), F.posexplode("bands").alias("band", "hash"))
-    shared = buckets.groupBy("band", "hash").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
+    named = reps.withColumn("node", F.xxhash64("rep", "rep_tag"))
+    buckets = named.select("node", F.posexplode("bands").alias("band", "hash"))
+    shared = buckets.groupBy("band", "hash").agg(
+        F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("node")).alias("print"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("other_print"),
+    )
+    shared = stored(shared.where("hub < last").drop("last"), "buckets")
     stars = buckets.join(shared.select("band", "hash", "hub"), ["band", "hash"]).where("node <> hub")
     candidates = connected_components(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    members = stored(
-        reps.drop("bands").withColumn("node", F.xxhash64("rep", "rep_tag")).join(candidates, "node"), "members"
-    )
+    members = stored(named.join(candidates, "node"), "members")
 
-    meetings = _meetings(members, threshold, block)
+    meetings = _meetings(stored(_places(members, shared), "places"), threshold, block)
     wanted = packed_texts(texts.dropDuplicates(["doc", "tag"]) if _repeats_rows(signed) else texts)
     # the same plan at every size: the members of a large table fit in no task's memory
     keys = members.select(F.col("rep").alias("doc"), F.col("rep_tag").alias("tag"), "node")
     wanted = wanted.join(keys.hint("merge"), ["doc", "tag"])
     sets = map_arrow(wanted.select("node", "packed"), _sets(n), "node long, grams binary")
-    meetings = meetings.select("component", "node", "copies", F.explode("meets").alias("m"))
-    keys = ["component", "lo", "i", "hi", "j"]
-    pairs = meetings.select("component", "node", "copies", "m.*").join(sets, "node").withColumnRenamed("node", "rep")
-    met = pairs.repartition(parts, *keys).sortWithinPartitions(*keys)
+    meetings = meetings.select("place", "band", "bands", "node", "copies", F.explode("meets").alias("m"))
+    pairs = meetings.select("place", "band", "bands", "node", "copies", "m.*").join(sets, "node").withColumnRenamed("node", "rep")
+    met = pairs.repartition(parts, *PLACE).sortWithinPartitions(*PLACE)
     linked = stored(map_arrow(met, _verify(threshold), "a long, b long, links long"), "verified")
 
     classes = connected_components(linked.select("a", "b"))

@@ -116,6 +116,43 @@ def test_a_large_group_of_near_copies(spark, block):
     assert near_found(ngram_join.near_duplicates(frame(spark, rows), block=block)) == near(rows)
 
 
+def drifting(n, words, step=1):
+    """Texts of which each drops ``step`` words of the one before and adds as many."""
+    return [(i, " ".join(f"w{k}" for k in range(step * i, step * i + words))) for i in range(n)]
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_a_chain_is_met_by_buckets(spark, block):
+    rows = drifting(150, 120, 2) + [(1000 + i, t + " and an end") for i, t in drifting(3, 60)]
+    assert near_found(ngram_join.near_duplicates(frame(spark, rows), block=block)) == near(rows)
+
+
+def test_pairs_of_a_chain_meet_once(spark, monkeypatch):
+    """What is verified follows the pairs that share a band, not the square of the chain."""
+    rows = drifting(600, 100)
+    places = []
+    real = ngram_join._places
+
+    def seen(members, shared):
+        places.append(real(members, shared))
+        return places[-1]
+
+    monkeypatch.setattr(ngram_join, "_places", seen)
+    links = sum(r.n_links for r in ngram_join.near_duplicates(frame(spark, rows)).collect()) // 2
+    met, bands = {}, {}
+    for r in places[0].collect():
+        met.setdefault((r.band, r.place), []).append(r.node)
+        bands[r.node] = np.array(r.bands)
+    due = []
+    for (band, _), nodes in met.items():
+        for i, a in enumerate(nodes):
+            due += [frozenset((a, b)) for b in nodes[:i] if not (bands[a][:band] == bands[b][:band]).any()]
+    names = list(bands)
+    want = {frozenset((a, b)) for i, a in enumerate(names) for b in names[:i] if (bands[a] == bands[b]).any()}
+    assert len(due) == len(set(due)) and set(due) == want
+    assert links <= len(due) < 5 * links  # all pairs of the chain: 30 times the links
+
+
 def test_near_copies_of_no_rows(no_docs):
     assert ngram_join.near_duplicates(no_docs).count() == 0
 
