@@ -183,6 +183,16 @@ def test_components(spark):
     assert set(got) == {x for a, b in links if a != b for x in (a, b)}
 
 
+@pytest.mark.parametrize("hub", [0, 500, 9999])
+def test_components_of_a_hub(spark, hub):
+    """A node with more links than a task may be handed, be it the least, a middle or the largest."""
+    links = [(hub, i) for i in range(1, 1200) if i != hub] + [(i, i + 2000) for i in range(1, 1200)] + [(7000, 7001)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(links, "a long, b long")).collect()))
+    nodes = {x for e in links for x in e}
+    least = min(nodes - {7000, 7001})
+    assert got == {x: 7000 if x in (7000, 7001) else least for x in nodes}
+
+
 def test_kept_rows_keep_one_of_equal_rows(spark, odd_docs):
     from docloom.llm.common import keyed_texts
 
