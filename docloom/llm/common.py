@@ -7,7 +7,6 @@ told apart by ``tag``, a hash of their text; equal rows stay equal rows.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.session import new_table_path, ship_package
+from docloom.session import give_back_memory, new_table_path, ship_package
 
 NULL_ID = -(2**63)
 #: Tokens that numpy works on at a time, so that its arrays stay in the processor's cache.
@@ -94,13 +93,6 @@ def _tidy(job: Callable) -> Callable:
     return run
 
 
-def give_back_memory() -> None:
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim is not None:
-        trim(0)
-
-
 def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the ``n + 1`` offsets of its rows, uncopied."""
     if len(column) == 0:

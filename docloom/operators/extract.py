@@ -19,13 +19,14 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions import paths
 from docloom.operators import office
-from docloom.session import ship_package
+from docloom.session import BATCH_BYTES, map_batches, ship_package
 from docloom.sources import files
 
 # --- fixed values: readers by extension (``.markdown`` has none) ---------------------------
@@ -34,7 +35,7 @@ DOCX_EXTENSIONS = (".docx", ".doc")
 XLSX_EXTENSIONS = (".xlsx", ".xls")
 OFFICE_EXTENSIONS = DOCX_EXTENSIONS + XLSX_EXTENSIONS
 
-_FLUSH_CHARS = 32 << 20  # texts of about this size leave a task as one batch
+_FLUSH_CHARS = BATCH_BYTES  # texts of about this size leave a task as one batch
 
 
 #: What damaged files raise. Anything else, such as a lack of memory, fails the task.
@@ -107,10 +108,15 @@ def _read_text(path: str, extension: str) -> str | None:
         return io.TextIOWrapper(raw, encoding="utf-8", errors="ignore").read()
 
 
-def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(part: pa.RecordBatch, texts: list[str], ok: list[bool], parsed: list[bool]) -> pa.RecordBatch:
+        names = [*part.schema.names, "content", "readable", "parsed"]
+        more = [pa.array(texts, pa.string()), pa.array(ok, pa.bool_()), pa.array(parsed, pa.bool_())]
+        return pa.RecordBatch.from_arrays([*part.columns, *more], names)
+
     for batch in batches:
         texts, ok, parsed, start, size = [], [], [], 0, 0
-        for path, ext in zip(batch["file_path"], batch["file_extension"]):
+        for path, ext in zip(batch.column("file_path").to_pylist(), batch.column("file_extension").to_pylist()):
             try:
                 text = _read_text(path, ext) if ext in TEXT_EXTENSIONS + OFFICE_EXTENSIONS else ""
                 ok.append(True)
@@ -121,17 +127,15 @@ def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             texts.append(text or "")
             size += len(texts[-1])
             if size >= _FLUSH_CHARS:
-                stop = start + len(texts)
-                yield batch.iloc[start:stop].assign(content=texts, readable=ok, parsed=parsed)
-                texts, ok, parsed, start, size = [], [], [], stop, 0
+                yield read(batch.slice(start, len(texts)), texts, ok, parsed)
+                texts, ok, parsed, start, size = [], [], [], start + len(texts), 0
         if texts:
-            yield batch.iloc[start:].assign(content=texts, readable=ok, parsed=parsed)
+            yield read(batch.slice(start), texts, ok, parsed)
 
 
 def extract_listed(rows: DataFrame) -> DataFrame:
     """Adds ``content``, ``readable`` and ``parsed`` to listing rows by opening ``file_path`` in the
     tasks."""
-    ship_package(rows.sparkSession)
     if "file_extension" not in rows.columns:
         rows = rows.withColumn(
             "file_extension", paths.file_extension(paths.file_name(F.col("file_path")))
@@ -141,27 +145,28 @@ def extract_listed(rows: DataFrame) -> DataFrame:
         + [T.StructField("content", T.StringType()), T.StructField("readable", T.BooleanType()),
            T.StructField("parsed", T.BooleanType())]
     )
-    return rows.mapInPandas(_extract_batches, schema)
+    return map_batches(rows, _extract_batches, schema)
+
 
+_SLIDES = pa.schema([("file_path", pa.string()), ("slide_no", pa.int32()), ("pos", pa.int32()), ("text", pa.string())])
 
-def _slides_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _slides_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for path, data in zip(batch["file_path"], batch["content"]):
+        out: list[tuple] = []
+        for path, data in zip(batch.column("file_path"), batch.column("content")):
             try:
-                out.extend((path, *slide) for slide in office.slide_texts(data))
+                out.extend((path.as_py(), *slide) for slide in office.slide_texts(data.as_py()))
             except DAMAGE:  # a damaged deck has no slide texts
                 continue
-        yield pd.DataFrame(out, columns=["file_path", "slide_no", "pos", "text"])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SLIDES.types)], schema=_SLIDES)
 
 
 def slide_texts(rows: DataFrame) -> DataFrame:
     """``(file_path, slide_no, pos, text)`` of all slides of every ``.pptx`` row."""
-    ship_package(rows.sparkSession)
     decks = rows.where(F.col("file_extension") == ".pptx").select("file_path", "content")
-    return decks.mapInPandas(
-        _slides_of, "file_path string, slide_no int, pos int, text string"
-    )
+    return map_batches(decks, _slides_of, "file_path string, slide_no int, pos int, text string")
 
 
 def slide_card(rows: DataFrame) -> DataFrame:

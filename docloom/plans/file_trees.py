@@ -10,14 +10,14 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import paths
 from docloom.operators import office
 from docloom.plans.tables import ROOT, catalog
-from docloom.session import new_table_path, ship_package, spread
+from docloom.session import map_batches, new_table_path, spread
 from docloom.sources import files
 
 _NOT_XML = re.compile("[\x00-\x08\x0b-\x1f]")
@@ -86,34 +86,30 @@ def _file_bytes(extension: str, text: str) -> bytes:
 
 def with_bytes(docs: DataFrame) -> DataFrame:
     """``(file_path, file_extension, content)`` with the bytes of a file of that type."""
-    ship_package(docs.sparkSession)
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = [_file_bytes(e, t) for e, t in zip(b["file_extension"], b["content"])]
-            yield b.assign(content=data)
+            data = pa.array([_file_bytes(e.as_py(), t.as_py()) for e, t in zip(b["file_extension"], b["content"])], pa.binary())
+            yield pa.RecordBatch.from_arrays([b["file_path"], b["file_extension"], data], ["file_path", "file_extension", "content"])
 
     rows = docs.select("file_path", "file_extension", "content")
-    return rows.mapInPandas(build, "file_path string, file_extension string, content binary")
-
-
-def _write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for path, data, age in zip(b["file_path"], b["content"], b["age_days"]):
-            if files.is_remote(path):
-                store, inner = files.open_store(path)
-                store.create_dir(os.path.dirname(inner), recursive=True)
-                with store.open_output_stream(inner) as f:
-                    f.write(data)
-            else:
-                path = files.local_path(path)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(path, "wb") as f:
-                    f.write(data)
-                if age:
-                    then = time.time() - age * 86400
-                    os.utime(path, (then, then))
-        yield pd.DataFrame({"n": [len(b)]})
+    return map_batches(rows, build, "file_path string, file_extension string, content binary")
+
+
+def _write(path: str, data: bytes, age: int) -> None:
+    if files.is_remote(path):
+        store, inner = files.open_store(path)
+        store.create_dir(os.path.dirname(inner), recursive=True)
+        with store.open_output_stream(inner) as f:
+            f.write(data)
+        return
+    path = files.local_path(path)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as f:
+        f.write(data)
+    if age:
+        then = time.time() - age * 86400
+        os.utime(path, (then, then))
 
 
 def write_tree(
@@ -144,13 +140,20 @@ def write_tree(
         paths.file_extension(F.col("file_name")).alias("file_extension"),
         "content",
     )
-    _write_rows(with_bytes(spread(rows, "file_path")), age_days)
+    _write_rows(spread(rows, "file_path"), age_days)
     return root
 
 
 def _write_rows(rows: DataFrame, age_days: int = 0) -> None:
-    dated = rows.withColumn("age_days", F.lit(age_days))
-    dated.mapInPandas(_write, "n bigint").agg(F.sum("n")).first()
+    """Files of ``(file_path, file_extension, content)``: made and written one at a time."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, extension, text in zip(b["file_path"], b["file_extension"], b["content"]):
+                _write(path.as_py(), _file_bytes(extension.as_py(), text.as_py()), age_days)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    map_batches(rows, write, "n bigint").agg(F.sum("n")).first()
 
 
 def write_long_texts(spark: SparkSession, sf_dir: str, docs_per_file: int) -> str:
@@ -165,5 +168,5 @@ def write_long_texts(spark: SparkSession, sf_dir: str, docs_per_file: int) -> st
         F.lit(".txt").alias("file_extension"),
         F.array_join(F.transform("docs", lambda d: d["text"]), "\n").alias("content"),
     )
-    _write_rows(with_bytes(rows))
+    _write_rows(rows)
     return root

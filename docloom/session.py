@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -123,3 +125,47 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
+
+
+#: Bytes of rows that a worker is handed at a time, and of texts that it hands back at a time.
+BATCH_BYTES = 4 << 20
+#: After so many bytes a worker gives its free memory back.
+TIDY_BYTES = 32 << 20
+
+
+def map_batches(df: DataFrame, job: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers, over batches of bounded size, so that
+    what a worker holds does not follow the rows of its task."""
+    ship_package(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed = 0
+        try:
+            for out in job(part for whole in batches for part in small_parts(whole)):
+                passed += out.nbytes
+                yield out
+                if passed >= TIDY_BYTES:
+                    del out
+                    give_back_memory()
+                    passed = 0
+        finally:
+            give_back_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def small_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about ``BATCH_BYTES``, were it made larger than that."""
+    rows = max(batch.num_rows * BATCH_BYTES // max(batch.nbytes, 1), 1)
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
+def give_back_memory() -> None:
+    """Spark keeps workers for later tasks, and what their allocators hold on to would count against
+    the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)

@@ -201,3 +201,28 @@ def test_roots_are_made_absolute(spark, tmp_path, monkeypatch):
     given = ["docs", "./docs", root + "//", f"{tmp_path}/x/../docs", f"file://{root}/"]
     os.makedirs(tmp_path / "x")
     assert files.existing_roots(spark, given) == [root]
+
+
+def test_workers_hold_a_few_megabytes_of_a_task(spark, tmp_path):
+    import pyarrow as pa
+
+    from docloom.operators.extract import _extract_batches
+    from docloom.session import BATCH_BYTES, map_batches
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    rows = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    seen = map_batches(rows, sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in seen) == 400 and max(r["size"] for r in seen) <= BATCH_BYTES + 200_000
+
+    names = [str(tmp_path / f"{i}.txt") for i in range(9)]
+    for name in names:
+        with open(name, "w") as f:
+            f.write("y" * (BATCH_BYTES // 2))
+    listed = pa.RecordBatch.from_pydict({"file_path": [*names, str(tmp_path / "gone.txt")], "file_extension": [".txt"] * 10})
+    out = list(_extract_batches(iter([listed])))
+    assert [n for b in out for n in b["file_path"].to_pylist()] == listed["file_path"].to_pylist()
+    assert max(b.nbytes for b in out) < 2 * BATCH_BYTES
+    assert [r for b in out for r in b["readable"].to_pylist()] == [True] * 9 + [False]
