@@ -11,7 +11,8 @@ travel in *runs*:
 2. Records meet by key, packed into blocks. A key that occurs once ends here: none of its windows
    repeats. Of runs with equal tokens all but the first are repeats as a whole. Only where runs
    with one key differ, or where a run may repeat inside itself, are tokens needed: such runs are
-   *asked* for.
+   *asked* for. What was found goes, packed again, to the bucket of its document; there it becomes
+   one row of the document, neighbouring repeats united.
 3. The asked runs' tokens are cut from the texts and meet by key again; there the operator orders
    their suffixes by its own method and says which windows have an earlier copy.
 
@@ -55,8 +56,10 @@ REFINE_TOKENS = 4 << 20
 
 RECORD = np.dtype([("key", "u8"), ("run", "u8"), ("doc", "i8"), ("tag", "i8"), ("start", "u4"), ("n", "u2"), ("loops", "u1")])
 _SENT = "bucket int, block binary"
-_FOUND = "asked boolean, doc long, tag long, start int, n int, key long"
-_FOUND_ARROW = pa.schema([("asked", pa.bool_()), ("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.int64())])
+_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
+_MET_ARROW = pa.schema([("place", pa.int32()), ("block", pa.binary())])
+_MET = "place int, block binary"
+_FOUND = "doc long, tag long, asked array<struct<start: int, n: int, key: long>>, spans array<struct<start: int, n: int>>"
 _TOKENS_ARROW = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("tokens", pa.binary())])
 _SPANS_ARROW = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
@@ -213,20 +216,38 @@ def _unpack(block: bytes) -> np.ndarray:
     return out
 
 
-def _send(tokens: Tokens, buckets: int, frequent: list[np.ndarray]):
-    sent = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
+def _blocks(schema: pa.Schema, records: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One block for each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    records, bucket = records[order], bucket[order].astype(np.int32)
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+    pairs = [(int(bucket[a]), _pack(records[a:b])) for a, b in zip(cuts, cuts[1:]) if b > a]
+    for k in range(0, len(pairs), 256):
+        yield batch(schema, *zip(*pairs[k : k + 256]))
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The blocks of one bucket after the other, from batches sorted by it."""
+    held: list[bytes] = []
+    last = None
+    for part in batches:
+        for bucket, block in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            if held and bucket != last:
+                yield held
+                held = []
+            held.append(block)
+            last = bucket
+    if held:
+        yield held
 
+
+def _send(tokens: Tokens, buckets: int, frequent: list[np.ndarray]):
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         records, later = classes(tokens, np.concatenate(held))
         # a run known to be a repeat needs no partners: it goes to the bucket of its document
         bucket = np.where(later, mix(records["doc"].astype(np.uint64)), mix(records["key"])) % np.uint64(buckets)
         records["loops"] |= later.astype(np.uint8) << 1
-        order = np.argsort(bucket, kind="stable")
-        records, bucket = records[order], bucket[order].astype(np.int32)
-        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-        pairs = [(int(bucket[a]), _pack(records[a:b])) for a, b in zip(cuts, cuts[1:]) if b > a]
-        for k in range(0, len(pairs), 256):
-            yield batch(sent, *zip(*pairs[k : k + 256]))
+        yield from _blocks(_SENT_ARROW, records, bucket)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -243,8 +264,9 @@ def _send(tokens: Tokens, buckets: int, frequent: list[np.ndarray]):
     return job
 
 
-def _meet(tokens: Tokens):
-    def found(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _meet(tokens: Tokens, places: int):
+    def found(blocks: list[bytes]) -> np.ndarray:
+        """The runs that repeat, and those that are asked for (``loops`` is 1)."""
         records = np.concatenate([_unpack(b) for b in blocks])
         done = records["loops"] >= 2
         r, later = classes(tokens, records[~done])
@@ -256,23 +278,67 @@ def _meet(tokens: Tokens):
         differ = np.bincount(of, weights=new_run) > 1
         # without ``within`` a run that loops cannot help itself
         asked = ~later & (differ[of] | ((r["loops"] > 0) & tokens.within))
-        for rows, flag in ((records[done], False), (r[later], False), (r[asked], True)):
-            for k in range(0, len(rows), 100_000):
-                x = rows[k : k + 100_000]
-                yield batch(_FOUND_ARROW, np.full(len(x), flag), x["doc"], x["tag"], x["start"].astype(np.int32), x["n"].astype(np.int32), x["key"].astype(np.int64))
+        out = np.concatenate([records[done], r[later], r[asked]])
+        out["loops"] = 0
+        out["loops"][len(out) - np.count_nonzero(asked) :] = 1
+        return out
+
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        records = np.concatenate(held)
+        yield from _blocks(_MET_ARROW, records, mix(records["doc"].astype(np.uint64)) % np.uint64(places))
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        last = None
-        for part in batches:
-            for bucket, block in zip(part.column("bucket").to_pylist(), part.column("block").to_pylist()):
-                if held and bucket != last:
-                    yield from found(held)
-                    held = []
-                held.append(block)
-                last = bucket
-        if held:
-            yield from found(held)
+        held, n = [], 0
+        for blocks in _by_bucket(batches):
+            held.append(found(blocks))
+            n += len(held[-1])
+            if n >= FLUSH:
+                yield from flush(held)
+                held, n = [], 0
+        if n:
+            yield from flush(held)
+
+    return job
+
+
+def united(group: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(group, start, n)`` of the spans that remain when those of a group that touch are one;
+    spans come by group and start."""
+    end = np.maximum.accumulate((group << 33) + start + n)
+    opens = np.ones(len(group), bool)
+    opens[1:] = (group << 33)[1:] + start[1:] > end[:-1]
+    first = np.flatnonzero(opens)
+    last = np.append(first[1:], len(group)) - 1 if len(first) else first
+    return group[first], start[first], end[last] - (group[first] << 33) - start[first]
+
+
+def _gather():
+    """One row for each document from what was found of it."""
+
+    def lists(of: np.ndarray, docs: int, **columns: np.ndarray) -> pa.ListArray:
+        offsets = np.searchsorted(of, np.arange(docs + 1)).astype(np.int32)
+        kinds = {k: pa.int64() if k == "key" else pa.int32() for k in columns}
+        values = [pa.array(v.astype(kinds[k].to_pandas_dtype()), kinds[k]) for k, v in columns.items()]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(values, list(columns)))
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blocks in _by_bucket(batches):
+            r = np.concatenate([_unpack(b) for b in blocks])
+            r = r[np.lexsort((r["start"], r["tag"], r["doc"]))]
+            new = np.ones(len(r), bool)
+            new[1:] = (r["doc"][1:] != r["doc"][:-1]) | (r["tag"][1:] != r["tag"][:-1])
+            of, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            wanted = r["loops"] == 1
+            a = r[wanted]
+            group, start, n = united(of[~wanted], r["start"][~wanted].astype(np.int64), r["n"][~wanted].astype(np.int64))
+            columns = [
+                pa.array(r["doc"][first]), pa.array(r["tag"][first]),
+                lists(of[wanted], len(first), start=a["start"], n=a["n"], key=a["key"]),
+                lists(group, len(first), start=start, n=n),
+            ]
+            whole = pa.RecordBatch.from_arrays(columns, ["doc", "tag", "asked", "spans"])
+            for k in range(0, len(first), 1000):
+                yield whole.slice(k, 1000)
 
     return job
 
@@ -422,14 +488,15 @@ def repeated_windows(docs: DataFrame, tokens: Tokens, order: Callable[[Asked], n
     frequent = frequent_keys(texts, tokens)
     sent = map_arrow(texts, _send(tokens, 8 * parts, frequent), _SENT)
     met = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = stored(map_arrow(met, _meet(tokens), _FOUND), "windows")
+    places = map_arrow(met, _meet(tokens, 2 * parts), _MET).repartition(parts, "place").sortWithinPartitions("place")
+    found = stored(map_arrow(places, _gather(), _FOUND), "windows")
 
-    asked = found.where("asked").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n", "key")).alias("asked"))
+    asked = found.where(F.size("asked") > 0).select("doc", "tag", "asked")
     asked_texts = packed_texts(texts).join(asked.hint("merge"), ["doc", "tag"])
     runs_ = map_arrow(asked_texts, _cut(tokens), "doc long, tag long, start int, n int, key long, tokens binary")
     by_key = runs_.repartition(parts, "key").sortWithinPartitions("key")
     refined = map_arrow(by_key, _refine(tokens, order), "doc long, tag long, start int, n int")
-    spans = found.where("not asked").select("doc", "tag", "start", "n").unionByName(refined)
+    spans = found.select("doc", "tag", F.inline("spans")).unionByName(refined)
     return spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 

@@ -217,3 +217,24 @@ def test_deep_nodes_are_equal_suffixes(most):
     for x, n in zip(s[below].tolist(), node.tolist()):
         got.setdefault(n, []).append(x)
     assert sorted(sorted(v) for v in got.values()) == want
+
+
+def test_what_windows_find_travels_in_blocks_and_becomes_one_row_of_a_document():
+    import pyarrow as pa
+
+    from docloom.llm import windows as W
+
+    n, docs = 500, 40  # every window of many copies travels alone, under a key of its own
+    records = np.zeros(n * docs, W.RECORD)
+    records["doc"], records["start"] = np.repeat(np.arange(docs), n), np.tile(np.arange(n), docs)
+    records["key"] = records["run"] = np.tile(np.arange(n) * 7919, docs)
+    records["n"] = 1
+    part = pa.RecordBatch.from_pydict({"bucket": [0], "block": [W._pack(records[np.argsort(records["key"], kind="stable")])]})
+    met = list(W._meet(W.Tokens(100, 32, None, "u1", within=True), 8)(iter([part])))
+    assert sum(b.num_rows for b in met) <= 8
+    by_place = pa.Table.from_batches(met).sort_by("place").to_batches()
+    found = [row for b in W._gather()(iter(by_place)) for row in b.to_pylist()]
+    assert sorted(r["doc"] for r in found) == list(range(1, docs))  # the first copy repeats nothing
+    assert all(r["spans"] == [{"start": 0, "n": n}] and r["asked"] == [] for r in found)
+    group, start, size = W.united(np.array([0, 0, 0, 1, 1]), np.array([0, 2, 9, 0, 1]), np.array([5, 2, 1, 1, 1]))
+    assert list(zip(group, start, size)) == [(0, 0, 5), (0, 9, 1), (1, 0, 2)]
