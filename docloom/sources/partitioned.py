@@ -65,11 +65,11 @@ class PartitionedTable:
         rows = self.spark.read.schema(self.schema).parquet(self.path)
         return rows if parts is None else rows.where(F.col(self.part).isin(*parts) if parts else F.lit(False))
 
-    def read_for_rewrite(self, parts: Sequence) -> DataFrame:
+    def read_for_rewrite(self, parts: Sequence, bytes_per_task: int = BYTES_PER_TASK) -> DataFrame:
         """The rows of partitions in tasks of a good size. Tasks take whole files, so small files
         are put together without a shuffle."""
         share = len(parts) / max(len(self.parts()), 1)
-        tasks = max(int(self._bytes() * share) // BYTES_PER_TASK, 1)
+        tasks = max(int(self._bytes() * share) // bytes_per_task, 1)
         return self.read(parts).coalesce(max(tasks, min(len(parts), self.spark.sparkContext.defaultParallelism)))
 
     def _write(self, rows: DataFrame, mode: str, sort: Sequence[str]) -> None:

@@ -27,7 +27,10 @@ from docloom.sources.partitioned import PartitionedTable
 
 #: Default number of buckets: one per so many postings, within limits.
 ROWS_PER_BUCKET, MIN_BUCKETS, MAX_BUCKETS = 20_000_000, 16, 8192
-
+#: Postings that one task sorts and writes, and the bytes of files with about so many.
+ROWS_PER_TASK, BYTES_PER_TASK = 2_000_000, 8 << 20
+#: Keys of changed documents are broadcast below this size.
+BROADCAST_BYTES, KEY_BYTES = 64 << 20, {"bigint": 32, "int": 32}
 
 #: Parts of the table of documents for each bucket of terms.
 DOC_PARTS_PER_BUCKET = 1
@@ -190,9 +193,9 @@ def write_index(
         parted.coalesce(_tasks_of(spark, buckets)).write.mode("overwrite").partitionBy("part").parquet(docs_path)
         stats = P.term_stats(P.unpack(counts)).withColumn("bucket", bucket_of(F.col("term"), buckets))
         _write_stats(stats, f"{path}/term_stats")
-        _ordered(P.unpack(counts), spark, path, id_type, buckets, total, hot_min_rows).write.mode(
-            "overwrite"
-        ).partitionBy("bucket").parquet(f"{path}/postings")
+        dealt = _dealt(P.unpack(counts), spark, path, id_type, buckets, total, hot_min_rows)
+        ordered = dealt.sortWithinPartitions("bucket", "term", "doc_id")
+        ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     return _finish(spark, path, id_type, buckets)
 
 
@@ -205,17 +208,16 @@ def _write_stats(stats: DataFrame, path: str) -> None:
     ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
-def _ordered(postings, spark, path, id_type, buckets, total, hot_min_rows) -> DataFrame:
+def _dealt(postings, spark, path, id_type, buckets, total, hot_min_rows) -> DataFrame:
     """Postings in their final place, hot terms of the stored statistics spread by document."""
     stats = spark.read.schema(_schemas(id_type)["term_stats"]).parquet(f"{path}/term_stats")
     hot = hot_keys(stats.drop("bucket"), ["field", "term"], "df", hot_threshold(total, hot_min_rows))
-    # a bucket beyond ROWS_PER_BUCKET is the work of several tasks, by term
-    shares = max(total // (buckets * ROWS_PER_BUCKET), 1)
+    # a bucket is the work of several tasks, by term
+    shares = max(total // (buckets * ROWS_PER_TASK), 1)
     return (
         add_salt(postings, hot, ["field", "term"], "doc_id")
         .withColumn("bucket", bucket_of(F.col("term"), buckets))
         .repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(shares)), "salt")
-        .sortWithinPartitions("bucket", "term", "doc_id")
         .drop("salt")
     )
 
@@ -236,7 +238,9 @@ def _finish(spark: SparkSession, path: str, id_type: str, buckets: int) -> Store
 
 def update_index(index: StoredIndex, changed: DataFrame, gone: DataFrame, hot_min_rows: int = HOT_MIN_ROWS) -> StoredIndex:
     """The index after a change, in place: only ``changed`` is tokenised, and only the partitions
-    that hold a term of a changed document are read and written.
+    that hold a term of a changed document are read and written. Old rows are parted from changed
+    documents by a broadcast of their keys, counted before, and stay in the order in which they are
+    stored; only the rows of changed documents are shuffled. More keys than that are joined.
 
     ``changed`` holds new and changed documents, ``gone`` the ``doc_id`` of deleted ones.
     """
@@ -250,7 +254,9 @@ def update_index(index: StoredIndex, changed: DataFrame, gone: DataFrame, hot_mi
 
         new = kept(_doc_rows(changed, buckets), "counts")
         keys = kept(changed.select("doc_id").unionByName(gone.select("doc_id")).distinct(), "keys")
-        old = kept(tables["docs"].read().join(keys, "doc_id", "left_semi"), "old")  # by narrow keys
+        few = keys.count() * KEY_BYTES.get(index.id_type, 128) <= BROADCAST_BYTES
+        keys = F.broadcast(keys) if few else keys
+        old = kept(tables["docs"].read().join(keys, "doc_id", "left_semi"), "old")
         in_bucket = bucket_of(F.col("term"), buckets).alias("bucket")
 
         def buckets_of(counts: DataFrame) -> set[int]:
@@ -260,10 +266,18 @@ def update_index(index: StoredIndex, changed: DataFrame, gone: DataFrame, hot_mi
         fresh = P.unpack(new).withColumn("bucket", in_bucket)
         if before:
             touched = sorted(before)
-            rest = tables["postings"].read(touched).join(old.select("doc_id").distinct(), "doc_id", "left_anti")
-            both = rest.unionByName(fresh.where(F.col("bucket").isin(*touched))).drop("bucket")
-            ordered = _ordered(both, spark, index.path, index.id_type, buckets, index.total_postings, hot_min_rows)
-            tables["postings"].replace(touched, ordered, ["term", "doc_id"])
+            here = fresh.where(F.col("bucket").isin(*touched))
+
+            def dealt(rows: DataFrame) -> DataFrame:
+                rows = rows.select(*P.POSTING_COLUMNS)
+                return _dealt(rows, spark, index.path, index.id_type, buckets, index.total_postings, hot_min_rows)
+
+            if few:
+                rest = tables["postings"].read_for_rewrite(touched, BYTES_PER_TASK).join(keys, "doc_id", "left_anti")
+                both = rest.unionByName(dealt(here))
+            else:
+                both = dealt(tables["postings"].read(touched).join(keys, "doc_id", "left_anti").unionByName(here))
+            tables["postings"].replace(touched, both, ["term", "doc_id"])
         added = sorted(after - before)
         if added:
             tables["postings"].append(fresh.where(F.col("bucket").isin(*added)), ["term", "doc_id"])

@@ -224,3 +224,35 @@ def test_queries_without_words_have_few_candidates(spark, corpus):
     m = {t: sum(r.df for r in stored.term_stats([t]).collect()) for t in "89"}
     # k + m of each of its lists
     assert per_query == {0: 3, 1: 3, 2: 6, 3: 3, 4: 3 + m["8"], 5: 3 + m["8"] + m["9"]}
+
+
+def test_an_update_leaves_old_postings_where_they_are(spark, tmp_path, monkeypatch):
+    from docloom.operators import postings as P
+    from docloom.sources import partitioned, text_index
+
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.col("doc_id") % 40), lambda i: F.concat(F.lit("w"), i)), " ")
+    docs = spark.range(300).select(
+        F.col("id").alias("doc_id"), F.lit("txt").alias("file_type"), F.concat(F.lit("f"), "id").alias("file_name"),
+        F.concat(F.lit("/r/f"), "id").alias("file_path"),
+    ).withColumn("content", words)
+    changed = docs.where("doc_id % 5 = 0").withColumn("content", F.concat(F.lit("other "), "content"))
+    gone, plans = docs.where("doc_id % 7 = 0 and doc_id % 5 > 0").select("doc_id"), []
+    now = docs.where("doc_id % 5 > 0 and doc_id % 7 > 0").unionByName(changed)
+    replace = partitioned.PartitionedTable.replace
+
+    def seen(self, parts, rows, sort=()):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        replace(self, parts, rows, sort)
+
+    monkeypatch.setattr(partitioned.PartitionedTable, "replace", seen)
+    want = sorted(map(tuple, P.unpack(P.index_counts(now)).collect()))
+    for limit in (text_index.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(text_index, "BROADCAST_BYTES", limit)
+        index = text_index.write_index(docs, str(tmp_path / f"i{limit}"), buckets=4)
+        plans.clear()
+        after = text_index.update_index(index, changed, gone)
+        assert sorted(map(tuple, after.postings().drop("bucket").select(*P.POSTING_COLUMNS).collect())) == want
+        assert after.all_term_stats().count() == len({r[1:3] for r in want})
+        broadcast = "LeftAnti, (doc_id" in plans[0] and "strategy=broadcast" in plans[0]
+        kept_in_place = plans[0].index("LeftAnti") < plans[0].index("RepartitionByExpression")
+        assert (broadcast and kept_in_place) == (limit > 0), plans[0]
