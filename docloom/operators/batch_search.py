@@ -33,6 +33,8 @@ from docloom.session import new_table_path, spread
 BROADCAST_BYTES = 64 << 20
 #: Queries with the same leading term that one task answers.
 LEADS_PER_TASK = 10_000
+#: Look-ups and postings that one task joins.
+ROWS_PER_TASK = 2_000_000
 #: Parts of a list of documents that are cut before the list is.
 SUB_BUCKETS = 64
 KEY_BYTES = 128  # a document key in a broadcast: 64 hex characters and its overhead
@@ -151,7 +153,22 @@ def _term_score() -> Column:
     )
 
 
-def _matches(points: DataFrame) -> DataFrame:
+def _check_tasks(candidates: DataFrame, checks: DataFrame, of_query: list[str], postings: int, rows_per_task: int) -> int | None:
+    """Number of tasks for the look-ups of all candidates, from counts: what a task sorts does not
+    follow the data. None where the session's number of partitions is enough."""
+    spark = candidates.sparkSession
+    looked_up = checks.groupBy(*of_query).agg(F.count(F.lit(1)).alias("checks"))
+    pairs = candidates.groupBy(*of_query).agg(F.count(F.lit(1)).alias("rows")).join(looked_up, of_query)
+    rows = (pairs.agg(F.sum(F.col("rows") * F.col("checks"))).first()[0] or 0) + postings
+    tasks = -(-rows // rows_per_task)
+    return tasks if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def _dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    return df.repartition(tasks, *keys) if tasks else df
+
+
+def _matches(points: DataFrame, tasks: int | None = None) -> DataFrame:
     """The documents that meet every clause and no exclusion, with their score.
 
     One shuffle, by query and document: the sums per clause and field, the best field of each
@@ -161,7 +178,7 @@ def _matches(points: DataFrame) -> DataFrame:
     fields = [*C.FIELD_BOOSTS, "file_type", "file_path", P.ALL_FIELD]
     in_field = [F.sum(F.when(F.col("field") == f, F.col("points"))) for f in fields]
     per_clause = (
-        points.repartition("query_id", "doc_id")
+        (points.repartition(tasks, "query_id", "doc_id") if tasks else points.repartition("query_id", "doc_id"))
         .groupBy(*keys, "clause", "times")
         .agg(F.greatest(*in_field).alias("points"))
     )
@@ -212,6 +229,7 @@ def search_batch(
     broadcast_bytes: int = BROADCAST_BYTES,
     leads_per_task: int = LEADS_PER_TASK,
     sub_buckets: int = SUB_BUCKETS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Top ``k`` documents of every query: ``(query_id, rank, doc_id, score)``.
 
@@ -221,7 +239,7 @@ def search_batch(
     """
     distinct = _stored(queries.groupBy("query").agg(F.min("query_id").alias("first")), "queries")
     once = distinct.select(F.col("first").alias("query_id"), "query")
-    top = _answers(once, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_task, sub_buckets)
+    top = _answers(once, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_task, sub_buckets, rows_per_task)
     asked = queries.join(distinct, queries["query"].eqNullSafe(distinct["query"]))
     asked = asked.select(queries["query_id"].alias("asking"), F.col("first").alias("query_id"))
     return asked.join(top, "query_id").drop("query_id").withColumnRenamed("asking", "query_id").select(
@@ -229,7 +247,7 @@ def search_batch(
     )
 
 
-def _answers(queries, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_task, sub_buckets) -> DataFrame:
+def _answers(queries, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_task, sub_buckets, rows_per_task) -> DataFrame:
     entries = _stored(query_terms(queries), "terms")
     size = entries.agg(F.sum(F.octet_length("term") + F.lit(128))).first()[0] or 0
     small = size <= broadcast_bytes  # the whole table of query terms, counted
@@ -291,13 +309,16 @@ def _answers(queries, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_t
     if candidates.count() * KEY_BYTES <= broadcast_bytes:
         few = F.broadcast(candidates.select("doc_id").distinct())
         postings = postings.join(few, "doc_id", "left_semi")
+    read = asked.agg(F.sum("df")).first()[0] or 0
+    tasks = _check_tasks(candidates, checks, of_query, read, rows_per_task)
     if small:
         to_check = rows.join(F.broadcast(checks), of_query)
     else:
         to_check = salted_join(candidates, checks, of_query, "doc_id", min_rows=hot_min_rows)
     columns = ["query_id", "doc_id", "has_must", "n_clauses", "clause", "field", "times", "points"]
     checked = (
-        to_check.join(postings, ["doc_id", "term_no"])
+        _dealt(to_check, tasks, "doc_id", "term_no")
+        .join(_dealt(postings, tasks, "doc_id", "term_no"), ["doc_id", "term_no"])
         .join(F.broadcast(index.field_stats()), "field", "left")  # one row per text field
         .withColumn("points", _term_score())
     )
@@ -309,7 +330,7 @@ def _answers(queries, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_t
         .withColumn("points", F.lit(1.0))
     )
     points = checked.select(*columns).unionByName(met.select(*columns))
-    return top_k(_matches(points), meta, k)
+    return top_k(_matches(points, tasks), meta, k)
 
 
 def top_k(matched: DataFrame, meta: DataFrame, k: int) -> DataFrame:

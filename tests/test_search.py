@@ -256,3 +256,19 @@ def test_an_update_leaves_old_postings_where_they_are(spark, tmp_path, monkeypat
         broadcast = "LeftAnti, (doc_id" in plans[0] and "strategy=broadcast" in plans[0]
         kept_in_place = plans[0].index("LeftAnti") < plans[0].index("RepartitionByExpression")
         assert (broadcast and kept_in_place) == (limit > 0), plans[0]
+
+
+def test_tasks_of_a_batch_follow_its_look_ups(spark, corpus):
+    from docloom.operators.batch_search import _check_tasks
+
+    _, meta, stored, _ = corpus
+    of_query = ["query_id", "const_lead"]
+    candidates = spark.createDataFrame([(0, i, False) for i in range(50)] + [(1, 7, True)], "query_id long, doc_id long, const_lead boolean")
+    checks = spark.createDataFrame([(0, i, False) for i in range(4)] + [(1, 0, False)], "query_id long, term_no long, const_lead boolean")
+    assert _check_tasks(candidates, checks, of_query, 100, 30) == 10  # 200 look-ups, 100 postings
+    assert _check_tasks(candidates, checks, of_query, 100, 300) is None
+    table = spark.createDataFrame(list(enumerate(QUERIES)), "query_id long, query string")
+    want = sorted(search_batch(table, stored, meta, 7).collect())
+    few = search_batch(table, stored, meta, 7, rows_per_task=100)
+    assert sorted(few.collect()) == want
+    assert "RepartitionByExpression [doc_id" in few._jdf.queryExecution().optimizedPlan().toString()
