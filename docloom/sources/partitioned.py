@@ -27,6 +27,8 @@ class PartitionedTable:
         self.options = {"partitionOverwriteMode": "dynamic"}
         if key:
             self.options[f"parquet.bloom.filter.enabled#{key}"] = "true"
+            # as large as its keys need; else each file, however small, has a filter of a megabyte
+            self.options["parquet.bloom.filter.adaptive.enabled"] = "true"
         self.part = schema.rsplit(",", 1)[1].split()[0]
 
     # -- folders ---------------------------------------------------------------------------

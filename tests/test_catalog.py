@@ -397,3 +397,11 @@ def test_whole_texts_in_batch_and_stream(spark, tmp_path):
     start_ingest(spark, root, str(tmp_path / "b"), str(tmp_path / "s"), available_now=True).awaitTermination()
     for name in "ab":
         assert list(contents(Catalog(spark, str(tmp_path / name))).values()) == [text]
+
+
+def test_filters_of_keys_are_as_large_as_their_files_need(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    catalog.apply(docs(spark, [(f"/r/{i}.txt", "text") for i in range(50)]), tag="one")
+    files = files_of(catalog.path)
+    assert files and max(os.path.getsize(f) for f in files) < 100_000
+    assert catalog.read([sha(f"/r/{i}.txt") for i in range(3)]).count() == 3
