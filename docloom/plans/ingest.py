@@ -20,7 +20,7 @@ from docloom.sources import files, progress
 from docloom.sources.catalog import Catalog, cluster
 
 
-BYTES_PER_TASK, FILES_PER_TASK = 256 << 20, 5_000
+BYTES_PER_TASK, FILES_PER_TASK = 64 << 20, 5_000
 COUNTERS = ("scanned", "indexed", "skipped", "ignored", "error", "deleted")
 
 

@@ -42,10 +42,11 @@ def key_part(key: Column, parts: int) -> Column:
 def cluster(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """Bring rows together by key range, as the catalog stores them.
 
-    Done on narrow rows *before* their texts are read, it spares a shuffle of the texts.
+    Done on narrow rows *before* their texts are read, it spares a shuffle of the texts. Each range is
+    a task of its own; dealt by their hash, several would meet in one.
     """
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, key_part(F.col("_id"), parts))
+    return rows.repartitionById(parts, key_part(F.col("_id"), parts))
 
 
 def in_rounds(keys_by_part: dict[str, int], most: int) -> Iterator[list[str]]:

@@ -405,3 +405,11 @@ def test_filters_of_keys_are_as_large_as_their_files_need(spark, tmp_path):
     files = files_of(catalog.path)
     assert files and max(os.path.getsize(f) for f in files) < 100_000
     assert catalog.read([sha(f"/r/{i}.txt") for i in range(3)]).count() == 3
+
+
+def test_each_key_range_is_a_task_of_its_own(spark, tmp_path):
+    from docloom.sources.catalog import cluster
+
+    rows = docs(spark, [(f"/r/{i}.txt", "text") for i in range(600)])
+    tasks = {r["task"]: r["count"] for r in cluster(rows, 12).groupBy(F.spark_partition_id().alias("task")).count().collect()}
+    assert len(tasks) == 12 and max(tasks.values()) < 90  # dealt by hash, some would have two or three ranges
