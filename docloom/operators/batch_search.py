@@ -3,7 +3,8 @@
 Conjunctive queries are driven by their rarest clause: only documents of that clause become
 candidates, and the other clauses are checked for the candidates alone. So the work follows
 the rarest word of a query, not its most common one. A query that is asked many times is answered
-once. A query without a required word has the newest documents of its types as candidates: when
+once. A query without a required word takes the newest documents of its types that its exclusions
+leave: the newest are tried first, and ever older ones only for the queries that still lack some. When
 its exclusions can hit at most ``m`` documents, the first ``k + m`` of that order hold its answer.
 No query is cut short and no candidate is dropped; a hot term is spread over many tasks by
 document, and by query where many queries lead with it.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom import constants as C
 from docloom.functions.querytext import classify
@@ -27,7 +29,7 @@ from docloom.operators.skew import (
     repeat_for_salts,
     salted_join,
 )
-from docloom.session import new_table_path, spread
+from docloom.session import new_table_path, shuffles_removed, spread
 
 #: A table is broadcast only when its counted size is below this.
 BROADCAST_BYTES = 64 << 20
@@ -37,6 +39,9 @@ LEADS_PER_TASK = 10_000
 ROWS_PER_TASK = 2_000_000
 #: Parts of a list of documents that are cut before the list is.
 SUB_BUCKETS = 64
+#: Documents of a list that are tried first for queries without a required word, and how many times
+#: as many each next round reaches.
+FIRST_DEPTH, DEEPER = 1_000, 16
 KEY_BYTES = 128  # a document key in a broadcast: 64 hex characters and its overhead
 _TERM = ("field", "term")
 
@@ -125,7 +130,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def _stored(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result that is used several times, and read it back."""
     path = new_table_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -194,30 +200,73 @@ def _matches(points: DataFrame, tasks: int | None = None) -> DataFrame:
     )
 
 
-def _newest(required: DataFrame, terms: DataFrame, meta: DataFrame, k: int, sub_buckets: int) -> DataFrame:
-    """Candidates of the queries without a required word: the first ``k + m`` documents of the date
-    order of their lists, ``m`` being the most that their exclusions can hit.
+def _first_of_lists(lists: DataFrame, meta: DataFrame, depth: int, sub_buckets: int) -> DataFrame:
+    """``(list, doc_id, place)``: the first ``depth`` documents of the date order of each list, at most
+    as many as the list's ``most``.
 
     Lists are cut in two steps, so that no task reads the starts of all tasks: by list and
     sub-bucket of documents, where each task before has cut its rows already, then by list.
     """
-    hit = F.sum(F.when(F.col("kind") == "not", F.col("df")).otherwise(0))
-    need = terms.where(~F.col("has_must")).groupBy("query_id").agg((hit + k).alias("need"))
-    wanted = required.where(~F.col("has_must")).join(need, "query_id")
-    wanted = wanted.select("query_id", "has_must", "n_clauses", F.col("term").alias("list"), "need").distinct()
-    lists = _stored(wanted.groupBy("list").agg(F.max("need").alias("most")), "lists")  # a row per file type
-    longest = min(lists.agg(F.max("most")).first()[0] or 0, 2**31 - 1)
     # every document stands in two lists
     both = F.explode(F.array(F.lit(P.ALL_TERM), F.col("file_type")))
-    rows = meta.select("doc_id", "modified_date", both.alias("list"), F.pmod(F.xxhash64("doc_id"), F.lit(sub_buckets)).alias("sub"))
+    rows = meta.where(F.col("doc_id").isNotNull())
+    rows = rows.select("doc_id", "modified_date", both.alias("list"), F.pmod(F.xxhash64("doc_id"), F.lit(sub_buckets)).alias("sub"))
     rows = rows.join(F.broadcast(lists), "list")
     newest_first = [F.col("modified_date").desc_nulls_last(), F.col("doc_id")]
     for part in (["list", "sub"], ["list"]):
         place = F.row_number().over(Window.partitionBy(*part).orderBy(*newest_first))
         # as a literal the limit cuts the rows of every task before they meet
-        rows = rows.withColumn("place", place).where((F.col("place") <= longest) & (F.col("place") <= F.col("most")))
-    found = wanted.join(rows.select("list", "doc_id", "place"), "list").where(F.col("place") <= F.col("need"))
-    return found.select("query_id", "doc_id", "has_must", "n_clauses", F.lit(True).alias("const_lead"))
+        rows = rows.withColumn("place", place).where((F.col("place") <= depth) & (F.col("place") <= F.col("most")))
+    return rows.select("list", "doc_id", "place")
+
+
+def _newest(
+    required: DataFrame, terms: DataFrame, postings: DataFrame, meta: DataFrame, k: int, small: bool,
+    hot_min_rows: int, broadcast_bytes: int, sub_buckets: int, first_depth: int,
+) -> DataFrame:
+    """``(query_id, doc_id)`` of the queries without a required word: the newest ``k`` documents of each
+    of their lists that they don't exclude, which is in the first ``k + m`` of the list, ``m`` being
+    the most that their exclusions can hit.
+
+    Round by round ever older documents are tried, for the lists of which a query still lacks some.
+    Each document is a row with the excluded terms that it has, so what is kept and shuffled follows
+    the documents of a round, not their number times the words of the queries.
+    """
+    spark = required.sparkSession
+    is_not = F.col("kind") == "not"
+    per_query = terms.where(~F.col("has_must")).groupBy("query_id").agg(
+        (F.sum(F.when(is_not, F.col("df")).otherwise(0)) + k).alias("need"),
+        F.collect_set(F.when(is_not, F.col("term_no"))).alias("excluded"),
+    )
+    wanted = required.where(~F.col("has_must")).select("query_id", F.col("term").alias("list")).distinct()
+    wanted = _stored(wanted.join(per_query, "query_id"), "lists")
+    columns = wanted.columns
+    numbers = wanted.select(F.explode("excluded").alias("term_no")).distinct()
+    unwanted = postings.join(F.broadcast(numbers) if small else numbers, "term_no", "left_semi")
+    found = spark.createDataFrame([], T.StructType([required.schema["query_id"], T.StructField("list", T.StringType()), meta.schema["doc_id"]]))
+    above, depth = 0, first_depth
+    while wanted.limit(1).count():
+        depth = min(depth, 2**31 - 1)
+        most = wanted.groupBy("list").agg(F.max("need").alias("most"))  # a row per file type
+        docs = _stored(_first_of_lists(most, meta, depth, sub_buckets).where(F.col("place") > above), "newest")
+        keys = docs.select("doc_id").distinct()
+        if docs.count() * KEY_BYTES <= broadcast_bytes:
+            keys = F.broadcast(keys)
+        words = unwanted.join(keys, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("term_no").alias("words"))
+        docs = _stored(docs.join(words, "doc_id", "left"), "newest")
+        pairs = docs.join(F.broadcast(wanted), "list") if small else salted_join(docs, wanted, ["list"], "doc_id", min_rows=hot_min_rows)
+        hit = F.coalesce(F.arrays_overlap("words", "excluded"), F.lit(False)).alias("hit")
+        tried = pairs.where(F.col("place") <= F.col("need")).select("query_id", "list", "doc_id", "place", hit)
+        nth = F.row_number().over(Window.partitionBy("query_id", "list").orderBy("place"))
+        left = _stored(tried, "candidates").where(~F.col("hit")).withColumn("nth", nth).where(F.col("nth") <= k)
+        found = _stored(found.unionByName(left.select("query_id", "list", "doc_id")), "found")
+        # who goes on: a list that has more documents, for a query that lacks some and may use them
+        longer = docs.where(F.col("place") == depth).select("list").distinct()
+        have = found.groupBy("query_id", "list").agg(F.count(F.lit(1)).alias("have"))
+        wanted = wanted.where(F.col("need") > depth).join(longer, "list", "left_semi").join(have, ["query_id", "list"], "left")
+        wanted = _stored(wanted.where(F.coalesce("have", F.lit(0)) < k).select(*columns), "lists")
+        above, depth = depth, depth * DEEPER
+    return found.select("query_id", "doc_id").distinct()
 
 
 def search_batch(
@@ -230,6 +279,7 @@ def search_batch(
     leads_per_task: int = LEADS_PER_TASK,
     sub_buckets: int = SUB_BUCKETS,
     rows_per_task: int = ROWS_PER_TASK,
+    first_depth: int = FIRST_DEPTH,
 ) -> DataFrame:
     """Top ``k`` documents of every query: ``(query_id, rank, doc_id, score)``.
 
@@ -239,7 +289,7 @@ def search_batch(
     """
     distinct = _stored(queries.groupBy("query").agg(F.min("query_id").alias("first")), "queries")
     once = distinct.select(F.col("first").alias("query_id"), "query")
-    top = _answers(once, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_task, sub_buckets, rows_per_task)
+    top = _answers(once, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_task, sub_buckets, rows_per_task, first_depth)
     asked = queries.join(distinct, queries["query"].eqNullSafe(distinct["query"]))
     asked = asked.select(queries["query_id"].alias("asking"), F.col("first").alias("query_id"))
     return asked.join(top, "query_id").drop("query_id").withColumnRenamed("asking", "query_id").select(
@@ -247,7 +297,7 @@ def search_batch(
     )
 
 
-def _answers(queries, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_task, sub_buckets, rows_per_task) -> DataFrame:
+def _answers(queries, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_task, sub_buckets, rows_per_task, first_depth) -> DataFrame:
     entries = _stored(query_terms(queries), "terms")
     size = entries.agg(F.sum(F.octet_length("term") + F.lit(128))).first()[0] or 0
     small = size <= broadcast_bytes  # the whole table of query terms, counted
@@ -276,10 +326,8 @@ def _answers(queries, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_t
     # Candidates: the documents of the clause that leads. The postings of a hot term are spread
     # over its salts by document.
     required = terms.where(F.col("kind") != "not")
-    newest = _newest(required, terms, meta, k, sub_buckets)
-    ranked = required.where(~F.col("has_must")).select("query_id").distinct()
-    required = required.where("has_must")
-    lead = required.join(_leads(required), ["query_id", "clause"]).select(
+    ranked = required.where("has_must")
+    lead = ranked.join(_leads(ranked), ["query_id", "clause"]).select(
         "query_id", "has_must", "n_clauses", (F.col("kind") == "const").alias("const_lead"), "term_no"
     )
     term = ["term_no"]
@@ -294,15 +342,15 @@ def _answers(queries, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_t
         by_doc.withColumnRenamed("salt", "query_salt")
         .join(by_query, ["term_no", "doc_salt", "query_salt"])
         .select("query_id", "doc_id", "has_must", "n_clauses", "const_lead")
-        .unionByName(newest)
         .distinct(),
         "candidates",
     )
+    newest = _newest(required, terms, postings, meta, k, small, hot_min_rows, broadcast_bytes, sub_buckets, first_depth)
 
     # Check and score: every candidate looks up the other terms of its query by document. A
     # constant clause that leads is met by every candidate and needs no look-up.
     of_query = ["query_id", "const_lead"]
-    by_lead = lead.select(*of_query).unionByName(ranked.withColumn("const_lead", F.lit(True))).distinct()
+    by_lead = lead.select(*of_query).distinct()
     checks = terms.drop("has_must", "n_clauses", "term").join(by_lead, "query_id")
     checks = checks.where(~(F.col("const_lead") & (F.col("kind") == "const")))
     rows = spread(candidates, "doc_id")  # a short table may lie in one or two files
@@ -330,7 +378,9 @@ def _answers(queries, index, meta, k, hot_min_rows, broadcast_bytes, leads_per_t
         .withColumn("points", F.lit(1.0))
     )
     points = checked.select(*columns).unionByName(met.select(*columns))
-    return top_k(_matches(points, tasks), meta, k)
+    # a query without a required word has no score
+    dated = newest.select("query_id", "doc_id", F.lit(False).alias("has_must"), F.lit(None).cast("double").alias("total"))
+    return top_k(_matches(points, tasks).unionByName(dated), meta, k)
 
 
 def top_k(matched: DataFrame, meta: DataFrame, k: int) -> DataFrame:

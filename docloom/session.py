@@ -94,6 +94,23 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: With it the shuffle files of a query go when the query ends.
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs run inside go with each job; else they stay until the driver happens to
+    collect its garbage, and those of one job add up with those of the next. A DataFrame that is run
+    inside should not be run twice: write it and read it back."""
+    before = spark.conf.get(_SHUFFLES_GO, None)
+    spark.conf.set(_SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_SHUFFLES_GO) if before is None else spark.conf.set(_SHUFFLES_GO, before)
+
+
 _shipped: set[str] = set()
 
 

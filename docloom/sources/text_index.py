@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 
 from docloom.operators import postings as P
 from docloom.operators.skew import HOT_MIN_ROWS, add_salt, hot_keys, hot_threshold
-from docloom.session import new_table_path, run_folder
+from docloom.session import new_table_path, run_folder, shuffles_removed
 from docloom.sources.partitioned import PartitionedTable
 
 #: Default number of buckets: one per so many postings, within limits.
 ROWS_PER_BUCKET, MIN_BUCKETS, MAX_BUCKETS = 20_000_000, 16, 8192
 #: Postings that one task sorts and writes, and the bytes of files with about so many.
 ROWS_PER_TASK, BYTES_PER_TASK = 2_000_000, 8 << 20
+#: Rounds in which the postings of a new index are shuffled, a share of the buckets in each.
+ROUNDS = 4
 #: Keys of changed documents are broadcast below this size.
 BROADCAST_BYTES, KEY_BYTES = 64 << 20, {"bigint": 32, "int": 32}
 
@@ -174,29 +176,35 @@ def write_index(
        document and field: no shuffle, and the texts are read only here.
     2. Statistics are aggregated from that table.
     3. Postings are shuffled once into their final place, ``(bucket, salt)``: a term that holds
-       a third of all rows is spread over many tasks and files.
+       a third of all rows is spread over many tasks and files. Each of a few rounds takes its share
+       of the buckets, and its shuffle files go before the next: they hold a part of the postings.
 
     An index is complete once its ``info`` table is; what a failed build left at ``path`` is
     replaced.
     """
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     schemas = _schemas(id_type)
-    with run_folder(spark):
-        counted = f"{new_table_path(spark, 'counts')}"
-        _doc_rows(docs, 1).drop("part").write.parquet(counted)
-        counts = spark.read.schema(schemas["docs"].removesuffix(", part int")).parquet(counted)
-        total = counts.agg(F.sum(F.size("counts"))).first()[0] or 0
-        if buckets is None:
-            buckets = min(max(total // ROWS_PER_BUCKET, MIN_BUCKETS), MAX_BUCKETS)
-        docs_path = f"{path}/docs"
-        parted = counts.withColumn("part", _doc_part(buckets)).sortWithinPartitions("part", "doc_id")
-        parted.coalesce(_tasks_of(spark, buckets)).write.mode("overwrite").partitionBy("part").parquet(docs_path)
+    docs_path = f"{path}/docs"
+    with shuffles_removed(spark):
+        with run_folder(spark):  # what is counted goes once it is parted
+            counted = f"{new_table_path(spark, 'counts')}"
+            _doc_rows(docs, 1).drop("part").write.parquet(counted)
+            counts = spark.read.schema(schemas["docs"].removesuffix(", part int")).parquet(counted)
+            total = counts.agg(F.sum(F.size("counts"))).first()[0] or 0
+            if buckets is None:
+                buckets = min(max(total // ROWS_PER_BUCKET, MIN_BUCKETS), MAX_BUCKETS)
+            parted = counts.withColumn("part", _doc_part(buckets)).sortWithinPartitions("part", "doc_id")
+            parted.coalesce(_tasks_of(spark, buckets)).write.mode("overwrite").partitionBy("part").parquet(docs_path)
+        counts = spark.read.schema(schemas["docs"]).parquet(docs_path)
         stats = P.term_stats(P.unpack(counts)).withColumn("bucket", bucket_of(F.col("term"), buckets))
         _write_stats(stats, f"{path}/term_stats")
-        dealt = _dealt(P.unpack(counts), spark, path, id_type, buckets, total, hot_min_rows)
-        ordered = dealt.sortWithinPartitions("bucket", "term", "doc_id")
-        ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    return _finish(spark, path, id_type, buckets)
+        rounds = min(ROUNDS, buckets)
+        for i in range(rounds):
+            here = P.unpack(counts).where(bucket_of(F.col("term"), buckets) % rounds == i)
+            dealt = _dealt(here, spark, path, id_type, buckets, total, hot_min_rows)
+            ordered = dealt.sortWithinPartitions("bucket", "term", "doc_id")
+            ordered.write.mode("append" if i else "overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        return _finish(spark, path, id_type, buckets)
 
 
 def _tasks_of(spark: SparkSession, buckets: int) -> int:

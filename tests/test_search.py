@@ -272,3 +272,40 @@ def test_tasks_of_a_batch_follow_its_look_ups(spark, corpus):
     few = search_batch(table, stored, meta, 7, rows_per_task=100)
     assert sorted(few.collect()) == want
     assert "RepartitionByExpression [doc_id" in few._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_queries_without_words_go_deeper_only_where_they_lack_documents(spark, corpus):
+    _, meta, stored, rows = corpus
+    asked = ["-the", "pdf txt -the -8 -que", "-report", "NOT 7 -9", "pdf", "", "md -zzzzunknown -report"]
+    table = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    before = set(glob.glob(f"{work_folder(spark)}/candidates-*"))
+    got = search_batch(table, stored, meta, 3, first_depth=4).collect()
+    tried = spark.read.parquet(*set(glob.glob(f"{work_folder(spark)}/candidates-*")) - before)
+    tried = {r.query_id: r["count"] for r in tried.groupBy("query_id").count().collect()}
+    for i, text in enumerate(asked):
+        mine = sorted((r["rank"], r.doc_id, r.score) for r in got if r.query_id == i)
+        assert mine == single(spark, meta, stored, text, 3), text
+    assert tried[2] == len(rows) and not [r for r in got if r.query_id == 2]  # all have that word
+    assert max(tried[i] for i in (3, 4, 5)) <= 4  # found in the first round
+    for limits in ({"broadcast_bytes": 0}, {"broadcast_bytes": 0, "hot_min_rows": 20}):
+        assert sorted(search_batch(table, stored, meta, 3, first_depth=4, **limits).collect()) == sorted(got)
+
+
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for d in folders for f in glob.glob(f"{d.getPath()}/*/shuffle_*")}
+
+
+def test_an_index_leaves_no_shuffle_files(spark, corpus, monkeypatch):
+    from docloom.operators import postings as P
+    from docloom.sources import text_index
+
+    docs, _, stored, _ = corpus
+    want = sorted(map(tuple, stored.postings().select(*P.POSTING_COLUMNS).collect()))
+    for rounds, buckets in ((1, 5), (3, 5), (4, 2)):
+        monkeypatch.setattr(text_index, "ROUNDS", rounds, raising=False)
+        there, path = shuffle_files(spark), new_table_path(spark, "index")
+        index = write_index(docs, path, buckets=buckets, hot_min_rows=50)
+        assert not shuffle_files(spark) - there
+        assert sorted(map(tuple, index.postings().select(*P.POSTING_COLUMNS).collect())) == want
+        assert len(os.listdir(f"{path}/postings")) >= buckets
