@@ -846,8 +846,10 @@ def _replayed(spark, sf_dir) -> tuple[Catalog, str]:
     """A catalog after the same micro-batch came twice, and its files once more as another one."""
     root = write_tree(spark, sf_dir)
     catalog = Catalog(spark, new_table_path(spark, "catalog")).ensure()
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    batch = files.listing_of_binary(found, root)
+    # listed by tasks, into a table: a file source would hold the state of each file on the driver
+    listed = files.walk(spark, [root], names=(), parts=()).withColumn("root", F.lit(root))
+    listed = listed.withColumn("created_date", F.lit(None).cast("timestamp_ntz")).drop("unreadable")
+    batch = listed.where(~paths.file_name(F.col("file_path")).startswith("."))
     run = ingest_batch(catalog, root, "stream")
     for batch_id in (0, 0, 1):
         run(batch, batch_id)

@@ -226,3 +226,20 @@ def test_workers_hold_a_few_megabytes_of_a_task(spark, tmp_path):
     assert [n for b in out for n in b["file_path"].to_pylist()] == listed["file_path"].to_pylist()
     assert max(b.nbytes for b in out) < 2 * BATCH_BYTES
     assert [r for b in out for r in b["readable"].to_pylist()] == [True] * 9 + [False]
+
+
+def test_replayed_batches_are_listed_by_tasks(spark, sf_dir, monkeypatch):
+    from docloom.plans import registry
+
+    seen = []
+    monkeypatch.setattr(registry, "ingest_batch", lambda catalog, root, stream: lambda batch, no: seen.append((batch, no, root)))
+    registry._replayed(spark, sf_dir)
+    assert [no for _, no, _ in seen] == [0, 0, 1] and len({id(batch) for batch, _, _ in seen}) == 1
+    batch, _, root = seen[0]
+    plan = batch._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and "level=" in plan  # what tasks have listed
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    want = files.listing_of_binary(found, root)
+    assert batch.columns == want.columns
+    assert sorted(batch.collect(), key=str) == sorted(want.collect(), key=str)
+    assert batch.where(F.col("file_path").contains("Node_Modules")).count()
