@@ -243,3 +243,12 @@ def test_replayed_batches_are_listed_by_tasks(spark, sf_dir, monkeypatch):
     assert batch.columns == want.columns
     assert sorted(batch.collect(), key=str) == sorted(want.collect(), key=str)
     assert batch.where(F.col("file_path").contains("Node_Modules")).count()
+
+
+def test_progress_totals_list_the_files_once_for_all_batches(spark, sf_dir, monkeypatch):
+    from docloom.plans import registry
+
+    walk, calls = files.walk, []
+    monkeypatch.setattr(files, "walk", lambda *a, **b: calls.append(a) or walk(*a, **b))
+    row = registry.progress_totals(spark, sf_dir).first()
+    assert len(calls) == 1 and row.indexed == row.skipped > 0 and row.scanned == 2 * row.indexed and row.ignored > 0
