@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from docloom.functions import paths
 from docloom.operators import office
-from docloom.session import BATCH_BYTES, map_batches, ship_package
+from docloom.session import BATCH_BYTES, map_batches, map_frames, ship_package
 from docloom.sources import files
 
 # --- fixed values: readers by extension (``.markdown`` has none) ---------------------------
@@ -133,6 +133,17 @@ def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield read(batch.slice(start), texts, ok, parsed)
 
 
+def _extract_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same over pandas frames, part by part."""
+    for frame in frames:
+        start = 0
+        listed = pa.RecordBatch.from_pydict({c: pa.array(list(frame[c]), pa.string()) for c in ("file_path", "file_extension")})
+        for out in _extract_batches(iter([listed])):
+            stop = start + out.num_rows
+            yield frame.iloc[start:stop].assign(**{c: out[c].to_pylist() for c in ("content", "readable", "parsed")})
+            start = stop
+
+
 def extract_listed(rows: DataFrame) -> DataFrame:
     """Adds ``content``, ``readable`` and ``parsed`` to listing rows by opening ``file_path`` in the
     tasks."""
@@ -145,7 +156,7 @@ def extract_listed(rows: DataFrame) -> DataFrame:
         + [T.StructField("content", T.StringType()), T.StructField("readable", T.BooleanType()),
            T.StructField("parsed", T.BooleanType())]
     )
-    return map_batches(rows, _extract_batches, schema)
+    return map_frames(rows, _extract_frames, schema)
 
 
 _SLIDES = pa.schema([("file_path", pa.string()), ("slide_no", pa.int32()), ("pos", pa.int32()), ("text", pa.string())])

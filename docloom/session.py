@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -157,21 +158,37 @@ def map_batches(df: DataFrame, job: Callable, schema) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passed = 0
-        try:
-            for out in job(part for whole in batches for part in small_parts(whole)):
-                passed += out.nbytes
-                yield out
-                if passed >= TIDY_BYTES:
-                    del out
-                    give_back_memory()
-                    passed = 0
-        finally:
-            give_back_memory()
+        yield from _tidied(job(part for whole in batches for part in small_parts(whole)), lambda out: out.nbytes)
 
     return df.mapInArrow(run, schema)
 
 
+def map_frames(df: DataFrame, job: Callable, schema) -> DataFrame:
+    """:func:`map_batches` over pandas frames, for rows that are narrow when they come in."""
+    ship_package(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _tidied(job(frames), lambda out: int(out.memory_usage(index=False, deep=True).sum()))
+
+    return df.mapInPandas(run, schema)
+
+
+def _tidied(results: Iterator, size: Callable) -> Iterator:
+    """What a job yields; memory that is free is given back as the job goes on, and at its end."""
+    passed = 0
+    try:
+        for out in results:
+            passed += size(out)
+            yield out
+            if passed >= TIDY_BYTES:
+                del out
+                give_back_memory()
+                passed = 0
+    finally:
+        give_back_memory()
+
+
 def small_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in parts of about ``BATCH_BYTES``, were it made larger than that."""
     rows = max(batch.num_rows * BATCH_BYTES // max(batch.nbytes, 1), 1)
